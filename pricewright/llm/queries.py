@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_counts
+from . import secret_scan, token_counts
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,8 +18,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_token_counts": token_counts.op3_token_counts,
+        "op8_secret_scan": secret_scan.op8_secret_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op8_secret_scan": secret_scan.oracle_op8(),
+    }
