@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, secret_scan, token_counts
+from . import packing, secret_scan, token_counts, toxicity
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": packing.op1_packing,
         "op3_token_counts": token_counts.op3_token_counts,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op8_secret_scan": secret_scan.op8_secret_scan,
     }
 
