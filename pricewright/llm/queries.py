@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, near_dedup, packing, secret_scan, token_counts, toxicity
+from . import language_id, near_dedup, packing, repeats, secret_scan, token_counts, toxicity
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_packing": packing.op1_packing,
         "op3_token_counts": token_counts.op3_token_counts,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op5_suffix_dedup": repeats.op5_suffix_dedup,
         "op6_near_dedup": near_dedup.op6_near_dedup,
         "op7_language_id": language_id.op7_language_id,
         "op8_secret_scan": secret_scan.op8_secret_scan,
