@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, near_dedup, packing, repeats, secret_scan, token_counts, toxicity
+from . import code_search, language_id, near_dedup, packing, repeats, secret_scan, token_counts, toxicity, vector_dedup
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_near_dedup": near_dedup.op6_near_dedup,
         "op7_language_id": language_id.op7_language_id,
         "op8_secret_scan": secret_scan.op8_secret_scan,
+        "op9_vector_dedup": vector_dedup.op9_vector_dedup,
+        "op10_code_search": code_search.op10_code_search,
     }
 
 
@@ -31,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op6_near_dedup": near_dedup.ORACLE,
         "op8_secret_scan": secret_scan.oracle_op8(),
+        "op10_code_search": code_search.ORACLE,
     }
