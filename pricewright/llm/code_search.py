@@ -32,7 +32,8 @@ _masks: dict[int, np.ndarray] = {}
 def masks(radius: int) -> np.ndarray:
     """All 16-bit values with radius bits set."""
     if radius not in _masks:
-        sets = np.array(list(combinations(range(BITS), radius)), np.int64).reshape(-1, radius)
+        ways = list(combinations(range(BITS), radius))
+        sets = np.array(ways, np.int64).reshape(len(ways), radius)
         _masks[radius] = (np.int64(1) << sets).sum(1).astype(np.int64)
     return _masks[radius]
 
@@ -70,7 +71,7 @@ def nearest(code: np.ndarray, ids: np.ndarray, query: np.ndarray, own: np.ndarra
         pairs = np.unique(np.concatenate(met))
         q, c = pairs // len(code), pairs % len(code)
         q, c = q[(other := ids[c] != own[q])], c[other]
-        apart = np.bitwise_count(query[q] ^ code[c]).astype(np.int64)
+        apart = np.bitwise_count((query[q] ^ code[c]).view(np.uint64)).astype(np.int64)
         by = np.lexsort((ids[c], apart, q))
         q, c, apart = q[by], c[by], apart[by]
         # ties at the k-th distance can still be beaten by an unmet code of that distance only beyond the bound
@@ -99,7 +100,7 @@ def search(data: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     blocks, lots = max(1, -(-n // CODE_BLOCK)), max(1, -(-m // QUERY_BLOCK))
     spread = lambda df, own, of, other, to, is_query: (
         df.withColumn(own, F.pmod(F.xxhash64("vec_id"), F.lit(of)))
-        .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(to - 1))).cast("bigint"))
+        .withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(to - 1).cast("bigint"))))
         .select((F.col("block") * lots + F.col("lot")).alias("cell"), "vec_id", "code", F.lit(is_query).alias("is_query"))
     )
     both = spread(data, "block", blocks, "lot", lots, False).unionByName(spread(queries, "lot", lots, "block", blocks, True))
