@@ -32,11 +32,10 @@ class Merges:
             known = self._fits[key] = self._decide(left, right)
         return known
 
-    def _decide(self, left: int, right: int) -> bool:
+    def _decide(self, left: int, right: int, before: tuple[int, bool] | None = None) -> bool:
         """Undo the merges next to the border, latest first: at no moment may a merge over the border
-        have come before the merge that is undone."""
+        have come before the merge that is undone. before: (rank, whether an equal rank counts too)."""
         rank, split, joins = self.rank, self.split, self.joins
-        before = None  # the border merge must not precede this (rank, side)
         while True:
             over = joins.get(left * self.SPAN + right)
             if over is not None:
@@ -82,3 +81,31 @@ def from_json(path: str) -> tuple[Merges, list[bytes], dict[bytes, int]]:
             split[k], rank[k] = (i, j), r
         joins[i * Merges.SPAN + j] = k
     return Merges(split, joins, rank), text, {t: i for i, t in enumerate(text) if t}
+
+
+def from_pieces(pieces: list[str], scores: list[float]) -> Merges:
+    """A vocabulary in which any two neighbours merge whose concatenation is a piece, the best score first.
+
+    "" stands for ids that are no text. The last id + 1 is an atom for characters outside the vocabulary.
+    """
+    ids = {p: i for i, p in enumerate(pieces) if p}
+    split: list = [None] * (len(pieces) + 1)
+    made = Merges(split, {}, [-1] * (len(pieces) + 1))
+    place = {i: k for k, i in enumerate(sorted(ids.values(), key=lambda i: (-scores[i], i)))}
+    parts = {}
+    for p, i in ids.items():
+        ways = [(ids[p[:k]], ids[p[k:]]) for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids]
+        parts[i] = ways
+        for a, b in ways:
+            made.joins[a * Merges.SPAN + b] = i
+        if len(p) > 1:
+            made.rank[i] = place[i]
+    reached = {i for p, i in ids.items() if len(p) == 1}
+    for i in sorted(parts, key=place.get):  # what a piece is merged from comes before it
+        for a, b in parts[i]:
+            if a in reached and b in reached and made._decide(a, b, (made.rank[i], False)):
+                split[i] = (a, b)
+                reached.add(i)
+                break
+    made.reached = reached
+    return made

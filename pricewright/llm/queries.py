@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import code_search, language_id, near_dedup, packing, repeats, secret_scan, token_counts, toxicity, vector_dedup
+from . import code_search, language_id, near_dedup, packing, pieces, repeats, secret_scan, token_counts, toxicity, vector_dedup
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": packing.op1_packing,
+        "op2_sentencepiece": pieces.op2_sentencepiece,
         "op3_token_counts": token_counts.op3_token_counts,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_suffix_dedup": repeats.op5_suffix_dedup,

@@ -202,9 +202,9 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
     return F.aggregate(each, zero, step)["out"]
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
-    """docs (doc_id, text) with found: array of (start, kind number in rules, end), sorted."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """docs (doc_id, text, keep) with found: array of (start, kind number in rules, end), sorted."""
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *keep)
     hits, full = candidates(docs, rules)
     hits = written(hits, "candidates").withColumnRenamed("doc_id", "hit_id")
     if hits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
@@ -217,7 +217,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
         if k not in full:
             wanted = (F.coalesce("hit", F.lit(0)).bitwiseAND(F.lit(1 << k)) != 0) & wanted
         found.append(F.when(wanted, spans_of(F.col("text"), rule, k)).otherwise(none))
-    return joined.select("doc_id", "text", F.sort_array(F.concat(*found)).alias("found"))
+    return joined.select("doc_id", "text", *keep, F.sort_array(F.concat(*found)).alias("found"))
 
 
 def listed(found: Column, rules: tuple[Rule, ...]) -> Column:
@@ -226,8 +226,8 @@ def listed(found: Column, rules: tuple[Rule, ...]) -> Column:
     return F.concat_ws(",", F.transform(found, one))
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
-    """(doc_id, text) with each found span replaced by its kind in angle brackets; overlaps become one."""
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, keep) with each found span replaced by its kind in angle brackets; overlaps become one."""
     kinds = F.array(*[F.lit(f"<{r.kind}>") for r in rules])
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -249,7 +249,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
     clean = F.when(F.size("found") == 0, F.col("text")).otherwise(
         F.concat(got["out"], F.substr(F.col("text"), got["at"] + 1))
     )
-    return scan(docs, rules).select("doc_id", clean.alias("text"))
+    return scan(docs, rules, keep).select("doc_id", clean.alias("text"), *keep)
 
 
 def op8_secret_scan(spark, sf_dir: str) -> DataFrame:

@@ -160,8 +160,10 @@ def train(labelled: DataFrame, bits: int = 20, epochs: int = 2) -> tuple[np.ndar
     return i[i >= 0], w[i >= 0], float(w[i < 0].sum())
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], bits: int = 20) -> DataFrame:
-    """(doc_id, score) for each row, in one narrow pass."""
+def score(
+    docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], bits: int = 20, keep: tuple[str, ...] = ("doc_id",)
+) -> DataFrame:
+    """The columns keep and the score of each row, in one narrow pass."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,11 +176,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], bits: in
             key = np.unique(doc[hit] << np.int64(bits) | x[hit])
             total = np.bincount(key >> bits, weights[key & ((1 << bits) - 1)], batch.num_rows)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(total + b, -700, 700))))], names=["doc_id", "score"]
+                [*map(batch.column, keep), pa.array(1 / (1 + np.exp(-np.clip(total + b, -700, 700))))], names=[*keep, "score"]
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{kinds}, score double")
 
 
 def learned(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, folds: int = 5):
