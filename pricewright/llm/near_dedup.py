@@ -7,12 +7,13 @@ symbol, so with each chunk and each of its symbols left out as a key (64 keys) e
 a key: none is lost. A pair at similarity 0.75 differs in more than 31 of 64 symbols with a chance of
 about 1 in 100,000.
 
-Buckets are handled without writing out their pairs. First each member goes to one pivot of its
-bucket (members in a fixed random order; those within reach of a pivot follow it), a class keeps its
-nearest pivot over all buckets, and these pairs are confirmed on full sets. What still lies in different
-components of one bucket is compared in blocks: the nearest few pairs between two components are
-confirmed first, then all the others that still join different components. So every pair within signature
-reach is either inside one confirmed component or confirmed itself.
+Buckets are handled without writing out their pairs. One pass over a bucket gives each member its
+nearest pivot (members in a fixed random order; those near a pivot follow it), and a spanning tree of
+the pairs within reach. The nearest pivots over all buckets are confirmed on full sets, which joins
+most of a large group in a linear number of tests. The spanning trees unite classes into regions: two
+classes within reach of each other lie in one region. Regions that still hold several components are compared
+block against block on full sets, pairs of one component left out, and give only links that join
+components. So every pair within signature reach is in one confirmed component or has been tested.
 
 Null and empty texts have no shingles and are linked with nothing. Rows with equal ids are in one
 class if their sets are equal; a null id never becomes a component's name unless it stands alone. Other
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, discard, slices, table, written
@@ -35,10 +36,10 @@ SYMBOLS, CHUNK = 64, 4
 REACH = 2 * SYMBOLS // CHUNK - 1
 #: A bucket member follows a pivot within this distance (the mean at similarity 0.69).
 NEAR = 20
-#: Members of a bucket that are compared at once; larger buckets fall into blocks.
-BLOCK = 4096
-#: Pairs between two components that are confirmed before all others.
-FIRST = 4
+#: Members of a bucket that are compared at once; larger buckets are taken as pairs of such blocks.
+BLOCK = 1 << 16
+#: Classes of a region that are compared at once with as many others.
+TILE = 1024
 #: Candidate ids up to this many are broadcast to the scan of the texts; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -159,9 +160,10 @@ def _order(nodes: np.ndarray) -> np.ndarray:
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
-    """(bucket, block, blocks, node) of all keys that two classes or more share; buckets of equal members are one.
+    """(bucket, node) of all keys that two classes or more share; buckets of equal members are one.
 
-    A key's hash partition is read as two columns of longs; a block beside the first also gets the bucket's leader.
+    A key's hash partition is read as two columns of longs; a bucket of over BLOCK members gives a bucket for
+    each two of its blocks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,34 +174,38 @@ def buckets(nodes: DataFrame) -> DataFrame:
         rank = _order(node)
         by = np.lexsort((rank, key))
         key, node, rank = key[by], node[by], rank[by]
-        out: list[list[np.ndarray]] = [[], [], [], []]
+        names, members = [], []
         for a, b in runs(key):
-            n, members = b - a, node[a:b]
-            name = int(_mixed(np.array([rank[a:b].sum() + np.uint64(n)]))[0])
-            blocks = -(-n // BLOCK)
-            block = np.arange(n) // BLOCK
-            if blocks > 1:
-                members, block = np.append(members, np.full(blocks - 1, members[0])), np.append(block, np.arange(1, blocks))
-            for held, x in zip(out, (np.full(len(members), name, np.uint64).view(np.int64), block, np.full(len(members), blocks), members)):
-                held.append(x)
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], names=["bucket", "block", "blocks", "node"])
+            cuts = [*range(a, b, BLOCK), b]
+            parts = [np.arange(x, y) for x, y in zip(cuts[:-1], cuts[1:])]
+            pairs = [(x, y) for x in range(len(parts)) for y in range(x + 1, len(parts))] or [(0, 0)]
+            for x, y in pairs:
+                held = np.unique(np.concatenate([parts[x], parts[y]]))
+                name = _mixed(np.array([rank[held].sum() + np.uint64(len(held))]))
+                names.append(np.full(len(held), name[0]))
+                members.append(node[held])
+        if names:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names).view(np.int64)), pa.array(np.concatenate(members))], names=["bucket", "node"])
 
     keyed = nodes.select("node", F.explode("keys").alias("key"))
-    return (
-        keyed.repartition("key")
-        .mapInArrow(run, "bucket bigint, block bigint, blocks bigint, node bigint")
-        .distinct()
-    )
+    return keyed.repartition("key").mapInArrow(run, "bucket bigint, node bigint").distinct()
 
 
-def pivots(members: DataFrame) -> DataFrame:
-    """(a, b, apart): each member b with the pivot a that it follows in a block."""
+def walked(members: DataFrame) -> DataFrame:
+    """(a, b, apart): b follows pivot a at that distance; or, with no distance, both are in one region."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for node, n, sig, _, _ in grouped(batches):
-            alive = np.argsort(_order(node), kind="stable")
+        t = gathered(batches)
+        if t is None:
+            return
+        bucket, nodes, sizes = (t.column(c).to_numpy() for c in ("bucket", "node", "n_shingles"))
+        signatures = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(-1, SYMBOLS)
+        by = np.lexsort((_order(nodes), bucket))
+        for a, b in runs(bucket[by]):
+            i = by[a:b]
+            node, n, sig = nodes[i], sizes[i], signatures[i]
             got: list[np.ndarray] = []
+            alive = np.arange(len(i))
             while len(alive) > 1:
                 p, rest = alive[0], alive[1:]
                 apart = (sig[rest] != sig[p]).sum(1)
@@ -207,63 +213,80 @@ def pivots(members: DataFrame) -> DataFrame:
                 if near.any():
                     got.append(np.stack([np.full(near.sum(), node[p]), node[rest[near]], apart[near]]))
                 alive = rest[~near]
+            alive = np.arange(len(i))
+            while len(alive) > 1:
+                todo, alive = [alive[0]], alive[1:]
+                root = todo[0]
+                while todo and len(alive):
+                    x = todo.pop()
+                    near = alike(n[alive], n[x])
+                    near[near] = (sig[alive[near]] != sig[x]).sum(1) <= REACH
+                    if near.any():
+                        found = alive[near]
+                        got.append(np.stack([np.full(len(found), node[root]), node[found], np.full(len(found), -1)]))
+                        todo += found.tolist()
+                        alive = alive[~near]
             if got:
-                yield pairs_batch(np.concatenate(got, axis=1))
-
-    near = dealt(members).mapInArrow(run, "a bigint, b bigint, apart bigint")
-    best = near.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("best"))
-    return best.select(F.col("best.a").alias("a"), "b", F.col("best.apart").alias("apart"))
-
-
-def crossing(members: DataFrame) -> DataFrame:
-    """(a, b, apart, of_a, of_b): all pairs within reach in a block pair whose components differ."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for node, n, sig, component, block in grouped(batches):
-            if len(set(component.tolist())) < 2:
-                continue
-            for i in range(len(node) - 1):
-                j = np.flatnonzero((component[i + 1 :] != component[i]) & alike(n[i + 1 :], n[i])) + i + 1
-                if not len(j):
-                    continue
-                apart = (sig[j] != sig[i]).sum(1)
-                j, apart = j[apart <= REACH], apart[apart <= REACH]
-                if len(j):
-                    swap = component[j] < component[i]
-                    a, b = np.where(swap, node[j], node[i]), np.where(swap, node[i], node[j])
-                    ca, cb = np.minimum(component[j], component[i]), np.maximum(component[j], component[i])
-                    yield pairs_batch(np.stack([a, b, apart, ca, cb]))
+                x = np.concatenate(got, axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x[0]), pa.array(x[1]), pa.array(x[2], mask=x[2] < 0)], names=["a", "b", "apart"]
+                )
 
-    return dealt(members).mapInArrow(run, "a bigint, b bigint, apart bigint, of_a bigint, of_b bigint").distinct()
-
-
-def dealt(members: DataFrame) -> DataFrame:
-    return members.repartition("bucket", "block").select("bucket", "block", "node", "n_shingles", "signature", "component")
+    dealt = members.repartition("bucket").select("bucket", "node", "n_shingles", "signature")
+    return dealt.mapInArrow(run, "a bigint, b bigint, apart bigint").distinct()
 
 
 def alike(n: np.ndarray, m: int) -> np.ndarray:
     return 100 * np.minimum(n, m) >= 75 * np.maximum(n, m)
 
 
-def pairs_batch(x: np.ndarray) -> pa.RecordBatch:
-    names = ["a", "b", "apart", "of_a", "of_b"][: len(x)]
-    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in x], names=names)
+def joining(region_members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): confirmed links that join different components of a region.
+
+    Rows are (node, n_shingles, signature, hashes, component, region, blocks); each two blocks of a region meet in one task.
+    """
+    dealt = (
+        region_members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+        .withColumn("tile", F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other")))
+        .withColumn("low", F.col("block") <= F.col("other"))
+        .withColumn("alone", F.col("block") == F.col("other"))
+    )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = gathered(batches)
+        if t is None:
+            return
+        tiles, nodes, sizes, comps, low, alone = (
+            t.column(c).to_numpy() for c in ("tile", "node", "n_shingles", "component", "low", "alone")
+        )
+        by = np.argsort(tiles, kind="stable")
+        for a, b in runs(tiles[by]):
+            part = t.take(pa.array(by[a:b]))
+            node, n, comp = nodes[by[a:b]], sizes[by[a:b]], comps[by[a:b]]
+            sig = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint8).reshape(-1, SYMBOLS)
+            hashes = [np.frombuffer(x, np.uint64) for x in part.column("hashes").to_pylist()]
+            _, root = np.unique(comp, return_inverse=True)
+            one = np.flatnonzero(low[by[a:b]])
+            two = one if alone[by[a]] else np.flatnonzero(~low[by[a:b]])
+            out = []
+            for i in one:
+                j = two[(root[two] != root[i]) & alike(n[two], n[i])]
+                j = j[(sig[j] != sig[i]).sum(1) <= REACH] if len(j) else j
+                if not len(j):
+                    continue
+                flat = np.concatenate([hashes[x] for x in j])
+                at = np.minimum(np.searchsorted(hashes[i], flat), len(hashes[i]) - 1)
+                starts = np.append(0, np.cumsum(n[j])[:-1])
+                both = np.add.reduceat((hashes[i][at] == flat).astype(np.int64), starts)
+                for x in j[100 * both >= percent * (n[i] + n[j] - both)]:
+                    if root[x] != root[i]:
+                        root[root == root[x]] = root[i]
+                        out.append((node[i], node[x]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out]), pa.array([y for _, y in out])], names=["a", "b"])
 
-def grouped(batches: Iterator[pa.RecordBatch]):
-    """Per (bucket, block) of a partition: nodes, set sizes, signatures, components."""
-    t = gathered(batches)
-    if t is None:
-        return
-    bucket, block, node, n, component = (t.column(c).to_numpy() for c in ("bucket", "block", "node", "n_shingles", "component"))
-    sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(-1, SYMBOLS)
-    name = _mixed(bucket.astype(np.uint64) * _M + block.astype(np.uint64))
-    by = np.argsort(name, kind="stable")
-    for a, b in runs(name[by]):
-        i = by[a:b]
-        i = i[np.sort(np.unique(node[i], return_index=True)[1])]
-        if len(i) > 1:
-            yield node[i], n[i], sig[i], component[i], block[i]
+    return dealt.repartition("tile").select("tile", "node", "n_shingles", "signature", "hashes", "component", "low", "alone").mapInArrow(run, "a bigint, b bigint")
 
 
 def full_sets(docs: DataFrame, signed_docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -304,38 +327,27 @@ def classes(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFrame]:
     signed_docs = written(signed(docs), "signed")
     nodes = signed_docs.where("node IS NOT NULL").select("node", "n_shingles", "signature", "keys").dropDuplicates(["node"])
     nodes = written(nodes, "classes")
-    members = written(buckets(nodes), "buckets")
     signatures = nodes.select("node", "n_shingles", "signature")
-    known = members.join(signatures, "node")
-    hashes = written(full_sets(docs, signed_docs, members.select("node").distinct()), "sets")
-    links = written(confirmed(pivots(known.withColumn("component", F.col("node"))), hashes, percent), "links")
+    found = written(walked(buckets(nodes).join(signatures, "node")), "walked")
+    ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    hashes = written(full_sets(docs, signed_docs, ends), "sets")
+    pivots = found.where("apart IS NOT NULL").groupBy("b").agg(F.min(F.struct("apart", "a")).alias("best"))
+    links = written(confirmed(pivots.select(F.col("best.a").alias("a"), "b"), hashes, percent), "links")
     comps = written(components(links), "components")
 
-    for only_first in (True, False):
-        of = lambda side: comps.select(F.col("node").alias(side), F.col("component").alias(f"in_{side}"))
-        if only_first:
-            now = members.join(of("node"), "node", "left").withColumn("component", F.coalesce("in_node", "node"))
-            open_ = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-            now = now.join(open_.select("bucket"), "bucket", "left_semi").join(signatures, "node")
-            both = now.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-            both = both.withColumn("block", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other"))
-            cross = written(crossing(both), "crossing")
-            near = Window.partitionBy("of_a", "of_b").orderBy("apart", "a", "b")
-            pairs = cross.withColumn("place", F.row_number().over(near)).where(F.col("place") <= FIRST)
-        else:
-            pairs = (
-                cross.join(of("a"), "a", "left")
-                .join(of("b"), "b", "left")
-                .where(F.coalesce("in_a", "a") != F.coalesce("in_b", "b"))
-            )
-        more = written(confirmed(pairs, hashes, percent), "links")
-        if more.isEmpty():
-            if only_first:
-                continue
-            break
-        links = written(links.unionByName(more), "links")
-        comps = written(components(links), "components")
-    for t in (nodes, members, hashes, cross):
+    regions = written(components(found.where("apart IS NULL")), "regions").withColumnRenamed("component", "region")
+    placed = regions.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_ = (
+        placed.groupBy("region")
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / TILE).alias("blocks"))
+        .where("low < high")
+        .select("region", "blocks")
+    )
+    rows = placed.join(open_, "region").join(signatures, "node").join(hashes, "node")
+    more = written(joining(rows, percent), "links")
+    if not more.isEmpty():
+        comps = written(components(links.unionByName(more)), "components")
+    for t in (nodes, found, hashes, links, more):
         discard(t)
     return signed_docs.select("doc_id", "n_shingles", "node"), comps
 
