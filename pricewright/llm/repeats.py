@@ -33,7 +33,7 @@ from .toxicity import _M, _mixed, _powers, buffers
 GRAM = 32
 #: Window starts that are treated at once in a very long text.
 PIECE = 1 << 20
-#: Tables up to this many rows are broadcast; larger ones are joined by a shuffle.
+#: The table of repeated texts (16 bytes a row) is broadcast up to this many rows; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 1 << 20
 _BYTE = _mixed(np.arange(5001, 5257, dtype=np.uint64) * _M) | np.uint64(1)
 
@@ -144,7 +144,7 @@ def contexts(texts: DataFrame, open_: DataFrame, span: int) -> DataFrame:
     """(hash, node, anchor, before, after): the bytes to the left of each open anchor, and from it on."""
     asked = open_.groupBy("node").agg(F.collect_list(F.struct("hash", "anchor")).alias("asked"))
     asked = written(asked.withColumnRenamed("node", "asked_node"), "asked")
-    rows = texts.join(small(asked), F.col("node") == F.col("asked_node")).select("node", "text", "asked")
+    rows = texts.join(asked, F.col("node") == F.col("asked_node")).select("node", "text", "asked")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reach = span - GRAM
@@ -259,9 +259,9 @@ def merged(cover: DataFrame) -> DataFrame:
     return cover.repartition("node").mapInArrow(merge, "node bigint, starts array<bigint>, ends array<bigint>")
 
 
-def repeated_spans(docs: DataFrame, span: int = 200) -> DataFrame:
-    """docs (doc_id, text) with whole (every byte is covered), starts and ends of the covered runs."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
+def repeated_spans(docs: DataFrame, span: int = 200, keep: tuple[str, ...] = ()) -> DataFrame:
+    """docs (doc_id, text, keep) with whole (every byte is covered), starts and ends of the covered runs."""
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *keep).withColumn("node", F.xxhash64("text"))
     twice = copies(docs)
     flagged = docs.join(small(twice), F.col("node") == F.col("copy_node"), "left")
     texts = flagged.where(F.col("copy_node").isNull() | F.col("doc_id").eqNullSafe(F.col("first_id"))).select("node", "text")
@@ -271,9 +271,9 @@ def repeated_spans(docs: DataFrame, span: int = 200) -> DataFrame:
     tree = covered(contexts(texts, open_, span), span)
     cover = written(merged(settled.unionByName(tree)), "cover").withColumnRenamed("node", "cover_node")
     discard(rows)
-    out = flagged.join(small(cover), F.col("node") == F.col("cover_node"), "left")
+    out = flagged.join(cover, F.col("node") == F.col("cover_node"), "left")
     whole = F.col("copy_node").isNotNull() & (F.octet_length("text") >= span)
-    return out.select("doc_id", "text", whole.alias("whole"), "starts", "ends")
+    return out.select("doc_id", "text", *keep, whole.alias("whole"), "starts", "ends")
 
 
 def kept_pieces(data: bytes, whole: bool, starts, ends) -> tuple[bytes, int, int]:
@@ -287,8 +287,8 @@ def kept_pieces(data: bytes, whole: bool, starts, ends) -> tuple[bytes, int, int
     return rest, len(data) - len(rest), len(starts)
 
 
-def without_repeats(docs: DataFrame, span: int = 200) -> DataFrame:
-    """(doc_id, text, n_removed): what is left of each text; a character that is cut is kept whole."""
+def without_repeats(docs: DataFrame, span: int = 200, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, n_removed, keep): what is left of each text; a character that is cut is kept whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -303,10 +303,14 @@ def without_repeats(docs: DataFrame, span: int = 200) -> DataFrame:
                 rest, gone, _ = kept_pieces(data, whole, starts, ends)
                 texts.append(rest.decode("utf-8"))
                 removed.append(gone)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(removed, pa.int64())], names=["doc_id", "text", "n_removed"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(removed, pa.int64()), *map(batch.column, keep)],
+                names=["doc_id", "text", "n_removed", *keep],
+            )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return repeated_spans(docs, span).mapInArrow(run, f"doc_id {kind}, text string, n_removed bigint")
+    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return repeated_spans(docs, span, keep).mapInArrow(run, f"doc_id {kind}, text string, n_removed bigint{kinds}")
 
 
 def op5_suffix_dedup(spark, sf_dir: str, span: int = 200) -> DataFrame:
