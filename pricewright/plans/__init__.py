@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("scalar_queries", "book_queries", "replay_queries", "identity_queries", "feed_queries")
+MODULES = ("scalar_queries", "book_queries", "replay_queries", "identity_queries", "feed_queries", "timeline_queries")
 
 
 def _catalogues():
