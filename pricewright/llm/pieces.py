@@ -27,7 +27,7 @@ from .token_counts import located
 
 SPACE = "▁"
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-MAX_WORDS = 300_000
+MAX_WORDS = 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
