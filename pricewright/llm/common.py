@@ -50,7 +50,7 @@ def remainder(doc_id: str | Column, n: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % F.lit(n)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the text of each slice stays near limit bytes (one row at least)."""
     for batch in batches:
         n = batch.num_rows
@@ -68,6 +68,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20)
                 start, held = i, 0
             held += int(sizes[i])
         yield batch.slice(start)
+    pa.default_memory_pool().release_unused()  # idle workers keep little
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 50) -> DataFrame:

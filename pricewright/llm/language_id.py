@@ -27,7 +27,7 @@ from .common import remainder, slices, table
 from .toxicity import buffers
 
 ORDER = 2
-SLICE = 2 << 20
+SLICE = 1 << 20
 LETTER = re.compile(r"[^\W\d_]")
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] = LOWER[97:123]

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import remainder, slices, table
 
-SLICE = 4 << 20
+SLICE = 1 << 20
 _M = np.uint64(0x9E3779B97F4A7C15)
 _tables: dict[str, np.ndarray] = {}
 
