@@ -44,6 +44,12 @@ def discard(df: DataFrame) -> None:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all tables made by written() in the shared folder; for use when no result is read any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/pricewright")
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def remainder(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n: the fold of a document."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -35,6 +35,8 @@ GRAM = 32
 PIECE = 1 << 20
 #: The table of repeated texts (16 bytes a row) is broadcast up to this many rows; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 1 << 20
+#: Distinct contexts of one anchor that are suffix-sorted at once; more are taken as pairs of such blocks.
+BLOCK = 20_000
 _BYTE = _mixed(np.arange(5001, 5257, dtype=np.uint64) * _M) | np.uint64(1)
 
 
@@ -103,6 +105,8 @@ def classified(texts: DataFrame, span: int) -> DataFrame:
             key = np.where(follows, _mixed(hash_ + node.astype(np.uint64) * _M + anchor.astype(np.uint64)), hash_)
             yield batch_of(key=key, context=context, node=node, anchor=anchor, first=first, last=last, seen=seen)
 
+    limit = BLOCK
+
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = gathered(batches)
         if t is None:
@@ -122,9 +126,10 @@ def classified(texts: DataFrame, span: int) -> DataFrame:
             several[a:b] = True
         open_ = lead.copy()
         open_[kinds[~several]] = False
-        for mask, is_open in ((twice, False), (open_, True)):
-            i = rest[mask]
-            out.append((node[i], anchor[i], first[i], last[i], np.full(len(i), is_open), key[i]))
+        i = rest[twice]
+        out.append((node[i], anchor[i], first[i], last[i], np.zeros(len(i), bool), key[i]))
+        i, name = in_blocks(rest[open_], key, limit)
+        out.append((node[i], anchor[i], first[i], last[i], np.ones(len(i), bool), name))
         node, anchor, first, last, is_open, key = (np.concatenate(x) for x in zip(*out))
         yield pa.RecordBatch.from_arrays(
             [pa.array(key, mask=~is_open), *map(pa.array, (node, anchor, first, last))], names=["hash", "node", "anchor", "first", "last"]
@@ -136,6 +141,24 @@ def classified(texts: DataFrame, span: int) -> DataFrame:
     return rows.repartition("key").mapInArrow(settle, "hash bigint, node bigint, anchor bigint, first bigint, last bigint")
 
 
+def in_blocks(rows: np.ndarray, key: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """rows (sorted by their key) with the name of their group; a group of over limit rows becomes one of each two blocks."""
+    big = [(a, b) for a, b in runs(key[rows]) if b - a > limit] if len(rows) else []
+    plain = np.ones(len(rows), bool)
+    parts, names = [], []
+    for a, b in big:
+        plain[a:b] = False
+        cuts = [*range(a, b, limit), b]
+        blocks = [rows[x:y] for x, y in zip(cuts[:-1], cuts[1:])]
+        for x in range(len(blocks)):
+            for y in range(x + 1, len(blocks)):
+                both = np.concatenate([blocks[x], blocks[y]])
+                own = _mixed(key[rows[a : a + 1]].astype(np.uint64) + np.uint64(x * len(blocks) + y + 1) * _M)
+                parts.append(both)
+                names.append(np.full(len(both), own.view(np.int64)[0]))
+    return np.concatenate([rows[plain], *parts]), np.concatenate([key[rows[plain]], *names])
+
+
 def batch_of(**columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64)) for c in columns.values()], names=list(columns))
 

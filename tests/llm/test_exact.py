@@ -85,7 +85,9 @@ def repeated_by_force(texts, span):
     return out
 
 
-def test_repeats_by_force(spark):
+@pytest.mark.parametrize("block", [20_000, 2])
+def test_repeats_by_force(spark, monkeypatch, block):
+    monkeypatch.setattr(repeats, "BLOCK", block)
     rng = random.Random(5)
     base = ["".join(rng.choice("abcd é") for _ in range(1500)) for _ in range(6)]
     texts = [base[0], base[0], base[1] + base[2][100:420], base[2], "x" * 700, base[3][:450] + base[3][:450], base[4], base[5][200:399], base[5][200:400], base[5]]
