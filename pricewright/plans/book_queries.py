@@ -172,7 +172,7 @@ def _(f):
     "agg_overlap_telemetry",
     f"""WITH {QUOTES}, m AS (SELECT *, max(effective_ts) OVER (PARTITION BY provider_id, market_id, selection_id) AS top FROM quotes),
     t AS (SELECT provider_id, count(*) AS n, count(DISTINCT (cents, status)) AS v FROM m WHERE effective_ts = top GROUP BY provider_id, market_id, selection_id)
-    SELECT provider_id, count_if(n > 1 AND v = 1) AS equivalent, count_if(v > 1) AS conflicts FROM t GROUP BY 1""",
+    SELECT provider_id, count_if(n > 1 AND v = 1)::bigint AS equivalent, count_if(v > 1)::bigint AS conflicts FROM t GROUP BY 1""",
 )
 def _(f):
     c = B.consolidate(f.quotes)
@@ -189,7 +189,7 @@ def _(f):
 
 
 @C.add("agg_coverage", f"""{RANKED}, h AS (SELECT market_id, count(*) AS n FROM best GROUP BY 1), m AS (SELECT DISTINCT market_id FROM quotes)
-  SELECT count_if(coalesce(n, 0) = 3) AS complete, count_if(coalesce(n, 0) < 3) AS incomplete, sum(3 - coalesce(n, 0))::bigint AS missing_legs FROM m LEFT JOIN h USING (market_id)""")
+  SELECT count_if(coalesce(n, 0) = 3)::bigint AS complete, count_if(coalesce(n, 0) < 3)::bigint AS incomplete, sum(3 - coalesce(n, 0))::bigint AS missing_legs FROM m LEFT JOIN h USING (market_id)""")
 def _(f):
     held = best(f).groupBy("market_id").agg(F.count("*").alias("n"))
     n = F.coalesce("n", F.lit(0))
@@ -406,7 +406,7 @@ def _(f):
     return base(f).select(*KEYS, review.alias("review"))
 
 
-@C.add("flt_bookmaker_rules", f"""WITH {QUOTES} SELECT provider_id, count_if(provider_id % 3 = 0 AND cents % 2 = 0) AS reviewed, count_if(NOT (provider_id % 3 = 0 AND cents % 2 = 0)) AS open FROM quotes GROUP BY 1""")
+@C.add("flt_bookmaker_rules", f"""WITH {QUOTES} SELECT provider_id, count_if(provider_id % 3 = 0 AND cents % 2 = 0)::bigint AS reviewed, count_if(NOT (provider_id % 3 = 0 AND cents % 2 = 0))::bigint AS open FROM quotes GROUP BY 1""")
 def _(f):
     reviewed = (F.col("provider_id") % 3 == 0) & (F.col("cents") % 2 == 0)
     return f.quotes.groupBy("provider_id").agg(F.count_if(reviewed).alias("reviewed"), F.count_if(~reviewed).alias("open"))

@@ -197,7 +197,7 @@ def _(f):
     return f.quotes.where(F.col("provider_id") % 2 != F.col("transport_id")).groupBy("provider_id").agg(F.count("*").alias("n"))
 
 
-@C.add("src_collect", f"WITH {QUOTES} SELECT transport_id, count(*) AS n, count_if(status = 'active') AS active FROM quotes GROUP BY 1")
+@C.add("src_collect", f"WITH {QUOTES} SELECT transport_id, count(*) AS n, count_if(status = 'active')::bigint AS active FROM quotes GROUP BY 1")
 def _(f):
     feeds = [f.quotes.where(F.col("transport_id") == k) for k in (0, 1)]
     return feeds[0].unionByName(feeds[1]).groupBy("transport_id").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "active").alias("active"))
@@ -287,12 +287,12 @@ def _(f):
     return H.ring(poll_log(f), "provider_id", "poll_id").select("provider_id", "poll_id")
 
 
-@C.add("agg_metrics_registry", f"WITH {POLLS} SELECT provider_id, count(*) AS requests, count_if(issues > 0) AS errors, count_if(throttled) AS throttled FROM p GROUP BY 1")
+@C.add("agg_metrics_registry", f"WITH {POLLS} SELECT provider_id, count(*) AS requests, count_if(issues > 0)::bigint AS errors, count_if(throttled)::bigint AS throttled FROM p GROUP BY 1")
 def _(f):
     return poll_log(f).groupBy("provider_id").agg(F.count("*").alias("requests"), F.count_if(F.col("issues") > 0).alias("errors"), F.count_if("throttled").alias("throttled"))
 
 
-@C.add("agg_health", f"WITH {POLLS} SELECT provider_id, CASE WHEN count_if(issues > 0) / count(*) >= 0.395 THEN 'degraded' ELSE 'healthy' END AS state FROM p GROUP BY 1")
+@C.add("agg_health", f"WITH {POLLS} SELECT provider_id, CASE WHEN count_if(issues > 0)::bigint / count(*) >= 0.395 THEN 'degraded' ELSE 'healthy' END AS state FROM p GROUP BY 1")
 def _(f):
     m = poll_log(f).groupBy("provider_id").agg(F.count("*").alias("requests"), F.count_if(F.col("issues") > 0).alias("errors")).withColumn("available", F.lit(True))
     return H.provider_states(m, 0.395).select("provider_id", "state")

@@ -106,7 +106,7 @@ SCORED = f"""WITH {EVENTS}, {EVIDENCE}, m AS (SELECT source_id, event_id, abs(ev
   FROM ev JOIN ce USING (sport, competition_id, participants)), w AS (SELECT *, CASE WHEN exact THEN 172800000000 ELSE 1800000000 END AS tol FROM m WHERE NOT bad AND (ref IS NULL OR exact)),
   sc AS (SELECT source_id, event_id, least(10000, 7000 + (2000 * (tol - delta_us)) // tol + st::int * 400 + ve::int * 300 + exact::int * 1000)::bigint AS points, delta_us FROM w WHERE delta_us <= tol),
   ok AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY points DESC, delta_us, event_id) AS r, max(points) OVER (PARTITION BY source_id) AS top FROM sc WHERE points >= 8500),
-  d AS (SELECT source_id, count_if(top - points <= 250) AS near, max(CASE WHEN r = 1 THEN event_id END) AS event_id, max(top) AS points FROM ok GROUP BY 1),
+  d AS (SELECT source_id, count_if(top - points <= 250)::bigint AS near, max(CASE WHEN r = 1 THEN event_id END) AS event_id, max(top) AS points FROM ok GROUP BY 1),
   dec AS (SELECT ev.source_id, CASE WHEN d.source_id IS NULL THEN 'rejected' WHEN near > 1 THEN 'ambiguous' ELSE 'matched' END AS status,
     CASE WHEN near = 1 THEN event_id END AS event_id, CASE WHEN near = 1 THEN points END AS points FROM ev LEFT JOIN d USING (source_id))"""
 
@@ -120,7 +120,7 @@ def _(f):
 @C.add("srt_candidates", f"{SCORED} SELECT source_id, event_id, points, delta_us, row_number() OVER (PARTITION BY source_id ORDER BY points DESC, delta_us, event_id) AS place FROM sc")
 def _(f):
     w = Window.partitionBy("source_id").orderBy(F.desc("points"), "delta_us", "event_id")
-    return I.candidates(evidence(f), canonical(f)).withColumn("place", F.row_number().over(w))
+    return I.candidates(evidence(f), canonical(f)).withColumn("place", F.row_number().over(w).cast("bigint"))
 
 
 @C.add("join_event_match_key", f"WITH {EVENTS}, {EVIDENCE} SELECT source_id, count(event_id) AS n FROM ev LEFT JOIN ce USING (sport, competition_id, participants) GROUP BY 1")
@@ -135,8 +135,8 @@ def _(f):
     return I.missing_stage(evidence(f), canonical(f))
 
 
-@C.add("join_event_match_exhaustive", f"""WITH {EVENTS}, {EVIDENCE}, x AS (SELECT * FROM ev WHERE source_id % 20 = 0) SELECT source_id, count_if(x.sport <> ce.sport) AS sport_mismatch,
-  count_if(x.sport = ce.sport AND x.competition_id <> ce.competition_id) AS competition_mismatch, count_if(x.sport = ce.sport AND x.competition_id = ce.competition_id AND x.participants <> ce.participants) AS participant_mismatch FROM x, ce GROUP BY 1""")
+@C.add("join_event_match_exhaustive", f"""WITH {EVENTS}, {EVIDENCE}, x AS (SELECT * FROM ev WHERE source_id % 20 = 0) SELECT source_id, count_if(x.sport <> ce.sport)::bigint AS sport_mismatch,
+  count_if(x.sport = ce.sport AND x.competition_id <> ce.competition_id)::bigint AS competition_mismatch, count_if(x.sport = ce.sport AND x.competition_id = ce.competition_id AND x.participants <> ce.participants)::bigint AS participant_mismatch FROM x, ce GROUP BY 1""")
 def _(f):
     # every event is scored against every queried one; equal hard keys are counted first, so the rows that meet are groups
     queried = evidence(f).where("source_id % 20 = 0").select("source_id", "sport", "competition_id", "participants")
@@ -247,7 +247,7 @@ def selections(f):
 
 
 def outcome_sql(*kinds: str) -> str:
-    each = " AND ".join(f"count_if(kind = '{k}') = 1" for k in kinds)
+    each = " AND ".join(f"count_if(kind = '{k}')::bigint = 1" for k in kinds)
     return f"WITH {EVENTS}, {SEL} SELECT market_id, count(*) = {len(kinds)} AND market_id % 31 <> 0 AND {each} AS ok FROM sel GROUP BY 1"
 
 

@@ -128,7 +128,7 @@ def _(f):
     return stale(f).groupBy("market_id").agg(F.count("*").alias("n"), F.min("t").alias("first_t"))
 
 
-@C.add("bt_provider_only", f"{replay_sql(FRESH, by='provider_id')} SELECT provider_id, count(*) AS books, count_if(arb) AS detections FROM e GROUP BY 1")
+@C.add("bt_provider_only", f"{replay_sql(FRESH, by='provider_id')} SELECT provider_id, count(*) AS books, count_if(arb)::bigint AS detections FROM e GROUP BY 1")
 def _(f):
     return provider_books(f).groupBy("provider_id").agg(F.count("*").alias("books"), F.count_if("is_arbitrage").alias("detections"))
 
@@ -147,7 +147,7 @@ def provider_books(f):
 LATENCIES = (0, 6 * 3_600_000_000, DAY)
 
 
-@C.add("bt_latency_sensitivity", f"{replay_sql(FRESH, latency='(VALUES (0), (21600000000), (86400000000)) l(latency)')} SELECT latency, count(*) AS books, count_if(arb) AS detections FROM e GROUP BY 1")
+@C.add("bt_latency_sensitivity", f"{replay_sql(FRESH, latency='(VALUES (0), (21600000000), (86400000000)) l(latency)')} SELECT latency, count(*) AS books, count_if(arb)::bigint AS detections FROM e GROUP BY 1")
 def _(f):
     v = versions(f)
     lat = f.spark.createDataFrame([(x,) for x in LATENCIES], "latency bigint")
@@ -174,7 +174,7 @@ def _(f):
     return seen.join(best, "provider_id", "left").select("provider_id", "observed", F.coalesce("best", F.lit(0)).alias("best"))
 
 
-@C.add("agg_summary", f"{replay_sql(FRESH)} SELECT count(DISTINCT t) AS instants, count(*) AS books, count_if(arb) AS detections, round(max(1 / s - 1), 9) AS top_margin FROM e")
+@C.add("agg_summary", f"{replay_sql(FRESH)} SELECT count(DISTINCT t) AS instants, count(*) AS books, count_if(arb)::bigint AS detections, round(max(1 / s - 1), 9) AS top_margin FROM e")
 def _(f):
     return R.detections(visible(f), 3).agg(
         F.countDistinct("t").alias("instants"), F.count("*").alias("books"), F.count_if("is_arbitrage").alias("detections"), F.round(F.max("margin"), 9).alias("top_margin")
@@ -182,7 +182,7 @@ def _(f):
 
 
 @C.add("agg_matching_quality", """WITH l AS (SELECT CASE WHEN event_id % 7 > 0 THEN user_id END AS e, CASE WHEN event_id % 5 > 0 THEN user_id - (event_id % 11 = 0)::int END AS p FROM events),
-  c AS (SELECT count_if(p IS NOT NULL AND p IS NOT DISTINCT FROM e) AS tp, count_if(p IS NOT NULL AND p IS DISTINCT FROM e) AS fp, count_if(e IS NOT NULL AND p IS DISTINCT FROM e) AS fn FROM l)
+  c AS (SELECT count_if(p IS NOT NULL AND p IS NOT DISTINCT FROM e)::bigint AS tp, count_if(p IS NOT NULL AND p IS DISTINCT FROM e)::bigint AS fp, count_if(e IS NOT NULL AND p IS DISTINCT FROM e)::bigint AS fn FROM l)
   SELECT tp, fp, fn, round(tp / (tp + fp), 9) AS precision, round(tp / (tp + fn), 9) AS recall FROM c""")
 def _(f):
     i, u = F.col("event_id"), F.col("user_id")
@@ -240,7 +240,7 @@ def _(f):
     return S.invalidations(rows, f.stream.select("market_id", "selection_id").distinct()).select("transport_id", "market_id", "selection_id", "ingested_at")
 
 
-@C.add("agg_max_age", f"{LATEST} SELECT max(now - o) AS max_age_us, count_if(now - o > {FRESH}) AS stale FROM m, n")
+@C.add("agg_max_age", f"{LATEST} SELECT max(now - o) AS max_age_us, count_if(now - o > {FRESH})::bigint AS stale FROM m, n")
 def _(f):
     v = versions(f)
     last = v.groupBy(*S.KEY).agg(F.max("effective_us").alias("effective_us"))

@@ -55,7 +55,7 @@ PHASES = [
 ]
 
 #: The documented counts of these scenarios.
-EXPECTED = """SELECT * FROM (VALUES ('essential', 0, 'healthy', 10, 10, 0, 2, 0, 0), ('essential', 10, 'silent_but_fresh', 10, 10, 0, 2, 0, 0), ('essential', 31, 'expired', 10, 8, 2, 1, 0, 0),
+EXPECTED = """SELECT scenario, at_s::bigint AS at_s, phase, stored::bigint AS stored, fresh::bigint AS fresh, stale::bigint AS stale, opportunities::bigint AS opportunities, conflicts::bigint AS conflicts, overlap_slots::bigint AS overlap_slots FROM (VALUES ('essential', 0, 'healthy', 10, 10, 0, 2, 0, 0), ('essential', 10, 'silent_but_fresh', 10, 10, 0, 2, 0, 0), ('essential', 31, 'expired', 10, 8, 2, 1, 0, 0),
  ('essential', 31, 'evicted', 8, 8, 0, 1, 0, 0), ('essential', 32, 'late_stale_packet', 9, 8, 1, 1, 0, 0), ('essential', 40, 'recovered', 10, 10, 0, 2, 0, 0),
  ('redundant', 0, 'healthy', 12, 10, 0, 2, 0, 2), ('redundant', 10, 'silent_but_fresh', 12, 10, 0, 2, 0, 0), ('redundant', 31, 'expired', 12, 10, 2, 2, 0, 0), ('redundant', 31, 'evicted', 10, 10, 0, 2, 0, 0),
  ('redundant', 40, 'recovered', 12, 10, 0, 2, 0, 2), ('conflict', 0, 'healthy', 12, 10, 0, 2, 0, 2), ('conflict', 1, 'equal_time_conflict', 12, 8, 0, 1, 2, 0), ('conflict', 2, 'resolved', 12, 10, 0, 2, 0, 0))
@@ -125,7 +125,7 @@ def _(f):
     return won.select("event_id", *[F.get("cents", F.lit(k)).alias(n) for k, n in enumerate("abc")], F.round(A.reciprocal_sum(F.col("cents")), 9).alias("implied_sum"))
 
 
-@C.add("src_fake", "SELECT * FROM (VALUES ('alpha', 5, 0), ('beta', 2, 0), ('gamma', 0, 1)) t(provider_id, snapshots, failures)")
+@C.add("src_fake", "SELECT provider_id, snapshots::bigint AS snapshots, failures::bigint AS failures FROM (VALUES ('alpha', 5, 0), ('beta', 2, 0), ('gamma', 0, 1)) t(provider_id, snapshots, failures)")
 def _(f):
     polls = D.scripted(f.spark, script())
     return polls.groupBy("provider_id").agg(F.count("event_id").alias("snapshots"), F.count("error").alias("failures"))
@@ -185,7 +185,7 @@ def _(f):
     return e.select("provider_id", F.col("error").alias("kind"), F.col("error").isin("timeout", "rate_limited", "upstream").alias("retryable"))
 
 
-@C.add("stm_scan_cycle", "SELECT issue, n FROM (VALUES ('inactive_quote', 3), ('malformed_price', 1), ('stale_quote', 3), ('eligible', 14)) t(issue, n)")
+@C.add("stm_scan_cycle", "SELECT issue, n::bigint AS n FROM (VALUES ('inactive_quote', 3), ('malformed_price', 1), ('stale_quote', 3), ('eligible', 14)) t(issue, n)")
 def _(f):
     return matrix(f).groupBy(F.coalesce("issue", F.lit("eligible")).alias("issue")).agg(F.count("*").alias("n"))
 
@@ -197,7 +197,7 @@ POLLS = [
 ]
 
 
-@C.add("bt_multi_poll", "SELECT * FROM (VALUES (0, 6, 0, 1), (10, 6, 0, 1), (31, 4, 2, 0), (32, 4, 2, 0), (40, 5, 1, 1), (81, 0, 6, 0), (90, 6, 0, 1)) t(at_s, fresh, stale, books)")
+@C.add("bt_multi_poll", "SELECT at_s::bigint AS at_s, fresh::bigint AS fresh, stale::bigint AS stale, books FROM (VALUES (0, 6, 0, 1), (10, 6, 0, 1), (31, 4, 2, 0), (32, 4, 2, 0), (40, 5, 1, 1), (81, 0, 6, 0), (90, 6, 0, 1)) t(at_s, fresh, stale, books)")
 def _(f):
     rows = [(p, feed, 0, s, "q", 320, "active", src, at) for at, feed, src, legs in POLLS for p in (feed,) for s in legs]
     raw = f.spark.createDataFrame(rows, "provider_id bigint, transport_id bigint, market_id bigint, selection_id bigint, quote_id string, cents bigint, status string, source bigint, at bigint")
