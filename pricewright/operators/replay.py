@@ -48,13 +48,31 @@ def detections(visible: DataFrame, expected: int, by: tuple[str, ...] = ("t",))
     return evaluated(books(best, expected, (*by, "market_id")))
 
 
+def numbered(instants: DataFrame, width_us: int = DAY_US) -> DataFrame:
+    """instants (t) with their place i in order and the instant next_t that follows.
+
+    Ranges of width_us are numbered inside and their sizes summed, so only one row a range is ordered in one task.
+    """
+    lot = F.floor(F.col("t") / width_us)
+    lots = instants.groupBy(lot.alias("lot")).agg(F.count("*").alias("n"), F.min("t").alias("first_t"))
+    order = Window.orderBy("lot")
+    lots = lots.select(
+        "lot",
+        F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+        F.lead("first_t").over(order).alias("later_t"),
+    )
+    inside = Window.partitionBy("lot").orderBy("t")
+    rows = instants.withColumn("lot", lot).join(lots, "lot")
+    i = F.col("before") + F.row_number().over(inside)
+    return rows.withColumn("i", i).withColumn("next_t", F.coalesce(F.lead("t").over(inside), "later_t")).select("t", "i", "next_t")
+
+
 def intervals(signals: DataFrame, instants: DataFrame, key: str = "market_id") -> DataFrame:
     """Gaps and islands over the grid: opened at the first signal, ended at the first instant without it, else at the last instant.
 
     signals: key, t. instants: t. The grid is numbered once; islands are found per key.
     """
-    numbered = instants.withColumn("i", F.row_number().over(Window.orderBy("t"))).withColumn("next_t", F.lead("t").over(Window.orderBy("t")))
-    placed = signals.join(numbered, "t")
+    placed = signals.join(numbered(instants), "t")
     island = F.col("i") - F.row_number().over(Window.partitionBy(key).orderBy("i"))
     grouped = placed.withColumn("island", island).groupBy(key, "island")
     out = grouped.agg(F.min("t").alias("opened"), F.max("t").alias("seen"), F.max(F.struct("t", "next_t")).alias("m"), F.count("*").alias("n"))
