@@ -48,15 +48,20 @@ def outright_blockers() -> Column:
     return blockers(*((text, F.col(flag) == F.lit(bad)) for text, flag, bad in OUTRIGHT))
 
 
+#: The blockers of an exchange price in their order.
+EXCHANGE = (
+    "price is not active",
+    "BACK/LAY side identity is missing",
+    "matched liquidity is missing",
+    "commission rate is missing",
+    "commission scope/account-market provenance is missing",
+    "settlement-rule equivalence is not verified",
+)
+
+
 def exchange_blockers() -> Column:
-    return blockers(
-        ("price is not active", F.col("status") != "active"),
-        ("BACK/LAY side identity is missing", F.col("side").isNull()),
-        ("matched liquidity is missing", F.col("available").isNull()),
-        ("commission rate is missing", F.col("rate").isNull()),
-        ("commission scope/account-market provenance is missing", F.col("scope").isNull()),
-        ("settlement-rule equivalence is not verified", ~F.col("rules_verified")),
-    )
+    missing = [F.col(c).isNull() for c in ("side", "available", "rate", "scope")]
+    return blockers(*zip(EXCHANGE, [F.col("status") != "active", *missing, ~F.col("rules_verified")]))
 
 
 def exchange_price_valid(price: Column, available: Column, rate: Column) -> Column:
