@@ -122,7 +122,8 @@ def predict(docs: DataFrame, model) -> DataFrame:
         names = held.value[0]
         if stamp not in _expanded:
             _expanded.clear()
-            _expanded[stamp] = expanded(*held.value)
+            # many languages share a smaller alphabet: the table stays at 8 MB a language up to eight, 1 MB beyond
+            _expanded[stamp] = expanded(*held.value, symbols=128 if len(names) <= 8 else 64)
         of, share = _expanded[stamp]
         k = round(len(share) ** (1 / 3))
         of = of[LOWER]

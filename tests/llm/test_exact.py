@@ -174,3 +174,13 @@ def test_against_sql(spark, name):
     assert sorted(relation.columns) == columns
     expected = sorted(map(str, con.sql(f"SELECT {', '.join(columns)} FROM ({queries.oracle_sql()[name]})").fetchall()))
     assert sorted(str(tuple(r)) for r in df.select(*columns).collect()) == expected
+
+
+def test_many_languages(spark):
+    rng = random.Random(8)
+    langs = [chr(97 + k) * 2 for k in range(12)]
+    make = lambda k, n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwx"[2 * k % 20 : 2 * k % 20 + 5] + "yz"[k // 10 :]) for _ in range(5)) for _ in range(n))
+    rows = [(i, make(i % 12, 60), langs[i % 12]) for i in range(360)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = language_id.predict(df, language_id.counted(language_id.sampled(df, 50))).join(df, "doc_id").toPandas()
+    assert (got.lang == got.lang_pred).mean() > 0.95
