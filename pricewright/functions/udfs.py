@@ -7,7 +7,7 @@ from decimal import ROUND_HALF_EVEN, Context, Decimal, DecimalException, Invalid
 from fractions import Fraction
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 CONTEXT = Context(prec=60, rounding=ROUND_HALF_EVEN)
@@ -90,3 +90,10 @@ def odds_to_decimal60(price: Column, fmt: Column) -> Column:
 def exact_book(prices: Column) -> Column:
     """struct(implied, margin, is_arbitrage) of an array of price texts."""
     return F.pandas_udf(_exact_books, "implied string, margin string, is_arbitrage boolean")(prices)
+
+
+def register(spark: SparkSession) -> None:
+    """The functions under their names in SQL."""
+    spark.udf.register("alias_key", F.pandas_udf(_alias_keys, "string"))
+    spark.udf.register("odds_to_decimal60", F.pandas_udf(_decimals60, "string"))
+    spark.udf.register("exact_book", F.pandas_udf(_exact_books, "implied string, margin string, is_arbitrage boolean"))

@@ -11,13 +11,31 @@ def upsert(stored: DataFrame, incoming: DataFrame, key: str = "id", payload: str
 
     Repeated equal rows of a batch are one row.
     """
+    return stored.select(key, payload).unionByName(new_rows(stored, incoming, key, payload))
+
+
+def new_rows(stored: DataFrame, incoming: DataFrame, key: str = "id", payload: str = "payload") -> DataFrame:
+    """The rows of incoming that stored lacks; reading them fails if a stored id comes with another payload."""
     new = incoming.select(key, payload).distinct()
     clash = new.join(stored.select(key, F.col(payload).alias("old")), key).where(~F.col("old").eqNullSafe(F.col(payload)))
     twice = new.groupBy(key).count().where("count > 1")
     guard = clash.select(key).unionByName(twice.select(key)).agg(F.count("*").alias("clashes"))
-    fresh = new.join(stored.select(key), key, "left_anti").crossJoin(F.broadcast(guard))
-    checked = fresh.where(F.coalesce(F.assert_true(F.col("clashes") == 0, F.lit("an id is stored with another payload")).isNull(), F.lit(True)))
-    return stored.select(key, payload).unionByName(checked.select(key, payload))
+    fresh = new.join(stored.select(key), key, "left_anti").join(F.broadcast(guard), how="right")  # the guard's one row always comes
+    ok = F.assert_true(F.col("clashes") == 0, F.lit("an id is stored with another payload")).isNull()
+    return fresh.where(ok & F.col(key).isNotNull()).select(key, payload)
+
+
+def persist(incoming: DataFrame, path: str, key: str = "id", payload: str = "payload") -> None:
+    """Insert-if-absent into a Parquet store: one append a batch, all or nothing by the commit of the write.
+
+    For foreachBatch: lambda batch, epoch: persist(batch, path). A batch that is delivered again adds nothing.
+    """
+    spark = incoming.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    exists = target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    schema = incoming.select(key, payload).schema
+    stored = spark.read.schema(schema).parquet(path) if exists else spark.createDataFrame([], schema)
+    new_rows(stored, incoming, key, payload).write.mode("append").parquet(path)
 
 
 def bridge(opportunities: DataFrame) -> DataFrame:

@@ -178,6 +178,24 @@ def test_store_rejects_a_clash(spark):
         store.upsert(old, spark.createDataFrame([("a", "2"), ("c", "3")], "id string, payload string")).collect()
 
 
+def test_persist(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = lambda *x: spark.createDataFrame(list(x), "id string, payload string")
+    store.persist(rows(("a", "1"), ("b", "2")), path)
+    store.persist(rows(("a", "1"), ("c", "3")), path)
+    with pytest.raises(Exception, match="another payload"):
+        store.persist(rows(("d", "4"), ("b", "x")), path)
+    with pytest.raises(Exception, match="another payload"):
+        store.persist(rows(("b", "x")), path)  # a clash alone fails too
+    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [("a", "1"), ("b", "2"), ("c", "3")]
+
+
+def test_sql_functions(spark):
+    udfs.register(spark)
+    r = spark.sql("SELECT alias_key(' Straße ') AS a, odds_to_decimal60('5/2', 'fractional') AS o, exact_book(array('2.01', '2.01')).is_arbitrage AS x").first()
+    assert tuple(r) == ("strasse", "3.5", True)
+
+
 def test_pages(spark):
     df = spark.range(10).withColumnRenamed("id", "event_id").withColumn("competition_id", F.lit(1))
     got = store.dispatch("/events", {"limit": "3", "offset": "8"}, {"/events": df}).collect()
