@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import remainder, slices, table
+from .common import remainder, slices, spread, table
 from .toxicity import buffers
 
 ORDER = 2
@@ -152,7 +152,7 @@ def predict(docs: DataFrame, model) -> DataFrame:
 
 
 def op7_language_id(spark, sf_dir: str, sample_rows: int = 300) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     model = counted(sampled(docs, sample_rows))
     return predict(docs, model).select(
         "doc_id", (F.coalesce(remainder("doc_id", 4), F.lit(0)) == 2).alias("held_out"), "lang_pred", "score"

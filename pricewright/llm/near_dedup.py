@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, slices, table, written
+from .common import components, discard, slices, spread, table, written
 from .toxicity import _M, _mixed, _powers, buffers
 
 SYMBOLS, CHUNK = 64, 4
@@ -367,7 +367,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 
 def op6_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(spread(table(spark, sf_dir, "documents")))
 
 
 ORACLE = r"""

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_of_char
-from .common import slices, table, written
+from .common import slices, spread, table, written
 from .token_counts import located
 
 #: Fixed value: the word pattern of the vocabulary; white space between words is dropped.
@@ -245,4 +245,4 @@ def pack(
 
 
 def op1_packing(spark, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), keep_ids=False)
+    return pack(spread(table(spark, sf_dir, "documents")), keep_ids=False)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import Merges, from_pieces
-from .common import slices, table
+from .common import slices, spread, table
 from .token_counts import located
 
 SPACE = "▁"
@@ -172,7 +172,7 @@ def decode(encoded: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
 
 def op2_sentencepiece(spark, sf_dir: str, model: str = "piece_bpe_32k.model") -> DataFrame:
     """Per document: ids of its whole text, and whether decoding them gives the text back."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(model)

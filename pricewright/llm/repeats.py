@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, slices, table, written
+from .common import discard, slices, spread, table, written
 from .near_dedup import gathered, runs
 from .toxicity import _M, _mixed, _powers, buffers
 
@@ -337,7 +337,7 @@ def without_repeats(docs: DataFrame, span: int = 200, keep: tuple[str, ...] = ()
 
 
 def op5_suffix_dedup(spark, sf_dir: str, span: int = 200) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):

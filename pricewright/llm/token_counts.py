@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Merges, from_json
-from .common import slices, table
+from .common import slices, spread, table
 
 #: Characters on whose class the tokenizer library and the regex module disagree, and all beyond the
 #: basic plane (where many more do): fixed values; texts with them go through the library.
@@ -208,5 +208,5 @@ def located(vocabulary: str) -> str:
 
 
 def op3_token_counts(spark, sf_dir: str, limit: int = 512) -> DataFrame:
-    counts = count_tokens(table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
+    counts = count_tokens(spread(table(spark, sf_dir, "documents")), "byte_bpe_50k.json")
     return counts.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, slices, table
+from .common import remainder, slices, spread, table
 
 SLICE = 1 << 20
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -198,7 +198,7 @@ def learned(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, folds
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     model = learned(docs, table(spark, sf_dir, "labels"))
     return score(docs, model).select(
         "doc_id",
