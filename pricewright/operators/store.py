@@ -88,9 +88,9 @@ def page(df: DataFrame, order: tuple[str, ...], offset: int, limit: int) -> Data
     """A page of at most 200 rows with total and has_more."""
     if not (offset >= 0 and 1 <= limit <= 200):
         raise ValueError("a page has an offset of 0 or more and 1 to 200 rows")
-    total = df.agg(F.count("*").alias("total"))
+    total = df.agg(F.count("*").alias("total")).scalar()
     rows = df.orderBy(*order).offset(offset).limit(limit)
-    return rows.crossJoin(F.broadcast(total)).withColumn("has_more", F.col("total") > offset + limit)
+    return rows.withColumn("total", total).withColumn("has_more", F.col("total") > offset + limit)
 
 
 #: Read model: route to (view columns that may be filtered by equality).

@@ -143,9 +143,9 @@ def _(f):
     groups = canonical(f).groupBy("sport", "competition_id", "participants").agg(F.count("*").alias("n"))
     by_comp = groups.groupBy("sport", "competition_id").agg(F.sum("n").alias("nc"))
     by_sport = groups.groupBy("sport").agg(F.sum("n").alias("ns"))
-    total = groups.agg(F.sum("n").alias("nt"))
+    total = groups.agg(F.sum("n").alias("nt")).scalar()
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    out = queried.join(by_sport, "sport", "left").join(by_comp, ["sport", "competition_id"], "left").join(groups, ["sport", "competition_id", "participants"], "left").crossJoin(F.broadcast(total))
+    out = queried.join(by_sport, "sport", "left").join(by_comp, ["sport", "competition_id"], "left").join(groups, ["sport", "competition_id", "participants"], "left").withColumn("nt", total)
     return out.select("source_id", (F.col("nt") - zero("ns")).alias("sport_mismatch"), (zero("ns") - zero("nc")).alias("competition_mismatch"), (zero("nc") - zero("n")).alias("participant_mismatch"))
 
 

@@ -150,9 +150,9 @@ LATENCIES = (0, 6 * 3_600_000_000, DAY)
 @C.add("bt_latency_sensitivity", f"{replay_sql(FRESH, latency='(VALUES (0), (21600000000), (86400000000)) l(latency)')} SELECT latency, count(*) AS books, count_if(arb)::bigint AS detections FROM e GROUP BY 1")
 def _(f):
     v = versions(f)
-    lat = f.spark.createDataFrame([(x,) for x in LATENCIES], "latency bigint")
     t = F.ceil((F.col("observed_us") + F.col("latency")) / STEP) * STEP
-    at = v.select("observed_us").crossJoin(F.broadcast(lat)).select("latency", t.cast("bigint").alias("t")).distinct()
+    each = v.select("observed_us", F.explode(F.array(*[F.lit(x).cast("bigint") for x in LATENCIES])).alias("latency"))
+    at = each.select("latency", t.cast("bigint").alias("t")).distinct()
     seen = R.as_of(R.validity(v), at, FRESH)
     return R.detections(seen, 3, ("latency", "t")).groupBy("latency").agg(F.count("*").alias("books"), F.count_if("is_arbitrage").alias("detections"))
 
@@ -227,9 +227,9 @@ LATEST = f"""{V}, m AS (SELECT * FROM v0 WHERE z IS NULL), n AS (SELECT max(o) A
 def _(f):
     v = versions(f)
     last = v.groupBy(*S.KEY).agg(F.max(F.struct("revision", "quote_id", "observed_us", "effective_us", "cents", "status")).alias("v")).select(*S.KEY, "v.*")
-    top = v.agg(F.max("observed_us").alias("now"))  # one row
+    top = v.agg(F.max("observed_us").alias("now")).scalar()
     reason = F.when(F.col("status") != "active", "inactive_evicted").when(F.col("now") - F.col("effective_us") > FRESH, "stale_evicted")
-    return last.crossJoin(F.broadcast(top)).withColumn("reason", reason).where("reason IS NOT NULL").select("quote_id", "reason")
+    return last.withColumn("now", top).withColumn("reason", reason).where("reason IS NOT NULL").select("quote_id", "reason")
 
 
 @C.add("stm_invalidate", f"""WITH {STREAM}, o AS (SELECT transport_id, market_id, CASE WHEN quote_id::bigint % 3 > 0 THEN selection_id END AS selection_id, ingested_at FROM stream WHERE status <> 'active'),
@@ -244,9 +244,9 @@ def _(f):
 def _(f):
     v = versions(f)
     last = v.groupBy(*S.KEY).agg(F.max("effective_us").alias("effective_us"))
-    top = v.agg(F.max("observed_us").alias("now"))
+    top = v.agg(F.max("observed_us").alias("now")).scalar()
     age = F.col("now") - F.col("effective_us")
-    return last.crossJoin(F.broadcast(top)).agg(F.max(age).alias("max_age_us"), F.count_if(age > FRESH).alias("stale"))
+    return last.withColumn("now", top).agg(F.max(age).alias("max_age_us"), F.count_if(age > FRESH).alias("stale"))
 
 
 @C.add("win_counterfactual_window", f"{replay_sql(3 * FRESH)} SELECT t, greatest({FRESH}, max(t - o) + 1) AS window_us FROM x GROUP BY 1")
