@@ -204,7 +204,7 @@ def _(f):
     timed = raw.withColumns({"source_ts": F.timestamp_seconds("source"), "ingested_at": F.timestamp_seconds("at")})
     accepted = S.accepted_versions(S.fold(timed, 5 * SECOND))  # the late packet at 32 is rejected here
     phases = f.spark.createDataFrame([(t,) for t in (0, 10, 31, 32, 40, 81, 90)], "at_s bigint")
-    seen = accepted.join(phases, F.col("observed_us") <= F.col("at_s") * SECOND)
+    seen = accepted.join(F.broadcast(phases), F.col("observed_us") <= F.col("at_s") * SECOND)  # seven phases by definition
     now = seen.groupBy("at_s", *S.KEY).agg(F.max(F.struct("revision", "effective_us")).alias("v"))
     now = now.withColumn("is_fresh", F.col("at_s") * SECOND - F.col("v.effective_us") <= 30 * SECOND)
     legs = now.groupBy("at_s", "selection_id").agg(F.count_if("is_fresh").alias("fresh"), F.count_if(~F.col("is_fresh")).alias("stale"))
