@@ -32,6 +32,11 @@ class Merges:
             known = self._fits[key] = self._decide(left, right)
         return known
 
+    def all_fit(self, keys: list[int]) -> list[bool]:
+        """fits for each left * SPAN + right."""
+        known = list(map(self._fits.get, keys))
+        return [self.fits(k // self.SPAN, k % self.SPAN) if f is None else f for k, f in zip(keys, known)]
+
     def _decide(self, left: int, right: int, before: tuple[int, bool] | None = None) -> bool:
         """Undo the merges next to the border, latest first: at no moment may a merge over the border
         have come before the merge that is undone. before: (rank, whether an equal rank counts too)."""

@@ -28,6 +28,8 @@ from .token_counts import located
 SPACE = "▁"
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 MAX_WORDS = 1_000_000
+#: Text bytes whose new words are encoded together: longer batches share more of the array steps.
+SLICE = 8 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,26 +64,29 @@ class Encoder(dict):
         return h
 
     def segments(self, word: str) -> list[str]:
-        cuts = [0, *(k for k in range(1, len(word)) if word[k - 1 : k + 1] not in self.inside), len(word)]
-        return [word[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+        inside = self.inside
+        cuts = [k for k, pair in enumerate(map(str.__add__, word, word[1:]), 1) if pair not in inside]
+        if not cuts:
+            return [word]
+        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])]
 
     def learn(self, words: list[str]) -> None:
         """Encode new words, segment by segment."""
         parts = {w: self.segments(w) for w in words}
         fresh: dict[int, list[str]] = {}
-        for s in {s for p in parts.values() for s in p if s not in self}:
-            fresh.setdefault(len(s), []).append(s)
+        for t in set().union(*parts.values()):
+            if t not in self:
+                fresh.setdefault(len(t), []).append(t)
         for n, group in fresh.items():
             for at in range(0, len(group), 8192):
                 self.viterbi(group[at : at + 8192], n)
         for w, p in parts.items():
-            if w not in self:
-                self[w] = b"".join([self[s] for s in p])
+            if len(p) > 1:
+                self[w] = b"".join([self[t] for t in p])
 
     def allowed(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
         pairs, back = np.unique(before * Merges.SPAN + piece, return_inverse=True)
-        fits = self.merges.fits
-        return np.array([fits(k // Merges.SPAN, k % Merges.SPAN) for k in pairs.tolist()], bool)[back]
+        return np.array(self.merges.all_fit(pairs.tolist()), bool)[back]
 
     def viterbi(self, group: list[str], n: int) -> None:
         chars = np.frombuffer("".join(group).encode("utf-32-le"), np.uint32).reshape(-1, n)
@@ -99,20 +104,18 @@ class Encoder(dict):
         last = np.full((m, n + 1), -1, np.int64)
         back = np.zeros((m, n + 1), np.int64)
         for i in range(1, n + 1):
-            weight = np.zeros((min(i, len(found)), m), np.int64)
-            for size in range(1, len(weight) + 1):
-                piece = found[size - 1][:, i - size]
-                ok = np.flatnonzero(piece >= 0)
-                if i > size and len(ok):
-                    before = last[ok, i - size]
-                    ok = ok[before >= 0]
-                    ok = ok[self.allowed(last[ok, i - size], piece[ok])] if len(ok) else ok
-                weight[size - 1, ok] = size
+            sizes = np.arange(1, min(i, len(found)) + 1)
+            piece = np.stack([found[s - 1][:, i - s] for s in sizes])
+            before = last[:, i - sizes].T
+            ok = piece >= 0
+            ok[: i - 1] &= before[: i - 1] >= 0  # an arc from the word's begin follows nothing
+            row, col = np.nonzero(ok[: i - 1])
+            if len(row):
+                ok[row, col] = self.allowed(before[row, col], piece[row, col])
+            weight = np.where(ok, sizes[:, None], 0)
             back[:, i] = weight.max(0)
-            size = back[:, i]
-            for s in range(1, len(weight) + 1):
-                here = size == s
-                last[here, i] = found[s - 1][here, i - s]
+            won = back[:, i] > 0
+            last[won, i] = piece[back[won, i] - 1, np.flatnonzero(won)]
         for row, text in enumerate(group):
             ids, i = [], n
             while i:
@@ -126,7 +129,7 @@ class Encoder(dict):
         if len(self) > MAX_WORDS:
             self.clear()
         split = [WORDS.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        self.learn(list({w for s in split for w in s if w not in self}))
+        self.learn([w for w in set().union(*split) if w not in self])
         return [b"".join(map(self.__getitem__, s)) for s in split]
 
     def decode(self, ids: np.ndarray) -> str:
@@ -149,7 +152,7 @@ def encode(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(model)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             ids = [np.frombuffer(b, "<i4") for b in known.many(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
@@ -176,7 +179,7 @@ def op2_sentencepiece(spark, sf_dir: str, model: str = "piece_bpe_32k.model") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(model)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             texts = batch.column("text").to_pylist()
             ids = known.many(texts)
             back = [known.decode(np.frombuffer(b, "<i4")) == (t or "") for b, t in zip(ids, texts)]
