@@ -95,13 +95,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 5
         .where("u IS NOT NULL AND v IS NOT NULL AND u < v")
         .distinct()
     )
-    e = written(e, "cc")
+    # edges are 16 bytes: as many partitions as cores are enough, however many the shuffles have
+    cores = edges.sparkSession.sparkContext.defaultParallelism
+    e = written(e.coalesce(cores), "cc")
+    last = _digest(e)
     for _ in range(max_rounds):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         # large star: every neighbour above u goes to the least of u's neighbourhood
         large = (
-            both.where("v > u").join(least, "u").select(F.col("m").alias("u"), "v").where("u < v").distinct()
+            both.where("v > u").join(least, "u").select(F.col("m").alias("u"), "v").where("u < v")
         )
         # small star: every neighbour below v, and v itself, goes to the least one
         low = large.groupBy("v").agg(F.min("u").alias("m"))
@@ -111,12 +114,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 5
             .where("u < v")
             .distinct()
         )
-        nxt = written(small, "cc")
-        same = _digest(nxt) == _digest(e)
-        discard(e)
-        e = nxt
-        if same:
+        discard_after, e = e, written(small.coalesce(cores), "cc")
+        discard(discard_after)
+        now = _digest(e)
+        if now == last:
             break
+        last = now
     else:
         raise RuntimeError("components did not settle")
     roots = e.select(F.col("u").alias("node"), F.col("u").alias("component"))
