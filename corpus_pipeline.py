@@ -50,8 +50,8 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens, as pieces: document, place and checksum of their ids, sequence and offset."""
-    return packing.pack(docs, keep_ids=False)
+    """Sequences of at most 2048 tokens, as pieces: document, place, ids and their checksum, sequence and offset."""
+    return packing.pack(docs)
 
 
 STAGES = [

@@ -42,6 +42,8 @@ WIDE = re.compile("[^\x00-\x1b\x20-\x7e\u00a1\u00ab\u00bb\u00bf\u00e0-\u00f6\u00
 NARROW_WORDS = re.compile("'(?:[stmd]|re|ve|ll)|[a-z\u00e0-\u00f6\u00f8-\u00ff]+|[0-9]|[^\\sa-z\u00e0-\u00f6\u00f8-\u00ff0-9]+")
 MAX_WORDS = 250_000
 CHUNK_ROWS = 2_000
+#: Pieces whose ids are unpacked at once.
+SLICE_ROWS = 512
 
 
 class WordIds(dict):
@@ -82,16 +84,19 @@ _ids: dict[str, WordIds] = {}
 
 
 def pieces(docs: DataFrame, vocabulary: str, window: int, end_id: int, keep_ids: bool) -> DataFrame:
-    """One narrow pass: (doc_id, start, length, ids_crc32, doc_tokens[, ids]) per piece of at most window ids."""
+    """One narrow pass: (doc_id, start, length, ids_crc32, doc_tokens[, packed]) per piece of at most window ids.
+
+    packed has the low halves of the ids, then the high halves, compressed; unpacked() reads it.
+    """
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = located(vocabulary)
         if path not in _ids:
             _ids[path] = WordIds(path)
-        words = _ids[path]
+        words, codec = _ids[path], pa.Codec("zstd", 1)
         for batch in slices(batches, "text"):
-            rows, starts, lengths, crcs, totals, ids = [], [], [], [], [], []
+            rows, starts, lengths, crcs, totals, packed = [], [], [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 data = words.text(text) + end
                 total = len(data) // 4
@@ -103,17 +108,39 @@ def pieces(docs: DataFrame, vocabulary: str, window: int, end_id: int, keep_ids:
                     crcs.append(zlib.crc32(part))
                     totals.append(total)
                     if keep_ids:
-                        ids.append(np.frombuffer(part, "<i4"))
+                        packed.append(codec.compress(np.frombuffer(part, "<u2").reshape(-1, 2).T.tobytes(), asbytes=True))
             out = [batch.column("doc_id").take(pa.array(rows, pa.int64()))]
             out += [pa.array(x, pa.int64()) for x in (starts, lengths, crcs, totals)]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
             if keep_ids:
-                out, names = [*out, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
+                out, names = [*out, pa.array(packed, pa.binary())], [*names, "packed"]
             yield pa.RecordBatch.from_arrays(out, names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
-    return docs.select("doc_id", "text").mapInArrow(run, schema + ", ids array<int>" * keep_ids)
+    return docs.select("doc_id", "text").mapInArrow(run, schema + ", packed binary" * keep_ids)
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    """rows with their ids in place of packed."""
+    names = [c for c in rows.columns if c != "packed"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                n = part.column("length").to_numpy()
+                ids = [
+                    np.frombuffer(codec.decompress(x, 4 * m, asbytes=True), "<u2").reshape(2, -1).T.tobytes()
+                    for x, m in zip(part.column("packed").to_pylist(), n.tolist())
+                ]
+                offsets = pa.array(np.append(0, np.cumsum(n)).astype(np.int32))
+                lists = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), "<i4")))
+                yield pa.RecordBatch.from_arrays([*map(part.column, names), lists], names=[*names, "ids"])
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names)
+    return rows.mapInArrow(run, f"{kinds}, ids array<int>")
 
 
 def combinations(units: int, depth: int = 3) -> list[tuple[int, ...]]:
@@ -201,10 +228,14 @@ def pack(
     unit: int = 16,
     keep_ids: bool = True,
 ) -> DataFrame:
-    """The pieces of docs (doc_id, text) with their sequence_id and offset there; ids where kept."""
+    """The pieces of docs (doc_id, text) with their sequence_id and offset there; ids where kept.
+
+    Ids are written once with their piece, places are found for rows without them, and one join brings them together.
+    """
     spark = docs.sparkSession
-    cut = written(pieces(docs, vocabulary, window, end_id, keep_ids), "pieces")
-    cut = cut.withColumn("bin", F.ceil(F.col("length") / unit))
+    cut = pieces(docs, vocabulary, window, end_id, keep_ids).withColumn("piece", F.monotonically_increasing_id())
+    whole = written(cut, "pieces")
+    cut = whole.drop("packed").withColumn("bin", F.ceil(F.col("length") / unit))
     rows = cut.groupBy("bin").count().collect()  # window / unit rows at most
     histogram = np.zeros(-(-window // unit) + 1, np.int64)
     for bin_, n in rows:
@@ -237,12 +268,14 @@ def pack(
         .withColumn("slot", F.expr("slot0 + (place - low) % each"))
     )
     earlier = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
+    out = placed.select(
+        "piece", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
         F.coalesce(F.sum("length").over(earlier), F.lit(0)).alias("offset"),
-        *["ids"] * keep_ids,
     )
+    if keep_ids:  # the side without ids is hashed, so rows with ids are neither sorted nor held
+        return unpacked(whole.select("piece", "packed").join(out.hint("shuffle_hash"), "piece").select(*out.columns[1:], "packed"))
+    return out.drop("piece")
 
 
 def op1_packing(spark, sf_dir: str) -> DataFrame:
-    return pack(spread(table(spark, sf_dir, "documents")), keep_ids=False)
+    return pack(spread(table(spark, sf_dir, "documents")))

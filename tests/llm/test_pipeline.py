@@ -156,6 +156,24 @@ def test_packing(stages):
     assert pieces.groupby("sequence_id").length.sum().max() <= 2048
 
 
+def test_packing_returns_the_ids(spark, stages):
+    before, got = stages["packing"]
+    words = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    expected = {(i, s): np.frombuffer(words.text(t) + b"\1\0\0\0", "<u4")[s : s + 2048].tolist() for i, t in rows(before).items() for s in range(0, len(words.text(t)) // 4 + 1, 2048)}
+    assert {(r.doc_id, r.start): list(r.ids) for r in got.collect()} == expected
+    for df in (corpus_pipeline.run(spark, SF), packing.op1_packing(spark, SF)):
+        some = df.collect()
+        assert some and all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 and len(r.ids) == r.length for r in some)
+
+
+def test_ids_of_equal_and_missing_doc_ids(spark):
+    texts = [(5, "one two three"), (5, "four five"), (None, "six seven eight nine"), (None, "ten"), (None, None), (5, "one two three")]
+    words = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    got = packing.pack(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
+    expected = [(i, np.frombuffer(words.text(t) + b"\1\0\0\0", "<u4").tolist()) for i, t in texts]
+    assert sorted(((r.doc_id, list(r.ids)) for r in got), key=str) == sorted(expected, key=str)
+
+
 def test_run_is_the_stages(spark):
     a = corpus_pipeline.run(spark, SF)
     b = table(spark, SF, "documents")
