@@ -1,15 +1,14 @@
-"""Embedding near-duplicates by sorted projection passes.
+"""Embedding near-duplicates by exact comparison in tiles.
 
-In each pass every vector gets the concatenated signs of its projections on random directions; vectors
-are ordered by (pass, label, signs) and compared, in double precision, with their next window
-neighbours in that order. Verified pairs of all passes are united into components. The links within a
-component are then counted exactly, block against block, so that a group of any size has its true
-degrees without any of its pairs being written.
+The vectors of one label and length are dealt into blocks of about TILE rows, and every block is compared
+with itself and with every other one, in double precision. Each tile gives, for its rows with links, how many
+links the tile has and the least row that they connect to there; sums of the former are the degrees, and
+the latter are united into components. No pair is written, and none is missed, whatever the size and
+density of a label; the work grows with the square of its rows.
 
 Vectors that are null, empty, zero, or hold null or non-finite components, and those without a label,
 link with nothing; only vectors of one length are compared. Rows with equal ids are vectors of their
-own and get one component through their id only if they are linked. A pair is missed if no pass brings
-it within the window; tests measure the share found against brute force.
+own and get one component through their id only if they are linked.
 """
 
 from __future__ import annotations
@@ -24,11 +23,7 @@ from pyspark.sql import functions as F
 from .common import components, table, written
 from .near_dedup import gathered, runs
 
-PASSES, SIGNS, WINDOW, TILE = 24, 32, 32, 4096
-
-
-def directions(dim: int, seed: int = 9) -> np.ndarray:
-    return np.random.default_rng([seed, dim]).standard_normal((dim, PASSES * SIGNS))
+TILE = 4096
 
 
 def prepared(vectors: DataFrame) -> DataFrame:
@@ -62,93 +57,57 @@ def stars(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         low = new
 
 
-def passes(rows: DataFrame, least: float) -> DataFrame:
-    """(a, b): spanning pairs of what is verified in each sorted partition of each pass."""
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = (1 << np.arange(SIGNS - 1, -1, -1)).astype(np.int64)
-        for batch in batches:
-            dims = batch.column("dim").to_numpy()
-            for dim in np.unique(dims):
-                part = batch.filter(pa.array(dims == dim))
-                x = stacked(pa.chunked_array([part.column("unit")]), dim)
-                bits = (x @ directions(dim) > 0).reshape(len(x), PASSES, SIGNS) @ weights
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("uid"), part.column("label"), part.column("dim"), part.column("unit"), pa.array(list(bits), pa.list_(pa.int64()))],
-                    names=["uid", "label", "dim", "unit", "bits"],
-                )
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = gathered(batches)
-        if t is None:
-            return
-        label = t.column("label").combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
-        dims, uid, turn = (t.column(c).to_numpy() for c in ("dim", "uid", "pass"))
-        for dim in np.unique(dims):
-            i = np.flatnonzero(dims == dim)
-            x, of, ids = stacked(t.column("unit").take(pa.array(i)), dim), label[i] * PASSES + turn[i], uid[i]
-            ends: list[list[np.ndarray]] = [[], []]
-            for gap in range(1, min(WINDOW, len(x) - 1) + 1):
-                for at in range(0, len(x) - gap, 65536):
-                    p = np.arange(at, min(at + 65536, len(x) - gap))
-                    p = p[of[p] == of[p + gap]]
-                    p = p[np.einsum("ij,ij->i", x[p], x[p + gap]) >= least]
-                    ends[0].append(p)
-                    ends[1].append(p + gap)
-            if not ends[0]:
-                continue
-            root = stars(np.concatenate(ends[0]), np.concatenate(ends[1]), len(x))
-            moved = np.flatnonzero(root != np.arange(len(x)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[root[moved]]), pa.array(ids[moved])], names=["a", "b"])
-
-    signed = rows.mapInArrow(sign, "uid bigint, label string, dim int, unit array<double>, bits array<bigint>")
-    each = signed.select("uid", "label", "dim", "unit", F.posexplode("bits").alias("pass", "sign"))
-    order = ("pass", "label", "dim", "sign")
-    return each.repartitionByRange(*order).sortWithinPartitions(*order, "uid").mapInArrow(compare, "a bigint, b bigint").distinct()
-
-
-def degrees(members: DataFrame, least: float) -> DataFrame:
-    """(uid, n_links): exact links of each member (uid, component, dim, unit) inside its component."""
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / TILE).alias("blocks"))
+def tiles(rows: DataFrame, least: float, size: int) -> DataFrame:
+    """(uid, n, root): the links of rows (uid, label, dim, unit) in each tile, and the least row they connect to there."""
+    sizes = rows.groupBy("label", "dim").agg(F.ceil(F.count("*") / size).alias("blocks"))
     dealt = (
-        members.join(sizes, "component")
+        rows.join(sizes, ["label", "dim"])
         .withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-        .withColumn("tile", F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")))
+        .withColumn("tile", F.xxhash64("label", "dim", F.least("block", "other"), F.greatest("block", "other")))
     )
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = gathered(batches)
         if t is None:
             return
         tile, uid, block, other, dims = (t.column(c).to_numpy() for c in ("tile", "uid", "block", "other", "dim"))
-        by = np.argsort(tile, kind="stable")
+        by = np.lexsort((uid, tile))
         for a, b in runs(tile[by]):
             i = by[a:b]
             x = stacked(t.column("unit").take(pa.array(i)), int(dims[i[0]]))
             low = block[i] <= other[i]
             one, two = np.flatnonzero(low), np.flatnonzero(~low)
+            alone = (block[i] == other[i]).all()  # a block with itself
+            if alone:
+                two = one
             n = np.zeros(len(i), np.int64)
+            root = np.arange(len(i))
             for s in range(0, len(one), 512):
-                rows = one[s : s + 512]
-                if len(two):
-                    hit = x[rows] @ x[two].T >= least
-                    n[rows] += hit.sum(1)
-                    n[two] += hit.sum(0)
-                else:  # a block with itself
-                    n[rows] += (x[rows] @ x[one].T >= least).sum(1) - 1
-            yield pa.RecordBatch.from_arrays([pa.array(uid[i]), pa.array(n)], names=["uid", "n"])
-
-    out = dealt.repartition("tile").select("tile", "uid", "block", "other", "dim", "unit").mapInArrow(count, "uid bigint, n bigint")
-    return out.groupBy("uid").agg(F.sum("n").alias("n_links"))
+                p, q = np.nonzero(x[one[s : s + 512]] @ x[two].T >= least)
+                p, q = one[s + p], two[q]
+                if alone:
+                    p, q = p[p != q], q[p != q]
+                    n += np.bincount(p, minlength=len(i))
+                else:
+                    n += np.bincount(p, minlength=len(i)) + np.bincount(q, minlength=len(i))
+                # the links so far and the new ones, united
+                root = stars(np.append(np.arange(len(i)), p), np.append(root, q), len(i))
+            found = np.flatnonzero(n)
+            columns = uid[i[found]], n[found], uid[i[root[found]]]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["uid", "n", "root"])
+
+    kinds = "uid bigint, n bigint, root bigint"
+    return dealt.repartition("tile").select("tile", "uid", "block", "other", "dim", "unit").mapInArrow(compare, kinds)
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors (vec_id, embedding, label)."""
     rows = written(prepared(vectors), "vectors")
-    comps = written(components(passes(rows.select("uid", "label", "dim", "unit"), least)), "components")
+    links = written(tiles(rows.select("uid", "label", "dim", "unit"), least, TILE), "links")
+    comps = written(components(links.select("root", "uid"), "root", "uid"), "components")
     linked = rows.join(comps.withColumnRenamed("node", "uid"), "uid")
-    n = written(degrees(linked.select("uid", "component", "dim", "unit"), least), "degrees")
+    n = links.groupBy("uid").agg(F.sum("n").alias("n_links"))
     names = linked.groupBy("component").agg(F.min("vec_id").alias("component_id"))
     found = linked.select("uid", "vec_id", "component").join(names, "component").join(n, "uid", "left")
     alone = rows.select("uid", "vec_id").join(comps, F.col("uid") == F.col("node"), "left_anti")

@@ -161,6 +161,32 @@ def test_vector_recall(spark):
     assert (got.n_links.to_numpy() <= true).all() and got.n_links.sum() >= 0.9 * true.sum()
 
 
+@pytest.mark.parametrize("tile", [4096, 700])
+def test_vector_links_of_a_large_dense_label(spark, monkeypatch, tile):
+    # one label, all pairs at cosine 0.8, planted pairs at 0.94: none may be lost
+    monkeypatch.setattr(vector_dedup, "TILE", tile)
+    n, rng = 20_000 if tile == 4096 else 3_000, np.random.default_rng(11)
+    part = lambda m: (v := rng.standard_normal((m, 64))) / np.linalg.norm(v, axis=1, keepdims=True)
+    x = np.sqrt(0.8) * part(1) + np.sqrt(0.2) * part(n)
+    x[1::20] = x[::20] + 0.35 * part(n // 20)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": [v.tolist() for v in x], "label": 1}))
+    got = vector_dedup.near_vectors(df).toPandas().sort_values("vec_id")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links, root = np.zeros(n, int), np.arange(n)
+    for at in range(0, n, 1000):
+        p, q = np.nonzero(u[at : at + 1000] @ u.T >= 0.93)
+        links[at : at + 1000] = np.bincount(p, minlength=1000) - 1
+        for a, b in zip(p + at, q):
+            while root[a] != a:
+                a = root[a]
+            while root[b] != b:
+                b = root[b]
+            root[max(a, b)] = min(a, b)
+    for i in range(n):
+        root[i] = root[root[i]]
+    assert links.sum() > n // 20 and (got.n_links.to_numpy() == links).all() and (got.component_id.to_numpy() == root).all()
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_against_sql(spark, name):
     import duckdb
