@@ -66,7 +66,17 @@ def anchors(data: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
         sums = np.append(np.uint64(0), np.cumsum(value * p[: len(x)]))
         context = _mixed((sums[last + span] - sums[first]) * q[first] + (last - first).astype(np.uint64))
         parts.append((h[place[first]], context, place[first] + at, first + at, last + at))
-    return tuple(np.concatenate(c) for c in zip(*parts))
+    hash_, context, anchor, first, last = (np.concatenate(c) for c in zip(*parts))
+    lead = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+    if len(lead) < len(anchor):  # a minimiser that serves windows on both sides of a border is one row
+        n = np.diff(np.append(lead, len(anchor)))
+        last = last[lead + n - 1]
+        hash_, context, anchor, first = hash_[lead], context[lead], anchor[lead], first[lead]
+        for k in np.flatnonzero(n > 1):
+            value = _BYTE[data[first[k] : last[k] + span]]
+            whole = (value * _powers(len(value))[0][: len(value)]).sum(keepdims=True)
+            context[k] = _mixed(whole + np.uint64(last[k] - first[k]))[0]
+    return hash_, context, anchor, first, last
 
 
 def copies(docs: DataFrame) -> DataFrame:

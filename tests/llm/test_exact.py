@@ -103,6 +103,20 @@ def test_repeats_by_force(spark, monkeypatch, block):
         assert hashlib.sha256(rest).digest() == hashlib.sha256(bytes(np.frombuffer(text.encode(), np.uint8)[~hit])).digest()
 
 
+@pytest.mark.parametrize("piece", [37, 300, 1000])
+def test_anchors_of_cut_texts(monkeypatch, piece):
+    data = np.random.default_rng(4).integers(97, 101, 5000).astype(np.uint8)
+    whole = repeats.anchors(data, 200)
+    monkeypatch.setattr(repeats, "PIECE", piece)
+    assert all((a == b).all() for a, b in zip(whole, repeats.anchors(data, 200), strict=True))
+
+
+def test_a_long_text_without_repeats_is_kept(spark):
+    text = np.random.default_rng(6).integers(97, 123, 3 * repeats.PIECE + 1000).astype(np.uint8).tobytes().decode()
+    got = repeats.without_repeats(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).collect()
+    assert [(r.text == text, r.n_removed) for r in got] == [(True, 0)]
+
+
 def test_near_duplicates_by_force(spark, monkeypatch):
     rng = random.Random(7)
     vocabulary = [f"w{i}" for i in range(300)]
