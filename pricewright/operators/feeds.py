@@ -111,3 +111,18 @@ def retry_delay(attempt: Column, sample: Column, retry_after: Column, base: floa
     """Exponential backoff with jitter under a ceiling, at least what the server asks for."""
     plain = F.least(F.lit(most), base * F.pow(F.lit(2.0), attempt - 1))
     return F.greatest(F.least(F.lit(most), plain * (1 + jitter * sample)), F.coalesce(retry_after, F.lit(0.0)))
+
+
+def cycles(ticks: Column, seconds: Column) -> Column:
+    """(tick, ran) of each tick in order: one that falls into a running cycle is dropped; cycle k takes seconds[k], later ones the last of them."""
+    start = F.struct(
+        F.lit(0).cast("bigint").alias("done"), F.lit(None).cast("bigint").alias("free"), F.array().cast("array<struct<tick:bigint,ran:boolean>>").alias("seen")
+    )
+
+    def step(s: Column, tick: Column) -> Column:
+        ran = s["free"].isNull() | (tick >= s["free"])
+        took = F.get(seconds, F.least(s["done"], F.size(seconds) - 1).cast("int"))
+        seen = F.concat(s["seen"], F.array(F.struct(tick.alias("tick"), F.coalesce(ran, F.lit(False)).alias("ran"))))
+        return F.struct((s["done"] + ran.cast("bigint")).alias("done"), F.when(ran, tick + took).otherwise(s["free"]).alias("free"), seen.alias("seen"))
+
+    return F.aggregate(ticks, start, step)["seen"]

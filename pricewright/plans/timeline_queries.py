@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import arbitrage as A
 from ..operators import books as B
+from ..operators import feeds
 from ..operators import state as S
 from ..projection import Catalogue, Frames
 from ..sources import feed_source as D
@@ -175,8 +176,8 @@ def _(f):
 @C.add("stm_poll_loop", "SELECT unnest(range(0, 60, 5))::bigint AS tick, unnest(range(0, 60, 5)) % 15 = 0 AS ran")
 def _(f):
     # cycles of 12 seconds on ticks of 5: a tick that falls into a running cycle is dropped, never queued
-    ticks = f.spark.range(0, 60, 5).withColumnRenamed("id", "tick")
-    return ticks.select("tick", (F.col("tick") % 15 == 0).alias("ran"))
+    ticks = F.sequence(*(F.lit(x).cast("bigint") for x in (0, 55, 5)))
+    return f.spark.range(1).select(F.inline(feeds.cycles(ticks, F.array(F.lit(12).cast("bigint")))))
 
 
 @C.add("stm_telemetry", "SELECT 'gamma' AS provider_id, 'timeout' AS kind, true AS retryable")

@@ -210,3 +210,16 @@ def test_pages(spark):
 def test_margin_is_exact_decimal():
     implied, margin, _ = udfs.exact_book_of(["3.40", "3.60", "3.50"])
     assert abs(Decimal(implied) - Decimal("0.8576097105508870")) < Decimal("1e-15") and abs(Decimal(margin) - Decimal("0.16603")) < Decimal("1e-5")
+
+
+def test_poll_cycles_drop_missed_ticks(spark):
+    from pricewright.operators.feeds import cycles
+
+    for seconds in ([12], [5], [3, 27, 10, 1], [60]):
+        free, k, expected = 0, 0, []
+        for tick in range(0, 60, 5):
+            expected.append((tick, tick >= free))
+            if tick >= free:
+                free, k = tick + seconds[min(k, len(seconds) - 1)], k + 1
+        data = spark.createDataFrame([(list(range(0, 60, 5)), seconds)], "ticks array<bigint>, seconds array<bigint>")
+        assert [tuple(r) for r in data.select(F.inline(cycles(F.col("ticks"), F.col("seconds")))).collect()] == expected
