@@ -4,8 +4,9 @@ A document is the set of its distinct five-word shingles. Equal sets form a clas
 compared. A class gets a signature of 64 minima; the signature falls into 16 chunks of four symbols.
 Two signatures that differ in at most 31 symbols agree, by pigeonhole, in some chunk up to one
 symbol, so with each chunk and each of its symbols left out as a key (64 keys) every such pair shares
-a key: none is lost. A pair at similarity 0.75 differs in more than 31 of 64 symbols with a chance of
-about 1 in 100,000.
+a key: none is lost. Symbols here are the full 64-bit minima. The stored signature has 8 bits of each, and a
+pair within 31 of those only because unlike minima agree there (1 in 256 a symbol) has no certain key.
+A pair at similarity 0.75 differs in more than 31 of 64 symbols with a chance of about 1 in 100,000.
 
 Buckets are handled without writing out their pairs. One pass over a bucket gives each member its
 nearest pivot (members in a fixed random order; those near a pivot follow it), and a spanning tree of
