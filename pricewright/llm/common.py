@@ -6,6 +6,7 @@ import os
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder (local runs and tests).
 LOCAL_CHECKPOINTS = "/tmp/pricewright-checkpoints"
+#: Edges (16 bytes each) up to which one task finds the components.
+EDGES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,17 +29,24 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it."""
+    """The folder that driver and executors share, as the cluster names it; only a local master may go without one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = f"file://{LOCAL_CHECKPOINTS}"
         os.makedirs(LOCAL_CHECKPOINTS, exist_ok=True)
     return where.rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """This application's own part of the shared folder."""
+    return f"{shared_dir(spark)}/pricewright/{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back (survives lost executors)."""
-    path = f"{shared_dir(df.sparkSession)}/pricewright/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -51,11 +61,19 @@ def discard(df: DataFrame) -> None:
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Delete all tables made by written() in the shared folder; for use when no result is read any more."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/pricewright")
+    """Delete the tables that this application made by written(); for use when none of its results is read any more.
+
+    Operators delete what they alone read; tables that their lazy results read stay until this is called.
+    """
+    target = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark))
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """The table, to be broadcast if it is counted to have so many rows at most."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def remainder(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n: the fold of a document."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -83,21 +101,58 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20)
     pa.default_memory_pool().release_unused()  # idle workers keep little
 
 
+def united(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node of the edges (u, v), and the least node that it is connected with."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    low = np.arange(len(nodes))
+    while True:  # the least label of either end hooks the other end's root, then paths are halved
+        least = np.minimum(low[a], low[b])
+        new = low.copy()
+        np.minimum.at(new, low[a], least)
+        np.minimum.at(new, low[b], least)
+        new = new[new]
+        if (new == low).all():
+            return nodes, nodes[low]
+        low = new
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a task as stars around the least node of each of its local components."""
+    u = v = np.zeros(0, np.int64)
+    new, held = [], 0
+
+    def joined() -> tuple[np.ndarray, np.ndarray]:
+        node, root = united(np.concatenate([u, *(x for x, _ in new)]), np.concatenate([v, *(y for _, y in new)]))
+        return root[root != node], node[root != node]
+
+    for batch in batches:
+        new.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        held += batch.num_rows
+        if held > max(1 << 20, len(u)):
+            u, v = joined()
+            new, held = [], 0
+    u, v = joined()
+    if len(u):
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 50) -> DataFrame:
     """Connected components of an edge table, as (node, component): the smallest node reachable.
 
-    Alternating large-star and small-star rounds; each is a join-free pair of group-bys over the
-    edges, and its result is written to the shared folder, so nothing is collected and a lost
-    executor costs one round. A node's neighbours are never gathered: only minima are.
+    Each task first replaces its edges by stars around the least nodes of its own components. Alternating large-star and
+    small-star rounds follow until nothing changes: a round is two grouped minima, each joined back to the edges (AQE
+    splits the edges of a hub), and is written to the shared folder, so nothing is collected and a lost executor costs
+    one round. Up to EDGES edges, one task does in one step what the rounds would come to.
     """
-    e = (
-        edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
-        .where("u IS NOT NULL AND v IS NOT NULL AND u < v")
-        .distinct()
-    )
+    e = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u < v")
     # edges are 16 bytes: as many partitions as cores are enough, however many the shuffles have
     cores = edges.sparkSession.sparkContext.defaultParallelism
-    e = written(e.coalesce(cores), "cc")
+    e = written(e.coalesce(cores).mapInArrow(_forest, "u bigint, v bigint"), "cc")
+    if e.limit(EDGES + 1).count() <= EDGES:
+        done = written(e.coalesce(1).mapInArrow(_forest, "u bigint, v bigint"), "cc")
+        discard(e)
+        return _named(done)
     last = _digest(e)
     for _ in range(max_rounds):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -122,8 +177,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 5
         last = now
     else:
         raise RuntimeError("components did not settle")
-    roots = e.select(F.col("u").alias("node"), F.col("u").alias("component"))
-    return e.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(roots).distinct()
+    return _named(e)
+
+
+def _named(stars: DataFrame) -> DataFrame:
+    roots = stars.select(F.col("u").alias("node"), F.col("u").alias("component"))
+    return stars.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(roots.distinct())
 
 
 def _digest(e: DataFrame):

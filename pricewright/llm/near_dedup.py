@@ -8,6 +8,10 @@ a key: none is lost. Symbols here are the full 64-bit minima. The stored signatu
 pair within 31 of those only because unlike minima agree there (1 in 256 a symbol) has no certain key.
 A pair at similarity 0.75 differs in more than 31 of 64 symbols with a chance of about 1 in 100,000.
 
+A class is named by 64 bits of its set; a name that two unlike sets have (a second hash tells) is replaced
+by one of both hashes. Its full set is made again from one of its texts, found by a hash of the text and
+taken only if the set made from it has the class's name, whatever the ids of its rows.
+
 Buckets are handled without writing out their pairs. One pass over a bucket gives each member its
 nearest pivot (members in a fixed random order; those near a pivot follow it), and a spanning tree of
 the pairs within reach. The nearest pivots over all buckets are confirmed on full sets, which joins
@@ -15,10 +19,12 @@ most of a large group in a linear number of tests. The spanning trees unite clas
 classes within reach of each other lie in one region. Regions that still hold several components are compared
 block against block on full sets, pairs of one component left out, and give only links that join
 components. So every pair within signature reach is in one confirmed component or has been tested.
+A key of over BLOCK classes is found before anything is gathered, and is dealt out as pairs of its blocks.
 
-Null and empty texts have no shingles and are linked with nothing. Rows with equal ids are in one
-class if their sets are equal; a null id never becomes a component's name unless it stands alone. Other
-columns are not read; an empty table gives an empty result.
+Null and empty texts have no shingles and are linked with nothing. Rows with equal ids are rows of their own:
+each goes by its own text. Rows with a null id are linked as others are; a null id never becomes a component's name unless
+all ids there are null, and then all its rows are marked kept (one_of_each() keeps one of them). Other
+columns are not read but for those asked for; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,19 +36,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, slices, spread, table, written
+from .common import components, discard, slices, small, spread, table, written
 from .toxicity import _M, _mixed, _powers, buffers
 
 SYMBOLS, CHUNK = 64, 4
 REACH = 2 * SYMBOLS // CHUNK - 1
 #: A bucket member follows a pivot within this distance (the mean at similarity 0.69).
 NEAR = 20
-#: Members of a bucket that are compared at once; larger buckets are taken as pairs of such blocks.
-BLOCK = 1 << 16
+#: Classes of a key that are compared at once; a key of more is dealt out as pairs of such blocks.
+BLOCK = 1 << 14
 #: Classes of a region that are compared at once with as many others.
 TILE = 1024
 #: Candidate ids up to this many are broadcast to the scan of the texts; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Classes that a task remembers to have made the full set of; more are made again.
+MOST_DONE = 100_000
 
 _SYMBOL = _mixed(np.arange(1, 257, dtype=np.uint64) * _M) | np.uint64(1)
 _SYMBOL[65:91] = _SYMBOL[97:123]
@@ -112,34 +120,42 @@ def keys_of(low: np.ndarray) -> np.ndarray:
     return h.reshape(-1)
 
 
-def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, node, signature, keys); node is the class, null without shingles."""
+def signed(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, keep, text_key, n_shingles, node, check, signature, keys); node is the class, null without shingles."""
+    names = ["doc_id", *keep, "text_key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            ns, nodes, signatures, keys = [], [], [], []
+            ns, nodes, checks, signatures, keys = [], [], [], [], []
             for s in sets(batch.column("text")):
                 ns.append(len(s))
                 if not len(s):
-                    nodes.append(None)
-                    signatures.append(None)
-                    keys.append(None)
+                    for out in (nodes, checks, signatures, keys):
+                        out.append(None)
                     continue
                 low = minima(s)
-                with np.errstate(over="ignore"):
-                    name = _mixed(np.array([_mixed(s).sum() * np.uint64(3) + np.bitwise_xor.reduce(_mixed(s * _M)) + np.uint64(len(s))]))
-                nodes.append(int(name.view(np.int64)[0]))
+                node, check = named(s)
+                nodes.append(node)
+                checks.append(check)
                 signatures.append((low >> np.uint64(56)).astype(np.uint8).tobytes())
                 keys.append(keys_of(low).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(signatures, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "node", "signature", "keys"],
+                [*map(batch.column, names), *(pa.array(x, pa.int64()) for x in (ns, nodes, checks)), pa.array(signatures, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                names=[*names, "n_shingles", "node", "check", "signature", "keys"],
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_shingles bigint, node bigint, signature binary, keys array<bigint>"
-    )
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in ("doc_id", *keep))
+    keyed = docs.select("doc_id", *keep, F.xxhash64("text").alias("text_key"), "text")
+    return keyed.mapInArrow(run, f"{kinds}text_key bigint, n_shingles bigint, node bigint, check bigint, signature binary, keys array<bigint>")
+
+
+def named(s: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit hashes of a set of shingle hashes."""
+    with np.errstate(over="ignore"):
+        one = _mixed(s).sum() * np.uint64(3) + np.bitwise_xor.reduce(_mixed(s * _M)) + np.uint64(len(s))
+        two = _mixed(s * _FACTORS[0]).sum() * np.uint64(5) + np.bitwise_xor.reduce(_mixed(s * _FACTORS[1]))
+        node, check = _mixed(np.array([one, two])).view(np.int64)
+    return int(node), int(check)
 
 
 def gathered(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
@@ -160,36 +176,59 @@ def _order(nodes: np.ndarray) -> np.ndarray:
     return _mixed(nodes.astype(np.uint64) * _M)
 
 
+def crowded(keyed: DataFrame) -> DataFrame | None:
+    """(key, blocks) of the keys of over BLOCK classes, or None.
+
+    A key of so many has at least its share of them in some task, so tasks name only what reaches that share.
+    """
+    share = max(1, -(-BLOCK // max(1, keyed.rdd.getNumPartitions())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = [b.column("key").to_numpy() for b in batches]
+        if keys:
+            key, n = np.unique(np.concatenate(keys), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key[n >= share])], names=["key"])
+
+    suspects = written(keyed.select("key").mapInArrow(run, "key bigint").distinct(), "suspects")
+    if suspects.isEmpty():
+        return None
+    counted = keyed.join(small(suspects, BROADCAST_ROWS), "key").groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    return written(counted.where("blocks > 1"), "crowded")
+
+
 def buckets(nodes: DataFrame) -> DataFrame:
     """(bucket, node) of all keys that two classes or more share; buckets of equal members are one.
 
-    A key's hash partition is read as two columns of longs; a bucket of over BLOCK members gives a bucket for
-    each two of its blocks.
+    A key's hash partition is read as two columns of longs; a crowded key gives a cell for each two of its blocks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = gathered(batches)
         if t is None:
             return
-        key, node = t.column("key").to_numpy(), t.column("node").to_numpy()
+        cell, node = t.column("cell").to_numpy(), t.column("node").to_numpy()
         rank = _order(node)
-        by = np.lexsort((rank, key))
-        key, node, rank = key[by], node[by], rank[by]
+        by = np.lexsort((rank, cell))
+        cell, node, rank = cell[by], node[by], rank[by]
         names, members = [], []
-        for a, b in runs(key):
-            cuts = [*range(a, b, BLOCK), b]
-            parts = [np.arange(x, y) for x, y in zip(cuts[:-1], cuts[1:])]
-            pairs = [(x, y) for x in range(len(parts)) for y in range(x + 1, len(parts))] or [(0, 0)]
-            for x, y in pairs:
-                held = np.unique(np.concatenate([parts[x], parts[y]]))
-                name = _mixed(np.array([rank[held].sum() + np.uint64(len(held))]))
-                names.append(np.full(len(held), name[0]))
-                members.append(node[held])
+        for a, b in runs(cell):
+            names.append(np.full(b - a, _mixed(np.array([rank[a:b].sum() + np.uint64(b - a)]))[0]))
+            members.append(node[a:b])
         if names:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names).view(np.int64)), pa.array(np.concatenate(members))], names=["bucket", "node"])
 
     keyed = nodes.select("node", F.explode("keys").alias("key"))
-    return keyed.repartition("key").mapInArrow(run, "bucket bigint, node bigint").distinct()
+    hot = crowded(keyed)
+    cells = keyed.withColumnRenamed("key", "cell")
+    if hot is not None and not hot.isEmpty():
+        block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+        both = (
+            keyed.join(small(hot, BROADCAST_ROWS), "key", "left")
+            .withColumn("other", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))))
+        )
+        cell = F.when(F.col("blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least(block, "other"), F.greatest(block, "other")))
+        cells = both.select("node", cell.alias("cell"))
+    return cells.repartition("cell").mapInArrow(run, "bucket bigint, node bigint").distinct()
 
 
 def walked(members: DataFrame) -> DataFrame:
@@ -292,17 +331,25 @@ def joining(region_members: DataFrame, percent: int) -> DataFrame:
 
 def full_sets(docs: DataFrame, signed_docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, hashes): the full set of each wanted class, made again from one text of the class."""
-    first = signed_docs.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("set_id"))
-    first = written(first.where("set_id IS NOT NULL"), "set_ids")
-    small = first.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    texts = docs.select("doc_id", "text").join(F.broadcast(first) if small else first, F.col("doc_id") == F.col("set_id"))
+    one = signed_docs.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("text_key", "check")).alias("t"))
+    one = written(one.select(F.col("t.text_key").alias("wanted_key"), F.col("t.check").alias("check"), "node"), "wanted")
+    texts = docs.select("text").join(small(one, BROADCAST_ROWS), F.xxhash64("text") == F.col("wanted_key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for batch in slices(batches, "text"):
-            found = [s.tobytes() for s in sets(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], names=["node", "hashes"])
+            nodes, checks = batch.column("node").to_pylist(), batch.column("check").to_pylist()
+            todo, made = [i for i, n in enumerate(nodes) if n not in done], {}
+            while todo:
+                first = list({nodes[i]: i for i in reversed(todo)}.values())  # copies of a text: one
+                for i, s in zip(first, sets(batch.column("text").take(pa.array(first, pa.int64())))):
+                    if len(s) and named(s)[1] == checks[i]:  # else another text of the same hash
+                        made[nodes[i]] = s.tobytes()
+                todo = sorted(set(todo).difference(first, (i for i in todo if nodes[i] in made)))
+            done = set(made) if len(done) > MOST_DONE else done | set(made)
+            yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int64()), pa.array(list(made.values()), pa.binary())], names=["node", "hashes"])
 
-    return texts.select("node", "text").mapInArrow(run, "node bigint, hashes binary").dropDuplicates(["node"])
+    return texts.select("node", "check", "text").mapInArrow(run, "node bigint, hashes binary").dropDuplicates(["node"])
 
 
 def confirmed(pairs: DataFrame, hashes: DataFrame, percent: int) -> DataFrame:
@@ -323,9 +370,19 @@ def confirmed(pairs: DataFrame, hashes: DataFrame, percent: int) -> DataFrame:
     return two.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def classes(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, node) of every row, and (node, component) of every linked class."""
-    signed_docs = written(signed(docs), "signed")
+def told_apart(signed_docs: DataFrame) -> DataFrame:
+    """signed_docs with another name for classes whose name unlike sets have."""
+    sets_ = signed_docs.where("node IS NOT NULL").groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high"))
+    mixed = written(sets_.where("low <> high").select("node", F.lit(True).alias("mixed")), "mixed")
+    if mixed.isEmpty():
+        return signed_docs
+    node = F.when(F.col("mixed"), F.xxhash64("node", "check")).otherwise(F.col("node"))
+    return signed_docs.join(small(mixed, BROADCAST_ROWS), "node", "left").withColumn("node", node).select(*signed_docs.columns)
+
+
+def classes(docs: DataFrame, percent: int = 75, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, keep, n_shingles, node) of every row, and (node, component) of every linked class."""
+    signed_docs = told_apart(written(signed(docs, keep), "signed"))
     nodes = signed_docs.where("node IS NOT NULL").select("node", "n_shingles", "signature", "keys").dropDuplicates(["node"])
     nodes = written(nodes, "classes")
     signatures = nodes.select("node", "n_shingles", "signature")
@@ -334,9 +391,9 @@ def classes(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFrame]:
     hashes = written(full_sets(docs, signed_docs, ends), "sets")
     pivots = found.where("apart IS NOT NULL").groupBy("b").agg(F.min(F.struct("apart", "a")).alias("best"))
     links = written(confirmed(pivots.select(F.col("best.a").alias("a"), "b"), hashes, percent), "links")
-    comps = written(components(links), "components")
+    comps = components(links)
 
-    regions = written(components(found.where("apart IS NULL")), "regions").withColumnRenamed("component", "region")
+    regions = components(found.where("apart IS NULL")).withColumnRenamed("component", "region")
     placed = regions.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = (
         placed.groupBy("region")
@@ -347,19 +404,26 @@ def classes(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFrame]:
     rows = placed.join(open_, "region").join(signatures, "node").join(hashes, "node")
     more = written(joining(rows, percent), "links")
     if not more.isEmpty():
-        comps = written(components(links.unionByName(more)), "components")
+        comps = components(links.unionByName(more))
     for t in (nodes, found, hashes, links, more):
         discard(t)
-    return signed_docs.select("doc_id", "n_shingles", "node"), comps
+    return signed_docs.select("doc_id", *keep, "n_shingles", "node"), comps
+
+
+def grouped(docs: DataFrame, percent: int = 75, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, keep, n_shingles, component) of every row; component is null without shingles."""
+    rows, comps = classes(docs, percent, keep)
+    return rows.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text)."""
     rows, comps = classes(docs, percent)
+    # names are found for classes first, so that a class of many rows costs one row a task
     least = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
-    named = least.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_class = written(named.join(ids, "component").select("node", "component_id"), "names")
+    named_ = least.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    ids = named_.groupBy("component").agg(F.min("least").alias("component_id"))
+    by_class = written(named_.join(ids, "component").select("node", "component_id"), "names")
     joined = rows.join(by_class, "node", "left")
     name = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return joined.select("doc_id", "n_shingles", name.alias("component_id")).withColumn(
@@ -367,6 +431,24 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     )
 
 
+def one_of_each(docs: DataFrame, columns: tuple[str, ...], percent: int = 75) -> DataFrame:
+    """Of docs, one row of each component (that of least id; a null id only if all are) and the rows without shingles; of equal rows, one."""
+    marked = docs.select(*columns, F.xxhash64(*columns).alias("row_key"))
+    rows = written(grouped(marked, percent, ("row_key",)), "grouped")
+    own = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_key")
+    best = rows.where("component IS NOT NULL").groupBy("component").agg(F.min(own).alias("b")).select("b.doc_id", "b.row_key")
+    chosen = best.unionByName(rows.where("component IS NULL").select("doc_id", "row_key")).distinct()
+    chosen = chosen.select(F.col("doc_id").alias("chosen_id"), F.col("row_key").alias("chosen_key"))
+    met = F.col("doc_id").eqNullSafe(F.col("chosen_id")) & (F.col("row_key") == F.col("chosen_key"))
+    out = marked.join(chosen, met, "left_semi")
+    twins = rows.groupBy("doc_id", "row_key").count().where("count > 1")
+    twins = written(twins.select(F.col("doc_id").alias("chosen_id"), F.col("row_key").alias("chosen_key")), "twins")
+    if twins.isEmpty():
+        return out.select(*columns)
+    twins = small(twins, BROADCAST_ROWS)
+    return out.join(twins, met, "left_anti").unionByName(out.join(twins, met, "left_semi").dropDuplicates()).select(*columns)
+
+
 def op6_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spread(table(spark, sf_dir, "documents")))
 

@@ -148,6 +148,65 @@ def test_near_duplicates_by_force(spark, monkeypatch):
     assert got == {i: find(i) for i in range(len(texts))}
 
 
+def plain_components(texts):
+    """The least place of each text's component, by comparing all pairs of shingle sets."""
+    words = [t.split() if t else [] for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set() for w in words]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("block", [1 << 14, 3])
+def test_near_duplicates_with_repeated_and_null_ids(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)  # 3: every key that several classes have is crowded
+    rng = random.Random(17)
+    base = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * 3 + str(rng.randint(0, 99)) for _ in range(70)) for _ in range(9)]
+    rows = [(5, base[0]), (5, base[1]), (6, base[0] + " tail"), (7, base[1] + " tail"), (None, base[2]), (8, base[2] + " tail"), (9, "head " + base[2]), (None, base[3]), (None, base[3] + " end"), (None, None), (10, ""), (5, base[4]), (5, base[4])]
+    rows += [(100 + k, base[5] + f" w{k}") for k in range(20)] + [(200 + k, base[6]) for k in range(10)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    root = plain_components([t for _, t in rows])
+    # rows of one id are linked through it only if their texts are: here 5 names two components
+    expected = []
+    for i, (doc, text) in enumerate(rows):
+        ids = [rows[j][0] for j in range(len(rows)) if root[j] == root[i] and rows[j][0] is not None]
+        name = (min(ids) if ids else None) if text and text.split() else doc
+        expected.append((doc, name, doc == name))
+    got = near_dedup.near_duplicates(df)
+    assert sorted(map(str, got.select("doc_id", "component_id", "kept").collect())) == sorted(f"Row(doc_id={a}, component_id={b}, kept={c})" for a, b, c in expected)
+    one = near_dedup.one_of_each(df, ("doc_id", "text")).collect()
+    linked = {root[i] for i, (_, t) in enumerate(rows) if t and t.split()}
+    assert sum(bool(r.text) for r in one) == len(linked) and sum(not r.text for r in one) == 2
+    for r in one:
+        same = {rows[j][0] for i, (_, t) in enumerate(rows) if t == r.text for j in range(len(rows)) if root[j] == root[i]}
+        assert not r.text or r.doc_id in (min(same - {None}, default=None), None)
+
+
+def test_a_class_name_of_two_sets_is_told_apart(spark, monkeypatch):
+    plain = near_dedup.named
+    monkeypatch.setattr(near_dedup, "named", lambda s: (plain(s)[0] & 1, plain(s)[1]))  # two names for all sets
+    import cloudpickle
+
+    cloudpickle.register_pickle_by_value(near_dedup)
+    try:
+        rows = [(i, " ".join(f"v{i // 2}w{k}" for k in range(40)) + " end" * (i % 2)) for i in range(12)]
+        got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    finally:
+        cloudpickle.unregister_pickle_by_value(near_dedup)
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(i, i // 2 * 2) for i in range(12)]
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
