@@ -243,7 +243,7 @@ def test_vector_links_of_a_large_dense_label(spark, monkeypatch, tile):
     x = np.sqrt(0.8) * part(1) + np.sqrt(0.2) * part(n)
     x[1::20] = x[::20] + 0.35 * part(n // 20)
     df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": [v.tolist() for v in x], "label": 1}))
-    got = vector_dedup.near_vectors(df).toPandas().sort_values("vec_id")
+    got = vector_dedup.near_vectors(df, exact=True).toPandas().sort_values("vec_id")
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     links, root = np.zeros(n, int), np.arange(n)
     for at in range(0, n, 1000):
@@ -260,6 +260,41 @@ def test_vector_links_of_a_large_dense_label(spark, monkeypatch, tile):
     assert links.sum() > n // 20 and (got.n_links.to_numpy() == links).all() and (got.component_id.to_numpy() == root).all()
 
 
+@pytest.mark.parametrize("background, n", [(0.0, 50_000), (0.8, 20_000)])
+def test_vector_recall_in_a_large_label(spark, background, n):
+    """Planted pairs at 0.94 in one label: links found by the passes, and no other."""
+    rng = np.random.default_rng(12)
+    part = lambda m: (v := rng.standard_normal((m, 64))) / np.linalg.norm(v, axis=1, keepdims=True)
+    x = np.sqrt(background) * part(1) + np.sqrt(1 - background) * part(n)
+    x[1::20] = x[::20] + 0.35 * part(n // 20)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": [v.tolist() for v in x], "label": 1}))
+    got = vector_dedup.near_vectors(df).toPandas().sort_values("vec_id").n_links.to_numpy()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = np.concatenate([(u[at : at + 1000] @ u.T >= 0.93).sum(1) - 1 for at in range(0, n, 1000)])
+    assert (got <= links).all() and got.sum() >= 0.97 * links.sum() > n // 40
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_vectors_of_any_size_copies_and_borders(spark, monkeypatch, exact):
+    monkeypatch.setattr(vector_dedup, "TILE", 50)
+    rng = np.random.default_rng(13)
+    base = rng.standard_normal((60, 16))
+    x = np.concatenate([base, base + 0.02 * rng.standard_normal((60, 16)), np.repeat(base[:2], 40, axis=0), base[5:9] * 1e200, base[5:9] * 1e-200, base[:1] * 5e-320])
+    ids = np.arange(len(x)) // 2 * 2  # each id twice
+    label = np.arange(len(x)) % 60 % 2
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": ids, "embedding": [v.tolist() for v in x], "label": label})).repartition(5)
+    got = vector_dedup.near_vectors(df, exact=exact).toPandas()
+    big = np.abs(x).max(1, keepdims=True)
+    u = x / big / np.linalg.norm(x / big, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.93) & (label[:, None] == label)
+    name = np.arange(len(x))
+    while (new := np.where(near, name, len(x)).min(1)).tolist() != name.tolist():
+        name = new
+    least = np.array([ids[name == m].min() for m in name])
+    expected = sorted(zip(ids.tolist(), (near.sum(1) - 1).tolist(), least.tolist(), (ids == least).tolist()))
+    assert sorted(got.itertuples(index=False, name=None)) == expected
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_against_sql(spark, name):
     import duckdb
