@@ -1,10 +1,16 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A code (the signs of a vector, 64 bits) is cut into four segments of 16 bits, and each block of codes is
-sorted once per segment. A query probes, segment by segment, all values at radius 0, then 1, 2, ...;
-what it meets is verified by full Hamming distance. After radius r on all segments every code within
-4 (r + 1) - 1 has been met, so a query stops as soon as its k-th verified distance is at most that.
-Blocks of queries meet blocks of codes; each returns k rows a query, merged by distance, then id.
+A code (the signs of a vector, 64 bits) is cut into four segments of 16 bits (two of 32 for over MANY entries, as segments should
+be about as long as the logarithm of their number). Equal codes are one entry with the ids that any
+result can need. Queries are worked off in rounds: in round r an open query probes, segment by segment, the entries
+whose segment differs from its own in exactly r bits, and verifies what it meets by full Hamming distance. After
+round r every entry within 4 (r + 1) - 1 has been met, so a query closes as soon as its last wanted distance is at most
+that; only open queries go into the next round.
+
+The index is dealt out by segment and its leading bits (as many as the number of entries asks for). A query goes only to
+the cells whose leading bits differ from its own in j <= r bits and probes there the remaining r - j, in one sorted
+array; it never meets the rest of the index. A cell that holds more than ENTRIES entries, or gets more than ASKS queries, is
+split into blocks of so many.
 
 Rows whose vector is null, empty, holds null or non-finite components, or whose length differs from code_bits are
 neither queries nor results. Equal ids are rows of their own; a query does not find rows of its own
@@ -15,27 +21,33 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
-from .near_dedup import gathered, runs
+from .common import same, small, spread, table, written
 
-SEGMENTS, BITS = 4, 16
-CODE_BLOCK, QUERY_BLOCK = 50_000, 5_000
-_masks: dict[int, np.ndarray] = {}
+CODE_BITS, MANY = 64, 1 << 24
+#: What names a search: the query's code, and the id that it leaves out if it is not lone.
+ASK = ["ask", "own", "lone"]
+#: Entries of a cell, and queries that meet them at once.
+ENTRIES, ASKS = 16_384, 16_384
+#: Pairs of a query and an entry that are verified at once.
+MET = 1 << 21
+BROADCAST_ROWS = 1 << 18
+_masks: dict[tuple[int, int], np.ndarray] = {}
 
 
-def masks(radius: int) -> np.ndarray:
-    """All 16-bit values with radius bits set."""
-    if radius not in _masks:
-        ways = list(combinations(range(BITS), radius))
+def masks(bits: int, radius: int) -> np.ndarray:
+    """All numbers of so many bits of which radius are set."""
+    if (bits, radius) not in _masks:
+        ways = list(combinations(range(bits), radius))
         sets = np.array(ways, np.int64).reshape(len(ways), radius)
-        _masks[radius] = (np.int64(1) << sets).sum(1).astype(np.int64)
-    return _masks[radius]
+        _masks[bits, radius] = (np.int64(1) << sets).sum(1).astype(np.int64)
+    return _masks[bits, radius]
 
 
 def codes(vectors: DataFrame, code_bits: int = 64) -> DataFrame:
@@ -47,89 +59,184 @@ def codes(vectors: DataFrame, code_bits: int = 64) -> DataFrame:
     return vectors.where(x.isNotNull() & (F.size(x) == code_bits) & fine).select("vec_id", code.alias("code"))
 
 
-def nearest(code: np.ndarray, ids: np.ndarray, query: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """(query row, id, distance) of the k nearest codes of each query by (distance, id), ids unlike its own."""
-    parts = [(code >> np.int64(BITS * s)) & 0xFFFF for s in range(SEGMENTS)]
-    order = [np.argsort(p, kind="stable") for p in parts]
-    sorted_parts = [p[o] for p, o in zip(parts, order)]
-    open_ = np.arange(len(query))
-    held_q = held_c = np.zeros(0, np.int64)
-    out = []
-    for radius in range(BITS + 1):
-        flips = masks(radius)
-        met = [held_q * len(code) + held_c]
-        for s in range(SEGMENTS):
-            value = ((query[open_] >> np.int64(BITS * s)) & 0xFFFF)[:, None] ^ flips[None, :]
-            low = np.searchsorted(sorted_parts[s], value, "left")
-            n = np.searchsorted(sorted_parts[s], value, "right") - low
-            row, col = np.nonzero(n)
-            times = n[row, col]
-            if not len(row):
-                continue
-            at = np.repeat(low[row, col] - (np.cumsum(times) - times), times) + np.arange(times.sum())
-            met.append(np.repeat(open_[row], times) * len(code) + order[s][at])
-        pairs = np.unique(np.concatenate(met))
-        q, c = pairs // len(code), pairs % len(code)
-        q, c = q[(other := ids[c] != own[q])], c[other]
-        apart = np.bitwise_count((query[q] ^ code[c]).view(np.uint64)).astype(np.int64)
-        by = np.lexsort((ids[c], apart, q))
-        q, c, apart = q[by], c[by], apart[by]
-        # ties at the k-th distance can still be beaten by an unmet code of that distance only beyond the bound
-        place = np.arange(len(q)) - np.searchsorted(q, q)
-        top = place < k
-        reach = SEGMENTS * (radius + 1) - 1
-        kth = np.full(len(query), BITS * SEGMENTS + 1)
-        kth[q[place == k - 1]] = apart[place == k - 1]
-        done = (kth[open_] <= reach) | (radius == BITS)
-        finished = np.zeros(len(query), bool)
-        finished[open_[done]] = True
-        take = top & finished[q]
-        out.append((q[take], ids[c[take]], apart[take]))
-        open_ = open_[~done]
-        if not len(open_):
-            break
-        keep = top & ~finished[q]
-        # codes at the k-th distance stay for their ids; the others can no longer win
-        held_q, held_c = q[keep], c[keep]
-    return tuple(np.concatenate(x) for x in zip(*out))
+def entries_of(data: DataFrame, k: int) -> DataFrame:
+    """(code, ids): per distinct code the least ids, as many as a query can take and skip: of one id k, of all 2 k + 1."""
+    per_id = F.row_number().over(Window.partitionBy("code", "vec_id").orderBy(F.lit(0)))
+    per_code = F.row_number().over(Window.partitionBy("code").orderBy("vec_id"))
+    few = data.withColumn("r", per_id).where(F.col("r") <= k).withColumn("r", per_code).where(F.col("r") <= 2 * k + 1)
+    return few.groupBy("code").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
 
 
-def search(data: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, rank, vec_id, distance): the k nearest of data (vec_id, code) for each of queries."""
-    n, m = data.count(), queries.count()
-    blocks, lots = max(1, -(-n // CODE_BLOCK)), max(1, -(-m // QUERY_BLOCK))
-    spread = lambda df, own, of, other, to, is_query: (
-        df.withColumn(own, F.pmod(F.xxhash64("vec_id"), F.lit(of)))
-        .withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(to - 1).cast("bigint"))))
-        .select((F.col("block") * lots + F.col("lot")).alias("cell"), "vec_id", "code", F.lit(is_query).alias("is_query"))
-    )
-    both = spread(data, "block", blocks, "lot", lots, False).unionByName(spread(queries, "lot", lots, "block", blocks, True))
+def top_bits(entries: int, bits: int) -> int:
+    """Leading bits of a segment that name a cell."""
+    return min(bits, max(0, (entries // ENTRIES * 2).bit_length()))
+
+
+class Cell:
+    """The entries of one cell, sorted by the bits of their segment that do not name it."""
+
+    def __init__(self, code: np.ndarray, ids: pa.ListArray, value: np.ndarray):
+        order = np.argsort(value, kind="stable")
+        self.code, self.value, self.ids = code[order], value[order], ids.take(pa.array(order))
+        cuts = self.ids.offsets.to_numpy().astype(np.int64)
+        self.flat, self.first, self.n = self.ids.values.to_numpy(), cuts[:-1], np.diff(cuts)
+
+    def probe(self, ask: np.ndarray, own: np.ndarray, lone: np.ndarray, value: np.ndarray, bits: int, flips: int, want: int):
+        """(query, entry, distance) of what the want nearest rows of each query need, among entries whose value differs from the query's in flips of bits.
+
+        Where there are more such values than entries, the entries are gone through instead.
+        """
+        out, ways = [], comb(bits, flips)
+        whole = ways > len(self.code)
+        step = max(1, MET // max(1, min(ways, len(self.code))))
+        for at in range(0, len(ask), step):
+            part = np.arange(at, min(at + step, len(ask)))
+            if whole:
+                row, e = np.nonzero(np.bitwise_count(value[part][:, None] ^ self.value[None, :]) == flips)
+                out.append(self.verified(part[row], e, ask, own, lone, want))
+                continue
+            wanted = value[part][:, None] ^ masks(bits, flips)[None, :]
+            first = np.searchsorted(self.value, wanted, "left")
+            n = np.searchsorted(self.value, wanted, "right") - first
+            row, col = np.nonzero(n)
+            times = n[row, col]
+            ends = np.cumsum(times)
+            begin = 0
+            while begin < len(row):  # runs of probes that meet about MET entries
+                stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + MET, "right")))
+                r, c, t = row[begin:stop], col[begin:stop], times[begin:stop]
+                e = np.repeat(first[r, c] - (np.cumsum(t) - t), t) + np.arange(t.sum())
+                out.append(self.verified(part[np.repeat(r, t)], e, ask, own, lone, want))
+                begin = stop
+        if not out:
+            return (np.zeros(0, np.int64),) * 3
+        return self.nearest(*(np.concatenate(x) for x in zip(*out)), own, lone, want)
+
+    def verified(self, q: np.ndarray, e: np.ndarray, ask: np.ndarray, own: np.ndarray, lone: np.ndarray, want: int):
+        apart = np.bitwise_count((ask[q] ^ self.code[e]).view(np.uint64)).astype(np.int64)
+        return self.nearest(q, e, apart, own, lone, want)
+
+    def nearest(self, q: np.ndarray, e: np.ndarray, d: np.ndarray, own: np.ndarray, lone: np.ndarray, want: int):
+        """Of met entries those that fewer than want rows precede for sure: rows that are nearer, and the least rows of others as near."""
+        n, least = self.n[e], self.flat[self.first[e]]
+        for i in np.flatnonzero(~lone[q]):  # a repeated id: its rows do not count
+            ids = self.flat[self.first[e[i]] : self.first[e[i]] + n[i]]
+            ids = ids[ids != own[q[i]]]
+            n[i], least[i] = len(ids), ids[0] if len(ids) else 0
+        q, e, d, n, least = (x[n > 0] for x in (q, e, d, n, least))
+        by = np.lexsort((least, d, q))
+        q, e, d, n = q[by], e[by], d[by], n[by]
+        if not len(q):
+            return q, e, d
+        before = np.cumsum(n) - n
+        of_query, of_distance = np.append(True, q[1:] != q[:-1]), np.append(True, (q[1:] != q[:-1]) | (d[1:] != d[:-1]))
+        start = lambda lead: np.maximum.accumulate(np.where(lead, np.arange(len(q)), 0))
+        nearer = before[start(of_distance)] - before[start(of_query)]
+        close = nearer + np.arange(len(q)) - start(of_distance) < want
+        return q[close], e[close], d[close]
+
+
+def met_in(cells: DataFrame, bits: int, top: int, radius: int, want: int) -> DataFrame:
+    """(ASK, code, ids, distance): what the queries of cells meet at this radius."""
+    rest = bits - top
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = gathered(batches)
-        if t is None:
-            return
-        cell, ids, code = (t.column(c).to_numpy() for c in ("cell", "vec_id", "code"))
-        asks = t.column("is_query").to_numpy()
-        by = np.argsort(cell, kind="stable")
-        for a, b in runs(cell[by]):
-            i = by[a:b]
-            d, q = i[~asks[i]], i[asks[i]]
-            for s in range(0, len(q), 256) if len(d) else ():
-                part = q[s : s + 256]
-                row, found, apart = nearest(code[d], ids[d], code[part], ids[part], k)
+        for t in same(batches, "cell"):
+            code, asks, segment, own, lone, apart = (t.column(c).to_numpy() for c in ("code", "is_ask", "segment", "own", "lone", "apart"))
+            e, q = np.flatnonzero(~asks), np.flatnonzero(asks)
+            if not len(e) or not len(q):
+                continue
+            value = lambda x: (code[x] >> (bits * segment[x].astype(np.int64))) & np.int64((1 << rest) - 1)
+            cell = Cell(code[e], t.column("ids").combine_chunks().take(pa.array(e)), value(e))
+            for j in np.unique(apart[q]):
+                i = q[apart[q] == j]
+                x, y, d = cell.probe(code[i], own[i], lone[i], value(i), rest, int(radius - j), want)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[part[row]]), pa.array(part[row]), pa.array(found), pa.array(apart)], names=["query_id", "row", "vec_id", "distance"]
+                    [*(pa.array(c[i[x]]) for c in (code, own, lone)), pa.array(cell.code[y]), cell.ids.take(pa.array(y)), pa.array(d)],
+                    names=[*ASK, "code", "ids", "distance"],
                 )
 
-    near = both.repartition("cell").mapInArrow(run, "query_id bigint, row bigint, vec_id bigint, distance bigint")
-    best = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    ranked = near.select("query_id", "vec_id", "distance").withColumn("rank", F.row_number().over(best))
-    return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("bigint").alias("rank"), "vec_id", "distance")
+    dealt = cells.repartition("cell").sortWithinPartitions("cell")
+    return dealt.mapInArrow(run, "ask bigint, own bigint, lone boolean, code bigint, ids array<bigint>, distance bigint")
+
+
+def placed(entries: DataFrame, asks: DataFrame, bits: int, top: int, radius: int) -> DataFrame:
+    """Both sides dealt to cells, (cell, is_ask, segment, code, own, lone, ids, apart); what is too much for a cell in blocks."""
+    rest = bits - top
+    lead = lambda c: F.expr(f"shiftrightunsigned({c}, segment * {bits} + {rest})").bitwiseAND(F.lit((1 << top) - 1).cast("bigint")) if top else F.lit(0).cast("bigint")
+    segments = F.explode(F.array(*[F.lit(s) for s in range(CODE_BITS // bits)]))
+    index = entries.withColumn("segment", segments).withColumn("value", lead("code"))
+    flips = [(int(m), j) for j in range(max(0, radius - rest), min(radius, top) + 1) for m in masks(top, j).tolist()]
+    ways = F.array(*[F.struct(F.lit(m).cast("bigint").alias("mask"), F.lit(j).alias("apart")) for m, j in flips])
+    each = asks.withColumn("segment", segments).withColumn("way", F.explode(ways))
+    each = each.withColumn("value", lead("ask").bitwiseXOR(F.col("way.mask"))).withColumn("apart", F.col("way.apart"))
+    cell = ["segment", "value"]
+    sizes = index.groupBy(*cell).agg(F.ceil(F.count("*") / ENTRIES).alias("blocks")).join(
+        each.groupBy(*cell).agg(F.ceil(F.count("*") / ASKS).alias("lots")), cell
+    )
+    sizes = small(written(sizes, "cells"), BROADCAST_ROWS)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    name = F.xxhash64(*cell, "block", "lot").alias("cell")
+    mine = index.join(sizes, cell).withColumn("block", F.pmod(F.xxhash64("code"), "blocks")).withColumn("lot", every("lots"))
+    theirs = each.join(sizes, cell).withColumn("lot", F.pmod(F.xxhash64(*ASK), "lots")).withColumn("block", every("blocks"))
+    none = F.lit(None)
+    return mine.select(name, F.lit(False).alias("is_ask"), "segment", "code", F.lit(0).cast("bigint").alias("own"), F.lit(True).alias("lone"), "ids", F.lit(0).alias("apart")).unionByName(
+        theirs.select(name, F.lit(True).alias("is_ask"), "segment", F.col("ask").alias("code"), "own", "lone", none.cast("array<bigint>").alias("ids"), "apart")
+    )
+
+
+def best_rows(met: DataFrame, want: int) -> DataFrame:
+    """(ASK, code, at, vec_id, distance, r): the want nearest rows of each query, those of its own id left out."""
+    rows = met.dropDuplicates([*ASK, "code"]).select(*ASK, "code", "distance", F.posexplode("ids").alias("at", "vec_id"))
+    order = Window.partitionBy(*ASK).orderBy("distance", "vec_id", "code", "at")
+    return rows.where("lone OR vec_id <> own").withColumn("r", F.row_number().over(order)).where(F.col("r") <= want)
+
+
+def search(data: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, rank, vec_id, distance): the k nearest of data (vec_id, code) for each of queries.
+
+    Queries of one code are searched for once, one row further than k, as each leaves out its own row; queries of an id
+    that several rows have are not lone, and are searched for with that id left out.
+    """
+    data = written(data, "codes")
+    entries = written(entries_of(data, k), "entries")
+    count, rows = entries.count(), data.count()
+    bits = 16 if count <= MANY else 32
+    top = top_bits(count, bits)
+    several = data.groupBy("vec_id").count().where("count > 1").select(F.col("vec_id").alias("several_id"), F.lit(False).alias("lone"))
+    met = queries.join(small(written(several, "several"), BROADCAST_ROWS), F.col("vec_id") == F.col("several_id"), "left")
+    lone = F.coalesce("lone", F.lit(True))
+    asked = written(met.select("vec_id", F.col("code").alias("ask"), F.when(lone, F.lit(0)).otherwise(F.col("vec_id")).cast("bigint").alias("own"), lone.alias("lone")), "asked")
+    open_ = asked.select(*ASK).distinct()
+    want, held, found = k + 1, None, None
+    for radius in range(bits + 1):
+        open_ = written(open_, "open")
+        if open_.isEmpty():
+            break
+        met = met_in(placed(entries, open_, bits, top, radius), bits, top, radius, want)
+        met = met if held is None else met.unionByName(held)
+        best = written(best_rows(met, want), "best")
+        last = best.groupBy(*ASK).agg(F.max("distance").alias("last"), F.count("*").alias("n"))
+        reach = CODE_BITS // bits * (radius + 1) - 1
+        # a query has all its rows where they are within reach, or where it has met every row that there is
+        closed = last if radius == bits else last.where(((F.col("n") >= want) & (F.col("last") <= reach)) | (F.col("lone") & (F.col("n") >= rows)))
+        closed = written(closed.select(*ASK), "closed")
+        rows_found = best.join(closed, ASK, "left_semi").select(*ASK, "vec_id", "distance", "r")
+        found = rows_found if found is None else found.unionByName(rows_found)
+        codes_held = best.select(*ASK, "code", "distance").distinct().join(closed, ASK, "left_anti")
+        held = codes_held.join(entries, "code").select(*ASK, "code", "ids", "distance")
+        open_ = open_.join(closed, ASK, "left_anti")
+    if found is None:
+        return asked.select(F.col("vec_id").alias("query_id"), F.lit(1).cast("bigint").alias("rank"), "vec_id", F.lit(0).cast("bigint").alias("distance"))
+    lists = found.groupBy(*ASK).agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "distance"))).alias("rows"))  # k + 1 rows at most
+    each = asked.select(F.col("vec_id").alias("query_id"), *ASK).join(lists, ASK)
+    others = F.slice(F.filter("rows", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    ranked = each.select("query_id", F.posexplode(others).alias("at", "row"))
+    return ranked.select("query_id", (F.col("at") + 1).cast("bigint").alias("rank"), "row.vec_id", "row.distance")
 
 
 def op10_code_search(spark, sf_dir: str, k: int = 10) -> DataFrame:
-    data = codes(table(spark, sf_dir, "embeddings")).where("vec_id IS NOT NULL")
+    data = codes(spread(table(spark, sf_dir, "embeddings"))).where("vec_id IS NOT NULL")
     return search(data, data.where("vec_id % 20 = 0"), k)
 
 

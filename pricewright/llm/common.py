@@ -101,6 +101,23 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20)
     pa.default_memory_pool().release_unused()  # idle workers keep little
 
 
+def same(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
+    """The rows of each value of a column by which they are sorted, one value at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        values = batch.column(column)
+        if not batch.num_rows:
+            continue
+        at = (np.flatnonzero(np.diff(values.to_numpy())) + 1).tolist()
+        for a, b in zip([0, *at], [*at, batch.num_rows]):
+            if held and held[0].column(column)[0] != values[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def united(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Every node of the edges (u, v), and the least node that it is connected with."""
     nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)

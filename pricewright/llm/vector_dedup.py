@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, small, table, united, written
+from .common import components, discard, same, small, table, united, written
 from .near_dedup import gathered, runs
 
 PASSES, SIGNS, WINDOW, TILE = 24, 63, 32, 4096
@@ -135,17 +135,8 @@ def passes(nodes: DataFrame, least: float, turn: int, centres: dict[tuple[str, i
             yield bordered(carry, here, 0)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_rows, border = None, None
-        for whole in batches:
-            for batch in split_runs(whole, "border"):
-                t = pa.Table.from_batches([batch])
-                if border == batch.column("border")[0]:
-                    t = pa.concat_tables([held_rows, t])
-                elif held_rows is not None:
-                    yield from in_windows(held_rows, least, held_rows.column("side").to_pylist().count(0))
-                held_rows, border = t, batch.column("border")[0]
-        if held_rows is not None:
-            yield from in_windows(held_rows, least, held_rows.column("side").to_pylist().count(0))
+        for rows in same(batches, "border"):
+            yield from in_windows(rows, least, rows.column("side").to_pylist().count(0))
 
     signed = nodes.select("uid", "label", "dim", "unit").mapInArrow(sign, "uid bigint, label string, dim int, short binary, signs array<bigint>")
     each = signed.select("uid", "label", "dim", "short", F.posexplode("signs").alias("pass", "sign"))
@@ -158,14 +149,6 @@ def passes(nodes: DataFrame, least: float, turn: int, centres: dict[tuple[str, i
 WALKED = "a bigint, b bigint, sure boolean, border bigint, side int, uid bigint, label string, dim int, short binary, pass int, sign bigint"
 
 
-def split_runs(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    values = batch.column(column).to_numpy()
-    cuts = [0, *(np.flatnonzero(np.diff(values)) + 1).tolist(), len(values)]
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
 def walked_batch(n: int, **columns) -> pa.RecordBatch:
     kinds = {"bigint": pa.int64(), "boolean": pa.bool_(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
     fields = [f.split() for f in WALKED.split(", ")]

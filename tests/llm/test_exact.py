@@ -10,7 +10,7 @@ import pandas as pd
 import public_tokenizers
 import pytest
 
-from pricewright.llm import near_dedup, packing, pieces, queries, repeats, token_counts, toxicity, language_id, vector_dedup
+from pricewright.llm import code_search, near_dedup, packing, pieces, queries, repeats, token_counts, toxicity, language_id, vector_dedup
 
 SF = "/root/testdata/sf0.01"
 ALPHABET = [" ", "  ", "\n", "a", "the", "The", "'s", "'", "é", "É", "12", "!", "<|endoftext|>", "\t", "ing", "ß", "漢", "İ", "Σ", "🦊", "<s>", "▁", "aaaa"]
@@ -310,6 +310,28 @@ def test_against_sql(spark, name):
     assert sorted(str(tuple(r)) for r in df.select(*columns).collect()) == expected
 
 
+@pytest.mark.parametrize("limits", [{}, {"ENTRIES": 16, "ASKS": 8, "MET": 64}, {"MANY": 10, "ENTRIES": 64}])
+def test_codes_by_force(spark, monkeypatch, limits):
+    """Dense and sparse codes, hot codes, repeated ids (negative ones too): the nearest rows by (distance, id)."""
+    for name, value in limits.items():
+        monkeypatch.setattr(code_search, name, value)
+    rng = np.random.default_rng(21)
+    code = np.concatenate([rng.integers(-(1 << 63), 1 << 63, 150), np.repeat(rng.integers(0, 1 << 40, 4), 30)])
+    code[40:100] ^= np.int64(1) << rng.integers(0, 63, 60)
+    ids = np.arange(len(code)) * 10
+    ids[[3, 50, 60, 61]], ids[[7, 8, 9]], ids[150:175] = 40, -20, 400
+    data = spark.createDataFrame(pd.DataFrame({"vec_id": ids, "code": code}))
+    k = 5
+    got = code_search.search(data, data.where("vec_id % 20 = 0"), k).toPandas()
+    expected = []
+    for q, c in zip(ids.tolist(), code.tolist()):
+        if q % 20 == 0:
+            apart = np.bitwise_count((code ^ np.int64(c)).view(np.uint64))
+            best = sorted((int(d), int(i)) for d, i in zip(apart, ids) if i != q)[:k]
+            expected += [(q, r + 1, i, d) for r, (d, i) in enumerate(best)]
+    assert sorted(got.itertuples(index=False, name=None)) == sorted(expected)
+
+
 def test_many_languages(spark):
     rng = random.Random(8)
     langs = [chr(97 + k) * 2 for k in range(12)]
