@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WIDE = "decimal(38,0)"
+from ..functions.udfs import exact_book
+
+#: Digits to a limb of the exact comparison: a remainder times BASE stays a long.
+DIGITS = 6
+BASE = 10**DIGITS
 
 
 def reciprocal_sum(cents: Column, scale: int = 100) -> Column:
@@ -13,34 +17,58 @@ def reciprocal_sum(cents: Column, scale: int = 100) -> Column:
     return F.aggregate(cents, F.lit(0.0), lambda a, p: a + scale / p.cast("double"))
 
 
-def is_arbitrage(cents: Column, scale: int = 100) -> Column:
-    """Whether the reciprocals sum to less than one, exactly: a fraction folded in whole numbers; null on overflow."""
-    zero = F.struct(F.lit(0).cast(WIDE).alias("n"), F.lit(1).cast(WIDE).alias("d"))
-    k = F.lit(scale).cast(WIDE)
+def room(cents: Column, top: int = 100, bottom: int = 1) -> Column:
+    """1, 0 or -1 as the sum of top / (bottom * price) is below, equal to or above one; exact for any number of prices.
+
+    Each reciprocal is divided out limb by limb, and only the gap that is left to one is carried: a gap of as many
+    last places as there are prices decides for good. Unlike one, a sum differs from it by at least the product of
+    the prices' inverse, so after that many places an open gap means equal. Prices are whole and positive.
+    """
+    n = F.size(cents)
+    rest = lambda p: F.lit(bottom).cast("bigint") * p.cast("bigint")
+    digits = F.aggregate(cents, F.lit(0.0), lambda a, p: a + F.log10(rest(p).cast("double"))) + F.log10(F.greatest(n, F.lit(1)).cast("double"))
+    zero = F.struct(F.lit(1).cast("bigint").alias("gap"), F.transform(cents, lambda p: F.lit(top).cast("bigint")).alias("left"))
 
-    def step(acc: Column, p: Column) -> Column:
-        a = p.cast(WIDE)
-        n = F.try_add(F.try_multiply(acc["n"], a), F.try_multiply(k, acc["d"]))
-        return F.struct(n.cast(WIDE).alias("n"), F.try_multiply(acc["d"], a).cast(WIDE).alias("d"))
+    def step(s: Column, _: Column) -> Column:
+        pairs = F.arrays_zip(s["left"].alias("r"), cents.alias("p"))
+        taken = F.aggregate(pairs, F.lit(0).cast("bigint"), lambda a, x: a + F.call_function("div", x["r"] * BASE, rest(x["p"])))
+        after = F.transform(pairs, lambda x: (x["r"] * BASE) % rest(x["p"]))
+        return F.when((s["gap"] <= 0) | (s["gap"] >= n), s).otherwise(F.struct((s["gap"] * BASE - taken).alias("gap"), after.alias("left")))
 
-    folded = F.aggregate(cents, zero, step)
-    return folded["n"] < folded["d"]
+    def told(s: Column) -> Column:
+        over = (s["gap"] < 0) | ((s["gap"] == 0) & F.exists(s["left"], lambda r: r > 0))
+        return F.when(s["gap"] >= n, 1).when(over, -1).otherwise(0)
+
+    return F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.ceil(digits / DIGITS) + 1), zero, step, told)
+
+
+def is_arbitrage(cents: Column, scale: int = 100) -> Column:
+    """Whether the reciprocals sum to less than one, exactly."""
+    return room(cents, scale) > 0
 
 
 def evaluated(books: DataFrame, least_margin: float = 0.0) -> DataFrame:
-    """books with implied_sum, return_multiplier, margin and is_arbitrage."""
+    """books with implied_sum, return_multiplier, margin and is_arbitrage (a margin of least_margin, four decimals, exactly tested)."""
     cents = F.transform("outcomes", lambda o: o["cents"])
-    s = reciprocal_sum(cents)
+    won = is_arbitrage(cents)
+    if least_margin > 0:
+        won = won & (room(cents, 100 * (10_000 + round(least_margin * 10_000)), 10_000) >= 0)
     return (
-        books.withColumn("implied_sum", s)
+        books.withColumn("implied_sum", reciprocal_sum(cents))
         .withColumn("return_multiplier", 1 / F.col("implied_sum"))
         .withColumn("margin", 1 / F.col("implied_sum") - 1)
-        .withColumn("is_arbitrage", is_arbitrage(cents) & (F.col("margin") >= least_margin))
+        .withColumn("is_arbitrage", won)
     )
 
 
-def opportunities(evaluated_books: DataFrame) -> DataFrame:
-    return evaluated_books.where("is_arbitrage").withColumn("quote_ids", F.transform("outcomes", lambda o: o["quote_id"]))
+def opportunities(evaluated_books: DataFrame, exact: bool = False) -> DataFrame:
+    """The books that are arbitrages; exact adds implied60 and margin60, 60-digit texts (an Arrow UDF over these few rows)."""
+    found = evaluated_books.where("is_arbitrage").withColumn("quote_ids", F.transform("outcomes", lambda o: o["quote_id"]))
+    if not exact:
+        return found
+    prices = F.transform("outcomes", lambda o: (o["cents"].cast("decimal(20,0)") / 100).cast("decimal(22,2)").cast("string"))
+    both = exact_book(prices)
+    return found.withColumn("exact", both).withColumns({"implied60": F.col("exact.implied"), "margin60": F.col("exact.margin")}).drop("exact")
 
 
 def refundable(odds_a: Column, odds_b: Column) -> Column:

@@ -48,20 +48,19 @@ def outright_blockers() -> Column:
     return blockers(*((text, F.col(flag) == F.lit(bad)) for text, flag, bad in OUTRIGHT))
 
 
-#: The blockers of an exchange price in their order.
+#: The blockers of an exchange price in their order, each with the condition that blocks.
 EXCHANGE = (
-    "price is not active",
-    "BACK/LAY side identity is missing",
-    "matched liquidity is missing",
-    "commission rate is missing",
-    "commission scope/account-market provenance is missing",
-    "settlement-rule equivalence is not verified",
+    ("price is not active", "status <> 'active'"),
+    ("BACK/LAY side identity is missing", "side IS NULL"),
+    ("matched liquidity is missing", "available IS NULL"),
+    ("commission rate is missing", "rate IS NULL"),
+    ("commission scope/account-market provenance is missing", "scope IS NULL"),
+    ("settlement-rule equivalence is not verified", "NOT rules_verified"),
 )
 
 
 def exchange_blockers() -> Column:
-    missing = [F.col(c).isNull() for c in ("side", "available", "rate", "scope")]
-    return blockers(*zip(EXCHANGE, [F.col("status") != "active", *missing, ~F.col("rules_verified")]))
+    return blockers(*((text, F.expr(condition)) for text, condition in EXCHANGE))
 
 
 def exchange_price_valid(price: Column, available: Column, rate: Column) -> Column:

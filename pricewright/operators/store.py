@@ -15,14 +15,16 @@ def upsert(stored: DataFrame, incoming: DataFrame, key: str = "id", payload: str
 
 
 def new_rows(stored: DataFrame, incoming: DataFrame, key: str = "id", payload: str = "payload") -> DataFrame:
-    """The rows of incoming that stored lacks; reading them fails if a stored id comes with another payload."""
-    new = incoming.select(key, payload).distinct()
-    clash = new.join(stored.select(key, F.col(payload).alias("old")), key).where(~F.col("old").eqNullSafe(F.col(payload)))
-    twice = new.groupBy(key).count().where("count > 1")
-    guard = clash.select(key).unionByName(twice.select(key)).agg(F.count("*").alias("clashes"))
-    fresh = new.join(stored.select(key), key, "left_anti").join(F.broadcast(guard), how="right")  # the guard's one row always comes
-    ok = F.assert_true(F.col("clashes") == 0, F.lit("an id is stored with another payload")).isNull()
-    return fresh.where(ok & F.col(key).isNotNull()).select(key, payload)
+    """The rows of incoming that stored lacks; reading them fails if an id of theirs has another payload, in the store or among them.
+
+    The test sits on the rows that it is about, so no side that happens to be empty can take it out of the plan.
+    """
+    own = F.struct(F.col(payload).alias("p"))  # a struct, so that a null payload counts as one
+    new = incoming.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(own).alias("low"), F.max(own).alias("high"))
+    met = new.join(stored.select(key, F.struct(F.col(payload).alias("p")).alias("old")), key, "left")
+    same = (F.col("low") == F.col("high")) & (F.col("old").isNull() | (F.col("old") == F.col("low")))
+    tested = F.assert_true(same, F.concat(F.lit("an id is stored with another payload: "), F.col(key).cast("string")))
+    return met.where(F.when(tested.isNull(), F.col("old").isNull())).select(key, F.col("low.p").alias(payload))
 
 
 def persist(incoming: DataFrame, path: str, key: str = "id", payload: str = "payload") -> None:
@@ -38,6 +40,30 @@ def persist(incoming: DataFrame, path: str, key: str = "id", payload: str = "pay
     new_rows(stored, incoming, key, payload).write.mode("append").parquet(path)
 
 
+def persist_opportunities(found: DataFrame, path: str) -> None:
+    """Opportunities (opportunity_id, plan, quote_ids, payload) with bridge and audit rows, all or nothing.
+
+    The three kinds are rows of one table, so one commit makes all of them visible or none; a batch that is delivered again
+    adds nothing, and an opportunity that is stored with another payload fails the whole batch. kind tells them apart.
+    """
+    audit = F.to_json(F.struct(F.lit("opportunity_stored").alias("event"), F.col("opportunity_id").cast("string").alias("id")))
+    leg = F.struct("ordinal", "quote_id")
+    parts = (
+        found.select(F.concat(F.lit("opportunity:"), F.col("opportunity_id").cast("string")).alias("id"), F.to_json(F.struct("payload", "plan")).alias("payload")),
+        bridge(found).select(F.concat_ws(":", F.lit("leg"), F.col("opportunity_id").cast("string"), "ordinal").alias("id"), F.to_json(leg).alias("payload")),
+        found.select(F.concat(F.lit("audit:"), F.col("opportunity_id").cast("string")).alias("id"), audit.alias("payload")),
+    )
+    persist(parts[0].unionByName(parts[1]).unionByName(parts[2]), path)
+
+
+def stored_opportunities(path_rows: DataFrame) -> DataFrame:
+    """(opportunity_id, legs, audited) of the rows that persist_opportunities wrote."""
+    kind, own = F.split_part("id", F.lit(":"), F.lit(1)), F.split_part("id", F.lit(":"), F.lit(2))
+    rows = path_rows.select(kind.alias("kind"), own.alias("opportunity_id"))
+    counted = rows.groupBy("opportunity_id").agg(F.count_if(F.col("kind") == "opportunity").alias("n"), F.count_if(F.col("kind") == "leg").alias("legs"), F.count_if(F.col("kind") == "audit").alias("audits"))
+    return counted.where("n = 1").select("opportunity_id", "legs", (F.col("audits") == 1).alias("audited"))
+
+
 def bridge(opportunities: DataFrame) -> DataFrame:
     """(opportunity_id, ordinal, quote_id): the ordered quote set of each opportunity."""
     return opportunities.select("opportunity_id", F.posexplode("quote_ids").alias("ordinal", "quote_id"))

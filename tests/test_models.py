@@ -117,12 +117,28 @@ def test_prices():
 def test_exact_test_by_fractions(spark, seed):
     rng = random.Random(seed)
     rows = [(i, [rng.choice([200, 201, 300, 333, 400, 505, 999]) for _ in range(rng.randint(2, 6))]) for i in range(300)]
-    rows += [(1000, [300] * 3), (1001, [500] * 5), (1002, [99999999] * 6)]
+    rows += [(1000, [300] * 3), (1001, [500] * 5), (1002, [99999999] * 6), (1003, [2000] * 15), (1004, [3000] * 30), (1005, [2999] + [3000] * 29), (1006, [3001] + [3000] * 29)]
+    rows += [(2000 + k, [rng.randint(2900, 3100) for _ in range(30)]) for k in range(60)]
     df = spark.createDataFrame(rows, "i bigint, cents array<bigint>")
     got = {r.i: r.a for r in df.select("i", arbitrage.is_arbitrage(F.col("cents")).alias("a")).collect()}
     for i, cents in rows:
         expected = sum(Fraction(100, c) for c in cents) < 1
-        assert got[i] == expected or got[i] is None and i == 1002  # beyond 38 digits the exact UDF decides
+        assert got[i] == expected
+    shares = {r.i: r.x for r in df.select("i", arbitrage.room(F.col("cents"), 10_200, 100).alias("x")).collect()}
+    for i, cents in rows:
+        total = sum(Fraction(102, c) for c in cents)
+        assert shares[i] == (total < 1) - (total > 1)
+
+
+def test_a_field_of_thirty_runners(spark):
+    """Beyond 38 digits of a common denominator the book is still found, and the 60-digit margin agrees."""
+    books = spark.createDataFrame([(k, [(s, c, f"q{s}") for s, c in enumerate(cents)]) for k, cents in enumerate(([4000] * 30, [3000] * 30, [2999] * 30, [3000] * 29 + [3001]))],
+                                  "market_id bigint, outcomes array<struct<selection_id: bigint, cents: bigint, quote_id: string>>")
+    got = {r.market_id: r for r in arbitrage.opportunities(arbitrage.evaluated(books), exact=True).collect()}
+    assert sorted(got) == [0, 3] and abs(float(got[0].margin60) - 1 / 3) < 1e-15
+    assert Decimal(got[3].margin60) > 0 and len(got[3].quote_ids) == 30
+    at = arbitrage.evaluated(spark.createDataFrame([(0, [(s, 306, "q") for s in range(3)])], books.schema), 0.02)
+    assert at.first().is_arbitrage  # a margin of exactly 0.02
 
 
 def best_by_force(odds, bankroll):
@@ -155,6 +171,51 @@ def test_stakes():
     assert stakes.continuous_target([200, 400], [1, 1], [None, None], 75) == 100
 
 
+def plans_by_force(odds, low, high, step, bankroll):
+    """All payouts at or below the continuous one, greatest first: the first whose least stakes are safe."""
+    top = stakes.continuous_target(odds, low, high, bankroll)
+    for t in range(int(top) if top is not None else 0, 0, -1):
+        s = [max(lo, -(-(-(-t * 100 // o)) // d) * d) for o, lo, d in zip(odds, low, step)]
+        paid = [x * o // 100 for x, o in zip(s, odds)]
+        if sum(s) <= bankroll and min(paid) > sum(s) and all(h is None or x <= h for x, h in zip(s, high)):
+            return s, paid, min(paid) - sum(s)
+    return None
+
+
+def spent(odds, low, payout):
+    return sum(max(Fraction(lo), payout * 100 / o) for o, lo in zip(odds, low))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_stake_limits(spark, seed):
+    rng = random.Random(seed)
+    rows, expected = [], []
+    for i in range(120):
+        m = rng.randint(2, 4)
+        odds, step = [rng.randint(180 + 60 * m, 260 + 120 * m) for _ in range(m)], [rng.choice([1, 1, 5, 10]) for _ in range(m)]
+        low = [d * rng.randint(1, 6) for d in step]
+        high = [rng.choice([None, None, lo + d * rng.randint(0, 40)]) for lo, d in zip(low, step)]
+        bankroll = rng.randint(10, 400)
+        t = stakes.continuous_target(odds, low, high, bankroll)
+        if t is None:
+            assert sum(low) > bankroll
+        else:
+            caps = [Fraction(h * o, 100) for h, o in zip(high, odds) if h is not None]
+            assert t in caps and spent(odds, low, t) <= bankroll or spent(odds, low, t) == bankroll and all(t <= c for c in caps)
+        rows.append((i, odds, low, high, step, bankroll))
+        expected.append(plans_by_force(odds, low, high, step, bankroll))
+    df = spark.createDataFrame(rows, "i int, odds array<bigint>, low array<bigint>, high array<bigint>, step array<bigint>, bankroll bigint")
+    plan = stakes.allocate(*[F.col(c) for c in ("odds", "bankroll", "low", "high", "step")])
+    limit = F.transform("high", lambda h: F.coalesce(h, F.lit(stakes.UNLIMITED)))
+    got = {r.i: r for r in df.select("i", plan.alias("p"), stakes.target(F.col("odds"), F.col("bankroll"), F.col("low"), limit).alias("t")).collect()}
+    for (i, odds, low, high, _, bankroll), e in zip(rows, expected):
+        p = got[i].p
+        assert (None if p.profit is None else (list(p.stakes), list(p.payouts), p.profit)) == e
+        t = stakes.continuous_target(odds, low, high, bankroll)
+        assert got[i].t is None if t is None else abs(got[i].t - float(t)) < 1e-9 * float(t)
+    assert sum(e is not None for e in expected) > 10
+
+
 def test_order_does_not_matter(spark):
     quotes = Frames(spark, SF).quotes
     rows = lambda df: sorted(map(str, df.collect()))
@@ -178,16 +239,36 @@ def test_store_rejects_a_clash(spark):
         store.upsert(old, spark.createDataFrame([("a", "2"), ("c", "3")], "id string, payload string")).collect()
 
 
-def test_persist(spark, tmp_path):
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_persist(spark, tmp_path, adaptive):
     path = str(tmp_path / "store")
     rows = lambda *x: spark.createDataFrame(list(x), "id string, payload string")
-    store.persist(rows(("a", "1"), ("b", "2")), path)
-    store.persist(rows(("a", "1"), ("c", "3")), path)
-    with pytest.raises(Exception, match="another payload"):
-        store.persist(rows(("d", "4"), ("b", "x")), path)
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        store.persist(rows(("a", "1"), ("b", "2")), path)
+        store.persist(rows(("a", "1"), ("c", "3")), path)
+        with pytest.raises(Exception, match="another payload"):
+            store.persist(rows(("d", "4"), ("b", "x")), path)
+        with pytest.raises(Exception, match="another payload"):
+            store.persist(rows(("b", "x")), path)  # a clash alone fails too
+        with pytest.raises(Exception, match="another payload"):
+            store.persist(rows(("e", "1"), ("e", "2")), path)  # and one inside the batch
+        store.persist(rows(("a", "1")), path)  # nothing new
+        assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [("a", "1"), ("b", "2"), ("c", "3")]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_opportunities_are_stored_whole_or_not_at_all(spark, tmp_path):
+    path = str(tmp_path / "opportunities")
+    make = lambda *x: spark.createDataFrame(list(x), "opportunity_id string, plan string, quote_ids array<string>, payload string")
+    one, two = ("o1", "p", ["a", "b", "c"], "x"), ("o2", "p", ["d", "e"], "y")
+    store.persist_opportunities(make(one), path)
+    store.persist_opportunities(make(one, two), path)  # delivered again
     with pytest.raises(Exception, match="another payload"):
-        store.persist(rows(("b", "x")), path)  # a clash alone fails too
-    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [("a", "1"), ("b", "2"), ("c", "3")]
+        store.persist_opportunities(make(("o3", "p", ["f"], "z"), ("o1", "p", ["a", "b", "X"], "x")), path)
+    got = store.stored_opportunities(spark.read.parquet(path)).collect()
+    assert sorted(map(tuple, got)) == [("o1", 3, True), ("o2", 2, True)] and spark.read.parquet(path).count() == 9
 
 
 def test_sql_functions(spark):
