@@ -1,15 +1,18 @@
 """Language identification by partial matching: exact code lengths under frozen byte contexts.
 
-For each language a context tree of order 2 is filled from sampled documents: a context gives a seen
-byte its share and keeps an escape share (as many as it has distinct successors) for the shorter
-context below it, down to a uniform floor. Bytes are taken in lower case (A-Z) and rare ones share a
-symbol, at the same cost in every language. The trees are frozen as counts, broadcast, and expanded on
-each executor into one table of log shares; a text's code length is the sum over all its bytes, and the
-language with the shortest code wins.
-
-The sample is the sample_rows documents of least hash per language. Null texts and texts without a
+For each language a context tree of variable order, ORDER at most, is filled from sampled documents: a node is a string of up to ORDER
+bytes, and holds how often each byte followed it. A byte that a context has seen costs its share there; for another
+one the context charges its escape (as many counts as it has distinct successors) and passes it on to the
+context that is one byte shorter, down to a uniform floor over all 256 bytes. A context that was never seen passes
+on for nothing, so the order that is used varies from byte to byte and from language to language. Bytes A-Z count as a-z; no others
+are merged. The trees are frozen as counts, broadcast, and a text's code length is the sum over all its bytes in double
+precision; the language with the shortest code wins.
+
+The sample is the sample_rows documents of least hash per language, and total_rows in all: with over total_rows /
+sample_rows languages each has an equal share of total_rows, and with over total_rows languages only that many, of least hash, are
+learned. Languages are scored GROUP at a time, so tables stay small however many there are. Null texts and texts without a
 letter are `und` with score 0, as is everything if nothing could be learned. Equal ids keep a row
-each; ties go to the language that sorts first; other columns are not read.
+each, and count as so many rows of the sample; ties go to the language that sorts first; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,92 +29,144 @@ from pyspark.sql import functions as F
 from .common import remainder, slices, spread, table
 from .toxicity import buffers
 
-ORDER = 2
-SLICE = 1 << 20
+ORDER = 3
+GROUP = 8
+SLICE = 1 << 18
 LETTER = re.compile(r"[^\W\d_]")
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] = LOWER[97:123]
 
 
-def sampled(docs: DataFrame, sample_rows: int, folds: int = 4, held: int = 2) -> DataFrame:
-    """(lang, text): per language the sample_rows rows of least hash outside the held-out fold."""
+def sampled(docs: DataFrame, sample_rows: int, folds: int = 4, held: int = 2, total_rows: int = 20_000) -> DataFrame:
+    """(lang, text): per language the rows of least hash outside the held-out fold, sample_rows or its share of total_rows at most."""
     known = docs.where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(remainder("doc_id", folds) != held, F.lit(False))
     )
-    least = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    few = (  # a limit within each group: Spark applies it before the shuffle too
-        known.select("lang", "doc_id").withColumn("place", F.row_number().over(least)).where(F.col("place") <= sample_rows)
-    )
-    few = few.select(F.col("lang").alias("few_lang"), F.col("doc_id").alias("few_id")).distinct()
-    return known.join(F.broadcast(few), (F.col("doc_id") == F.col("few_id")) & (F.col("lang") == F.col("few_lang"))).select("lang", "text")
+    known = known.select("lang", "text", F.xxhash64("doc_id", "text").alias("place_hash"), "doc_id")
+    langs = known.groupBy("lang").count().orderBy(F.xxhash64("lang"), "lang").limit(total_rows).select("lang")
+    count = max(1, langs.count())
+    few = max(1, min(sample_rows, total_rows // count))
+    least = Window.partitionBy("lang").orderBy("place_hash", "doc_id")
+    light = known.select("lang", "doc_id", "place_hash").withColumn("place", F.row_number().over(least)).where(F.col("place") <= few)
+    # a limit within each group, which Spark applies before the shuffle too; of rows that are equal in all this, as many as were counted
+    chosen = light.groupBy("lang", "doc_id", "place_hash").agg(F.count("*").alias("times"))
+    chosen = chosen.join(F.broadcast(langs), "lang").select(*[F.col(c).alias(f"few_{c}") for c in ("lang", "doc_id", "place_hash")], "times")  # total_rows at most
+    met = known.join(F.broadcast(chosen), (F.col("place_hash") == F.col("few_place_hash")) & (F.col("doc_id") == F.col("few_doc_id")) & (F.col("lang") == F.col("few_lang")))
+    one = Window.partitionBy("lang", "doc_id", "place_hash").orderBy(F.lit(0))
+    return met.withColumn("copy", F.row_number().over(one)).where(F.col("copy") <= F.col("times")).select("lang", "text")
 
 
 def counted(sample: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Languages, and (language, three bytes, count) of all trigrams of the sample; a text begins after two zeros."""
+    """Languages, and (language, ORDER + 1 bytes, count) of all strings of the sample; a text begins after zeros."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
             data, offsets = buffers(batch.column("text"))
-            gram = grams(LOWER[data].astype(np.int64), offsets, 256)
             langs = batch.column("lang").dictionary_encode()
-            code = np.repeat(langs.indices.to_numpy(), np.diff(offsets))
-            key, n = np.unique(code << np.int64(24) | gram, return_counts=True)
+            code = np.repeat(langs.indices.to_numpy(), np.diff(offsets)).astype(np.int64)
+            key, n = np.unique(code << np.int64(32) | strings(LOWER[data], offsets), return_counts=True)
             yield pa.RecordBatch.from_arrays(
-                [langs.dictionary.take(pa.array(key >> 24)), pa.array(key & 0xFFFFFF), pa.array(n)], names=["lang", "gram", "n"]
+                [langs.dictionary.take(pa.array(key >> 32)), pa.array(key & 0xFFFFFFFF), pa.array(n)], names=["lang", "gram", "n"]
             )
 
     got = (
         sample.mapInArrow(count, "lang string, gram bigint, n bigint")
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
-        .toArrow()  # bounded by the sample: distinct byte triples of each language
-    )
-    lang = got.column("lang").to_pylist()
-    names = sorted(set(lang))
-    at = {x: i for i, x in enumerate(names)}
-    return (
-        names,
-        np.array([at[x] for x in lang], np.int64),
-        got.column("gram").to_numpy().astype(np.int64),
-        got.column("n").to_numpy().astype(np.float64),
+        .toArrow()  # bounded by the sample: its distinct strings of four bytes in each language
     )
-
-
-def grams(symbols: np.ndarray, offsets: np.ndarray, base: int) -> np.ndarray:
-    """Each position's symbol with its two predecessors in the same text (0 before its begin)."""
-    one, two = np.zeros_like(symbols), np.zeros_like(symbols)
-    one[1:], two[2:] = symbols[:-1], symbols[:-2]
-    begin = offsets[:-1][np.diff(offsets) > 0]
-    one[begin] = two[begin] = 0
-    second = begin + 1
-    two[second[second < len(two)]] = 0
-    return (two * base + one) * base + symbols
-
-
-def expanded(names: list[str], lang, gram, n, symbols: int = 128) -> tuple[np.ndarray, np.ndarray]:
-    """(symbol of each byte, log shares [context and symbol, language])."""
-    total = np.bincount(gram & 255, n, 256)
-    kept = [b for b in np.argsort(-total, kind="stable") if total[b] > 0 and b][: symbols - 2]
-    of = np.ones(256, np.int64)  # 1: any rarer byte; 0: before the text
-    of[kept] = np.arange(2, 2 + len(kept))
-    of[0] = 0
-    k = symbols
-    key = (of[gram >> 16] * k + of[gram >> 8 & 255]) * k + of[gram & 255]
-    out = np.empty((k**3, max(1, len(names))), np.float32)
-    for i in range(len(names)):
-        mine = lang == i
-        c3 = np.bincount(key[mine], n[mine], k**3).reshape(k, k, k)
-        c2 = c3.sum(0)
-        lower = np.full(k, 1 / k)
-        for c in (c2.sum(0), c2, c3):
-            seen, kinds = c.sum(-1, keepdims=True), (c > 0).sum(-1, keepdims=True)
-            whole = np.maximum(seen + kinds, 1)
-            lower = np.where(c > 0, c / whole, np.where(seen > 0, kinds / whole, 1.0) * lower)
-        out[:, i] = np.log(lower).reshape(-1)
-    return of, out
-
-
-_expanded: dict[str, tuple] = {}
+    lang = got.column("lang").combine_chunks().dictionary_encode() if got.num_rows else pa.array([], pa.string()).dictionary_encode()
+    names = sorted(lang.dictionary.to_pylist())
+    place = np.array([names.index(x) for x in lang.dictionary.to_pylist()], np.int64)
+    code = place[lang.indices.to_numpy()] if got.num_rows else np.zeros(0, np.int64)
+    order = np.lexsort((got.column("gram").to_numpy(), code))
+    return names, code[order], got.column("gram").to_numpy().astype(np.int64)[order], got.column("n").to_numpy().astype(np.int64)[order]
+
+
+def strings(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Each byte with the ORDER bytes before it in the same text (0 before its begin), as one number."""
+    out = data.astype(np.int64)
+    at = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
+    for k in range(1, ORDER + 1):
+        before = np.zeros(len(data), np.int64)
+        before[k:] = data[:-k]
+        before[at < k] = 0
+        out |= before << np.int64(8 * k)
+    return out
+
+
+class Trees:
+    """The context trees of up to GROUP languages: logarithms of shares and escapes, by string, one column a language."""
+
+    def __init__(self, languages: int, lang: np.ndarray, gram: np.ndarray, n: np.ndarray):
+        self.languages = languages
+        floor = np.full((1, languages), -np.log(256.0))
+        lower = None
+        for order in range(ORDER + 1):
+            key = gram & ((1 << 8 * (order + 1)) - 1)
+            seen, place = np.unique(key, return_inverse=True)
+            count = np.zeros((len(seen), languages))
+            np.add.at(count, (place, lang), n)
+            context, within = np.unique(seen >> 8, return_inverse=True)
+            whole, kinds = (np.zeros((len(context), languages)) for _ in range(2))
+            np.add.at(whole, within, count)
+            np.add.at(kinds, within, (count > 0).astype(float))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                escape = np.where(whole > 0, np.log(kinds / (whole + kinds)), 0.0)
+                share = np.log(count / (whole + kinds)[within])
+            under = floor if lower is None else lower.costs(seen & ((1 << 8 * order) - 1))
+            cost = np.where(count > 0, share, escape[within] + under)
+            lower = _Level(order, seen, cost, context, escape, lower, floor)
+        self.longest = lower
+
+    def costs(self, gram: np.ndarray) -> np.ndarray:
+        return self.longest.costs(gram)
+
+
+class _Level:
+    def __init__(self, order, seen, cost, context, escape, lower, floor):
+        self.order, self.seen, self.cost, self.context, self.escape, self.lower, self.floor = order, seen, cost, context, escape, lower, floor
+
+    def costs(self, gram: np.ndarray) -> np.ndarray:
+        """The logarithm of each string's last byte under the bytes before it, a column a language."""
+        out = np.empty((len(gram), self.floor.shape[1]))
+        at = np.minimum(np.searchsorted(self.seen, gram), max(0, len(self.seen) - 1))
+        hit = self.seen[at] == gram if len(self.seen) else np.zeros(len(gram), bool)
+        out[hit] = self.cost[at[hit]]
+        miss = np.flatnonzero(~hit)
+        if len(miss):
+            rest = gram[miss]
+            under = self.lower.costs(rest & ((1 << 8 * self.order) - 1)) if self.lower is not None else np.repeat(self.floor, len(miss), 0)
+            if len(self.context):
+                head = rest >> 8
+                at = np.minimum(np.searchsorted(self.context, head), len(self.context) - 1)
+                known = self.context[at] == head
+                under[known] += self.escape[at[known]]
+            out[miss] = under
+        return out
+
+
+_trees: dict[str, list[Trees]] = {}
+
+
+def grown(names: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> list[Trees]:
+    out = []
+    for at in range(0, len(names), GROUP):
+        mine = (lang >= at) & (lang < at + GROUP)
+        out.append(Trees(min(GROUP, len(names) - at), lang[mine] - at, gram[mine], n[mine]))
+    return out
+
+
+def code_lengths(trees: list[Trees], column: pa.Array) -> Iterator[np.ndarray]:
+    """For each group of languages the logarithm of each text's probability, a column a language."""
+    data, offsets = buffers(column)
+    gram, place = np.unique(strings(LOWER[data], offsets), return_inverse=True)
+    full = np.flatnonzero(np.diff(offsets) > 0)
+    for t in trees:
+        code = np.zeros((len(column), t.languages))
+        if len(full):
+            code[full] = np.add.reduceat(t.costs(gram)[place], offsets[full], axis=0)
+        yield code
 
 
 def predict(docs: DataFrame, model) -> DataFrame:
@@ -120,24 +175,21 @@ def predict(docs: DataFrame, model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = held.value[0]
-        if stamp not in _expanded:
-            _expanded.clear()
-            # many languages share a smaller alphabet: the table stays at 8 MB a language up to eight, 1 MB beyond
-            _expanded[stamp] = expanded(*held.value, symbols=128 if len(names) <= 8 else 64)
-        of, share = _expanded[stamp]
-        k = round(len(share) ** (1 / 3))
-        of = of[LOWER]
+        if stamp not in _trees:
+            _trees.clear()
+            _trees[stamp] = grown(*held.value)
         for batch in slices(batches, "text", SLICE):
             column = batch.column("text")
-            data, offsets = buffers(column)
-            code = np.zeros((batch.num_rows, share.shape[1]))
-            full = np.flatnonzero(np.diff(offsets) > 0)
-            if len(full):
-                gram = grams(of[data], offsets, k)
-                code[full] = np.add.reduceat(share[gram], offsets[full], axis=0)
-            best = code.argmax(1)
-            score = 1 / np.exp(code - code.max(1, keepdims=True)).sum(1)
+            n = batch.num_rows
+            best, most, total = np.zeros(n, np.int64), np.full(n, -np.inf), np.zeros(n)
+            for k, code in enumerate(code_lengths(_trees[stamp], column)):
+                top = np.maximum(most, code.max(1))
+                with np.errstate(invalid="ignore"):
+                    total = total * np.where(np.isinf(most), 0.0, np.exp(most - top)) + np.exp(code - top[:, None]).sum(1)
+                best = np.where(code.max(1) > most, k * GROUP + code.argmax(1), best)
+                most = top
             known = [bool(names) and t is not None and LETTER.search(t) is not None for t in column.to_pylist()]
+            score = np.divide(1.0, total, out=np.zeros(n), where=total > 0)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),

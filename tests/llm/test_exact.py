@@ -1,6 +1,7 @@
 """Operators against brute force, libraries, round trips and held-out labels."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
@@ -340,3 +341,61 @@ def test_many_languages(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     got = language_id.predict(df, language_id.counted(language_id.sampled(df, 50))).join(df, "doc_id").toPandas()
     assert (got.lang == got.lang_pred).mean() > 0.95
+
+
+class PlainTree:
+    """Partial matching as plainly as it can be put: counts by context, escapes by the number of kinds."""
+
+    def __init__(self, texts, order):
+        self.order, self.counts = order, {}
+        for t in texts:
+            data = b"\0" * order + bytes(b + 32 if 65 <= b <= 90 else b for b in t.encode())
+            for i in range(order, len(data)):
+                for k in range(order + 1):
+                    self.counts.setdefault(data[i - k : i], Counter())[data[i]] += 1
+
+    def log_share(self, context, byte):
+        seen = self.counts.get(context, Counter())
+        whole, kinds = sum(seen.values()), len(seen)
+        if seen[byte]:
+            return math.log(seen[byte] / (whole + kinds))
+        under = self.log_share(context[1:], byte) if context else -math.log(256)
+        return under + (math.log(kinds / (whole + kinds)) if whole else 0.0)
+
+    def length(self, text):
+        data = b"\0" * self.order + bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+        return sum(self.log_share(data[i - self.order : i], data[i]) for i in range(self.order, len(data)))
+
+
+@pytest.mark.parametrize("languages", [3, 11])
+def test_code_lengths_by_a_plain_model(spark, languages):
+    import pyarrow as pa
+
+    rng = random.Random(31)
+    make = lambda k, n: "".join(rng.choice("abCdé 漢x"[: 3 + k % 6]) for _ in range(n))
+    rows = [(i, make(i % languages, rng.randint(0, 300)), f"l{i % languages:02}") for i in range(6 * languages)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    model = language_id.counted(language_id.sampled(df, 10_000))
+    assert model[0] == sorted({r[2] for r in learned if r[1]})
+    plain = [PlainTree([t for _, t, la in learned if la == name], language_id.ORDER) for name in model[0]]
+    texts = [make(k, 80) for k in range(8)] + ["", "zzz\0", "A", "漢漢漢漢漢", "é" * 500]
+    got = np.concatenate(list(language_id.code_lengths(language_id.grown(*model), pa.array(texts))), axis=1)
+    expected = np.array([[p.length(t) for p in plain] for t in texts])
+    assert np.abs(got - expected).max() < 1e-9
+    out = language_id.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model).orderBy("doc_id").collect()
+    for r, text, e in zip(out, texts, expected):
+        if not any(c.isalpha() for c in text):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        assert r.lang_pred == model[0][int(e.argmax())] and abs(r.score - 1 / np.exp(e - e.max()).sum()) < 1e-6
+
+
+def test_language_sample_is_bounded_and_ties_go_to_the_first(spark):
+    rows = [(i % 40, f"text {i % 40 % 7}", f"l{i % 5}") for i in range(400)] + [(3, "same words here", "b"), (3, "same words here", "a")] * 3
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert language_id.sampled(df, 4).groupBy("lang").count().agg({"count": "max"}).first()[0] == 4
+    assert language_id.sampled(df, 300, total_rows=14).count() <= 14 and language_id.sampled(df, 300, total_rows=3).count() == 3
+    tied = language_id.counted(language_id.sampled(df.where("lang IN ('a', 'b')"), 300))
+    got = language_id.predict(df.limit(5), tied).collect()
+    assert {(r.lang_pred, r.score) for r in got} == {("a", 0.5)}
