@@ -1,13 +1,15 @@
 """Secret scan over a trigram inverted index, in DataFrame operations only.
 
 Each rule's regex is parsed on the driver into a Boolean query over the trigrams that every match must
-contain. One pass over the texts writes the posting rows (trigram, document) of the trigrams that any
-rule asks for; postings are intersected per document and only documents that satisfy a rule's query
-are verified with its regex. A rule without mandatory trigrams (bare hex runs) scans every text.
-
-Null texts count as empty (no spans). A null id is joined null-safely. Rows with the same id share the
-union of their postings, which only adds candidates: each row is verified on its own text. Other
-columns are ignored, an empty table gives an empty result.
+contain. One pass over the texts finds a document's postings, the trigrams that any rule asks for, as
+a bit set; the bit sets are intersected with each rule's query, and only documents that satisfy a query
+are verified with its regex. A rule without mandatory trigrams (bare hex runs) scans every text. In a single scan the postings
+stay beside their text, so no text is shuffled; index() writes them as rows (trigram, document) for scans to
+come, which intersect the stored postings and read no trigram again.
+
+Null texts count as empty (no spans). Rows with the same id are rows of their own; with a stored index a null id is joined
+null-safely, and rows of one id share the union of their postings, which only adds candidates: each row is verified on its own
+text. Other columns are ignored, an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,14 +21,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import small, spread, table, written
 
 _parser = re._parser
 #: Up to this many alternatives of a piece of a regex are written out as strings.
 MAX_STRINGS = 8
 #: Trigrams to a word of a document's bit set.
 BITS = 60
-#: Candidate tables up to this many rows (16 bytes each) are broadcast; larger ones are joined by a shuffle.
+#: Gathered postings of up to this many documents (24 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 16
 
 
@@ -144,38 +146,36 @@ def _holds(q, ids: dict[str, int]) -> Column:
     return reduce(join, (_holds(x, ids) for x in q[1]))
 
 
-def postings(docs: DataFrame, trigrams: dict[str, int]) -> DataFrame:
-    """(trigram, doc_id) for each of the given trigrams that occurs in a text, letters in lower case."""
-    low = docs.select("doc_id", F.lower("text").alias("low"))
-    held = F.array_compact(
-        F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(i)) for t, i in trigrams.items()])
-    )
-    return low.select(F.explode(held).alias("trigram"), "doc_id")
-
-
-def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> tuple[DataFrame, list[int]]:
-    """(doc_id, rules as a bit set) from the index, and the numbers of the rules that need no index."""
-    asked = {r.kind: trigram_query(r.regex) for r in rules}
-    ids = {t: i for i, t in enumerate(sorted(set().union(*map(_trigrams, asked.values()))))}
-    full = [k for k, r in enumerate(rules) if asked[r.kind] is True]
-    index = written(postings(docs, ids), "postings")
-    bit = F.expr(f"shiftleft(1L, trigram % {BITS})")
-    held = index.groupBy("doc_id").agg(
-        *[
-            F.coalesce(F.bit_or(F.when(F.floor(F.col("trigram") / BITS) == w, bit)), F.lit(0)).alias(f"held{w}")
-            for w in range(len(ids) // BITS + 1)
-        ]
-    )
-    hit = reduce(
-        lambda a, b: a.bitwiseOR(b),
-        (
-            F.when(_holds(asked[r.kind], ids), F.lit(1 << k)).otherwise(F.lit(0))
-            for k, r in enumerate(rules)
-            if k not in full
-        ),
-        F.lit(0),
-    )
-    return held.select("doc_id", hit.alias("hit")).where("hit != 0"), full
+def numbers(rules: tuple[Rule, ...]) -> dict[str, int]:
+    """A number for each trigram that any rule asks for."""
+    return {t: i for i, t in enumerate(sorted(set().union(*(_trigrams(trigram_query(r.regex)) for r in rules))))}
+
+
+def held(docs: DataFrame, trigrams: dict[str, int]) -> DataFrame:
+    """docs with its postings, held0, held1, ...: a bit for each of the given trigrams that occurs in the text, letters in lower case."""
+    low = docs.withColumn("low_text", F.lower("text"))
+    words: list[list[Column]] = [[] for _ in range(len(trigrams) // BITS + 1)]
+    for t, i in trigrams.items():
+        bit = F.lit(1 << i % BITS).cast("bigint")
+        words[i // BITS].append(F.when(F.contains("low_text", F.lit(t)), bit).otherwise(F.lit(0).cast("bigint")))
+    sums = {f"held{w}": reduce(lambda a, b: a.bitwiseOR(b), x, F.lit(0).cast("bigint")) for w, x in enumerate(words)}
+    return low.withColumns(sums).drop("low_text")
+
+
+def index(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
+    """The inverted index for these rules, (trigram, doc_id), written to the shared folder."""
+    ids = numbers(rules)
+    bits = F.array_compact(F.array(*[F.when(F.col(f"held{i // BITS}").bitwiseAND(F.lit(1 << i % BITS).cast("bigint")) != 0, F.lit(t)) for t, i in ids.items()]))
+    return written(held(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), ids).select(F.explode(bits).alias("trigram"), "doc_id").distinct(), "postings")
+
+
+def gathered_postings(stored: DataFrame, trigrams: dict[str, int]) -> DataFrame:
+    """(doc_id, held0, ...) from stored postings."""
+    place = F.try_element_at(F.create_map(*[F.lit(x) for t, i in trigrams.items() for x in (t, i)]), "trigram") if trigrams else F.lit(None).cast("int")
+    rows = stored.withColumn("place", place).where("place IS NOT NULL")
+    bit = F.expr(f"shiftleft(1L, place % {BITS})")
+    words = range(len(trigrams) // BITS + 1)
+    return rows.groupBy("doc_id").agg(*[F.coalesce(F.bit_or(F.when(F.floor(F.col("place") / BITS) == w, bit)), F.lit(0)).alias(f"held{w}") for w in words])
 
 
 def spans_of(text: Column, rule: Rule, order: int) -> Column:
@@ -202,22 +202,25 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
     return F.aggregate(each, zero, step)["out"]
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, keep: tuple[str, ...] = ()) -> DataFrame:
-    """docs (doc_id, text, keep) with found: array of (start, kind number in rules, end), sorted."""
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, keep: tuple[str, ...] = (), stored: DataFrame | None = None) -> DataFrame:
+    """docs (doc_id, text, keep) with found: array of (start, kind number in rules, end), sorted.
+
+    stored: postings that index() wrote for rules that ask for these trigrams at least; none: they are found in the same pass.
+    """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *keep)
-    hits, full = candidates(docs, rules)
-    hits = written(hits, "candidates").withColumnRenamed("doc_id", "hit_id")
-    if hits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        hits = F.broadcast(hits)
-    joined = docs.join(hits, docs.doc_id.eqNullSafe(hits.hit_id), "left")
+    ids = numbers(rules)
+    if stored is None:
+        with_postings = held(docs, ids)
+    else:
+        postings = written(gathered_postings(stored, ids), "gathered").withColumnRenamed("doc_id", "hit_id")
+        with_postings = docs.join(small(postings, BROADCAST_ROWS), docs.doc_id.eqNullSafe(F.col("hit_id")), "left")
+        with_postings = with_postings.withColumns({f"held{w}": F.coalesce(f"held{w}", F.lit(0)) for w in range(len(ids) // BITS + 1)})
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     found = []
     for k, rule in enumerate(rules):
-        wanted = F.col("text").rlike(rule.regex)
-        if k not in full:
-            wanted = (F.coalesce("hit", F.lit(0)).bitwiseAND(F.lit(1 << k)) != 0) & wanted
-        found.append(F.when(wanted, spans_of(F.col("text"), rule, k)).otherwise(none))
-    return joined.select("doc_id", "text", *keep, F.sort_array(F.concat(*found)).alias("found"))
+        asked = _holds(trigram_query(rule.regex), ids)
+        found.append(F.when(asked & F.col("text").rlike(rule.regex), spans_of(F.col("text"), rule, k)).otherwise(none))
+    return with_postings.select("doc_id", "text", *keep, F.sort_array(F.concat(*found)).alias("found"))
 
 
 def listed(found: Column, rules: tuple[Rule, ...]) -> Column:
@@ -254,7 +257,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, keep: tuple[s
 
 def op8_secret_scan(spark, sf_dir: str) -> DataFrame:
     rules = BASE + MORE
-    found = scan(table(spark, sf_dir, "documents"), rules)
+    found = scan(spread(table(spark, sf_dir, "documents")), rules)
     base = F.filter("found", lambda s: s["kind"] < len(BASE))
     count = lambda k: F.size(F.filter("found", lambda s: s["kind"] == k)).cast("bigint")
     return found.select(
