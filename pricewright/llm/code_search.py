@@ -2,10 +2,11 @@
 
 A code (the signs of a vector, 64 bits) is cut into four segments of 16 bits (two of 32 for over MANY entries, as segments should
 be about as long as the logarithm of their number). Equal codes are one entry with the ids that any
-result can need. Queries are worked off in rounds: in round r an open query probes, segment by segment, the entries
-whose segment differs from its own in exactly r bits, and verifies what it meets by full Hamming distance. After
-round r every entry within 4 (r + 1) - 1 has been met, so a query closes as soon as its last wanted distance is at most
-that; only open queries go into the next round.
+result can need. Queries are worked off in rounds of growing radius: an open query probes, segment by segment, the entries
+whose segment differs from its own in r bits, and verifies what it meets by full Hamming distance. After
+radius r every entry within 4 (r + 1) - 1 has been met, so a query closes as soon as its last wanted distance is at most
+that; only open queries go into the next round. The first radii, which are PROBES probes together, make one round, and so do
+the last ones, of which each has more probes than there are entries.
 
 The index is dealt out by segment and its leading bits (as many as the number of entries asks for). A query goes only to
 the cells whose leading bits differ from its own in j <= r bits and probes there the remaining r - j, in one sorted
@@ -35,6 +36,8 @@ CODE_BITS, MANY = 64, 1 << 24
 ASK = ["ask", "own", "lone"]
 #: Entries of a cell, and queries that meet them at once.
 ENTRIES, ASKS = 16_384, 16_384
+#: Probes of a query in a segment that are worth a round.
+PROBES = 1024
 #: Pairs of a query and an entry that are verified at once.
 MET = 1 << 21
 BROADCAST_ROWS = 1 << 18
@@ -59,6 +62,22 @@ def codes(vectors: DataFrame, code_bits: int = 64) -> DataFrame:
     return vectors.where(x.isNotNull() & (F.size(x) == code_bits) & fine).select("vec_id", code.alias("code"))
 
 
+def rounds(bits: int, entries: int) -> Iterator[tuple[int, int]]:
+    """(first, last) radius of each round."""
+    low = probes = 0
+    for radius in range(bits + 1):
+        if comb(bits, radius) > entries and radius <= bits // 2:
+            if radius > low:
+                yield low, radius - 1
+            yield radius, bits
+            return
+        if probes and probes + comb(bits, radius) > PROBES:
+            yield low, radius - 1
+            low, probes = radius, 0
+        probes += comb(bits, radius)
+    yield low, bits
+
+
 def entries_of(data: DataFrame, k: int) -> DataFrame:
     """(code, ids): per distinct code the least ids, as many as a query can take and skip: of one id k, of all 2 k + 1."""
     per_id = F.row_number().over(Window.partitionBy("code", "vec_id").orderBy(F.lit(0)))
@@ -81,21 +100,24 @@ class Cell:
         cuts = self.ids.offsets.to_numpy().astype(np.int64)
         self.flat, self.first, self.n = self.ids.values.to_numpy(), cuts[:-1], np.diff(cuts)
 
-    def probe(self, ask: np.ndarray, own: np.ndarray, lone: np.ndarray, value: np.ndarray, bits: int, flips: int, want: int):
-        """(query, entry, distance) of what the want nearest rows of each query need, among entries whose value differs from the query's in flips of bits.
+    def probe(self, ask: np.ndarray, own: np.ndarray, lone: np.ndarray, value: np.ndarray, bits: int, flips: tuple[int, int], want: int):
+        """(query, entry, distance) of what the want nearest rows of each query need, among entries whose value differs from the query's in so many of bits.
 
         Where there are more such values than entries, the entries are gone through instead.
         """
-        out, ways = [], comb(bits, flips)
-        whole = ways > len(self.code)
-        step = max(1, MET // max(1, min(ways, len(self.code))))
+        out, each = [], range(flips[0], flips[1] + 1)
+        n_ways = sum(comb(bits, f) for f in each)
+        whole = n_ways > len(self.code)
+        ways = None if whole else np.concatenate([masks(bits, f) for f in each])
+        step = max(1, MET // max(1, min(n_ways, len(self.code))))
         for at in range(0, len(ask), step):
             part = np.arange(at, min(at + step, len(ask)))
             if whole:
-                row, e = np.nonzero(np.bitwise_count(value[part][:, None] ^ self.value[None, :]) == flips)
+                apart = np.bitwise_count(value[part][:, None] ^ self.value[None, :])
+                row, e = np.nonzero((apart >= flips[0]) & (apart <= flips[1]))
                 out.append(self.verified(part[row], e, ask, own, lone, want))
                 continue
-            wanted = value[part][:, None] ^ masks(bits, flips)[None, :]
+            wanted = value[part][:, None] ^ ways[None, :]
             first = np.searchsorted(self.value, wanted, "left")
             n = np.searchsorted(self.value, wanted, "right") - first
             row, col = np.nonzero(n)
@@ -136,8 +158,8 @@ class Cell:
         return q[close], e[close], d[close]
 
 
-def met_in(cells: DataFrame, bits: int, top: int, radius: int, want: int) -> DataFrame:
-    """(ASK, code, ids, distance): what the queries of cells meet at this radius."""
+def met_in(cells: DataFrame, bits: int, top: int, radii: tuple[int, int], want: int) -> DataFrame:
+    """(ASK, code, ids, distance): what the queries of cells meet at these radii."""
     rest = bits - top
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +172,8 @@ def met_in(cells: DataFrame, bits: int, top: int, radius: int, want: int) -> Dat
             cell = Cell(code[e], t.column("ids").combine_chunks().take(pa.array(e)), value(e))
             for j in np.unique(apart[q]):
                 i = q[apart[q] == j]
-                x, y, d = cell.probe(code[i], own[i], lone[i], value(i), rest, int(radius - j), want)
+                flips = max(0, radii[0] - int(j)), min(rest, radii[1] - int(j))
+                x, y, d = cell.probe(code[i], own[i], lone[i], value(i), rest, flips, want)
                 yield pa.RecordBatch.from_arrays(
                     [*(pa.array(c[i[x]]) for c in (code, own, lone)), pa.array(cell.code[y]), cell.ids.take(pa.array(y)), pa.array(d)],
                     names=[*ASK, "code", "ids", "distance"],
@@ -160,13 +183,13 @@ def met_in(cells: DataFrame, bits: int, top: int, radius: int, want: int) -> Dat
     return dealt.mapInArrow(run, "ask bigint, own bigint, lone boolean, code bigint, ids array<bigint>, distance bigint")
 
 
-def placed(entries: DataFrame, asks: DataFrame, bits: int, top: int, radius: int) -> DataFrame:
+def placed(entries: DataFrame, asks: DataFrame, bits: int, top: int, radii: tuple[int, int]) -> DataFrame:
     """Both sides dealt to cells, (cell, is_ask, segment, code, own, lone, ids, apart); what is too much for a cell in blocks."""
     rest = bits - top
     lead = lambda c: F.expr(f"shiftrightunsigned({c}, segment * {bits} + {rest})").bitwiseAND(F.lit((1 << top) - 1).cast("bigint")) if top else F.lit(0).cast("bigint")
     segments = F.explode(F.array(*[F.lit(s) for s in range(CODE_BITS // bits)]))
     index = entries.withColumn("segment", segments).withColumn("value", lead("code"))
-    flips = [(int(m), j) for j in range(max(0, radius - rest), min(radius, top) + 1) for m in masks(top, j).tolist()]
+    flips = [(int(m), j) for j in range(max(0, radii[0] - rest), min(radii[1], top) + 1) for m in masks(top, j).tolist()]
     ways = F.array(*[F.struct(F.lit(m).cast("bigint").alias("mask"), F.lit(j).alias("apart")) for m, j in flips])
     each = asks.withColumn("segment", segments).withColumn("way", F.explode(ways))
     each = each.withColumn("value", lead("ask").bitwiseXOR(F.col("way.mask"))).withColumn("apart", F.col("way.apart"))
@@ -174,7 +197,8 @@ def placed(entries: DataFrame, asks: DataFrame, bits: int, top: int, radius: int
     sizes = index.groupBy(*cell).agg(F.ceil(F.count("*") / ENTRIES).alias("blocks")).join(
         each.groupBy(*cell).agg(F.ceil(F.count("*") / ASKS).alias("lots")), cell
     )
-    sizes = small(written(sizes, "cells"), BROADCAST_ROWS)
+    if CODE_BITS // bits << top <= BROADCAST_ROWS:  # there are no more cells than this
+        sizes = F.broadcast(sizes)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
     name = F.xxhash64(*cell, "block", "lot").alias("cell")
     mine = index.join(sizes, cell).withColumn("block", F.pmod(F.xxhash64("code"), "blocks")).withColumn("lot", every("lots"))
@@ -185,11 +209,18 @@ def placed(entries: DataFrame, asks: DataFrame, bits: int, top: int, radius: int
     )
 
 
-def best_rows(met: DataFrame, want: int) -> DataFrame:
-    """(ASK, code, at, vec_id, distance, r): the want nearest rows of each query, those of its own id left out."""
-    rows = met.dropDuplicates([*ASK, "code"]).select(*ASK, "code", "distance", F.posexplode("ids").alias("at", "vec_id"))
-    order = Window.partitionBy(*ASK).orderBy("distance", "vec_id", "code", "at")
-    return rows.where("lone OR vec_id <> own").withColumn("r", F.row_number().over(order)).where(F.col("r") <= want)
+def best_rows(met: DataFrame, want: int, reach: int, rows: int) -> DataFrame:
+    """(ASK, code, ids, vec_id, distance, r, done): the want nearest rows of each query, those of its own id left out.
+
+    A query is done when its rows are complete: the last wanted one is within reach, or there are no more rows.
+    """
+    own = Window.partitionBy(*ASK)
+    once = met.repartition(*ASK).dropDuplicates([*ASK, "code"]).select(*ASK, "code", "ids", "distance", F.posexplode("ids").alias("at", "vec_id"))
+    ranked = once.where("lone OR vec_id <> own").withColumn("r", F.row_number().over(own.orderBy("distance", "vec_id", "code", "at")))
+    kept = ranked.where(F.col("r") <= want)
+    n, last = F.count("*").over(own), F.max("distance").over(own)
+    done = ((n >= want) & (last <= reach)) | (F.col("lone") & (n >= rows)) | F.lit(reach >= CODE_BITS)
+    return kept.select(*ASK, "code", "ids", "vec_id", "distance", "r", done.alias("done"))
 
 
 def search(data: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -207,27 +238,21 @@ def search(data: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     met = queries.join(small(written(several, "several"), BROADCAST_ROWS), F.col("vec_id") == F.col("several_id"), "left")
     lone = F.coalesce("lone", F.lit(True))
     asked = written(met.select("vec_id", F.col("code").alias("ask"), F.when(lone, F.lit(0)).otherwise(F.col("vec_id")).cast("bigint").alias("own"), lone.alias("lone")), "asked")
-    open_ = asked.select(*ASK).distinct()
+    cores = data.sparkSession.sparkContext.defaultParallelism
+    open_ = written(asked.select(*ASK).distinct().coalesce(cores), "open")
     want, held, found = k + 1, None, None
-    for radius in range(bits + 1):
-        open_ = written(open_, "open")
+    for radii in rounds(bits, count):
+        met = met_in(placed(entries, open_, bits, top, radii), bits, top, radii, want)
+        met = met if held is None else met.unionByName(held)
+        # after the last radius a query has met every row that there is
+        reach = CODE_BITS if radii[1] == bits else CODE_BITS // bits * (radii[1] + 1) - 1
+        best = written(best_rows(met, want, reach, rows), "best")
+        closed = best.where("done")
+        found = closed if found is None else found.unionByName(closed)
+        held = best.where("NOT done").select(*ASK, "code", "ids", "distance")
+        open_ = written(open_.join(closed.select(*ASK), ASK, "left_anti").coalesce(cores), "open")
         if open_.isEmpty():
             break
-        met = met_in(placed(entries, open_, bits, top, radius), bits, top, radius, want)
-        met = met if held is None else met.unionByName(held)
-        best = written(best_rows(met, want), "best")
-        last = best.groupBy(*ASK).agg(F.max("distance").alias("last"), F.count("*").alias("n"))
-        reach = CODE_BITS // bits * (radius + 1) - 1
-        # a query has all its rows where they are within reach, or where it has met every row that there is
-        closed = last if radius == bits else last.where(((F.col("n") >= want) & (F.col("last") <= reach)) | (F.col("lone") & (F.col("n") >= rows)))
-        closed = written(closed.select(*ASK), "closed")
-        rows_found = best.join(closed, ASK, "left_semi").select(*ASK, "vec_id", "distance", "r")
-        found = rows_found if found is None else found.unionByName(rows_found)
-        codes_held = best.select(*ASK, "code", "distance").distinct().join(closed, ASK, "left_anti")
-        held = codes_held.join(entries, "code").select(*ASK, "code", "ids", "distance")
-        open_ = open_.join(closed, ASK, "left_anti")
-    if found is None:
-        return asked.select(F.col("vec_id").alias("query_id"), F.lit(1).cast("bigint").alias("rank"), "vec_id", F.lit(0).cast("bigint").alias("distance"))
     lists = found.groupBy(*ASK).agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "distance"))).alias("rows"))  # k + 1 rows at most
     each = asked.select(F.col("vec_id").alias("query_id"), *ASK).join(lists, ASK)
     others = F.slice(F.filter("rows", lambda x: x["vec_id"] != F.col("query_id")), 1, k)

@@ -311,7 +311,7 @@ def test_against_sql(spark, name):
     assert sorted(str(tuple(r)) for r in df.select(*columns).collect()) == expected
 
 
-@pytest.mark.parametrize("limits", [{}, {"ENTRIES": 16, "ASKS": 8, "MET": 64}, {"MANY": 10, "ENTRIES": 64}])
+@pytest.mark.parametrize("limits", [{}, {"ENTRIES": 16, "ASKS": 8, "MET": 64}, {"MANY": 10, "ENTRIES": 64}, {"PROBES": 1, "ENTRIES": 16}])
 def test_codes_by_force(spark, monkeypatch, limits):
     """Dense and sparse codes, hot codes, repeated ids (negative ones too): the nearest rows by (distance, id)."""
     for name, value in limits.items():
