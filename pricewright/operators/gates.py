@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_half_line, is_half_total
@@ -67,6 +67,24 @@ def exchange_price_valid(price: Column, available: Column, rate: Column) -> Colu
     return (price > 1) & F.coalesce(available > 0, F.lit(True)) & F.coalesce((rate >= 0) & (rate < 1), F.lit(True))
 
 
+def attested(claims: DataFrame, key: str) -> DataFrame:
+    """(key, review) of claims (key, source, claim): incomplete if a claim lacks its source or what it says, conflict if claims differ, else complete."""
+    whole = F.count_if(F.col("source").isNotNull() & F.col("claim").isNotNull())
+    counted = claims.groupBy(key).agg(whole.alias("whole"), F.count("*").alias("n"), F.min("claim").alias("low"), F.max("claim").alias("high"))
+    return counted.select(key, F.when(F.col("whole") < F.col("n"), "incomplete").when(F.col("low") != F.col("high"), "conflict").otherwise("complete").alias("review"))
+
+
+def ruled(quotes: DataFrame, rules: DataFrame) -> DataFrame:
+    """quotes (provider_id, side, effective_ts, ...) with equivalent: what the latest rule says that was in force; null without one.
+
+    rules: provider_id, side, since, equivalent. A provider's few rules are gathered into one row, so a quote meets one row.
+    """
+    listed = rules.groupBy("provider_id", "side").agg(F.array_sort(F.collect_list(F.struct("since", "equivalent"))).alias("rules"))
+    met = quotes.join(listed, ["provider_id", "side"], "left")
+    inforce = F.filter("rules", lambda r: r["since"] <= F.col("effective_ts"))
+    return met.withColumn("equivalent", F.get(inforce, F.size(inforce) - 1)["equivalent"]).drop("rules")
+
+
 def market_issue(kind: Column, period: Column, line: Column, index: Column, set_index: Column, subject: Column) -> Column:
     """First broken invariant of a market row."""
     lined, indexed = kind.isin("total_points", "handicap"), period.isin("set", "game", "period", "quarter")

@@ -120,3 +120,28 @@ def exact_outcomes(selections: DataFrame, wanted: tuple[str, ...]) -> DataFrame:
     for i in range(len(wanted)):
         ok = ok & (F.col(f"n{i}") == 1)
     return counted.select("market_id", ok.alias("ok"))
+
+
+def anchored(evidence: DataFrame, official: DataFrame) -> DataFrame:
+    """(source_id, event_id, status): the one official event of the competition that starts at that moment, if it is one.
+
+    official: competition_id, start_us, event_id. Least and count are enough: no list of events is gathered.
+    """
+    at = official.groupBy("competition_id", "start_us").agg(F.count("*").alias("n"), F.min("event_id").alias("event_id"))
+    met = evidence.select("source_id", "competition_id", "start_us").join(at, ["competition_id", "start_us"], "left")
+    status = F.when(F.col("n").isNull(), "no_official_event").when(F.col("n") > 1, "several_official_events").otherwise("anchored")
+    return met.select("source_id", F.when(F.col("n") == 1, F.col("event_id")).alias("event_id"), status.alias("status"))
+
+
+def two_of_the_event(picks: DataFrame, members: DataFrame) -> DataFrame:
+    """(market_id, ok): whether a head-to-head market's picks (market_id, event_id, participant_id) are two different members (event_id, participant_id) of its event."""
+    met = picks.join(members.withColumn("member", F.lit(True)), ["event_id", "participant_id"], "left")
+    counted = met.groupBy("market_id").agg(F.count("*").alias("n"), F.min("participant_id").alias("low"), F.max("participant_id").alias("high"), F.count("member").alias("members"))
+    return counted.select("market_id", ((F.col("n") == 2) & (F.col("low") != F.col("high")) & (F.col("members") == 2)).alias("ok"))
+
+
+def opposed_handicaps(selections: DataFrame) -> DataFrame:
+    """(market_id, ok): whether a market's selections (market_id, line, kind, handicap) are home at its line and away at the opposite one, each once."""
+    home, away = (F.col("kind") == "home") & (F.col("handicap") == F.col("line")), (F.col("kind") == "away") & (F.col("handicap") == -F.col("line"))
+    counted = selections.groupBy("market_id").agg(F.count("*").alias("n"), F.count_if(home).alias("home"), F.count_if(away).alias("away"))
+    return counted.select("market_id", ((F.col("n") == 2) & (F.col("home") == 1) & (F.col("away") == 1)).alias("ok"))

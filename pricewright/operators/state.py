@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ("provider_id", "market_id", "selection_id", "transport_id")
@@ -86,6 +86,54 @@ def evicted(current_versions: DataFrame, as_of_us: int, window_us: int) -> DataF
     return current_versions.withColumn("reason", reason).where("reason IS NOT NULL")
 
 
+def suppressed(observations: DataFrame, window_us: int) -> DataFrame:
+    """(KEY, invalidated_us, until_us): from each inactivity of a key until it is active again, or is evicted window_us after its last sign of life.
+
+    observations: KEY, observed_us, status. Inactivities in a row are one; a key that never comes back is evicted.
+    """
+    w = Window.partitionBy(*KEY).orderBy("observed_us", "quote_id")
+    off = F.col("status") != "active"
+    first = off & ~F.coalesce(F.lag("status").over(w) != "active", F.lit(False))
+    again = F.min(F.when(~off, F.col("observed_us"))).over(w.rowsBetween(1, Window.unboundedFollowing))
+    last = F.max(F.when(off, F.col("observed_us"))).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # the end of this run of inactivities: the last one before the key is active again
+    runs = observations.select(*KEY, "observed_us", "quote_id", "status").withColumns({"first": first, "again": again, "last": last})
+    return runs.where("first").select(*KEY, F.col("observed_us").alias("invalidated_us"), F.coalesce("again", F.col("last") + window_us).alias("until_us"))
+
+
+def lives(observations: DataFrame, tolerance_us: int, window_us: int) -> DataFrame:
+    """The fold of observations with eviction: a key whose version is older than window_us when its next observation comes starts a new life.
+
+    observations: KEY, quote_id, cents, status, observed_us, effective_us, ingested_us. Returns them with outcome, revision, life, and, of
+    what is accepted, evicted_us: when it leaves the state unless it is followed before. A packet that is itself older than the window when it comes is late
+    for an evicted key: it is told late_for_evicted, stays in the store as stale, and begins nothing.
+    """
+    columns = [f.name for f in observations.schema]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, now, life = None, None, 0
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                own = tuple(getattr(r, k) for k in KEY)
+                if own != key:
+                    key, now, life = own, None, 1
+                elif now is not None and r.observed_us - now[3] > window_us:
+                    now, life = None, life + 1
+                if now is None and life > 1 and r.observed_us - r.effective_us > window_us:
+                    rows.append(("late_for_evicted", None, life, None))
+                    continue
+                now, outcome = step(now, r.cents, r.status, r.effective_us, r.ingested_us, r.observed_us, tolerance_us)
+                taken = outcome.startswith("accepted")
+                rows.append((outcome, now[0] if taken else None, life, now[3] + window_us if taken else None))
+            outcomes, revisions, ages, ends = zip(*rows) if rows else ((), (), (), ())
+            yield pdf.assign(outcome=list(outcomes), revision=pd.array(revisions, dtype="Int64"), life=list(ages), evicted_us=pd.array(ends, dtype="Int64"))
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in observations.schema)
+    dealt = observations.repartition(*KEY).sortWithinPartitions(*KEY, "observed_us", "effective_us", "ingested_us", "quote_id").select(*columns)
+    return dealt.mapInPandas(run, f"{kinds}, outcome string, revision bigint, life bigint, evicted_us bigint")
+
+
 def invalidations(quotes: DataFrame, selections: DataFrame) -> DataFrame:
     """Tombstones of explicit inactivity; an inactive market fans out to all its selections.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import arbitrage as A
 from ..operators import books as B
+from ..operators import feeds
 from ..operators import gates as G
 from ..projection import AS_OF, EVENTS, QUOTES, WINDOW_DAYS, Catalogue, Frames
 from .scalar_queries import BASE, KEYS, base
@@ -206,10 +207,11 @@ def _(f):
     return have.select("market_id", F.array_join(F.array_except(expected, "have").cast("array<string>"), ",").alias("missing"))
 
 
-@C.add("set_overlap_policy", "SELECT 1::bigint AS clash")
+@C.add("set_overlap_policy", f"WITH {QUOTES} SELECT market_id, provider_id AS clash FROM quotes WHERE cents > 300 INTERSECT SELECT market_id, provider_id FROM quotes WHERE status = 'suspended'")
 def _(f):
-    one = f.spark.createDataFrame([(1,), (2,)], "clash bigint")
-    return one.intersect(f.spark.createDataFrame([(1,), (4,)], "clash bigint"))
+    # a policy may not both include and exclude a provider
+    include = f.quotes.where("cents > 300").select("market_id", F.col("provider_id").alias("clash"))
+    return include.intersect(f.quotes.where("status = 'suspended'").select("market_id", F.col("provider_id").alias("clash")))
 
 
 @C.add("set_feed_union", f"WITH {QUOTES} SELECT transport_id, quote_id, cents FROM quotes")
@@ -256,11 +258,14 @@ def _(f):
     return best(f).select("market_id", "selection_id", "quote_id").orderBy("market_id", "selection_id").offset(100).limit(50)
 
 
-@C.add("srt_lru_cache", f"WITH {QUOTES} SELECT quote_id, market_id, selection_id, cents % 7 = 0 AS decision FROM quotes")
+@C.add("srt_lru_cache", f"""WITH {QUOTES}, n AS (SELECT *, row_number() OVER (PARTITION BY market_id ORDER BY quote_id, cents) AS i, cents % 7 AS k FROM quotes),
+  p AS (SELECT *, lag(i) OVER (PARTITION BY market_id, k ORDER BY i) AS j FROM n), b AS (SELECT p.market_id, p.i, count(DISTINCT x.k) AS between_ FROM p JOIN n x ON x.market_id = p.market_id AND x.i > p.j AND x.i < p.i GROUP BY 1, 2)
+  SELECT quote_id, p.market_id, selection_id, j IS NOT NULL AND coalesce(between_, 0) < 3 AS hit FROM p LEFT JOIN b ON b.market_id = p.market_id AND b.i = p.i""")
 def _(f):
-    # decide once per distinct evidence, then join the decisions back
-    decided = f.quotes.select("cents").dropDuplicates().withColumn("decision", F.col("cents") % 7 == 0)
-    return f.quotes.join(decided, "cents").select("quote_id", "market_id", "selection_id", "decision")
+    # decisions of a market are kept for the three latest kinds of evidence: a kind is held if fewer than three others came since
+    at = F.concat_ws(" ", "quote_id", "cents")
+    accesses = f.quotes.select(F.col("market_id").alias("cache"), at.alias("at"), (F.col("cents") % 7).alias("key"), "quote_id", "market_id", "selection_id")
+    return feeds.least_recent(accesses, 3).select("quote_id", "market_id", "selection_id", "hit")
 
 
 SUPPORT = """b2 AS (SELECT *, ['football', 'basketball', 'tennis', 'motorsport'][qty % 4 + 1] AS sport,
@@ -398,18 +403,30 @@ def _(f):
     return base(f).select(*KEYS, F.array_join(list_, ";").alias("blockers"))
 
 
-@C.add("flt_attestation", f"""WITH {BASE} SELECT l_orderkey, l_linenumber, CASE WHEN cents % 4 = 0 THEN 'incomplete' WHEN cents % 4 = 1 AND qty % 2 = 0 THEN 'conflict' ELSE 'complete' END AS review FROM b""")
+@C.add("flt_attestation", f"""WITH {BASE}, a AS (SELECT l_orderkey, CASE WHEN cents % 4 > 0 THEN 'doc' || l_linenumber END AS source, CASE WHEN qty % 5 = 0 THEN 'no' WHEN qty % 5 < 4 THEN 'yes' END AS claim FROM b)
+  SELECT l_orderkey, CASE WHEN count_if(source IS NOT NULL AND claim IS NOT NULL)::bigint < count(*) THEN 'incomplete' WHEN min(claim) <> max(claim) THEN 'conflict' ELSE 'complete' END AS review FROM a GROUP BY 1""")
 def _(f):
-    source = F.when(F.col("cents") % 4 > 0, F.lit("doc"))
-    claims = F.when(F.col("qty") % 2 == 0, "no").otherwise("yes")
-    review = F.when(source.isNull(), "incomplete").when((F.col("cents") % 4 == 1) & (claims != "yes"), "conflict").otherwise("complete")
-    return base(f).select(*KEYS, review.alias("review"))
+    q = F.col("qty") % 5
+    claims = base(f).select("l_orderkey", F.when(F.col("cents") % 4 > 0, F.concat(F.lit("doc"), F.col("l_linenumber").cast("string"))).alias("source"), F.when(q == 0, "no").when(q < 4, "yes").alias("claim"))
+    return G.attested(claims, "l_orderkey")
 
 
-@C.add("flt_bookmaker_rules", f"""WITH {QUOTES} SELECT provider_id, count_if(provider_id % 3 = 0 AND cents % 2 = 0)::bigint AS reviewed, count_if(NOT (provider_id % 3 = 0 AND cents % 2 = 0))::bigint AS open FROM quotes GROUP BY 1""")
+RULES = """r AS (SELECT s_suppkey % 10 AS provider_id, ['back', 'lay'][s_suppkey % 2 + 1] AS side, TIMESTAMP '1992-01-01' + to_days((s_suppkey % 5)::int * 400) AS since, s_suppkey % 4 < 3 AS equivalent FROM supplier),
+  t AS (SELECT provider_id, side, since, bool_and(equivalent) AS equivalent FROM r GROUP BY 1, 2, 3)"""
+
+
+@C.add("flt_bookmaker_rules", f"""WITH {QUOTES}, {RULES}, q AS (SELECT *, CASE WHEN cents % 2 = 0 THEN 'back' ELSE 'lay' END AS side FROM quotes),
+  m AS (SELECT q.provider_id, equivalent FROM q ASOF LEFT JOIN t ON t.provider_id = q.provider_id AND t.side = q.side AND t.since <= q.effective_ts)
+  SELECT provider_id, count_if(equivalent IS NULL)::bigint AS open, count_if(equivalent)::bigint AS reviewed, count_if(NOT equivalent)::bigint AS refused FROM m GROUP BY 1""")
 def _(f):
-    reviewed = (F.col("provider_id") % 3 == 0) & (F.col("cents") % 2 == 0)
-    return f.quotes.groupBy("provider_id").agg(F.count_if(reviewed).alias("reviewed"), F.count_if(~reviewed).alias("open"))
+    k = F.col("s_suppkey")
+    since = F.lit("1992-01-01").cast("timestamp_ntz") + F.make_dt_interval((k % 5).cast("int") * 400)
+    rows = f.table("supplier").select((k % 10).alias("provider_id"), F.when(k % 2 == 0, "back").otherwise("lay").alias("side"), since.alias("since"), (k % 4 < 3).alias("equivalent"))
+    rules = rows.groupBy("provider_id", "side", "since").agg(F.bool_and("equivalent").alias("equivalent"))
+    quotes = f.quotes.select("provider_id", "effective_ts", F.when(F.col("cents") % 2 == 0, "back").otherwise("lay").alias("side"))
+    return G.ruled(quotes, rules).groupBy("provider_id").agg(
+        F.count_if(F.col("equivalent").isNull()).alias("open"), F.count_if("equivalent").alias("reviewed"), F.count_if(~F.col("equivalent")).alias("refused")
+    )
 
 
 @C.add("flt_event_window", f"WITH {EVENTS} SELECT event_id, scheduled_start FROM dim_events WHERE scheduled_start BETWEEN TIMESTAMP '2000-01-01' AND TIMESTAMP '{AS_OF}'")
@@ -446,9 +463,9 @@ def _(f):
     return out.select("market_id", "winner", (F.col("gross") * 100).cast("bigint").alias("gross"), (F.col("commission") * 10000).cast("bigint").alias("commission"))
 
 
-@C.add("agg_exchange_liquidity", f"""WITH {LEGS} SELECT market_id, selection_id, exchange_id, transport_id, side, cents, scope, sum(stake)::bigint AS used, min(available) AS available FROM legs GROUP BY ALL HAVING sum(stake) > min(available)""")
+@C.add("agg_exchange_liquidity", f"""WITH {LEGS} SELECT market_id, selection_id, exchange_id, transport_id, side, cents, scope, sum(3 * stake)::bigint AS used, min(available) AS available FROM legs GROUP BY ALL HAVING sum(3 * stake) > min(available)""")
 def _(f):
-    out = A.liquidity_overuse(legs(f))
+    out = A.liquidity_overuse(legs(f).withColumn("stake", F.col("stake") * 3))  # stakes of 3 to 27 against 20 to 24 available
     return out.select("market_id", "selection_id", "exchange_id", "transport_id", "side", (F.col("price") * 100).cast("bigint").alias("cents"), "scope", F.col("used").cast("bigint").alias("used"), F.col("limit").cast("bigint").alias("available"))
 
 

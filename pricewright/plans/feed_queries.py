@@ -11,6 +11,7 @@ from ..operators import books as B
 from ..operators import feeds as D
 from ..operators import health as H
 from ..operators import store as T
+from ..sources.feed_source import landing
 from ..projection import EVENTS, QUOTES, STREAM, Catalogue, Frames
 from .book_queries import RANKED, best, full_books
 from .scalar_queries import BASE, KEYS, base
@@ -21,30 +22,54 @@ C = Catalogue()
 # ---- feeds: payloads are made of the tables, written as JSON text and parsed again
 
 
+#: One market a (event, provider), its kind by the provider; every rule of every shape is kept by some events and broken by others.
+#: The cases are plain SQL that both engines read: market key, names, points, and the issue that the rules must find.
+MARKET_KEYS = ("h2h", "totals", "btts", "spreads", "draw_no_bet", "h2h_s1", "h2h_s2", "alternate", "totals", "spreads")
+SPORTS = ("soccer_x", "tennis_x", "basketball_x")
+CASES = """CASE k WHEN 0 THEN CASE WHEN e % 7 = 0 THEN 'none' WHEN e % 7 = 1 THEN 'pointed' ELSE 'teams' END
+  WHEN 1 THEN CASE e % 5 WHEN 1 THEN 'unequal' WHEN 2 THEN 'one' WHEN 3 THEN 'twice' WHEN 4 THEN 'lacking' ELSE 'overunder' END
+  WHEN 2 THEN CASE e % 4 WHEN 1 THEN 'maybe' WHEN 2 THEN 'yesnopoint' ELSE 'yesno' END
+  WHEN 3 THEN CASE e % 4 WHEN 1 THEN 'level' WHEN 2 THEN 'lackingteam' WHEN 3 THEN 'foreignopposed' ELSE 'opposed' END
+  WHEN 4 THEN CASE e % 4 WHEN 1 THEN 'foreign' WHEN 2 THEN 'teamspoint' ELSE 'teams' END
+  WHEN 5 THEN 'teams' WHEN 6 THEN CASE e % 2 WHEN 1 THEN 'foreign' ELSE 'teams' END
+  WHEN 7 THEN CASE e % 2 WHEN 1 THEN 'pointed' ELSE 'teams' END WHEN 8 THEN 'overunder' ELSE 'opposed' END"""
+NAMED_ONE = "CASE WHEN c IN ('none') THEN NULL WHEN c IN ('unequal', 'one', 'twice', 'lacking', 'overunder') THEN 'Over' WHEN c IN ('maybe', 'yesno', 'yesnopoint') THEN 'YES' ELSE 'Home' END"
+NAMED_TWO = "CASE WHEN c IN ('none', 'one') THEN NULL WHEN c IN ('unequal', 'lacking', 'overunder') THEN 'under' WHEN c = 'twice' THEN 'Over' WHEN c = 'maybe' THEN 'Maybe' WHEN c IN ('yesno', 'yesnopoint') THEN 'No' WHEN c IN ('foreign', 'foreignopposed') THEN 'Other' ELSE 'Away' END"
+POINT_ONE = "CASE WHEN c IN ('unequal', 'one', 'twice', 'lacking', 'overunder', 'yesnopoint', 'teamspoint', 'pointed') THEN 2.5 WHEN c IN ('opposed', 'foreignopposed', 'lackingteam') THEN -1.5 WHEN c = 'level' THEN 1.5 END"
+POINT_TWO = "CASE WHEN c = 'unequal' THEN 3.5 WHEN c IN ('twice', 'overunder') THEN 2.5 WHEN c IN ('opposed', 'foreignopposed', 'level') THEN 1.5 END"
+SHAPE_ISSUE = """CASE WHEN c = 'none' THEN 'empty_outcomes' WHEN k IN (5, 6) AND sp <> 1 THEN 'wrong_sport' WHEN k = 7 AND c = 'pointed' THEN 'unsupported_pointed_market' WHEN c IN ('pointed', 'yesnopoint', 'teamspoint') THEN 'unexpected_point'
+  WHEN c IN ('lacking', 'lackingteam') THEN 'missing_point' WHEN c = 'unequal' THEN 'unequal_points' WHEN c = 'one' THEN 'outcome_count' WHEN c IN ('twice', 'maybe', 'foreign', 'foreignopposed') THEN 'unexpected_outcome' WHEN c = 'level' THEN 'unopposed_points' END"""
+
+
 def array_payloads(f: Frames):
-    k = F.col("provider_id") % 4
-    key = F.when(k == 0, "h2h").when(k == 1, "totals").when(k == 2, "btts").otherwise("alternate")
-    sel = F.col("selection_id")
-    name = F.when(k == 1, F.when(sel == 0, "Over").otherwise("Under")).when(k == 2, F.when(sel == 0, "Yes").otherwise("No")).otherwise(
-        F.when(sel == 0, "Home").when(sel == 1, "Draw").otherwise("Away"))
-    point = F.when((k == 1) | (F.col("cents") % 50 == 0), F.lit("2.5"))
-    outcome = F.struct(name.alias("name"), F.col("decimal_price").alias("price"), F.when(F.col("cents") % 3 == 0, F.col("quote_id")).alias("sid"), point.cast("decimal(18,6)").alias("point"))
-    m = f.quotes.groupBy("event_id", "provider_id", key.alias("key")).agg(F.collect_list(outcome).alias("outcomes"))
-    b = m.groupBy("event_id").agg(F.collect_list(F.struct(F.col("provider_id").cast("string").alias("key"), F.array(F.struct("key", "outcomes")).alias("markets"))).alias("bookmakers"))
-    doc = F.struct(F.col("event_id").cast("string").alias("id"), F.lit("Home").alias("home_team"), F.lit("Away").alias("away_team"), "bookmakers")
-    return b.select(F.to_json(doc).alias("payload"))
+    pick = lambda names, k: F.element_at(F.array(*map(F.lit, names)), (k + 1).cast("int"))
+    g = f.quotes.groupBy(F.col("event_id").alias("e"), F.col("provider_id").alias("k")).agg(F.max("cents").alias("hi"), F.min("cents").alias("lo")).withColumn("c", F.expr(CASES))
+    price = lambda c: (F.col(c) / 100).cast("decimal(10,2)")
+    one = lambda name, c, point, sid: F.struct(F.expr(name).alias("name"), price(c).alias("price"), sid.alias("sid"), F.expr(point).cast("decimal(18,6)").alias("point"))
+    sid = F.when(F.col("hi") % 3 == 0, F.concat_ws("-", "e", "k"))
+    both = F.array(one(NAMED_ONE, "hi", POINT_ONE, sid), one(NAMED_TWO, "lo", POINT_TWO, F.lit(None).cast("string")))
+    m = F.struct(pick(MARKET_KEYS, F.col("k")).alias("key"), F.lit("2024-01-01T00:00:00Z").alias("last_update"), F.filter(both, lambda o: o["name"].isNotNull()).alias("outcomes"))
+    b = g.groupBy("e").agg(F.collect_list(F.struct(F.col("k").cast("string").alias("key"), F.concat(F.lit("Bookmaker "), F.col("k").cast("string")).alias("title"), F.array(m).alias("markets"))).alias("bookmakers"))
+    away = F.when(F.col("e") % 31 == 30, "Home").otherwise("Away")
+    doc = F.struct(F.col("e").cast("string").alias("id"), pick(SPORTS, F.col("e") % 3).alias("sport_key"), F.lit("Home").alias("home_team"), away.alias("away_team"), "bookmakers")
+    return b.select(F.when(F.col("e") % 37 == 36, F.substring(F.to_json(doc), 1, 20)).otherwise(F.to_json(doc)).alias("payload"))
 
 
 @C.add(
     "src_array_feed",
-    f"""WITH {QUOTES}, o AS (SELECT *, provider_id % 4 AS k, CASE provider_id % 4 WHEN 0 THEN 'h2h' WHEN 1 THEN 'totals' WHEN 2 THEN 'btts' ELSE 'alternate' END AS market_key,
-    CASE provider_id % 4 WHEN 1 THEN CASE selection_id WHEN 0 THEN 'Over' ELSE 'Under' END WHEN 2 THEN CASE selection_id WHEN 0 THEN 'Yes' ELSE 'No' END ELSE ['Home', 'Draw', 'Away'][selection_id + 1] END AS name FROM quotes)
-    SELECT event_id::varchar AS event_id, provider_id::varchar AS bookmaker, market_key, CASE WHEN cents % 3 = 0 THEN quote_id ELSE provider_id || ':' || market_key || ':' || name END AS selection_id, cents,
-    CASE WHEN k = 1 THEN 2.5::double END AS line, CASE WHEN k = 3 AND cents % 50 = 0 THEN 'unsupported_pointed_market' WHEN k IN (0, 2) AND cents % 50 = 0 THEN 'unexpected_point' END AS issue FROM o""",
+    f"""WITH {QUOTES}, g0 AS (SELECT event_id AS e, provider_id AS k, max(cents) AS hi, min(cents) AS lo, event_id % 3 AS sp FROM quotes GROUP BY 1, 2), g AS (SELECT *, {CASES} AS c FROM g0),
+    o AS (SELECT *, {SHAPE_ISSUE} AS issue, unnest([1, 2]) AS i, unnest([{NAMED_ONE}, {NAMED_TWO}]) AS name, unnest([{POINT_ONE}, {POINT_TWO}])::double AS point, unnest([hi, lo]) AS cents,
+      {list(MARKET_KEYS)}[k + 1] AS market_key FROM g WHERE e % 31 <> 30 AND e % 37 <> 36 AND NOT (sp = 2 AND k IN (1, 3)))
+    SELECT e::varchar AS event_id, 'bookmaker:array:' || k AS provider_id, k || ':' || market_key AS market_id, CASE WHEN name IS NOT NULL THEN CASE WHEN i = 1 AND hi % 3 = 0 THEN e || '-' || k ELSE k || ':' || market_key || ':' || name END END AS selection_id,
+      CASE WHEN name IS NOT NULL THEN cents END AS cents, CASE WHEN issue IS NULL THEN CASE WHEN market_key = 'totals' THEN 2.5 WHEN market_key = 'spreads' THEN -1.5 WHEN market_key = 'draw_no_bet' THEN 0 END END::double AS line,
+      CASE WHEN issue IS NULL THEN CASE WHEN market_key = 'spreads' THEN point WHEN market_key = 'draw_no_bet' THEN 0 END END::double AS handicap, CASE k WHEN 5 THEN 1 WHEN 6 THEN 2 END AS period_index, issue
+    FROM o WHERE name IS NOT NULL OR c = 'none' AND i = 1
+    UNION ALL SELECT CASE WHEN e % 37 <> 36 THEN e::varchar END, NULL, NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN e % 37 = 36 THEN 'malformed_payload' ELSE 'same_participants' END FROM (SELECT DISTINCT e FROM g) WHERE e % 31 = 30 OR e % 37 = 36""",
 )
 def _(f):
-    got = D.array_feed(array_payloads(f))
-    return got.select("event_id", "bookmaker", "market_key", "selection_id", (F.col("price") * 100).cast("bigint").alias("cents"), F.col("line").cast("double").alias("line"), "issue")
+    got = D.array_feed(array_payloads(f), full_event_bookmakers=("8", "9"))
+    wide = lambda c: F.col(c).cast("double").alias(c)
+    return got.select("event_id", "provider_id", "market_id", "selection_id", (F.col("price") * 100).cast("bigint").alias("cents"), wide("line"), wide("handicap"), "period_index", "issue")
 
 
 def map_payloads(f: Frames):
@@ -72,30 +97,62 @@ def _(f):
     return got.select("event_id", "bookmaker", "outcome_id", (F.col("price") * 100).cast("bigint").alias("cents"), "status", "issue")
 
 
-NAMES = "['Full Time Result', 'Total Goals', 'Player Shots', 'First Set Winner']"
+#: Catalogue rows of which each market takes one by its number: (market id or none: its own, sport, name, period, type, handicap, player prop, outcomes).
+LISTED = (
+    ("101", "football", "Full Time Result", "fulltime", "1x2", "0", False, "101=1,102=X,103=2"),
+    (None, "football", "Full Time Result", "fulltime", "1x2", "0", False, "101=1,102=X,103=2"),
+    (None, "football", "Over Under Full Time", "fulltime", "totals", "2.5", False, "1=Over,2=Under"),
+    (None, "football", "Over Under Full Time", "fulltime", "totals", "0", False, "1=Over,2=Under"),
+    (None, "football", "Asian Handicap", "fulltime", "handicap", "-1", False, "1=1,2=2"),
+    (None, "football", "Both Teams To Score", "fulltime", "totals", "0", False, "1=Yes,2=No"),
+    (None, "football", "Both Teams To Score", "fulltime", "totals", "0", True, "1=Yes,2=No"),
+    (None, "tennis", "Match Winner", "match", "winner", "0", False, "1=1,2=2"),
+    ("123", "tennis", "First Set Winner", "p1", "winner", "0", False, "1=1,2=2"),
+    (None, "tennis", "First Set Winner", "p1", "winner", "0", False, "1=1,2=2"),
+    ("125", "tennis", "Second Set Winner", "p2", "winner", "0", False, "1=1,2=2"),
+    (None, "basketball", "Over Under (incl. overtime)", "fulltime", "totals", "160.5", False, "1=Over,2=Under"),
+    (None, "basketball", "Over Under Full Time", "fulltime", "totals", "160.5", False, "1=Over,2=Under"),
+    (None, "basketball", "Handicap (incl. overtime)", "fulltime", "handicap", "-4.5", False, "1=1,2=2"),
+    ("101", "football", "Full Time Result", "p1", "1x2", "0", False, "101=1,102=X,103=2"),
+    (None, "football", "Over Under Full Time", "fulltime", "totals", "2.5", False, "1=Over,2=Under,3=Exactly"),
+)
+SPORT_IDS = {"football": 10, "tennis": 11, "basketball": 12}
 
 
-def market_catalogue(f):
-    names = F.array(*[F.lit(x) for x in ("Full Time Result", "Total Goals", "Player Shots", "First Set Winner")])
-    return f.events.select(F.col("event_id").alias("market_id"), F.element_at(names, (F.col("event_id") % 4 + 1).cast("int")).alias("name"), (F.col("event_id") % 3 == 0).alias("player_prop"), "sport")
+def listed(f):
+    """(event_id, catalogue columns): the market of each event."""
+    rows = [(k, m, s, SPORT_IDS[s], *rest) for k, (m, s, *rest) in enumerate(LISTED)]
+    kinds = f.spark.createDataFrame(rows, "k bigint, own_id string, sport string, sport_id int, name string, period string, market_type string, handicap string, player_prop boolean, listed string")
+    joined = f.events.select("event_id", (F.col("event_id") % len(LISTED)).alias("k")).join(F.broadcast(kinds), "k")  # LISTED rows
+    return joined.select(
+        "event_id", F.coalesce("own_id", F.concat(F.lit("9"), F.col("event_id").cast("string"))).alias("market_id"), "sport", "sport_id", "name", "period", "market_type",
+        F.col("handicap").cast("decimal(18,6)").alias("handicap"), "player_prop", F.str_to_map("listed", F.lit(","), F.lit("=")).alias("outcomes"),
+    )
 
 
-@C.add("src_market_catalog", f"WITH {EVENTS} SELECT event_id AS market_id, {NAMES}[event_id % 4 + 1] AS name FROM dim_events WHERE event_id % 4 <> 2")
+@C.add("src_market_catalog", f"""WITH {EVENTS} SELECT '9' || event_id AS market_id, CASE WHEN event_id % 11 <> 3 THEN 'n' || event_id % 4 END AS name, CASE WHEN event_id % 5 = 0 THEN 'duplicate_market' WHEN event_id % 11 = 3 THEN 'incomplete_market' WHEN event_id % 13 = 4 THEN 'unclear_outcomes' END AS issue
+  FROM dim_events WHERE event_id % 17 <> 2 UNION ALL SELECT NULL, NULL, 'malformed_payload' FROM dim_events WHERE event_id % 17 = 2 UNION ALL SELECT NULL, NULL, 'malformed_payload' FROM dim_events WHERE event_id % 17 = 2 AND event_id % 5 = 0""")
 def _(f):
-    doc = market_catalogue(f).select(F.to_json(F.struct("market_id", "name")).alias("j"))
-    rows = doc.select(F.from_json("j", "market_id bigint, name string").alias("r")).select("r.*")
-    once = rows.groupBy("market_id", "name").agg(F.count("*").alias("n")).where("n = 1")
-    return once.where(F.col("name").isin("Full Time Result", "Total Goals", "First Set Winner")).select("market_id", "name")
+    i = F.col("event_id")
+    names = F.array(*[F.struct(k.alias("outcomeId"), F.lit(n).alias("outcomeName")) for k, n in ((F.lit("1"), "Over"), (F.when(i % 13 == 4, "1").otherwise("2"), "Under"))])
+    doc = F.to_json(F.struct(
+        F.concat(F.lit("9"), i.cast("string")).alias("marketId"), F.lit(10).alias("sportId"), F.when(i % 11 != 3, F.concat(F.lit("n"), (i % 4).cast("string"))).alias("marketName"), F.lit(False).alias("playerProp"),
+        F.lit(2.5).alias("handicap"), F.lit("fulltime").alias("period"), F.lit("totals").alias("marketType"), names.alias("outcomes"),
+    ))
+    text = F.when(i % 17 == 2, F.substring(doc, 1, 9)).otherwise(doc)
+    times = F.when(i % 5 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    got = D.market_catalogue(f.events.select(text.alias("payload"), F.explode(times).alias("copy")))
+    return got.select("market_id", "name", "issue")
 
 
-@C.add("src_market_supported", f"WITH {EVENTS} SELECT event_id AS market_id, event_id % 4 IN (0, 1) AND event_id % 3 <> 0 AS supported FROM dim_events")
+@C.add("src_market_supported", f"WITH {EVENTS} SELECT event_id, event_id % 16 IN (0, 2, 4, 5, 7, 8, 10, 11, 13) AS supported FROM dim_events")
 def _(f):
-    return market_catalogue(f).select("market_id", (F.col("name").isin("Full Time Result", "Total Goals") & ~F.col("player_prop") & (F.col("sport") == "football")).alias("supported"))
+    return listed(f).select("event_id", D.market_supported(F.col("sport")).alias("supported"))
 
 
-@C.add("src_1x2_contract", f"WITH {EVENTS} SELECT event_id AS market_id FROM dim_events WHERE event_id % 4 = 0 AND event_id % 3 <> 0")
+@C.add("src_1x2_contract", f"WITH {EVENTS} SELECT event_id, event_id % 16 = 0 AS same FROM dim_events")
 def _(f):
-    return market_catalogue(f).where((F.col("name") == "Full Time Result") & ~F.col("player_prop") & (F.col("sport") == "football")).select("market_id")
+    return listed(f).select("event_id", D.three_way_contract().alias("same"))
 
 
 GROUPS = "['Soccer', 'Tennis', 'Basketball', 'Cricket', 'Motorsport']"
@@ -118,14 +175,27 @@ def _(f):
     return sport_records(f).select("key", F.try_element_at(sport_map(), F.col("group")).alias("sport"))
 
 
-@C.add("src_sports_slug", f"SELECT n_nationkey::bigint AS key, {SPORT_SQL} AS sport FROM nation WHERE n_nationkey % 5 <> 3")
+def slug_records(f):
+    """Sport records of the map feed: one of soccer and one of tennis, whose id is missing; several of the others."""
+    k = F.col("n_nationkey").cast("bigint")
+    slug = F.when(k == 0, "soccer").when(k == 1, "tennis").when(k == 2, "basketball").when(k % 2 == 0, "motorsport").otherwise("cricket")
+    return f.table("nation").select(k.alias("key"), slug.alias("slug"), F.when(k != 1, k.cast("int")).alias("sport_id"), F.when(k % 10 == 7, F.lit(" ")).otherwise(F.col("n_name")).alias("name"))
+
+
+MAPPED = {"soccer": "football", "tennis": "tennis", "basketball": "basketball", "motorsport": "motorsport"}
+
+
+@C.add("src_sports_slug", "SELECT n_nationkey::bigint AS key, CASE n_nationkey WHEN 0 THEN 'football' WHEN 1 THEN 'tennis' WHEN 2 THEN 'basketball' ELSE 'motorsport' END AS sport, CASE WHEN n_nationkey = 1 THEN 'incomplete' END AS issue FROM nation WHERE n_nationkey < 3 OR n_nationkey % 2 = 0")
 def _(f):
-    return sport_records(f).select("key", F.try_element_at(sport_map(), F.col("group")).alias("sport")).where("sport IS NOT NULL")
+    mapped = F.create_map(*[F.lit(x) for kv in MAPPED.items() for x in kv])
+    lacking = F.col("sport_id").isNull() | (F.trim("name") == "")
+    rows = slug_records(f).withColumn("sport", F.try_element_at(mapped, F.col("slug"))).where("sport IS NOT NULL")  # unknown slugs are passed over
+    return rows.select("key", "sport", F.when(lacking, "incomplete").alias("issue"))
 
 
-@C.add("src_supported_sports", f"SELECT DISTINCT {SPORT_SQL} AS sport FROM nation WHERE n_nationkey % 5 <> 3")
+@C.add("src_supported_sports", "SELECT * FROM (VALUES ('football', 'resolved'), ('tennis', 'incomplete'), ('basketball', 'resolved'), ('motorsport', 'ambiguous')) t(sport, status)")
 def _(f):
-    return sport_records(f).select(F.try_element_at(sport_map(), F.col("group")).alias("sport")).where("sport IS NOT NULL").distinct()
+    return D.sport_status(slug_records(f), MAPPED)
 
 
 @C.add("src_event_home_away", f"WITH {EVENTS} SELECT event_id, unnest(['home', 'away']) AS role, unnest([home_id, away_id]) AS participant_id FROM dim_events")
@@ -192,15 +262,37 @@ def _(f):
     return f.events.where(F.col("scheduled_start").between(lit("1999-01-01"), lit("2000-01-01")) & (F.col("competition_id") != 3)).select("event_id", "scheduled_start").orderBy("event_id")
 
 
-@C.add("src_ownership", f"WITH {QUOTES} SELECT provider_id, count(*) AS n FROM quotes WHERE provider_id % 2 <> transport_id GROUP BY 1")
+@C.add("src_ownership", f"""WITH {QUOTES}, a AS (SELECT DISTINCT provider_id AS p, event_id AS e FROM quotes) SELECT p AS asked_provider, e AS asked_event,
+  CASE WHEN (p + e) % 7 = 0 THEN 'provider_mismatch' WHEN (p + e) % 5 = 0 THEN 'event_mismatch' END AS issue FROM a""")
 def _(f):
-    return f.quotes.where(F.col("provider_id") % 2 != F.col("transport_id")).groupBy("provider_id").agg(F.count("*").alias("n"))
+    p, e = F.col("asked_provider"), F.col("asked_event")
+    asked = f.quotes.select(F.col("provider_id").alias("asked_provider"), F.col("event_id").alias("asked_event")).distinct()
+    got = asked.select(p, e, F.when((p + e) % 7 == 0, p + 1).otherwise(p).alias("provider_id"), F.when((p + e) % 5 == 0, e + 1).otherwise(e).alias("event_id"))
+    return got.select("asked_provider", "asked_event", D.ownership().alias("issue"))
 
 
-@C.add("src_collect", f"WITH {QUOTES} SELECT transport_id, count(*) AS n, count_if(status = 'active')::bigint AS active FROM quotes GROUP BY 1")
+SWEEP = f"""WITH {EVENTS}, a AS (SELECT unnest(range(0, 10))::bigint AS p), c AS (SELECT p, competition_id FROM a, (SELECT DISTINCT competition_id FROM dim_events) WHERE p < 8),
+  x AS (SELECT p, event_id AS e, competition_id, scheduled_start FROM a, dim_events WHERE p < 7 AND NOT (p % 2 = 0 AND competition_id = 3)),
+  s AS (SELECT *, CASE WHEN (p + e) % 11 = 0 THEN 'timeout' WHEN (p + e) % 17 = 0 THEN 'provider_mismatch' WHEN (p + e) % 19 = 0 THEN 'event_mismatch' END AS issue FROM x WHERE (p + e) % 13 <> 0)
+  SELECT p AS provider_id, 'fetch_odds' AS operation, e AS event_id, CASE WHEN issue IS NULL THEN scheduled_start END AS start, issue FROM s
+  UNION ALL SELECT 9, 'supported_sports', NULL, NULL, 'authentication' UNION ALL SELECT 7, 'discover_competitions', NULL, NULL, 'upstream'
+  UNION ALL SELECT p, 'discover_events', NULL, NULL, 'timeout' FROM a WHERE p < 7 AND p % 2 = 0 AND 3 IN (SELECT competition_id FROM dim_events)"""
+
+
+@C.add("src_collect", SWEEP)
 def _(f):
-    feeds = [f.quotes.where(F.col("transport_id") == k) for k in (0, 1)]
-    return feeds[0].unionByName(feeds[1]).groupBy("transport_id").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "active").alias("active"))
+    p, e, text = F.col("provider_id"), F.col("event_id"), F.lit(None).cast("string")
+    adapters = f.spark.range(10).select(F.col("id").alias("provider_id"), F.when(F.col("id") == 8, F.array(F.lit("tennis"))).otherwise(F.array(F.lit("football"))).alias("sports"), F.when(F.col("id") == 9, "authentication").alias("error"))
+    found = f.events.select("competition_id").distinct().withColumn("provider_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(9).cast("bigint"))))
+    competitions = found.withColumn("error", F.when(p == 7, "upstream"))
+    events = competitions.drop("error").join(f.events.select("competition_id", "event_id", F.col("scheduled_start").alias("start")), "competition_id")
+    events = events.withColumn("error", F.when((p % 2 == 0) & (F.col("competition_id") == 3), "timeout"))
+    n = p + e
+    snapshots = events.where(n % 13 != 0).select(
+        p.alias("asked_provider"), e.alias("asked_event"), F.when(n % 17 == 0, p + 1).otherwise(p).alias("provider_id"), F.when(n % 19 == 0, e + 1).otherwise(e).alias("event_id"),
+        F.when(n % 11 == 0, "timeout").otherwise(text).alias("error"),
+    )
+    return D.collected(adapters, competitions, events, snapshots, "football")
 
 
 @C.add("src_history", f"WITH {STREAM} SELECT quote_id, provider_id, ingested_at FROM stream WHERE ingested_at >= TIMESTAMP '2024-01-10' AND ingested_at < TIMESTAMP '2024-01-20' AND provider_id IN (1, 2)")
@@ -292,10 +384,22 @@ def _(f):
     return poll_log(f).groupBy("provider_id").agg(F.count("*").alias("requests"), F.count_if(F.col("issues") > 0).alias("errors"), F.count_if("throttled").alias("throttled"))
 
 
-@C.add("agg_health", f"WITH {POLLS} SELECT provider_id, CASE WHEN count_if(issues > 0)::bigint / count(*) >= 0.395 THEN 'degraded' ELSE 'healthy' END AS state FROM p GROUP BY 1")
+@C.add("agg_health", f"""WITH {POLLS}, l AS (SELECT provider_id, count_if(issues > 0)::bigint / count(*) AS ratio, max_by(throttled, (tm, poll_id)) AS off, max(tm) AS seen, max(snapshots) AS snapshots FROM p GROUP BY 1),
+  st AS (SELECT provider_id, CASE WHEN off OR ratio >= 0.395 THEN 'degraded' ELSE 'healthy' END AS state FROM l),
+  q AS (SELECT user_id, max(epoch_us(ts)) AS tm FROM events GROUP BY 1), v AS (SELECT count_if(tm < (SELECT max(tm) FROM q) - 864000000000)::bigint AS stale, count_if(tm >= (SELECT max(tm) FROM q) - 864000000000)::bigint AS active FROM q),
+  d AS (SELECT count_if(state = 'degraded')::bigint AS degraded FROM st)
+  SELECT provider_id::varchar AS part, state FROM st UNION ALL SELECT 'system', CASE WHEN stale + active > 0 AND stale / (stale + active) >= 0.5 THEN 'unhealthy' WHEN degraded > 0 THEN 'degraded' ELSE 'healthy' END FROM v, d""")
 def _(f):
-    m = poll_log(f).groupBy("provider_id").agg(F.count("*").alias("requests"), F.count_if(F.col("issues") > 0).alias("errors")).withColumn("available", F.lit(True))
-    return H.provider_states(m, 0.395).select("provider_id", "state")
+    log = poll_log(f)
+    m = log.groupBy("provider_id").agg(F.count("*").alias("requests"), F.count_if(F.col("issues") > 0).alias("errors"), (~F.max_by("throttled", F.struct("at", "poll_id"))).alias("available"))
+    states = H.provider_states(m, 0.395).select(F.col("provider_id").cast("string").alias("part"), "state")
+    keys = f.table("events").groupBy("user_id").agg(F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("at"))
+    newest = keys.agg(F.max("at").alias("newest")).scalar()
+    old = F.col("at") < F.col("newest") - 10 * 86_400_000_000
+    ages = keys.withColumn("newest", newest).agg(F.count_if(old).alias("stale"), F.count_if(~old).alias("active"))
+    degraded = states.agg(F.count_if(F.col("state") == "degraded").alias("n")).scalar()
+    whole = ages.select(F.lit("system").alias("part"), H.system_state(F.col("stale"), F.col("active"), F.lit(1.0), degraded).alias("state"))
+    return states.unionByName(whole)
 
 
 @C.add("agg_error_rate", f"WITH {POLLS} SELECT round(avg(CASE WHEN issues > 0 THEN 1.0 ELSE 0 END), 9) AS error_rate, max(tm) - min(tm) AS span_us FROM p")
@@ -309,13 +413,14 @@ def _(f):
     return base(f).groupBy("l_linenumber").agg(F.median("total").alias("median"), p95.cast("bigint").alias("p95"), F.max("total").alias("worst"))
 
 
-@C.add("agg_operational_snapshot", f"""WITH {QUOTES}, a AS (SELECT transport_id, count(*) AS active, max(effective_ts) AS newest FROM quotes WHERE status = 'active' GROUP BY 1),
-  s AS (SELECT transport_id + 1 AS transport_id, count(*) AS suspended FROM quotes WHERE status <> 'active' GROUP BY 1)
-  SELECT coalesce(a.transport_id, s.transport_id) AS transport_id, active, suspended, newest FROM a FULL JOIN s ON a.transport_id = s.transport_id""")
+@C.add("agg_operational_snapshot", f"""WITH {QUOTES}, a AS (SELECT market_id, provider_id, count(*) AS active, max(effective_ts) AS newest FROM quotes WHERE status = 'active' GROUP BY 1, 2),
+  s AS (SELECT market_id, provider_id, count(*) AS suspended FROM quotes WHERE status <> 'active' GROUP BY 1, 2)
+  SELECT coalesce(a.market_id, s.market_id) AS market_id, coalesce(a.provider_id, s.provider_id) AS provider_id, active, suspended, newest FROM a FULL JOIN s ON a.market_id = s.market_id AND a.provider_id = s.provider_id""")
 def _(f):
-    a = f.quotes.where("status = 'active'").groupBy("transport_id").agg(F.count("*").alias("active"), F.max("effective_ts").alias("newest"))
-    s = f.quotes.where("status <> 'active'").groupBy((F.col("transport_id") + 1).alias("transport_id")).agg(F.count("*").alias("suspended"))
-    return a.join(s, "transport_id", "full").select("transport_id", "active", "suspended", "newest")
+    key = ["market_id", "provider_id"]
+    a = f.quotes.where("status = 'active'").groupBy(*key).agg(F.count("*").alias("active"), F.max("effective_ts").alias("newest"))
+    s = f.quotes.where("status <> 'active'").groupBy(*key).agg(F.count("*").alias("suspended"))
+    return a.join(s, key, "full").select(*key, "active", "suspended", "newest")  # a feed may have only one of them in a market
 
 
 @C.add("agg_marketbook_digest", f"{RANKED} SELECT market_id, sha256(a || ',' || b || ',' || c) AS digest FROM book")
@@ -339,9 +444,10 @@ def stored_rows(f, where):
     return f.stream.where(where).select(F.col("quote_id").alias("id"), F.concat_ws(":", "cents", "status").alias("payload"))
 
 
-@C.add("snk_upsert_quotes", f"WITH {STREAM} SELECT quote_id AS id, cents || ':' || status AS payload FROM stream WHERE quote_id::bigint % 3 < 2")
+@C.add("snk_upsert_quotes", f"WITH {STREAM} SELECT quote_id AS id, cents || ':' || status AS payload FROM stream")
 def _(f):
-    return T.upsert(stored_rows(f, "cast(quote_id AS bigint) % 3 = 0"), stored_rows(f, "cast(quote_id AS bigint) % 6 IN (0, 1, 4)"))
+    # two batches that overlap in a third of the stream
+    return T.upsert(stored_rows(f, "cast(quote_id AS bigint) % 3 < 2"), stored_rows(f, "cast(quote_id AS bigint) % 3 > 0"))
 
 
 def stored_opportunities(f):
@@ -351,9 +457,13 @@ def stored_opportunities(f):
 BRIDGE = f"{RANKED}, o AS (SELECT market_id AS opportunity_id, list(quote_id ORDER BY selection_id) AS quote_ids FROM best WHERE market_id IN (SELECT market_id FROM e WHERE arb) GROUP BY 1)"
 
 
-@C.add("snk_opportunity", f"{BRIDGE} SELECT opportunity_id, unnest([0, 1, 2]) AS ordinal, unnest(quote_ids) AS quote_id FROM o")
+@C.add("snk_opportunity", f"{BRIDGE} SELECT opportunity_id::varchar AS opportunity_id, len(quote_ids)::bigint AS legs, true AS audited FROM o")
 def _(f):
-    return T.bridge(stored_opportunities(f))
+    found = stored_opportunities(f).withColumns({"plan": F.lit("even"), "payload": F.array_join("quote_ids", ",")})
+    path = landing(f.spark, "opportunities")
+    T.persist_opportunities(found, path)
+    T.persist_opportunities(found, path)  # delivered again: nothing is added
+    return T.stored_opportunities(f.spark.read.parquet(path))
 
 
 @C.add("snk_reconstruct", f"{BRIDGE} SELECT opportunity_id, array_to_string(quote_ids, ',') AS quote_ids, false AS incomplete FROM o")

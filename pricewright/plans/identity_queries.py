@@ -174,40 +174,42 @@ def _(f):
     return got.select("event_id", bad.alias("issue"), F.when(bad.isNull(), names).alias("participants"))
 
 
-PAIRS = """l AS (SELECT event_id AS id, array_to_string(list_sort([(home_id % 50)::varchar, (away_id % 50)::varchar]), '|') AS key, epoch_us(scheduled_start) AS t FROM dim_events WHERE event_id % 2 = 0),
-  r AS (SELECT event_id + 1 AS id, array_to_string(list_sort([(home_id % 50)::varchar, (away_id % 50)::varchar]), '|') AS key, epoch_us(scheduled_start) + (event_id % 8) * 60000000 AS t FROM dim_events WHERE event_id % 2 = 0),
-  m AS (SELECT l.id AS left_id, r.id AS right_id FROM l JOIN r ON l.key = r.key AND abs(l.t - r.t) <= 300000000),
+#: Two feeds that list every event: the right one under shifted ids, some minutes later, some with the sides changed or one side unlike.
+PAIRS = """l AS (SELECT event_id AS id, home_id % 50 AS h, away_id % 50 AS a, epoch_us(scheduled_start) AS t FROM dim_events),
+  r AS (SELECT event_id + 1000000000 AS id, CASE WHEN event_id % 3 = 0 THEN away_id % 50 ELSE home_id % 50 END AS h, CASE WHEN event_id % 3 = 0 THEN home_id % 50 ELSE away_id % 50 END AS a, epoch_us(scheduled_start) + (event_id % 8) * 60000000 AS t FROM dim_events),
+  m AS (SELECT l.id AS left_id, r.id AS right_id, l.h AS lh, l.a AS la, r.h AS rh, r.a AS ra FROM l JOIN r ON array_to_string(list_sort([l.h::varchar, l.a::varchar]), '|') = array_to_string(list_sort([r.h::varchar, r.a::varchar]), '|') AND abs(l.t - r.t) <= 300000000),
   u AS (SELECT * FROM m WHERE left_id IN (SELECT left_id FROM m GROUP BY 1 HAVING count(*) = 1) AND right_id IN (SELECT right_id FROM m GROUP BY 1 HAVING count(*) = 1))"""
 
 
 def pair_sides(f):
-    us = F.unix_micros(F.col("scheduled_start").cast("timestamp"))
-    half = f.events.where("event_id % 2 = 0")
-    key = I.participant_key(F.col("home_id") % 50, F.col("away_id") % 50).alias("key")
-    left = half.select(F.col("event_id").alias("id"), key, us.alias("start_us"))
-    return left, half.select((F.col("event_id") + 1).alias("id"), key, (us + (F.col("event_id") % 8) * 60_000_000).alias("start_us"))
+    i, us = F.col("event_id"), F.unix_micros(F.col("scheduled_start").cast("timestamp"))
+    h, a = F.col("home_id") % 50, F.col("away_id") % 50
+    left = f.events.select(i.alias("id"), h.alias("h"), a.alias("a"), us.alias("start_us"))
+    right = f.events.select((i + 1_000_000_000).alias("id"), F.when(i % 3 == 0, a).otherwise(h).alias("h"), F.when(i % 3 == 0, h).otherwise(a).alias("a"), (us + (i % 8) * 60_000_000).alias("start_us"))
+    keyed = lambda df: df.withColumn("key", I.participant_key(F.col("h"), F.col("a")))
+    return keyed(left), keyed(right)
 
 
-@C.add("join_candidate_pairs", f"WITH {EVENTS}, {PAIRS} SELECT * FROM u")
+@C.add("join_candidate_pairs", f"WITH {EVENTS}, {PAIRS} SELECT left_id, right_id FROM u")
 def _(f):
     return I.unique_pairs(*pair_sides(f), 300_000_000)
 
 
-@C.add("join_identity_review", f"WITH {EVENTS}, {PAIRS} SELECT left_id, right_id, CASE WHEN left_id % 3 = 0 THEN 'reversed' ELSE 'aligned' END AS orientation FROM u")
+@C.add("join_identity_review", f"WITH {EVENTS}, {PAIRS} SELECT left_id, right_id, CASE WHEN lh = la OR rh = ra THEN 'conflict' WHEN lh = rh AND la = ra THEN 'aligned' WHEN lh = ra AND la = rh THEN 'reversed' ELSE 'conflict' END AS orientation FROM u")
 def _(f):
-    got = I.unique_pairs(*pair_sides(f), 300_000_000)
-    sides = f.events.select(F.col("event_id").alias("left_id"), F.col("home_id").alias("h"), F.col("away_id").alias("a"))
-    j = got.join(sides, "left_id")
-    flipped = F.col("left_id") % 3 == 0
-    one, two = F.when(flipped, F.lit("a")).otherwise(F.lit("h")), F.when(flipped, F.lit("h")).otherwise(F.lit("a"))
+    left, right = pair_sides(f)
+    side = lambda df, n: df.select(F.col("id").alias(f"{n}_id"), F.col("h").alias(f"{n}_h"), F.col("a").alias(f"{n}_a"))
+    j = I.unique_pairs(left, right, 300_000_000).join(side(left, "left"), "left_id").join(side(right, "right"), "right_id")
     from ..functions.scalars import fixture_order
 
-    return j.select("left_id", "right_id", fixture_order(F.lit("h"), F.lit("a"), one, two).alias("orientation"))
+    return j.select("left_id", "right_id", fixture_order(*[F.col(c) for c in ("left_h", "left_a", "right_h", "right_a")]).alias("orientation"))
 
 
-@C.add("join_official_anchor", f"WITH {EVENTS}, c AS (SELECT competition_id, scheduled_start, count(*) AS n, min(event_id) AS event_id FROM dim_events GROUP BY 1, 2) SELECT competition_id, scheduled_start, event_id FROM c WHERE n = 1")
+@C.add("join_official_anchor", f"""WITH {EVENTS}, {EVIDENCE}, c AS (SELECT competition_id, epoch_us(scheduled_start) AS start_us, count(*) AS n, min(event_id) AS event_id FROM dim_events GROUP BY 1, 2)
+  SELECT source_id, CASE WHEN n = 1 THEN c.event_id END AS event_id, CASE WHEN n IS NULL THEN 'no_official_event' WHEN n > 1 THEN 'several_official_events' ELSE 'anchored' END AS status FROM ev LEFT JOIN c ON c.competition_id = ev.competition_id AND c.start_us = ev.start_us""")
 def _(f):
-    return f.events.groupBy("competition_id", "scheduled_start").agg(F.count("*").alias("n"), F.min("event_id").alias("event_id")).where("n = 1").drop("n")
+    official = f.events.select("competition_id", F.unix_micros(F.col("scheduled_start").cast("timestamp")).alias("start_us"), "event_id")
+    return I.anchored(evidence(f), official)
 
 
 NORMAL = f"""WITH {QUOTES}, {EVENTS}, j AS (SELECT q.*, d.event_id AS known FROM quotes q LEFT JOIN (SELECT event_id FROM dim_events WHERE event_id % 13 <> 0) d USING (event_id))
@@ -282,28 +284,41 @@ def _(f):
     return j.select("event_id", (inside & F.col("ok")).alias("ok"))
 
 
-@C.add("reg_head_to_head", f"WITH {EVENTS} SELECT event_id, home_id <> away_id AS ok FROM dim_events")
+H2H = """s AS (SELECT event_id, home_id, away_id, unnest(CASE event_id % 7 WHEN 0 THEN [home_id, home_id] WHEN 1 THEN [home_id, -1] WHEN 2 THEN [home_id] WHEN 3 THEN [home_id, away_id, -1] ELSE [away_id, home_id] END) AS pid FROM dim_events)"""
+
+
+@C.add("reg_head_to_head", f"WITH {EVENTS}, {H2H} SELECT event_id, count(*) = 2 AND count(DISTINCT pid) = 2 AND bool_and(pid = home_id OR pid = away_id) AS ok FROM s GROUP BY 1")
 def _(f):
-    sides = f.events.select("event_id", F.explode(F.array("home_id", "away_id")).alias("pid"))
-    g = sides.groupBy("event_id").agg(F.min("pid").alias("lo"), F.max("pid").alias("hi"))
-    return g.select("event_id", (F.col("lo") != F.col("hi")).alias("ok"))
+    k, h, a, none = F.col("event_id") % 7, F.col("home_id"), F.col("away_id"), F.lit(-1).cast("bigint")
+    sides = F.when(k == 0, F.array(h, h)).when(k == 1, F.array(h, none)).when(k == 2, F.array(h)).when(k == 3, F.array(h, a, none)).otherwise(F.array(a, h))
+    picks = f.events.select(F.col("event_id").alias("market_id"), "event_id", F.explode(sides).alias("participant_id"))
+    members = f.events.select("event_id", F.explode(F.array(h, a)).alias("participant_id")).distinct()
+    return I.two_of_the_event(picks, members).withColumnRenamed("market_id", "event_id")
 
 
-@C.add("reg_handicap", f"WITH {EVENTS} SELECT event_id, event_id % 4 <> 3 AS ok FROM dim_events")
+@C.add("reg_handicap", f"""WITH {EVENTS}, x AS (SELECT event_id, (event_id % 9 - 4) / 2.0 AS line, event_id % 5 AS k FROM dim_events),
+  s AS (SELECT event_id, line, unnest(CASE WHEN k = 3 THEN ['home'] ELSE ['home', 'away'] END) AS side, unnest(CASE k WHEN 1 THEN [line, line] WHEN 2 THEN [line + 1, -line - 1] WHEN 3 THEN [line] WHEN 4 THEN [NULL, -line] ELSE [line, -line] END) AS h FROM x)
+  SELECT event_id, count(*) = 2 AND count_if(side = 'home' AND h = line)::bigint = 1 AND count_if(side = 'away' AND h = -line)::bigint = 1 AS ok FROM s GROUP BY 1""")
 def _(f):
-    i = F.col("event_id")
-    line = ((i % 9 + 1) / 2).cast("decimal(10,2)")
-    sides = f.events.select("event_id", line.alias("line"), line.alias("one"), F.when(i % 4 == 3, line).otherwise(-line).alias("two"))
-    return sides.select("event_id", ((F.col("one") == F.col("line")) & (F.col("two") == -F.col("line"))).alias("ok"))
+    k, line = F.col("event_id") % 5, ((F.col("event_id") % 9 - 4) / 2).cast("decimal(10,2)")
+    two = lambda one, other: F.array(F.struct(F.lit("home").alias("kind"), one.cast("decimal(10,2)").alias("handicap")), F.struct(F.lit("away").alias("kind"), other.cast("decimal(10,2)").alias("handicap")))
+    rows = F.when(k == 1, two(line, line)).when(k == 2, two(line + 1, -line - 1)).when(k == 3, F.slice(two(line, line), 1, 1)).when(k == 4, two(F.lit(None), -line)).otherwise(two(line, -line))
+    selections_ = f.events.select(F.col("event_id").alias("market_id"), line.alias("line"), F.explode(rows).alias("s")).select("market_id", "line", "s.kind", "s.handicap")
+    return I.opposed_handicaps(selections_).withColumnRenamed("market_id", "event_id")
 
 
 # ---- stakes and lifecycle
 
 
 def plans(f, bankroll: int = 10_000):
+    """Stake plans of the opportunities; each leg has its own least stake and step, and every third a greatest stake."""
     e = A.opportunities(full_books(f))
     cents = F.transform("outcomes", lambda o: o["cents"])
-    return e.withColumn("cents", cents).withColumn("plan", K.allocate(cents, F.lit(bankroll).cast("bigint")))
+    limits = {
+        "low": F.transform(cents, lambda c: c % 50 * 10), "high": F.transform(cents, lambda c: F.when(c % 3 == 0, F.lit(4_000) + c * 5)), "step": F.transform(cents, lambda c: F.lit(1) + c % 4 * 25),
+    }
+    e = e.withColumn("cents", cents).withColumns(limits)
+    return e.withColumn("plan", K.allocate(F.col("cents"), F.lit(bankroll).cast("bigint"), *map(F.col, limits)))
 
 
 @C.add("opt_effective_constraints", f"""WITH {BASE}, u AS (SELECT l_orderkey, l_linenumber, cents % 50 AS lo, total % 300 AS hi, 1 + qty % 7 AS inc FROM b), v AS (SELECT *, greatest(inc, ((lo + inc - 1) // inc) * inc) AS minimum, (hi // inc) * inc AS maximum FROM u)

@@ -240,6 +240,13 @@ def _(f):
     return S.invalidations(rows, f.stream.select("market_id", "selection_id").distinct()).select("transport_id", "market_id", "selection_id", "ingested_at")
 
 
+@C.add("stm_suppressed", f"""{V}, x AS (SELECT *, lag(status) OVER k AS was, min(CASE WHEN status = 'active' THEN o END) OVER (PARTITION BY provider_id, market_id, selection_id, transport_id ORDER BY o, quote_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS again,
+  max(CASE WHEN status <> 'active' THEN o END) OVER (PARTITION BY provider_id, market_id, selection_id, transport_id) AS last FROM v0 WINDOW k AS (PARTITION BY provider_id, market_id, selection_id, transport_id ORDER BY o, quote_id))
+  SELECT provider_id, market_id, selection_id, transport_id, o AS invalidated_us, coalesce(again, last + {FRESH}) AS until_us FROM x WHERE status <> 'active' AND (was IS NULL OR was = 'active')""")
+def _(f):
+    return S.suppressed(versions(f), FRESH)
+
+
 @C.add("agg_max_age", f"{LATEST} SELECT max(now - o) AS max_age_us, count_if(now - o > {FRESH})::bigint AS stale FROM m, n")
 def _(f):
     v = versions(f)

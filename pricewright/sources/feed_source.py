@@ -85,8 +85,12 @@ def scripted(spark: SparkSession, script: dict[str, list[dict]], stream: bool =
 
 def landing(spark: SparkSession, name: str) -> str:
     """A fresh folder for landed files in the place that all machines share."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/pricewright-landing"
-    return f"{where.rstrip('/')}/landed/{name}-{uuid.uuid4().hex[:12]}"
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = "file:///tmp/pricewright-landing"
+    return f"{where.rstrip('/')}/landed/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def landed(spark: SparkSession, path: str, schema: str) -> DataFrame:
