@@ -88,7 +88,7 @@ def entries_of(data: DataFrame, k: int) -> DataFrame:
 
 def top_bits(entries: int, bits: int) -> int:
     """Leading bits of a segment that name a cell."""
-    return min(bits, max(0, (entries // ENTRIES * 2).bit_length()))
+    return min(bits, (entries // ENTRIES).bit_length())
 
 
 class Cell:
@@ -215,8 +215,13 @@ def best_rows(met: DataFrame, want: int, reach: int, rows: int) -> DataFrame:
     A query is done when its rows are complete: the last wanted one is within reach, or there are no more rows.
     """
     own = Window.partitionBy(*ASK)
-    once = met.repartition(*ASK).dropDuplicates([*ASK, "code"]).select(*ASK, "code", "ids", "distance", F.posexplode("ids").alias("at", "vec_id"))
-    ranked = once.where("lone OR vec_id <> own").withColumn("r", F.row_number().over(own.orderBy("distance", "vec_id", "code", "at")))
+    ids = F.when(F.col("lone"), F.col("ids")).otherwise(F.filter("ids", lambda x: x != F.col("own")))
+    once = met.repartition(*ASK).dropDuplicates([*ASK, "code"]).withColumn("others", ids).where(F.size("others") > 0)
+    # an entry comes before each row of an entry that is further or has no lesser id: so many entries hold all wanted rows
+    least = own.orderBy("distance", F.get("others", F.lit(0)), "code")
+    few = once.withColumn("r", F.row_number().over(least)).where(F.col("r") <= want)
+    rows_of = few.select(*ASK, "code", "ids", "distance", F.posexplode("others").alias("at", "vec_id"))
+    ranked = rows_of.withColumn("r", F.row_number().over(own.orderBy("distance", "vec_id", "code", "at")))
     kept = ranked.where(F.col("r") <= want)
     n, last = F.count("*").over(own), F.max("distance").over(own)
     done = ((n >= want) & (last <= reach)) | (F.col("lone") & (n >= rows)) | F.lit(reach >= CODE_BITS)
