@@ -40,7 +40,9 @@ UNSETTLED = re.compile(
 #: Texts of these characters only can be split by the plainer, faster pattern NARROW_WORDS.
 WIDE = re.compile("[^\x00-\x1b\x20-\x7e\u00a1\u00ab\u00bb\u00bf\u00e0-\u00f6\u00f8-\u00ff\u2010-\u2027]")
 NARROW_WORDS = re.compile("'(?:[stmd]|re|ve|ll)|[a-z\u00e0-\u00f6\u00f8-\u00ff]+|[0-9]|[^\\sa-z\u00e0-\u00f6\u00f8-\u00ff0-9]+")
-MAX_WORDS = 250_000
+MAX_WORDS = 400_000
+#: Characters of a chunk that is kept.
+LONGEST = 64
 CHUNK_ROWS = 2_000
 #: Pieces whose ids are unpacked at once.
 SLICE_ROWS = 512
@@ -55,6 +57,7 @@ class WordIds(dict):
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.stand_ins = {b: c for c, b in byte_of_char().items()}
+        self.chunks = Chunks(self)
 
     def __missing__(self, word: str) -> bytes:
         if len(self) > MAX_WORDS:
@@ -69,15 +72,31 @@ class WordIds(dict):
     def text(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if UNSETTLED.search(text):
+        if "<|" in text if text.isascii() else UNSETTLED.search(text):
             return self.whole(text)
         if not text.isascii() and not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
             if UNSETTLED.search(text):
                 return self.whole(text)
         text = text.lower()
-        words = WORDS if WIDE.search(text) else NARROW_WORDS
-        return b"".join(map(self.__getitem__, words.findall(text)))
+        if WIDE.search(text):
+            return b"".join(map(self.__getitem__, WORDS.findall(text)))
+        return b"".join(map(self.chunks.__getitem__, text.split()))
+
+
+class Chunks(dict):
+    """The ids of what stands between white space in a narrow text, which no word crosses; bounded."""
+
+    def __init__(self, words: WordIds):
+        self.words = words
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) > MAX_WORDS:
+            self.clear()
+        out = b"".join(map(self.words.__getitem__, NARROW_WORDS.findall(chunk)))
+        if len(chunk) <= LONGEST:
+            self[chunk] = out
+        return out
 
 
 _ids: dict[str, WordIds] = {}
