@@ -2,15 +2,19 @@
 
 A string of span (200) bytes is judged by its minimiser: the leftmost least 32-byte hash inside it. Equal
 strings have equal minimisers at equal places, so all occurrences of a repeated string meet under
-one anchor hash. An anchor carries the context of the strings it stands for. Anchors whose whole
-context occurs twice are settled by that; the others, and one of each settled context, are suffix-sorted
+one anchor hash. An anchor carries the context of the strings it stands for. Occurrences are dealt by anchor and context and read
+in order, so neither a hot anchor nor a hot context is ever gathered: a context that occurs twice covers all its
+occurrences, and one of each context goes on. Anchors with several contexts are suffix-sorted
 under their hash (suffixes that begin at anchors, with their common-prefix lengths), and one stack
-scan walks the tree of common-prefix intervals: at each interval of depth d the occurrences are
-ordered by what stands to the left, and if the interval is diverse there, neighbours with a common
-left extension l and l + d >= span cover [anchor - l, anchor + d) in both texts. Every occurrence of an
-interval is reported, not neighbouring ones only.
+scan walks the tree of common-prefix intervals. At each interval of depth d its left diversity is tested: occurrences that all share one
+left extension l, or that have all they can have from the intervals inside, are settled at once; others are
+ordered by what stands to the left, and give the maximal repeats of the interval, each with all its occurrences. Where
+l + d >= span an occurrence covers [anchor - l, anchor + d). groups() names these maximal repeats themselves.
 
-Copies of a whole text are taken once (a text's 64-bit hash stands for it) and are covered whole.
+An anchor with over BLOCK contexts is not sorted in one place: each string of each of its contexts is hashed to 128 bits, and
+equal strings meet by their hash, at a cost in proportion to the contexts.
+
+Copies of a whole text are taken once (two 64-bit hashes stand for it; a name that unlike texts have is replaced) and are covered whole.
 Null and empty texts have no bytes. Equal ids are rows of their own. Other columns are not read; an
 empty table gives an empty result.
 """
@@ -26,8 +30,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, slices, spread, table, written
-from .near_dedup import gathered, runs
+from .common import discard, slices, small, spread, table, written
+from .near_dedup import gathered
 from .toxicity import _M, _mixed, _powers, buffers
 
 GRAM = 32
@@ -35,9 +39,10 @@ GRAM = 32
 PIECE = 1 << 20
 #: The table of repeated texts (16 bytes a row) is broadcast up to this many rows; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 1 << 20
-#: Distinct contexts of one anchor that are suffix-sorted at once; more are taken as pairs of such blocks.
+#: Distinct contexts of one anchor up to which they are suffix-sorted.
 BLOCK = 20_000
-_BYTE = _mixed(np.arange(5001, 5257, dtype=np.uint64) * _M) | np.uint64(1)
+_BYTE, _BYTE2 = (_mixed(np.arange(at, at + 256, dtype=np.uint64) * _M) | np.uint64(1) for at in (5001, 6001))
+_FACTORS = _mixed(np.arange(7001, 7005, dtype=np.uint64) * _M) | np.uint64(1)
 
 
 def anchors(data: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
@@ -79,19 +84,29 @@ def anchors(data: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
     return hash_, context, anchor, first, last
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """docs with node, a name of the text: 64 bits, and other ones where another hash tells unlike texts of one name apart."""
+    docs = docs.withColumn("node", F.xxhash64("text"))
+    other = F.xxhash64(F.lit(7), F.col("text"))  # with another seed
+    both = docs.groupBy("node").agg(F.min(other).alias("low"), F.max(other).alias("high")).where("low <> high")
+    mixed = written(both.select(F.col("node").alias("mixed_node")), "mixed")
+    if mixed.isEmpty():
+        return docs
+    met = docs.join(small(mixed, BROADCAST_ROWS), F.col("node") == F.col("mixed_node"), "left")
+    return met.withColumn("node", F.when(F.col("mixed_node").isNull(), F.col("node")).otherwise(F.xxhash64("node", other))).drop("mixed_node")
+
+
 def copies(docs: DataFrame) -> DataFrame:
     """(copy_node, first_id) of the texts that several rows have."""
     found = docs.groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
     return written(found.select(F.col("node").alias("copy_node"), "first_id"), "copies")
 
 
-def small(df: DataFrame) -> DataFrame:
-    """The table, to be broadcast if it is counted to be small."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+ANCHORS = "hash bigint, node bigint, anchor bigint, first bigint, last bigint"
 
 
 def classified(texts: DataFrame, span: int) -> DataFrame:
-    """(hash, node, anchor, first, last): hash is null where the strings from first to last are known to repeat."""
+    """ANCHORS: hash is null where the strings from first to last are known to repeat, else the row is the one that goes on for its context."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -106,7 +121,7 @@ def classified(texts: DataFrame, span: int) -> DataFrame:
                 continue
             hash_, context, anchor, first, last = (np.concatenate(c) for c in zip(*got))
             node = np.concatenate(owner)
-            # contexts that occur twice here are settled here; one of them goes on for all
+            # contexts that occur twice here are settled here; one of them goes on for all, the others are dealt out evenly
             _, lead, back, n = np.unique(context, return_index=True, return_inverse=True, return_counts=True)
             seen = np.minimum(n, 2)[back]
             follows = np.ones(len(context), bool)
@@ -115,89 +130,120 @@ def classified(texts: DataFrame, span: int) -> DataFrame:
             key = np.where(follows, _mixed(hash_ + node.astype(np.uint64) * _M + anchor.astype(np.uint64)), hash_)
             yield batch_of(key=key, context=context, node=node, anchor=anchor, first=first, last=last, seen=seen)
 
-    limit = BLOCK
-
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = gathered(batches)
-        if t is None:
-            return
-        key, context, node, anchor, first, last, seen = (t.column(c).to_numpy() for c in t.column_names)
-        done = seen == 0
-        out = [(node[done], anchor[done], first[done], last[done], np.zeros(done.sum(), bool), key[done])]
-        rest = np.flatnonzero(~done)
-        rest = rest[np.lexsort((context[rest], key[rest]))]
-        k, c = key[rest], context[rest]
-        lead = np.append(True, (k[1:] != k[:-1]) | (c[1:] != c[:-1]))[: len(k)]
-        group = np.cumsum(lead) - 1
-        twice = np.bincount(group, seen[rest])[group] > 1 if len(group) else np.zeros(0, bool)
-        kinds = np.flatnonzero(lead)  # distinct contexts; those of one key stand together
-        several = np.zeros(len(kinds), bool)
-        for a, b in runs(k[kinds]) if len(kinds) else ():
-            several[a:b] = True
-        open_ = lead.copy()
-        open_[kinds[~several]] = False
-        i = rest[twice]
-        out.append((node[i], anchor[i], first[i], last[i], np.zeros(len(i), bool), key[i]))
-        i, name = in_blocks(rest[open_], key, limit)
-        out.append((node[i], anchor[i], first[i], last[i], np.ones(len(i), bool), name))
-        node, anchor, first, last, is_open, key = (np.concatenate(x) for x in zip(*out))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(key, mask=~is_open), *map(pa.array, (node, anchor, first, last))], names=["hash", "node", "anchor", "first", "last"]
-        )
+        """Runs of one key and context, over batches: all their rows if there are two or more, and the first of each."""
+        waits: tuple | None = None  # the first row of a run that is not known to be repeated
+        at_end = None  # key, context and whether it is settled, of the last run so far
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, context, node, anchor, first, last, seen = (batch.column(c).to_numpy() for c in ("key", "context", "node", "anchor", "first", "last", "seen"))
+            lead = np.append(True, (key[1:] != key[:-1]) | (context[1:] != context[:-1]))
+            goes_on = at_end is not None and at_end[:2] == (key[0], context[0])
+            run = np.cumsum(lead) - 1
+            times = np.bincount(run, seen)
+            followers = seen == 0
+            if goes_on:
+                times[0] += 2 if at_end[2] else 1
+            twice = (times > 1)[run] | followers
+            out = [(key[twice] * 0, node[twice], anchor[twice], first[twice], last[twice], np.zeros(twice.sum(), bool))]
+            if goes_on and not at_end[2] and times[0] > 1:
+                out.append(tuple(np.array([x]) for x in (0, *waits, False)))
+            fresh = lead & ~followers
+            if goes_on:
+                fresh[0] = False
+            out.append((key[fresh], node[fresh], anchor[fresh], first[fresh], last[fresh], np.ones(fresh.sum(), bool)))
+            begin = np.flatnonzero(lead)[-1]
+            if not (goes_on and run[-1] == 0):
+                waits = (node[begin], anchor[begin], first[begin], last[begin])
+            at_end = (key[-1], context[-1], bool(times[-1] > 1))
+            key, node, anchor, first, last, open_ = (np.concatenate(c) for c in zip(*out))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key, mask=~open_), *map(pa.array, (node, anchor, first, last))], names=["hash", "node", "anchor", "first", "last"]
+            )
 
     rows = texts.select("node", "text").mapInArrow(
         scan, "key bigint, context bigint, node bigint, anchor bigint, first bigint, last bigint, seen bigint"
     )
-    return rows.repartition("key").mapInArrow(settle, "hash bigint, node bigint, anchor bigint, first bigint, last bigint")
-
-
-def in_blocks(rows: np.ndarray, key: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """rows (sorted by their key) with the name of their group; a group of over limit rows becomes one of each two blocks."""
-    big = [(a, b) for a, b in runs(key[rows]) if b - a > limit] if len(rows) else []
-    plain = np.ones(len(rows), bool)
-    parts, names = [], []
-    for a, b in big:
-        plain[a:b] = False
-        cuts = [*range(a, b, limit), b]
-        blocks = [rows[x:y] for x, y in zip(cuts[:-1], cuts[1:])]
-        for x in range(len(blocks)):
-            for y in range(x + 1, len(blocks)):
-                both = np.concatenate([blocks[x], blocks[y]])
-                own = _mixed(key[rows[a : a + 1]].astype(np.uint64) + np.uint64(x * len(blocks) + y + 1) * _M)
-                parts.append(both)
-                names.append(np.full(len(both), own.view(np.int64)[0]))
-    return np.concatenate([rows[plain], *parts]), np.concatenate([key[rows[plain]], *names])
+    return rows.repartition("key", "context").sortWithinPartitions("key", "context").mapInArrow(settle, ANCHORS)
 
 
 def batch_of(**columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64)) for c in columns.values()], names=list(columns))
 
 
+def asked_of(texts: DataFrame, open_: DataFrame) -> DataFrame:
+    """(node, text, asked): the texts with open anchors (hash, node, anchor, first, last), and these."""
+    asked = open_.groupBy("node").agg(F.collect_list(F.struct("hash", "anchor", "first", "last")).alias("asked"))
+    asked = written(asked.withColumnRenamed("node", "asked_node"), "asked")
+    return texts.join(asked, F.col("node") == F.col("asked_node")).select("node", "text", "asked")
+
+
+def cut_out(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """The bytes of a batch's texts, and of each asked anchor: hash, node, anchor, first, last, where its text begins and ends there."""
+    data, offsets = buffers(batch.column("text"))
+    asked, nodes = batch.column("asked"), batch.column("node").to_numpy()
+    flat = asked.flatten()
+    row = np.repeat(np.arange(len(asked)), pc.list_value_length(asked).to_numpy())
+    columns = (flat.field(c).to_numpy() for c in ("hash", "anchor", "first", "last"))
+    hash_, anchor, first, last = columns
+    return data, hash_, nodes[row], anchor, first, last, offsets[row], offsets[row + 1]
+
+
 def contexts(texts: DataFrame, open_: DataFrame, span: int) -> DataFrame:
     """(hash, node, anchor, before, after): the bytes to the left of each open anchor, and from it on."""
-    asked = open_.groupBy("node").agg(F.collect_list(F.struct("hash", "anchor")).alias("asked"))
-    asked = written(asked.withColumnRenamed("node", "asked_node"), "asked")
-    rows = texts.join(asked, F.col("node") == F.col("asked_node")).select("node", "text", "asked")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reach = span - GRAM
-        for batch in slices(batches, "text", 1 << 20):
-            data, offsets = buffers(batch.column("text"))
-            asked, nodes = batch.column("asked"), batch.column("node").to_numpy()
-            flat = asked.flatten()
-            hash_, at = flat.field("hash").to_numpy(), flat.field("anchor").to_numpy()
-            n = pc.list_value_length(asked).to_numpy()
-            row = np.repeat(np.arange(len(n)), n)
-            low, high = offsets[row], offsets[row + 1]
+        for batch in slices(batches, "text"):
+            data, hash_, node, at, _, _, low, high = cut_out(batch)
             a = low + at
             before = [data[max(x - reach, lo) : x][::-1].tobytes() for x, lo in zip(a.tolist(), low.tolist())]
             after = [data[x : min(x + span, hi)].tobytes() for x, hi in zip(a.tolist(), high.tolist())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hash_), pa.array(nodes[row]), pa.array(at), pa.array(before, pa.binary()), pa.array(after, pa.binary())],
+                [pa.array(hash_), pa.array(node), pa.array(at), pa.array(before, pa.binary()), pa.array(after, pa.binary())],
                 names=["hash", "node", "anchor", "before", "after"],
             )
 
-    return rows.mapInArrow(cut, "hash bigint, node bigint, anchor bigint, before binary, after binary")
+    return asked_of(texts, open_).mapInArrow(cut, "hash bigint, node bigint, anchor bigint, before binary, after binary")
+
+
+def equal_strings(texts: DataFrame, open_: DataFrame, span: int) -> DataFrame:
+    """(node, start, end) of the strings of open anchors that occur twice among them, by 128 bits of each string."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            data, _, node, _, first, last, low, _ = cut_out(batch)
+            for i in range(len(node)):
+                x = data[low[i] + first[i] : low[i] + last[i] + span]
+                names = []
+                for table_ in (_BYTE, _BYTE2):
+                    value = table_[x]
+                    p, q = _powers(len(value) + 1)
+                    sums = np.append(np.uint64(0), np.cumsum(value * p[: len(value)]))
+                    n = len(value) - span + 1
+                    names.append(_mixed((sums[span : span + n] - sums[:n]) * q[:n]))
+                start = np.arange(first[i], last[i] + 1)
+                yield batch_of(one=names[0], two=names[1], node=np.full(len(start), node[i]), start=start)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last string so far, while it has occurred once
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            one, two, node, start = (batch.column(c).to_numpy() for c in ("one", "two", "node", "start"))
+            with_next = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
+            twice = np.append(False, with_next) | np.append(with_next, False)
+            if last == (one[0], two[0]):
+                twice[0] = True
+                if held is not None:
+                    yield batch_of(node=np.array([held[0]]), start=np.array([held[1]]), end=np.array([held[1] + span]))
+            yield batch_of(node=node[twice], start=start[twice], end=start[twice] + span)
+            last, held = (one[-1], two[-1]), None if twice[-1] else (node[-1], start[-1])
+
+    rows = asked_of(texts, open_).mapInArrow(hashed, "one bigint, two bigint, node bigint, start bigint")
+    return rows.repartition("one", "two").sortWithinPartitions("one", "two").mapInArrow(meet, "node bigint, start bigint, end bigint")
 
 
 def matrix(column: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -229,6 +275,59 @@ def intervals(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
             stack.append((depth, first))
 
 
+class Tree:
+    """The suffixes that begin at anchors, sorted under their hash, and what stands to the left of each."""
+
+    def __init__(self, t: pa.Table, span: int):
+        self.hash, self.node, self.at = (t.column(c).to_numpy() for c in ("hash", "node", "anchor"))
+        self.after, self.right = matrix(t.column("after"), span)
+        self.before, self.left = matrix(t.column("before"), span - GRAM)
+        key = np.concatenate([self.hash.astype(">i8").view(np.uint8).reshape(-1, 8), self.after], axis=1)
+        self.suffix = np.argsort(np.ascontiguousarray(key).view(f"S{span + 8}").reshape(-1), kind="stable")
+        self.by_left = np.empty(len(self.suffix), np.int64)
+        self.by_left[np.argsort(self.before.view(f"S{span - GRAM}").reshape(-1), kind="stable")] = np.arange(len(self.suffix))
+        lcp = common(self.after, self.right, self.suffix[:-1], self.suffix[1:])
+        lcp[self.hash[self.suffix[1:]] != self.hash[self.suffix[:-1]]] = 0
+        self.lcp = [0, *lcp.tolist()]
+
+    def extensions(self) -> Iterator[tuple[np.ndarray, np.ndarray, int, int, int]]:
+        """(occurrences, longest left extension of each that another one shares, depth, first, last) of every interval in which there are longer ones than inside."""
+        known = np.full(len(self.suffix), -1)  # what the intervals inside gave each occurrence
+        for a, b, depth in intervals(self.lcp):
+            if depth < GRAM:
+                continue
+            who = self.suffix[a : b + 1]
+            if (known[who] >= self.left[who]).all():
+                continue  # no left byte is left to tell them apart
+            order = self.by_left[who]
+            ends = who[[order.argmin()]], who[[order.argmax()]]
+            shared = int(common(self.before, self.left, *ends)[0])
+            if shared >= self.left[who].max():  # not diverse: one left extension for all
+                best = np.full(len(who), shared)
+            else:
+                who = who[np.argsort(order)]
+                beside = common(self.before, self.left, who[:-1], who[1:])
+                best = np.maximum(np.append(beside, 0), np.append(0, beside))
+            known[who] = np.maximum(known[who], best)
+            yield who, best, depth, a, b
+
+    def groups(self, span: int) -> Iterator[tuple[np.ndarray, int, int]]:
+        """(occurrences, left extension, depth) of every maximal repeat of span bytes or more, as far as contexts reach: a longer string on either side loses an occurrence."""
+        for a, b, depth in intervals(self.lcp):
+            if depth < GRAM:
+                continue
+            who = self.suffix[a : b + 1]
+            # occurrences of one child of the interval go on equally to the right
+            child = np.cumsum(np.append(False, np.array(self.lcp[a + 1 : b + 1]) == depth))
+            order = np.argsort(self.by_left[who])
+            who, child = who[order], child[order]
+            beside = [0, *common(self.before, self.left, who[:-1], who[1:]).tolist()]
+            whole = int(common(self.before, self.left, who[:1], who[-1:])[0])
+            for x, y, left in [*intervals(beside), (0, len(who) - 1, 0)] if whole == 0 else intervals(beside):
+                if left + depth >= span and child[x : y + 1].min() != child[x : y + 1].max():
+                    yield who[x : y + 1], left, depth
+
+
 def covered(open_contexts: DataFrame, span: int) -> DataFrame:
     """(node, start, end) from the interval trees of the suffixes under each anchor hash."""
 
@@ -236,27 +335,12 @@ def covered(open_contexts: DataFrame, span: int) -> DataFrame:
         t = gathered(batches)
         if t is None:
             return
-        hash_, node, at = (t.column(c).to_numpy() for c in ("hash", "node", "anchor"))
-        after, right = matrix(t.column("after"), span)
-        before, left = matrix(t.column("before"), span - GRAM)
-        key = np.concatenate([hash_.astype(">i8").view(np.uint8).reshape(-1, 8), after], axis=1)
-        suffix = np.argsort(np.ascontiguousarray(key).view(f"S{span + 8}").reshape(-1), kind="stable")
-        by_left = np.empty(len(suffix), np.int64)
-        by_left[np.argsort(before.view(f"S{span - GRAM}").reshape(-1), kind="stable")] = np.arange(len(suffix))
-        lcp = common(after, right, suffix[:-1], suffix[1:])
-        lcp[hash_[suffix[1:]] != hash_[suffix[:-1]]] = 0
-        out = []
-        for a, b, depth in intervals([0, *lcp.tolist()]):
-            if depth < GRAM:
-                continue
-            who = suffix[a : b + 1]
-            who = who[np.argsort(by_left[who])]
-            shared = common(before, left, who[:-1], who[1:])
-            best = np.maximum(np.append(shared, 0), np.append(0, shared))
+        tree, out = Tree(t, span), []
+        for who, best, depth, _, _ in tree.extensions():
             ok = best + depth >= span
             if ok.any():
                 w = who[ok]
-                out.append(np.stack([node[w], at[w] - best[ok], at[w] + depth]))
+                out.append(np.stack([tree.node[w], tree.at[w] - best[ok], tree.at[w] + depth]))
         if out:
             found = np.concatenate(out, axis=1)
             yield batch_of(node=found[0], start=found[1], end=found[2])
@@ -264,6 +348,40 @@ def covered(open_contexts: DataFrame, span: int) -> DataFrame:
     return open_contexts.repartition("hash").mapInArrow(scan, "node bigint, start bigint, end bigint")
 
 
+def groups(docs: DataFrame, span: int = 200) -> DataFrame:
+    """(repeat, length, doc_id, start): the maximal repeats of unlike contexts, with all their occurrences.
+
+    A repeat is told as far as the contexts of one anchor reach, span bytes to the right and span - 32 to the left; a context that
+    occurs several times stands for one occurrence, and so does a whole text with copies (its least id).
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = gathered(batches)
+        if t is None:
+            return
+        tree = Tree(t, span)
+        for who, left, depth in tree.groups(span):
+            one = who[np.lexsort((tree.at[who], tree.node[who]))[0]]
+            name = _mixed(np.array([tree.node[one], tree.at[one], left, depth]).astype(np.uint64) * _FACTORS).sum()
+            n = len(who)
+            yield batch_of(repeat=np.full(n, name), length=np.full(n, left + depth), node=tree.node[who], start=tree.at[who] - left)
+
+    docs = identified(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    rows = written(classified(texts := docs.dropDuplicates(["node"]).select("node", "text"), span), "anchors")
+    several, _ = open_anchors(rows)
+    found = contexts(texts, several, span).repartition("hash").mapInArrow(scan, "repeat bigint, length bigint, node bigint, start bigint")
+    names = docs.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    return found.join(names, "node").select("repeat", "length", "doc_id", "start")
+
+
+def open_anchors(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """ANCHORS of the hashes with several contexts, and of those with over BLOCK."""
+    going = rows.where("hash IS NOT NULL")
+    counted = going.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
+    open_ = written(going.join(counted, "hash"), "open")
+    return open_.where(F.col("n") <= BLOCK), open_.where(F.col("n") > BLOCK)
+
+
 def merged(cover: DataFrame) -> DataFrame:
     """(node, starts, ends): maximal runs of covered bytes, in order."""
 
@@ -294,16 +412,19 @@ def merged(cover: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, span: int = 200, keep: tuple[str, ...] = ()) -> DataFrame:
     """docs (doc_id, text, keep) with whole (every byte is covered), starts and ends of the covered runs."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *keep).withColumn("node", F.xxhash64("text"))
+    docs = identified(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *keep))
     twice = copies(docs)
-    flagged = docs.join(small(twice), F.col("node") == F.col("copy_node"), "left")
+    flagged = docs.join(small(twice, BROADCAST_ROWS), F.col("node") == F.col("copy_node"), "left")
     texts = flagged.where(F.col("copy_node").isNull() | F.col("doc_id").eqNullSafe(F.col("first_id"))).select("node", "text")
     rows = written(classified(texts, span), "anchors")
-    open_ = rows.where("hash IS NOT NULL").select("hash", "node", "anchor")
     settled = rows.where("hash IS NULL").select("node", F.col("first").alias("start"), (F.col("last") + span).alias("end"))
-    tree = covered(contexts(texts, open_, span), span)
-    cover = written(merged(settled.unionByName(tree)), "cover").withColumnRenamed("node", "cover_node")
-    discard(rows)
+    several, crowded = open_anchors(rows)
+    found = settled.unionByName(covered(contexts(texts, several, span), span))
+    if not crowded.isEmpty():
+        found = found.unionByName(equal_strings(texts, crowded, span))
+    cover = written(merged(found), "cover").withColumnRenamed("node", "cover_node")
+    for t in (rows, several):
+        discard(t)
     out = flagged.join(cover, F.col("node") == F.col("cover_node"), "left")
     whole = F.col("copy_node").isNotNull() & (F.octet_length("text") >= span)
     return out.select("doc_id", "text", *keep, whole.alias("whole"), "starts", "ends")

@@ -104,6 +104,53 @@ def test_repeats_by_force(spark, monkeypatch, block):
         assert hashlib.sha256(rest).digest() == hashlib.sha256(bytes(np.frombuffer(text.encode(), np.uint8)[~hit])).digest()
 
 
+@pytest.mark.parametrize("block", [20_000, 100])
+def test_a_line_that_all_texts_share(spark, monkeypatch, block):
+    """One anchor in 600 texts, with other words around it: only what really repeats for 200 bytes goes."""
+    monkeypatch.setattr(repeats, "BLOCK", block)
+    rng = random.Random(9)
+    line = "Licensed under the terms of a licence that everyone copies and no one reads; see the file. " * 2
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    longer = noise(40)
+    texts = [noise(150) + (longer if i % 50 == 0 else "") + line + noise(150) for i in range(600)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(7)
+    got = {r.doc_id: r for r in repeats.repeated_spans(df).collect()}
+    expected = repeated_by_force([t.encode() for t in texts], 200)
+    assert 0 < sum(h.any() for h in expected) < 100
+    for i, hit in enumerate(expected):
+        assert repeats.kept_pieces(texts[i].encode(), got[i].whole, got[i].starts, got[i].ends)[1] == hit.sum()
+
+
+def test_maximal_repeats(spark):
+    rng = random.Random(6)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    base = [noise(600) for _ in range(3)]
+    texts = [noise(300) + b[i : i + n] + noise(300) for b in base for i, n in ((0, 250), (20, 330), (60, 500), (300, 240))] + [noise(900)]
+    found = repeats.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).toPandas()
+    data, hit = [t.encode() for t in texts], [np.zeros(len(t), bool) for t in texts]
+    assert len(found) and (found.length >= 200).all()
+    for _, g in found.groupby("repeat"):
+        places, n = set(zip(g.doc_id, g.start)), int(g.length.iloc[0])
+        assert len(places) == len(g) > 1 and g.length.nunique() == 1
+        string = data[g.doc_id.iloc[0]][g.start.iloc[0] : g.start.iloc[0] + n]
+        assert len(string) == n  # all occurrences of the string, not neighbours only
+        assert places == {(i, k) for i, d in enumerate(data) for k in range(len(d) - n + 1) if d[k : k + n] == string}
+        for i, k in places:
+            hit[i][k : k + n] = True
+    assert all((h == e).all() for h, e in zip(hit, repeated_by_force(data, 200)))
+
+
+def test_unlike_texts_of_one_name_are_told_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    texts = ["a" * 300, "b" * 300, "c" * 250 + "d" * 100, "short"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    plain = F.xxhash64
+    monkeypatch.setattr(repeats.F, "xxhash64", lambda *c: F.lit(5).cast("bigint") if len(c) == 1 else plain(*c))
+    nodes = {r.doc_id: r.node for r in repeats.identified(df).collect()}
+    assert len(set(nodes.values())) == 4
+
+
 @pytest.mark.parametrize("piece", [37, 300, 1000])
 def test_anchors_of_cut_texts(monkeypatch, piece):
     data = np.random.default_rng(4).integers(97, 101, 5000).astype(np.uint8)
