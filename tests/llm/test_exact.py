@@ -244,7 +244,7 @@ def test_near_duplicates_with_repeated_and_null_ids(spark, monkeypatch, block):
 def test_a_class_name_of_two_sets_is_told_apart(spark, monkeypatch):
     plain = near_dedup.named
     monkeypatch.setattr(near_dedup, "named", lambda s: (plain(s)[0] & 1, plain(s)[1]))  # two names for all sets
-    import cloudpickle
+    from pyspark import cloudpickle
 
     cloudpickle.register_pickle_by_value(near_dedup)
     try:
