@@ -213,7 +213,7 @@ def cached(requests: DataFrame, ttl: int) -> DataFrame:
             yield pdf.assign(loaded=loaded)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema)
-    return requests.repartition("key").sortWithinPartitions("key", "at").mapInPandas(run, f"{kinds}, loaded boolean")
+    return requests.repartition("key").sortWithinPartitions(*dict.fromkeys(["key", "at", *requests.columns])).mapInPandas(run, f"{kinds}, loaded boolean")
 
 
 def least_recent(accesses: DataFrame, size: int) -> DataFrame:

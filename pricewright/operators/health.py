@@ -8,26 +8,42 @@ from pyspark.sql import functions as F
 INACTIVE = ("expired", "invalidated", "stale")
 
 
-def poll_health(polls: DataFrame) -> DataFrame:
-    """polls (provider_id, at, snapshots, issues, throttled) with failures since the last clean poll, state and update gap.
+#: Width of the ranges in which a poll log is read.
+RANGE_US = 6 * 3_600_000_000
 
-    A throttled poll is degraded and leaves the failure count alone; three failures without data are unavailable.
+
+def poll_health(polls: DataFrame, range_us: int = RANGE_US) -> DataFrame:
+    """polls (poll_id, provider_id, at, snapshots, issues, throttled) with failures since the last clean poll, state and update gap.
+
+    A throttled poll is degraded and leaves the failure count alone; three failures without data are unavailable. A feed's log
+    is read in ranges of time: polls are ordered inside a range, and only a row a range is ordered over the whole log.
     """
-    w = Window.partitionBy("provider_id").orderBy("at", "poll_id")
-    clean = (~F.col("throttled")) & (F.col("issues") == 0)
-    run = F.sum(clean.cast("int")).over(w)
-    failed = (~F.col("throttled")) & (F.col("issues") > 0)
-    numbered = polls.withColumn("run", run)
-    inside = Window.partitionBy("provider_id", "run").orderBy("at", "poll_id")
-    failures = F.sum(failed.cast("int")).over(inside)
+    clean, failed = (~F.col("throttled")) & (F.col("issues") == 0), (~F.col("throttled")) & (F.col("issues") > 0)
     updated = (F.col("snapshots") > 0) & ~F.col("throttled")
-    before = F.last(F.when(updated, F.col("at")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    out = numbered.withColumn("failures", failures).withColumn("gap", F.when(updated, F.col("at") - before))
+    lot = F.call_function("div", F.col("at"), F.lit(range_us))
+    rows = polls.withColumns({"lot": lot, "clean": clean, "failed": failed, "updated": updated})
+    inside = Window.partitionBy("provider_id", "lot").orderBy("at", "poll_id")
+    rows = rows.withColumn("run", F.sum(F.col("clean").cast("int")).over(inside))
+    since = F.sum(F.col("failed").cast("int")).over(Window.partitionBy("provider_id", "lot", "run").orderBy("at", "poll_id"))
+    before = F.last(F.when(F.col("updated"), F.col("at")), ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumns({"since": since, "before": before})
+    # what a range hands on: its last update, and its failures after its last clean poll
+    ends = rows.groupBy("provider_id", "lot").agg(
+        F.max("run").alias("runs"), F.max_by("since", F.struct("at", "poll_id")).alias("open"), F.max(F.when(F.col("updated"), F.col("at"))).alias("seen")
+    )
+    lots = Window.partitionBy("provider_id").orderBy("lot")
+    earlier = lots.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("block", F.sum((F.col("runs") > 0).cast("int")).over(lots))
+    total = F.sum("open").over(Window.partitionBy("provider_id", "block").orderBy("lot"))
+    ends = ends.withColumn("total", total).select("provider_id", "lot", F.lag("total", 1, 0).over(lots).alias("carried"), F.last("seen", ignorenulls=True).over(earlier).alias("seen_before"))
+    met = rows.join(ends, ["provider_id", "lot"])
+    failures = F.col("since") + F.when(F.col("run") == 0, F.col("carried")).otherwise(0)
+    out = met.withColumn("failures", failures).withColumn("gap", F.when(F.col("updated"), F.col("at") - F.coalesce("before", "seen_before")))
     state = (
         F.when(F.col("throttled"), "degraded").when(F.col("issues") == 0, "healthy").when(F.col("snapshots") > 0, "degraded")
         .when(F.col("failures") >= 3, "unavailable").otherwise("degraded")
     )
-    return out.withColumn("state", state).drop("run")
+    return out.withColumn("state", state).select(*polls.columns, "failures", "gap", "state")
 
 
 def provider_states(metrics: DataFrame, failure_ratio: float = 0.5) -> DataFrame:

@@ -1,7 +1,7 @@
 """Historical replay: validity ranges, the detector grid, as-of books, intervals and sensitivities.
 
-A range join of versions to grid instants is bucketed by day, so it is an equi-join on (market-free) day
-buckets with a residual; nothing is compared across the whole history.
+A range join of versions to grid instants is bucketed by day and by parts of the keys, so it is an equi-join with a
+residual; nothing is compared across the whole history.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from .books import best_prices, books, consolidate
 from .state import KEY
 
 DAY_US = 86_400_000_000
+#: Parts of a day's versions that meet the day's instants.
+SHARES = 32
 
 
 def validity(versions: DataFrame) -> DataFrame:
@@ -30,13 +32,17 @@ def grid(observed: DataFrame, latency_us: int, every_us: int) -> DataFrame:
 
 
 def as_of(ranges: DataFrame, instants: DataFrame, fresh_us: int) -> DataFrame:
-    """Versions visible and fresh at each instant: observed <= t < valid_to and t - fresh <= effective <= t."""
+    """Versions visible and fresh at each instant: observed <= t < valid_to and t - fresh <= effective <= t.
+
+    Ranges are spread over the days in which they are visible, and over SHARES parts by their key, so a day is not one join key; the
+    grid is copied to every part, and is broadcast by the engine where it is small.
+    """
     last = F.least(F.coalesce("valid_to_us", F.lit(2**62)) - 1, F.col("effective_us") + fresh_us)
     days = F.sequence(F.floor(F.greatest("observed_us", "effective_us") / DAY_US), F.floor(F.col("last") / DAY_US))
     spans = ranges.withColumn("last", last).where(F.col("last") >= F.greatest("observed_us", "effective_us"))
-    spread = spans.withColumn("day", F.explode(days))
-    at = instants.withColumn("day", F.floor(F.col("t") / DAY_US))
-    return spread.join(at, "day").where("t >= observed_us AND t >= effective_us AND t <= last").drop("day", "last")
+    spread = spans.withColumn("day", F.explode(days)).withColumn("share", F.pmod(F.xxhash64(*KEY), F.lit(SHARES)).cast("int"))
+    at = instants.withColumn("day", F.floor(F.col("t") / DAY_US)).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    return spread.join(at, ["day", "share"]).where("t >= observed_us AND t >= effective_us AND t <= last").drop("day", "share", "last")
 
 
 def detections(visible: DataFrame, expected: int, by: tuple[str, ...] = ("t",)) -> DataFrame:

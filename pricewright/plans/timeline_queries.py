@@ -8,8 +8,9 @@ from ..operators import arbitrage as A
 from ..operators import books as B
 from ..operators import feeds
 from ..operators import state as S
-from ..projection import Catalogue, Frames
+from ..projection import QUOTES, Catalogue, Frames
 from ..sources import feed_source as D
+from ..streaming import live
 
 C = Catalogue()
 SECOND = 1_000_000
@@ -30,16 +31,18 @@ def _rows(scenario: str, at: int, transport: int, target: str, source: int | Non
         yield scenario, transport, p, m, s, _cents(m, p) + (move if leg else 0), "active", at, at if source is None else source
 
 
-#: Deliveries of each scenario, and its phases: (offset, phase, transports alive, whether expired rows were evicted).
+SCENARIOS = ("essential", "redundant", "conflict")
+
+
 def deliveries():
+    """Observations of each scenario: feed 0 delivers all along, feed 1 once, and again at 40; a packet of it that left at 0 comes at 32."""
     out = []
     for name, target in (("essential", "without"), ("redundant", "with")):
         for t in (0, 10, 31, 40):
             out += _rows(name, t, 0, target)
         out += _rows(name, 0, 1, "only")
-        out += _rows(name, 40, 3, "only")  # a new life of the evicted keys
-    late = list(_rows("essential", 32, 2, "only", source=0))
-    out += late[:1]
+        out += _rows(name, 40, 1, "only")
+    out += list(_rows("essential", 32, 1, "only", source=0))[:1]
     out += _rows("conflict", 0, 0, "with")
     out += _rows("conflict", 0, 1, "only")
     out += _rows("conflict", 1, 0, "with")
@@ -48,6 +51,7 @@ def deliveries():
     return out
 
 
+#: The phases of each scenario, as (scenario, second, phase, whether what has expired was evicted).
 PHASES = [
     ("essential", 0, "healthy", 0), ("essential", 10, "silent_but_fresh", 0), ("essential", 31, "expired", 0), ("essential", 31, "evicted", 1),
     ("essential", 32, "late_stale_packet", 1), ("essential", 40, "recovered", 1), ("redundant", 0, "healthy", 0), ("redundant", 10, "silent_but_fresh", 0),
@@ -55,7 +59,7 @@ PHASES = [
     ("conflict", 1, "equal_time_conflict", 0), ("conflict", 2, "resolved", 0),
 ]
 
-#: The documented counts of these scenarios.
+#: The documented counts of these scenarios.
 EXPECTED = """SELECT scenario, at_s::bigint AS at_s, phase, stored::bigint AS stored, fresh::bigint AS fresh, stale::bigint AS stale, opportunities::bigint AS opportunities, conflicts::bigint AS conflicts, overlap_slots::bigint AS overlap_slots FROM (VALUES ('essential', 0, 'healthy', 10, 10, 0, 2, 0, 0), ('essential', 10, 'silent_but_fresh', 10, 10, 0, 2, 0, 0), ('essential', 31, 'expired', 10, 8, 2, 1, 0, 0),
  ('essential', 31, 'evicted', 8, 8, 0, 1, 0, 0), ('essential', 32, 'late_stale_packet', 9, 8, 1, 1, 0, 0), ('essential', 40, 'recovered', 10, 10, 0, 2, 0, 0),
  ('redundant', 0, 'healthy', 12, 10, 0, 2, 0, 2), ('redundant', 10, 'silent_but_fresh', 12, 10, 0, 2, 0, 0), ('redundant', 31, 'expired', 12, 10, 2, 2, 0, 0), ('redundant', 31, 'evicted', 10, 10, 0, 2, 0, 0),
@@ -65,15 +69,23 @@ EXPECTED = """SELECT scenario, at_s::bigint AS at_s, phase, stored::bigint AS st
 
 @C.add("bt_feed_recovery", EXPECTED)
 def _(f: Frames):
-    window = 30
+    window = 30 * SECOND
     raw = f.spark.createDataFrame(deliveries(), "scenario string, transport_id bigint, provider_id bigint, market_id bigint, selection_id bigint, cents bigint, status string, at bigint, source bigint")
     phases = f.spark.createDataFrame(PHASES, "scenario string, at_s bigint, phase string, evicted bigint")
-    # a late packet and a recovery meet keys that were evicted before: lives 2 and 3 of transport 1
-    seen = raw.join(phases, "scenario").where("at <= at_s").where("evicted = 1 OR transport_id < 2")
-    seen = seen.where("NOT (evicted = 1 AND transport_id = 1)").where("NOT (transport_id = 2 AND at_s >= 40)")
-    key = ["scenario", "phase", "at_s", "transport_id", "provider_id", "market_id", "selection_id"]
-    now = seen.groupBy(*key).agg(F.max(F.struct("at", "source", "cents", "status")).alias("v")).select(*key, "v.source", "v.cents", "v.status")
-    now = now.withColumn("is_fresh", F.col("at_s") - F.col("source") <= window)
+    # scenarios are told apart by their markets, so that one fold with eviction runs them all
+    lot = F.array_position(F.array(*map(F.lit, SCENARIOS)), F.col("scenario")) * 100
+    events = raw.select(
+        "provider_id", (F.col("market_id") + lot).alias("market_id"), "selection_id", "transport_id", F.lit("q").alias("quote_id"), "cents", "status",
+        (F.col("at") * SECOND).alias("observed_us"), (F.col("source") * SECOND).alias("effective_us"), (F.col("at") * SECOND).alias("ingested_us"),
+    )
+    folded = S.lives(events, 5 * SECOND, window).where("outcome LIKE 'accepted%' OR outcome = 'late_for_evicted'")
+    folded = folded.withColumn("scenario", F.element_at(F.array(*map(F.lit, SCENARIOS)), (F.col("market_id") / 100).cast("int"))).withColumn("market_id", F.col("market_id") % 100)
+    seen = folded.join(F.broadcast(phases), "scenario").where(F.col("observed_us") <= F.col("at_s") * SECOND)  # PHASES rows
+    key = ["scenario", "phase", "at_s", "evicted", "transport_id", "provider_id", "market_id", "selection_id"]
+    now = seen.groupBy(*key).agg(F.max(F.struct("observed_us", "effective_us", "cents", "status", "outcome")).alias("v")).select(*key, (F.col("v.effective_us") / SECOND).cast("bigint").alias("source"), "v.cents", "v.status", "v.outcome")
+    now = now.withColumn("is_fresh", (F.col("at_s") - F.col("source")) * SECOND <= window)
+    # an eviction takes what has expired; a late packet that came after it stays, as stale
+    now = now.where("evicted = 0 OR is_fresh OR outcome = 'late_for_evicted'")
     stored = now.groupBy("scenario", "phase", "at_s").agg(F.count("*").alias("stored"), F.count_if(~F.col("is_fresh")).alias("stale"))
     live = now.where("is_fresh").withColumns({"effective_ts": F.timestamp_seconds("source"), "quote_id": F.concat_ws("-", "transport_id", "provider_id", "market_id", "selection_id")})
     slot = ("scenario", "phase", "at_s", "provider_id", "market_id", "selection_id")
@@ -152,10 +164,15 @@ def _(f):
     return f.spark.createDataFrame(rows, "request string, issue string")
 
 
-@C.add("src_catalog_cache", "SELECT n_regionkey::bigint AS region, count(*) AS n FROM nation GROUP BY 1")
+@C.add("src_catalog_cache", """WITH RECURSIVE e AS (SELECT user_id % 20 AS key, event_id AS request, epoch_us(ts) AS tm FROM events),
+  l AS (SELECT key, min(tm) AS tm FROM e GROUP BY 1 UNION ALL SELECT n.key, n.tm FROM (SELECT l.key, min(e.tm) AS tm FROM l JOIN e ON e.key = l.key AND e.tm >= l.tm + 86400000000 GROUP BY l.key, l.tm) n),
+  f AS (SELECT key, tm, min(request) AS request FROM e GROUP BY 1, 2)
+  SELECT e.request, l.tm IS NOT NULL AND f.request = e.request AS loaded FROM e LEFT JOIN l ON l.key = e.key AND l.tm = e.tm LEFT JOIN f ON f.key = e.key AND f.tm = e.tm""")
 def _(f):
-    catalogue = F.broadcast(f.table("region").select(F.col("r_regionkey").alias("n_regionkey")))  # five rows by definition
-    return f.table("nation").join(catalogue, "n_regionkey").groupBy(F.col("n_regionkey").cast("bigint").alias("region")).agg(F.count("*").alias("n"))
+    # each key reads its catalogue anew after a day; of requests at one moment the least numbered one does
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    requests = f.table("events").select((F.col("user_id") % 20).alias("key"), at.alias("at"), F.col("event_id").alias("request"))
+    return feeds.cached(requests, 86_400_000_000).select("request", "loaded")
 
 
 @C.add("src_http", "SELECT 'landed' AS source, 2::bigint AS good, 1::bigint AS malformed")
@@ -180,13 +197,34 @@ def _(f):
     return f.spark.range(1).select(F.inline(feeds.cycles(ticks, F.array(F.lit(12).cast("bigint")))))
 
 
-@C.add("stm_telemetry", "SELECT 'gamma' AS provider_id, 'timeout' AS kind, true AS retryable")
+@C.add("stm_telemetry", """WITH p AS (SELECT event_id % 4 AS provider_id, CASE event_id % 5 WHEN 0 THEN 200 WHEN 1 THEN 429 WHEN 2 THEN 503 WHEN 3 THEN 401 ELSE 404 END AS code FROM events)
+  SELECT provider_id, CASE code WHEN 429 THEN 'rate_limited' WHEN 503 THEN 'upstream' WHEN 401 THEN 'authentication' WHEN 404 THEN 'invalid_request' ELSE 'ok' END AS kind, code IN (429, 503) AS retryable, count(*) AS n FROM p GROUP BY ALL""")
+def _(f):
+    i = F.col("event_id")
+    code = F.when(i % 5 == 0, 200).when(i % 5 == 1, 429).when(i % 5 == 2, 503).when(i % 5 == 3, 401).otherwise(404)
+    failure = feeds.http_failure(F.col("code"), True)
+    told = f.table("events").select((i % 4).alias("provider_id"), code.alias("code")).select("provider_id", F.coalesce(failure["kind"], F.lit("ok")).alias("kind"), failure["retryable"].alias("retryable"))
+    return told.groupBy("provider_id", "kind", "retryable").agg(F.count("*").alias("n"))
+
+
+SCANNED = f"""WITH {QUOTES}, a AS (SELECT *, max(effective_ts) OVER (PARTITION BY provider_id, market_id, selection_id) AS top FROM quotes WHERE status = 'active'),
+  c AS (SELECT provider_id, market_id, selection_id, any_value(cents) AS cents FROM a WHERE effective_ts = top GROUP BY 1, 2, 3 HAVING count(DISTINCT cents) = 1),
+  b AS (SELECT market_id, selection_id, max(cents)::hugeint AS cents FROM c GROUP BY 1, 2),
+  k AS (SELECT market_id, max(CASE WHEN selection_id = 0 THEN cents END) AS x, max(CASE WHEN selection_id = 1 THEN cents END) AS y, max(CASE WHEN selection_id = 2 THEN cents END) AS z FROM b GROUP BY 1 HAVING count(*) = 3)"""
+
+
+@C.add("stm_scan_cycle", f"{SCANNED} SELECT market_id, round(100 / x::double + 100 / y::double + 100 / z::double, 9) AS implied_sum FROM k WHERE 100 * (x * y + y * z + x * z) < x * y * z")
 def _(f):
-    e = D.scripted(f.spark, script()).where("error IS NOT NULL")
-    return e.select("provider_id", F.col("error").alias("kind"), F.col("error").isin("timeout", "rate_limited", "upstream").alias("retryable"))
+    # quotes land as files, a stream reads them, and each batch is consolidated, priced and tested
+    came, out = D.landing(f.spark, "quotes"), D.landing(f.spark, "scanned")
+    f.quotes.coalesce(1).write.parquet(came)
+    stream = f.spark.readStream.schema(f.quotes.schema).parquet(came)
+    emit = lambda found, epoch: found.select("market_id", "implied_sum").write.mode("append").parquet(out)
+    live.drained(stream, live.scan_cycle(3, emit), D.landing(f.spark, "progress"))
+    return f.spark.read.schema("market_id bigint, implied_sum double").parquet(out).select("market_id", F.round("implied_sum", 9).alias("implied_sum"))
 
 
-@C.add("stm_scan_cycle", "SELECT issue, n::bigint AS n FROM (VALUES ('inactive_quote', 3), ('malformed_price', 1), ('stale_quote', 3), ('eligible', 14)) t(issue, n)")
+@C.add("src_gate", "SELECT issue, n::bigint AS n FROM (VALUES ('inactive_quote', 3), ('malformed_price', 1), ('stale_quote', 3), ('eligible', 14)) t(issue, n)")
 def _(f):
     return matrix(f).groupBy(F.coalesce("issue", F.lit("eligible")).alias("issue")).agg(F.count("*").alias("n"))
 

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.arbitrage import evaluated, opportunities
@@ -55,6 +56,35 @@ def scan_cycle(expected: int, emit: Callable[[DataFrame, int], None]) -> Callabl
     return cycle
 
 
+def poll_loop(polls: DataFrame, cycle: Callable[[DataFrame, int], None], seconds: float, checkpoint: str) -> StreamingQuery:
+    """Runs a cycle over what polls has brought, every so many seconds; cycles never overlap, and ticks that fall into a running one are dropped."""
+    return polls.writeStream.foreachBatch(cycle).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
+
+
+def drained(polls: DataFrame, cycle: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Runs the cycle over all that is there, in as many batches as the source makes, and ends."""
+    polls.writeStream.foreachBatch(cycle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+class ProgressLog(StreamingQueryListener):
+    """Keeps (query id, batch, input rows) of each cycle; for spark.streams.addListener."""
+
+    def __init__(self, most: int = 256):
+        self.most, self.cycles, self.ended = most, [], 0
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.cycles = [*self.cycles, (str(event.progress.id), event.progress.batchId, event.progress.numInputRows)][-self.most :]
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended += 1
+
+
 def as_events(quotes: DataFrame) -> DataFrame:
     """Batch quote columns as the fold's microsecond columns."""
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))

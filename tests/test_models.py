@@ -1,6 +1,7 @@
 """The fold, the exact arithmetic and the stake search against independent models; streams against batches."""
 
 import random
+import time
 from decimal import Decimal
 from fractions import Fraction
 
@@ -10,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pricewright.functions import udfs
-from pricewright.operators import arbitrage, books, replay, stakes, state, store
+from pricewright.operators import arbitrage, books, feeds, health, replay, stakes, state, store
 from pricewright.projection import Frames
 from pricewright.streaming import live
 
@@ -271,6 +272,77 @@ def test_opportunities_are_stored_whole_or_not_at_all(spark, tmp_path):
     assert sorted(map(tuple, got)) == [("o1", 3, True), ("o2", 2, True)] and spark.read.parquet(path).count() == 9
 
 
+def test_poll_loop_and_progress(spark, tmp_path):
+    log, seen = live.ProgressLog(), []
+    spark.streams.addListener(log)
+    try:
+        source = str(tmp_path / "in")
+        spark.range(30).write.parquet(source)
+        stream = spark.readStream.schema("id bigint").parquet(source)
+        query = live.poll_loop(stream, lambda batch, epoch: seen.append(batch.count()), 0.2, str(tmp_path / "a"))
+        query.processAllAvailable()
+        query.stop()
+        live.drained(stream, lambda batch, epoch: seen.append(batch.count()), str(tmp_path / "b"))
+        for _ in range(100):  # listeners hear of progress a little later
+            if log.ended < 2:
+                time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(log)
+    assert sum(seen) == 60 and sum(n for _, _, n in log.cycles) == 60
+
+
+def test_lives_after_eviction(spark):
+    key = (1, 2, 0, 1)
+    events = [(0, 0), (20, 20), (60, 5), (61, 61), (62, 61), (200, 150), (201, 201)]  # (seen at, source)
+    rows = [(*key, f"q{i}", 100 + i, "active", at, src, at) for i, (at, src) in enumerate(events)]
+    df = spark.createDataFrame(rows, "provider_id bigint, market_id bigint, selection_id bigint, transport_id bigint, quote_id string, cents bigint, status string, observed_us bigint, effective_us bigint, ingested_us bigint")
+    got = [(r.outcome, r.revision, r.life, r.evicted_us) for r in state.lives(df, 5, 30).orderBy("observed_us").collect()]
+    assert got == [
+        ("accepted", 1, 1, 30), ("accepted", 2, 1, 50), ("late_for_evicted", None, 2, None), ("accepted", 1, 2, 91), ("accepted", 2, 2, 91),
+        ("late_for_evicted", None, 3, None), ("accepted", 1, 3, 231),
+    ]
+
+
+@pytest.mark.parametrize("width", [1, 7, 1000])
+def test_poll_health_in_ranges(spark, width):
+    rng = random.Random(width)
+    polls = [(i, i % 3, rng.randint(0, 90), rng.randint(0, 2), rng.randint(0, 2) // 2 * rng.randint(0, 1), rng.random() < 0.2) for i in range(200)]
+    got = {r.poll_id: r for r in health.poll_health(spark.createDataFrame(polls, "poll_id bigint, provider_id bigint, at bigint, snapshots bigint, issues bigint, throttled boolean"), width).collect()}
+    for provider in range(3):
+        failures, last = 0, None
+        for i, _, at, snapshots, issues, throttled in sorted((p for p in polls if p[1] == provider), key=lambda p: (p[2], p[0])):
+            if not throttled:
+                failures = failures + 1 if issues else 0
+            gap = at - last if snapshots and not throttled and last is not None else None
+            last = at if snapshots and not throttled else last
+            assert (got[i].failures, got[i].gap) == (failures, gap)
+
+
+def test_feed_shapes_one_by_one(spark):
+    """Each rule of each shape, as its own payload."""
+    import json
+
+    def payload(key, outcomes, sport="soccer_x", home="A", bookmaker="bm", **market):
+        o = [{"name": n, "price": p, **({"point": x} if x is not None else {})} for n, p, x in outcomes]
+        return json.dumps({"id": "e", "sport_key": sport, "home_team": home, "away_team": "B", "bookmakers": [{"key": bookmaker, "title": "T", "markets": [{"key": key, "outcomes": o, **market}]}]})
+
+    two = lambda a, b, x=None, y=None: [(a, 2.0, x), (b, 2.1, y)]
+    cases = [
+        (payload("spreads", two("A", "B", 1.5, 1.5)), "unopposed_points"), (payload("spreads", two("B", "A", 1.5, -1.5)), None), (payload("totals", [("Over", 2.0, 2.5)]), "outcome_count"),
+        (payload("btts", two("Yes", "Maybe")), "unexpected_outcome"), (payload("btts", two("no", "YES")), None), (payload("draw_no_bet", two("A", "C")), "unexpected_outcome"), (payload("draw_no_bet", two("A", "B")), None),
+        (payload("h2h_s1", two("A", "C"), sport="tennis_x"), "unexpected_outcome"), (payload("h2h_s2", two("A", "B")), "wrong_sport"), (payload("h2h", []), "empty_outcomes"), (payload("h2h", two("A", "B", 1)), "unexpected_point"),
+        (payload("totals", two("Over", "Under", 2.5, 3.5)), "unequal_points"), (payload("totals", two("Over", "Over", 2.5, 2.5)), "unexpected_outcome"), (payload("alternate", two("x", "y", 1)), "unsupported_pointed_market"),
+        (payload("alternate", two("x", "y")), None), (payload("h2h", [("A", None, None)]), "malformed_outcome"), (payload("h2h", two("A", "B"), home="B"), "same_participants"), ("{", "malformed_payload"),
+    ]
+    for text, issue in cases:
+        got = feeds.array_feed(spark.createDataFrame([(text,)], "payload string")).collect()
+        assert got and {r.issue for r in got} == {issue}, text
+    spread = feeds.array_feed(spark.createDataFrame([(cases[1][0],)], "payload string")).collect()
+    assert {(r.name, float(r.line), float(r.handicap), r.provider_id, r.market_id, r.label) for r in spread} == {("B", -1.5, 1.5, "bookmaker:array:bm", "bm:spreads", "T spreads"), ("A", -1.5, -1.5, "bookmaker:array:bm", "bm:spreads", "T spreads")}
+    basket = spark.createDataFrame([(payload("totals", two("Over", "Under", 160.5, 160.5), sport="basketball_x", sid="m7"),)], "payload string")
+    assert feeds.array_feed(basket).collect() == [] and {r.market_id for r in feeds.array_feed(basket, full_event_bookmakers=("bm",)).collect()} == {"bm:m7"}
+
+
 def test_sql_functions(spark):
     udfs.register(spark)
     r = spark.sql("SELECT alias_key(' Straße ') AS a, odds_to_decimal60('5/2', 'fractional') AS o, exact_book(array('2.01', '2.01')).is_arbitrage AS x").first()
