@@ -463,3 +463,44 @@ def test_stored_postings_give_the_same_spans(spark):
 def test_a_scan_shuffles_no_text(spark):
     text = secret_scan.scan(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in text and "Join" not in text and "Python" not in text and "InArrow" not in text
+
+
+def plain_ftrl(rows, epochs, alpha=2.0, beta=1.0, l1=4.0):
+    """FTRL-proximal one coordinate at a time: (weights by coordinate, intercept) after rows of (coordinates, label)."""
+    z, n, z0, n0 = {}, {}, 0.0, 0.0
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return (math.copysign(l1, z[i]) - z[i]) / ((beta + math.sqrt(n[i])) / alpha)
+
+    for _ in range(epochs):
+        for x, label in rows:
+            b = -z0 / ((beta + math.sqrt(n0)) / alpha)
+            w = {i: weight(i) for i in x}
+            g = 1 / (1 + math.exp(-max(-30.0, min(30.0, b + sum(w[i] for i in sorted(x)))))) - label
+            for i in x:
+                old = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / alpha * w[i]
+                n[i] = old + g * g
+            z0 += g - (math.sqrt(n0 + g * g) - math.sqrt(n0)) / alpha * b
+            n0 += g * g
+    return {i: weight(i) for i in z if weight(i)}, -z0 / ((beta + math.sqrt(n0)) / alpha)
+
+
+def test_weights_by_a_plain_learner(spark):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    rng = random.Random(41)
+    good, bad = "alpha beta gamma delta epsilon zeta".split(), "awful nasty stupid beta".split()
+    texts = [" ".join(rng.choice(bad if i % 3 == 0 and rng.random() < 0.6 else good) for _ in range(rng.randint(1, 30))) for i in range(150)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, texts[0])] * 5, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, None, int(i % 3 == 0)) for i in range(150)], "doc_id bigint, quality int, toxic int")
+    at, weights, bias = toxicity.learned(docs, labels, sample_rows=60)
+    turns = {r.doc_id: r.turn for r in docs.select("doc_id", F.xxhash64("doc_id").alias("turn")).collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    chosen = sorted(turns, key=lambda i: turns[i])[:60]
+    rows = [(set(toxicity.features(*toxicity.buffers(pa.array([texts[i]])), 20)[0].tolist()), float(i % 3 == 0)) for i in chosen]
+    expected, intercept = plain_ftrl(rows, 2)
+    got = dict(zip(at.tolist(), weights.tolist()))
+    assert len(got) > 5 and got.keys() == expected.keys() and all(abs(got[i] - w) < 1e-9 for i, w in expected.items()) and abs(bias - intercept) < 1e-9
