@@ -2,8 +2,8 @@
 
 A string of span (200) bytes is judged by its minimiser: the leftmost least 32-byte hash inside it. Equal
 strings have equal minimisers at equal places, so all occurrences of a repeated string meet under
-one anchor hash. An anchor carries the context of the strings it stands for. Occurrences are dealt by anchor and context and read
-in order, so neither a hot anchor nor a hot context is ever gathered: a context that occurs twice covers all its
+one anchor hash. An anchor carries the context of the strings it stands for. Occurrences are dealt by anchor and context, of a context
+a few rows a task, so neither a hot anchor nor a hot context is gathered: a context that occurs twice covers all its
 occurrences, and one of each context goes on. Anchors with several contexts are suffix-sorted
 under their hash (suffixes that begin at anchors, with their common-prefix lengths), and one stack
 scan walks the tree of common-prefix intervals. At each interval of depth d its left diversity is tested: occurrences that all share one
@@ -39,6 +39,8 @@ GRAM = 32
 PIECE = 1 << 20
 #: The table of repeated texts (16 bytes a row) is broadcast up to this many rows; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 1 << 20
+#: Contexts that a task remembers to have sent once, or twice; more are sent again.
+MOST_SENT = 400_000
 #: Distinct contexts of one anchor up to which they are suffix-sorted.
 BLOCK = 20_000
 _BYTE, _BYTE2 = (_mixed(np.arange(at, at + 256, dtype=np.uint64) * _M) | np.uint64(1) for at in (5001, 6001))
@@ -109,6 +111,8 @@ def classified(texts: DataFrame, span: int) -> DataFrame:
     """ANCHORS: hash is null where the strings from first to last are known to repeat, else the row is the one that goes on for its context."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once: set[int] = set()
+        sent: set[int] = set()  # contexts whose two occurrences are on their way from this task
         for batch in slices(batches, "text"):
             data, offsets = buffers(batch.column("text"))
             nodes = batch.column("node").to_numpy()
@@ -122,50 +126,41 @@ def classified(texts: DataFrame, span: int) -> DataFrame:
             hash_, context, anchor, first, last = (np.concatenate(c) for c in zip(*got))
             node = np.concatenate(owner)
             # contexts that occur twice here are settled here; one of them goes on for all, the others are dealt out evenly
-            _, lead, back, n = np.unique(context, return_index=True, return_inverse=True, return_counts=True)
+            kinds, lead, back, n = np.unique(context, return_index=True, return_inverse=True, return_counts=True)
             seen = np.minimum(n, 2)[back]
             follows = np.ones(len(context), bool)
             follows[lead] = False
+            done = np.array([c in sent for c in kinds.tolist()], bool)
+            follows[lead[done]] = True
             seen[follows] = 0
+            single = set(kinds[(n == 1) & ~done].tolist())
+            sent.update(kinds[(n > 1) & ~done].tolist(), single & once)
+            once |= single
+            for held in (once, sent):
+                if len(held) > MOST_SENT:
+                    held.clear()
             key = np.where(follows, _mixed(hash_ + node.astype(np.uint64) * _M + anchor.astype(np.uint64)), hash_)
             yield batch_of(key=key, context=context, node=node, anchor=anchor, first=first, last=last, seen=seen)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Runs of one key and context, over batches: all their rows if there are two or more, and the first of each."""
-        waits: tuple | None = None  # the first row of a run that is not known to be repeated
-        at_end = None  # key, context and whether it is settled, of the last run so far
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, context, node, anchor, first, last, seen = (batch.column(c).to_numpy() for c in ("key", "context", "node", "anchor", "first", "last", "seen"))
-            lead = np.append(True, (key[1:] != key[:-1]) | (context[1:] != context[:-1]))
-            goes_on = at_end is not None and at_end[:2] == (key[0], context[0])
-            run = np.cumsum(lead) - 1
-            times = np.bincount(run, seen)
-            followers = seen == 0
-            if goes_on:
-                times[0] += 2 if at_end[2] else 1
-            twice = (times > 1)[run] | followers
-            out = [(key[twice] * 0, node[twice], anchor[twice], first[twice], last[twice], np.zeros(twice.sum(), bool))]
-            if goes_on and not at_end[2] and times[0] > 1:
-                out.append(tuple(np.array([x]) for x in (0, *waits, False)))
-            fresh = lead & ~followers
-            if goes_on:
-                fresh[0] = False
-            out.append((key[fresh], node[fresh], anchor[fresh], first[fresh], last[fresh], np.ones(fresh.sum(), bool)))
-            begin = np.flatnonzero(lead)[-1]
-            if not (goes_on and run[-1] == 0):
-                waits = (node[begin], anchor[begin], first[begin], last[begin])
-            at_end = (key[-1], context[-1], bool(times[-1] > 1))
-            key, node, anchor, first, last, open_ = (np.concatenate(c) for c in zip(*out))
+        t = gathered(batches)
+        if t is None:
+            return
+        key, context, node, anchor, first, last, seen = (t.column(c).to_numpy() for c in t.column_names)
+        by = np.lexsort((anchor, node, context, key))
+        k, c = key[by], context[by]
+        lead = np.append(True, (k[1:] != k[:-1]) | (c[1:] != c[:-1]))
+        followers = seen[by] == 0
+        twice = (np.bincount(np.cumsum(lead) - 1, seen[by]) > 1)[np.cumsum(lead) - 1] | followers
+        for rows, open_ in ((by[twice], False), (by[lead & ~followers], True)):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key, mask=~open_), *map(pa.array, (node, anchor, first, last))], names=["hash", "node", "anchor", "first", "last"]
+                [pa.array(key[rows], mask=np.full(len(rows), not open_)), *(pa.array(x[rows]) for x in (node, anchor, first, last))], names=["hash", "node", "anchor", "first", "last"]
             )
 
     rows = texts.select("node", "text").mapInArrow(
         scan, "key bigint, context bigint, node bigint, anchor bigint, first bigint, last bigint, seen bigint"
     )
-    return rows.repartition("key", "context").sortWithinPartitions("key", "context").mapInArrow(settle, ANCHORS)
+    return rows.repartition("key", "context").mapInArrow(settle, ANCHORS)
 
 
 def batch_of(**columns: np.ndarray) -> pa.RecordBatch:
@@ -378,7 +373,7 @@ def open_anchors(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """ANCHORS of the hashes with several contexts, and of those with over BLOCK."""
     going = rows.where("hash IS NOT NULL")
     counted = going.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
-    open_ = written(going.join(counted, "hash"), "open")
+    open_ = written(going.join(counted.hint("shuffle_hash"), "hash"), "open")  # one row a hash is hashed, and nothing sorted
     return open_.where(F.col("n") <= BLOCK), open_.where(F.col("n") > BLOCK)
 
 
