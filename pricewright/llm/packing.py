@@ -40,7 +40,7 @@ UNSETTLED = re.compile(
 #: Texts of these characters only can be split by the plainer, faster pattern NARROW_WORDS.
 WIDE = re.compile("[^\x00-\x1b\x20-\x7e\u00a1\u00ab\u00bb\u00bf\u00e0-\u00f6\u00f8-\u00ff\u2010-\u2027]")
 NARROW_WORDS = re.compile("'(?:[stmd]|re|ve|ll)|[a-z\u00e0-\u00f6\u00f8-\u00ff]+|[0-9]|[^\\sa-z\u00e0-\u00f6\u00f8-\u00ff0-9]+")
-MAX_WORDS = 400_000
+MAX_WORDS = 300_000
 #: Characters of a chunk that is kept.
 LONGEST = 64
 CHUNK_ROWS = 2_000
