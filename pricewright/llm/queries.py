@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import code_search, conversation_trie, language_id, near_dedup, packing, pieces, repeats, secret_scan, token_counts, toxicity, vector_dedup
+from . import code_search, conversation_trie, language_id, near_dedup, packing, pieces, repeats, secret_scan, token_counts, toxicity, vector_dedup, vector_packing
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": secret_scan.op8_secret_scan,
         "op9_vector_dedup": vector_dedup.op9_vector_dedup,
         "op10_code_search": code_search.op10_code_search,
+        "op11_vector_packing": vector_packing.op11_vector_packing,
         "op13_conversation_trie": conversation_trie.op13_conversation_trie,
     }
 
