@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import code_search, conversation_trie, language_id, near_dedup, packing, pieces, repeats, secret_scan, token_counts, toxicity, vector_dedup, vector_packing
+from . import code_search, conversation_trie, language_id, leaderboard, near_dedup, packing, pieces, repeats, secret_scan, token_counts, toxicity, vector_dedup, vector_packing
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_vector_dedup": vector_dedup.op9_vector_dedup,
         "op10_code_search": code_search.op10_code_search,
         "op11_vector_packing": vector_packing.op11_vector_packing,
+        "op12_leaderboard": leaderboard.op12_leaderboard,
         "op13_conversation_trie": conversation_trie.op13_conversation_trie,
     }
 
@@ -37,5 +38,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_near_dedup": near_dedup.ORACLE,
         "op8_secret_scan": secret_scan.oracle_op8(),
         "op10_code_search": code_search.ORACLE,
+        "op12_leaderboard": leaderboard.ORACLE,
         "op13_conversation_trie": conversation_trie.ORACLE,
     }
