@@ -7,7 +7,7 @@ order, and is compared with the one stored before. Priorities are a hash of the
 and the state keeps only those.
 
 A nation has as many shares as its items need at SHARE_ITEMS each; the changes of FAN shares' boards go to a further stateful
-operator with a treap of their candidates, and so on until one is left, whose ranks make the feed. So no task holds or reads a
+query with a treap of their candidates, and so on until one is left, whose ranks make the feed. So no task holds or reads a
 nation. Lines are summed per item and day inside each task before they are dealt, so a hot item is a few rows a task. Look-ups are
 shuffle joins (never broadcast) that the engine splits where a key is hot; what reaches the driver is one row a batch.
 
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from .common import discard, scratch, table, written
+from .common import scratch, table, written
 from .conversation_trie import CRC32
 
 #: The first day (2024-01-01 in days since 1970), the days of all batches, days of grace, places of a board.
@@ -302,8 +302,7 @@ def ranked(nation: int, up: int, day: int, before: list[int], now: list[int], to
 
 def _frame(rows: Rows, schema: str) -> pd.DataFrame:
     names = [c.split()[0] for c in schema.split(", ")]
-    out = pd.DataFrame(rows, columns=names)
-    return out.astype({c: "Int32" for c in ("old_rank", "new_rank") if c in names})
+    return pd.DataFrame(rows, columns=names).astype({c: "Int32" for c in ("old_rank", "new_rank") if c in names})
 
 
 def share_step(tell: Callable[..., Rows], schema: str, fan: int) -> Callable:
@@ -365,19 +364,17 @@ def widths(shares: int, fan: int) -> list[int]:
     return out
 
 
-def changes(sums: DataFrame, shares: int, fan: int = FAN) -> DataFrame:
-    """A stream of (nation_id, item_id, day, cents) as a stream of CHANGES, through a tree of stateful operators.
+def told_by(rows: DataFrame, level: int, levels: list[int], fan: int = FAN) -> DataFrame:
+    """The stream of a level's boards: TOLD, or CHANGES at the last one. Level 0 takes (nation_id, item_id, day, cents), the others TOLD.
 
     The rows of a day must come in one micro-batch, and days in order.
     """
-    levels = widths(shares, fan)
-    rows = sums.mapInArrow(summed, "nation_id int, item_id bigint, day bigint, cents bigint").withColumn("share", F.pmod(F.xxhash64("item_id"), F.lit(shares)))
-    for level in range(len(levels)):
-        last = level == len(levels) - 1
-        tell, schema = (ranked, CHANGES) if last else (told, TOLD)
-        step = (merge_step if level else share_step)(tell, schema, fan)
-        rows = rows.groupBy("nation_id", "share").applyInPandasWithState(step, schema, STATE, "append", GroupStateTimeout.NoTimeout)
-    return rows
+    tell, schema = (ranked, CHANGES) if level == len(levels) - 1 else (told, TOLD)
+    if not level:
+        rows = rows.mapInArrow(summed, "nation_id int, item_id bigint, day bigint, cents bigint")
+        rows = rows.withColumn("share", F.pmod(F.xxhash64("item_id"), F.lit(levels[0])))
+    step = (merge_step if level else share_step)(tell, schema, fan)
+    return rows.groupBy("nation_id", "share").applyInPandasWithState(step, schema, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def _rounded(c: Column) -> Column:
@@ -419,22 +416,27 @@ def feed(spark: SparkSession, lines: DataFrame, vendors: DataFrame, items: DataF
     ready.write.partitionBy("batch").option("compression", "zstd").parquet(f"{home}/cut")
     whole = spark.read.schema(ready.schema).parquet(f"{home}/cut")
     latest = dict(whole.groupBy("batch").agg(F.max("sent")).collect())  # a row a batch
-    disk.mkdirs(path(f"{home}/feed"))
-    known = None
+    levels, known = widths(shares, fan), None
+    for folder in ("feed", *(f"told-{level}" for level in range(len(levels)))):
+        disk.mkdirs(path(f"{home}/{folder}"))
+    told_schema = spark.createDataFrame([], TOLD).schema
     for batch in range(1, batches + 1):
         if batch in latest:
             disk.rename(path(f"{home}/cut/batch={batch}"), path(f"{home}/feed/{batch:04}"))
         came = spark.readStream.schema(ready.drop("batch").schema).option("recursiveFileLookup", True).parquet(f"{home}/feed")
         if known is not None:
             came = came.where(F.col("sent") + GRACE >= known)
-        counted = came.where("nation_id IS NOT NULL").select("nation_id", "item_id", F.col("day").cast("bigint").alias("day"), "cents")
-        out = changes(counted, shares, fan).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{home}/state")
-        out.trigger(availableNow=True).start(f"{home}/changes").awaitTermination()
+        rows = came.where("nation_id IS NOT NULL").select("nation_id", "item_id", F.col("day").cast("bigint").alias("day"), "cents")
+        for level in range(len(levels)):  # a query has one operator with state, so each level is a query on a checkpoint of its own
+            out = told_by(rows, level, levels, fan).writeStream.format("parquet").outputMode("append")
+            out = out.option("checkpointLocation", f"{home}/state-{level}").trigger(availableNow=True)
+            out.start(f"{home}/told-{level}").awaitTermination()
+            rows = spark.readStream.schema(told_schema).parquet(f"{home}/told-{level}")
         if batch in latest:
             known = latest[batch] if known is None else max(known, latest[batch])
     disk.delete(path(f"{home}/feed"), True)
     schema = spark.createDataFrame([], CHANGES).schema
-    return spark.read.schema(schema).parquet(f"{home}/changes").withColumn("batch", batch_of(F.col("arrival_day"), batches))
+    return spark.read.schema(schema).parquet(f"{home}/told-{len(levels) - 1}").withColumn("batch", batch_of(F.col("arrival_day"), batches))
 
 
 def op12_leaderboard(spark, sf_dir: str) -> DataFrame:
