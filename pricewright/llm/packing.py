@@ -31,10 +31,11 @@ from .token_counts import located
 
 #: Fixed value: the word pattern of the vocabulary; white space between words is dropped.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Characters whose class or lower case the tokenizer library sees otherwise; texts with
-#: them, or with what may be a special token, go through the library whole.
+#: Characters whose class or lower case the tokenizer library sees otherwise, and marks that its older tables
+#: do not order among others; texts with them, or with what may be a special token, go through the library whole.
 UNSETTLED = re.compile(
-    "[\u03a3\u0558\u058b\u058c\u088f\u0c5c\u0cdc\u1c89\u208f\u209d\u209e\u209f"
+    "[\u07fd\u0898-\u089f\u08ca-\u08d3\u09fe\u0c3c\u0d3b\u0d3c\u0eba\u1715\u1abf-\u1ace\u1df6-\u1dfa\ua82c"
+    "\u03a3\u0558\u058b\u058c\u088f\u0c5c\u0cdc\u1c89\u208f\u209d\u209e\u209f"
     "\ua7cb-\ua7dd\ua7e2\ua7f1\uab6c\uab6d\U00010000-\U0010ffff]|<\\|"
 )
 #: Texts of these characters only can be split by the plainer, faster pattern NARROW_WORDS.

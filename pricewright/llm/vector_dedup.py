@@ -7,10 +7,13 @@ before it; windows reach over the borders of partitions. Vectors travel as 16-bi
 verified in double precision. Verified pairs of all passes are united into components, and the degree of a
 vector is its exact number of links inside its component, counted in tiles of TILE rows.
 
-Whether the passes were enough is measured, not assumed: after each round of PASSES, PROBES vectors (of all open groups, by
-least hash) are compared with every vector of their groups, and a group in which fewer than ENOUGH of the links of its probes lie inside one
-component goes into another round, with other projections. What is still open after ROUNDS rounds is compared in tiles, all pairs.
-exact=True does so for every group at once.
+Whether the passes were enough is measured in every group, not assumed, and does not depend on how rare links are: of one row in
+PLANT (PLANTED of a group at most) a copy turned away to the least cosine of a link is sorted with the rest, and counts
+only as found or not found beside its own row, the hardest link there can be. A group in which fewer than ENOUGH of its turned copies
+were found, in all rounds so far, goes into another round of PASSES with other projections. Groups with fewer than EVIDENCE turned copies
+are judged together with those of their length and size (in powers of two) as well; a group of which nothing is known is open. What is
+still open after ROUNDS rounds is compared in tiles, all pairs. exact=True does so for every group at once. So recall is about ENOUGH or more
+of links at the least cosine, and more above it.
 
 Vectors that are null, empty, zero, or hold null or non-finite components, and those without a label, link with
 nothing; any other length of a vector, however large or small, is scaled out. Rows with equal ids are vectors of their own
@@ -31,11 +34,13 @@ from .common import components, discard, same, small, table, united, written
 from .near_dedup import gathered, runs
 
 PASSES, SIGNS, WINDOW, TILE = 24, 63, 32, 4096
-ROUNDS, PROBES, ENOUGH = 4, 1024, 0.99
+ROUNDS, ENOUGH = 4, 0.99
+#: One row in so many has a turned copy, up to so many in a group; copies that judge a group alone.
+PLANT, PLANTED, EVIDENCE = 8, 1024, 300
 #: Groups whose mean is known to all tasks (one vector of whole numbers each).
 MEANS = 256
-#: Links of a probe that a task names; recall is their share inside components.
-NAMED = 16
+#: Sums of products in another order differ by less.
+CLOSE = 1e-9
 BROADCAST_ROWS = 1 << 16
 #: One in 16-bit numbers.
 ONE = 32767
@@ -163,7 +168,10 @@ def bordered(rows: pa.Table, border: int, side: int) -> pa.RecordBatch:
 
 
 def in_windows(rows: pa.Table, least: float, old: int) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, sure) of sorted rows at most WINDOW apart, of one pass and group; pairs among the first old rows are known."""
+    """Pairs (a, b, sure) of sorted rows at most WINDOW apart, of one pass and group; pairs among the first old rows are known.
+
+    Turned copies have negative numbers, ~uid of their row; they pair with that row alone, whatever the cosine.
+    """
     uid, dims, turn, sign = (rows.column(c).to_numpy() for c in ("uid", "dim", "pass", "sign"))
     label = rows.column("label").combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
     group = label << np.int64(8) | turn
@@ -173,10 +181,15 @@ def in_windows(rows: pa.Table, least: float, old: int) -> Iterator[pa.RecordBatc
         x = np.frombuffer(b"".join(short.take(pa.array(i)).to_pylist()), "<i2").reshape(-1, dim).astype(np.float32) / np.float32(ONE)
         # rounding moves a component by half a unit at most, so a product by no more than this
         slack = 2 * np.sqrt(dim) * 0.5 / ONE + dim * (0.5 / ONE) ** 2 + 1e-5
-        of, fresh = group[i], i >= old
+        of, fresh, own = group[i], i >= old, uid[i]
         ends: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for gap in range(1, min(WINDOW, len(i) - 1) + 1):
-            p = np.flatnonzero((of[:-gap] == of[gap:]) & fresh[gap:])
+            both = (of[:-gap] == of[gap:]) & fresh[gap:]
+            met = np.flatnonzero(both & (own[:-gap] == ~own[gap:]))
+            if len(met):
+                pair = own[met], own[met + gap]
+                yield walked_batch(len(met), a=pa.array(np.minimum(*pair)), b=pa.array(np.maximum(*pair)), sure=pa.array(np.ones(len(met), bool)))
+            p = np.flatnonzero(both & (own[:-gap] >= 0) & (own[gap:] >= 0))
             near = np.einsum("ij,ij->i", x[p], x[p + gap])
             hit = near >= least - slack
             ends.append((p[hit], p[hit] + gap, near[hit] >= least + slack))
@@ -207,35 +220,36 @@ def verified(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return sure.unionByName(both.where(dot >= least).select("a", "b"))
 
 
-def open_groups(nodes: DataFrame, comps: DataFrame, least: float) -> DataFrame:
-    """(label, dim) of the groups of nodes in which fewer than ENOUGH of the probes' links lie inside components."""
-    probes = nodes.orderBy(F.xxhash64("uid", F.lit(7)), "uid").limit(PROBES).select("uid", "label", "dim", "unit").toArrow()  # PROBES vectors
-    groups = {g: (part.column("uid").to_numpy(), stacked(pa.chunked_array([part.column("unit")]), g[1])) for batch in probes.combine_chunks().to_batches() for g, part in by_group(batch)}
-    held = nodes.sparkSession.sparkContext.broadcast(groups)
+def turned(nodes: DataFrame, sizes: DataFrame, least: float) -> DataFrame:
+    """(uid, label, dim, unit): copies of some rows of nodes at the cosine least, in directions of their own; uid is ~uid of the row."""
+    share = F.least(F.lit(1.0 / PLANT), PLANTED / F.col("n"))
+    chosen = nodes.join(sizes, ["label", "dim"]).where(F.pmod(F.xxhash64("uid", F.lit(11)), F.lit(1 << 30)) < share * (1 << 30))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told: dict[int, int] = {}
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                for (label, dim), part in by_group(whole.slice(at, 2048)):
-                    if (label, dim) not in held.value:
-                        continue
-                    ids, y = held.value[label, dim]
-                    uid = part.column("uid").to_numpy()
-                    p, q = np.nonzero(y @ stacked(pa.chunked_array([part.column("unit")]), dim).T >= least)
-                    keep = []
-                    for k, (a, b) in enumerate(zip(ids[p].tolist(), uid[q].tolist())):
-                        if a != b and told.get(a, 0) < NAMED:
-                            told[a] = told.get(a, 0) + 1
-                            keep.append(k)
-                    n = len(keep)
-                    yield pa.RecordBatch.from_arrays([pa.array([label] * n, pa.string()), pa.array([dim] * n, pa.int32()), pa.array(ids[p[keep]]), pa.array(uid[q[keep]])], names=["label", "dim", "p", "q"])
-
-    links = nodes.select("uid", "label", "dim", "unit").mapInArrow(run, "label string, dim int, p bigint, q bigint")
-    of = lambda c: comps.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
-    met = links.join(of("p"), "p", "left").join(of("q"), "q", "left")
-    inside = F.count_if(F.col("p_in") == F.col("q_in"))
-    return met.groupBy("label", "dim").agg((inside / F.count("*")).alias("recall")).where(F.col("recall") < ENOUGH).select("label", "dim")
+        for batch in batches:
+            for _, part in by_group(batch):
+                ids = part.column("uid").to_numpy()
+                x = stacked(pa.chunked_array([part.column("unit")]), int(part.column("dim")[0].as_py()))
+                away = np.stack([np.random.default_rng([13, i]).standard_normal(x.shape[1]) for i in ids.tolist()])
+                away -= (away * x).sum(1, keepdims=True) * x
+                away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-300)
+                y = least * x + np.sqrt(1 - least * least) * away
+                yield pa.RecordBatch.from_arrays([pa.array(~ids), part.column("label"), part.column("dim"), pa.array(list(y), pa.list_(pa.float64()))], names=["uid", "label", "dim", "unit"])
+
+    kind = nodes.schema["unit"].dataType.simpleString()
+    return chosen.select("uid", "label", "dim", "unit").mapInArrow(run, f"uid bigint, label string, dim int, unit {kind}")
+
+
+def open_groups(sizes: DataFrame, planted: DataFrame, found: DataFrame) -> DataFrame:
+    """(label, dim) of the groups in which fewer than ENOUGH of the turned copies were found beside their rows."""
+    met = planted.select("uid", "label", "dim").join(found.select("uid").distinct().withColumn("met", F.lit(1)), "uid", "left")
+    counts = sizes.join(met.groupBy("label", "dim").agg(F.count("*").alias("m"), F.count("met").alias("k")), ["label", "dim"], "left")
+    counts = counts.fillna(0, ["m", "k"]).withColumn("class", F.floor(F.log2("n")))
+    like = counts.groupBy("dim", "class").agg(F.sum("m").alias("like_m"), F.sum("k").alias("like_k"))
+    bad = lambda k, m: F.coalesce(F.col(k) < ENOUGH * F.col(m), F.lit(False)) | (F.col(m) == 0)
+    alone, shared = (F.col("m") > 0) & bad("k", "m"), (F.col("m") < EVIDENCE) & bad("like_k", "like_m")
+    # with at most half a window of rows, every pair lies in a window of every pass
+    return counts.join(like, ["dim", "class"]).where((alone | shared) & (F.col("n") > WINDOW // 2)).select("label", "dim")
 
 
 def tiles(rows: DataFrame, by: tuple[str, ...], least: float, size: int) -> DataFrame:
@@ -264,8 +278,13 @@ def tiles(rows: DataFrame, by: tuple[str, ...], least: float, size: int) -> Data
                 two = one
             n, root = np.zeros(len(i), np.int64), np.arange(len(i))
             for s in range(0, len(one), 512):
-                p, q = np.nonzero(x[one[s : s + 512]] @ x[two].T >= least)
+                near = x[one[s : s + 512]] @ x[two].T
+                p, q = np.nonzero(near >= least - CLOSE)
+                near = near[p, q]
                 p, q = one[s + p], two[q]
+                close = np.flatnonzero(near < least + CLOSE)
+                near[close] = np.add.accumulate(x[p[close]] * x[q[close]], axis=1)[:, -1]  # in the order that verified() sums in
+                p, q = p[near >= least], q[near >= least]
                 if alone:
                     p, q = p[p != q], q[p != q]
                 else:
@@ -285,15 +304,21 @@ def linked(nodes: DataFrame, least: float, exact: bool) -> DataFrame:
     all_pairs = lambda rows: tiles(rows, by, least, TILE).select(F.col("root").alias("a"), F.col("uid").alias("b"))
     if exact:
         return written(all_pairs(nodes), "links")
-    centres, links, rows = means(nodes), None, nodes
+    sizes = written(nodes.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    planted = written(turned(nodes, sizes, least), "turned")
+    centres, links, found, rows, copies = means(nodes), None, None, nodes.select("uid", *by, "unit"), planted
     for turn in range(ROUNDS):
-        more = written(verified(passes(rows, least, turn, centres), rows, least), "links")
+        got = written(passes(rows.unionByName(copies), least, turn, centres), "passed")
+        more = written(verified(got.where("a >= 0"), nodes, least), "links")
         links = more if links is None else written(links.unionByName(more), "links")
-        groups = written(open_groups(rows, components(links), least), "open")
+        met = written(got.where("a < 0").select(F.col("a").alias("uid")).distinct(), "met")
+        found = met if found is None else found.unionByName(met)
+        groups = written(open_groups(sizes, planted, found), "open")
         if groups.isEmpty():
             return links
-        rows = nodes.join(small(groups, BROADCAST_ROWS), list(by), "left_semi")
-    return written(links.unionByName(all_pairs(rows)), "links")
+        held = small(groups, BROADCAST_ROWS)
+        rows, copies = (x.join(held, list(by), "left_semi") for x in (nodes.select("uid", *by, "unit"), planted))
+    return written(links.unionByName(all_pairs(nodes.join(held, list(by), "left_semi"))), "links")
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.93, exact: bool = False) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -41,6 +42,18 @@ def test_word_ids_equal_the_library():
         assert words.text(text) == np.array(words.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_word_ids_of_marks_in_pairs_equal_the_library():
+    """Every combining mark of the basic plane on both sides of marks of many classes, and random texts with marks."""
+    words = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    marks = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c))[0] == "M"]
+    first = {unicodedata.combining(m): m for m in reversed(marks)}  # one of each class
+    texts = [f"a{x}{y}b e{y}{x}" for x in marks for y in first.values()]
+    rng = random.Random(8)
+    texts += ["".join(rng.choice([rng.choice(marks), "e", "n", " ", "가", "ö", "."]) for _ in range(rng.randint(1, 12))) for _ in range(60_000)]
+    got = words.library.encode_batch(texts, add_special_tokens=False)
+    assert [t for t, e in zip(texts, got) if words.text(t) != np.array(e.ids, "<u4").tobytes()] == []
+
+
 def test_pieces_equal_the_library():
     encoder = pieces.Encoder(public_tokenizers.path("piece_bpe_32k.model"))
     texts = fuzz(600, 40, 3) + [" " * n + "x" for n in range(40)]
@@ -322,6 +335,34 @@ def test_vector_recall_in_a_large_label(spark, background, n):
     assert (got <= links).all() and got.sum() >= 0.97 * links.sum() > n // 40
 
 
+@pytest.mark.parametrize("background, n", [(0.7, 60_000)])
+def test_vector_recall_where_links_are_rare(spark, background, n):
+    """One row in a thousand has a partner at 0.935: links, classes and what is kept."""
+    rng = np.random.default_rng(14)
+    part = lambda m: (v := rng.standard_normal((m, 64))) / np.linalg.norm(v, axis=1, keepdims=True)
+    x, k = np.sqrt(background) * part(1) + np.sqrt(1 - background) * part(n), n // 1000
+    u, away = x[:k] / np.linalg.norm(x[:k], axis=1, keepdims=True), part(k)
+    away -= (away * u).sum(1, keepdims=True) * u
+    x[-k:] = 0.935 * u + np.sqrt(1 - 0.935**2) * away / np.linalg.norm(away, axis=1, keepdims=True)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": [v.tolist() for v in x], "label": 1})).repartition(8)
+    got = vector_dedup.near_vectors(df).toPandas().sort_values("vec_id")[-k:]
+    assert (got.n_links > 0).mean() >= 0.98 and (got.component_id < n - k).mean() >= 0.98 and (~got.kept).mean() >= 0.98
+
+
+def test_a_cosine_at_the_border_is_summed_in_one_order(spark):
+    """Whether a pair at the least cosine is a link does not depend on the place where it is asked."""
+    rng = np.random.default_rng(15)
+    base = rng.standard_normal((40, 48))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    away = rng.standard_normal((40, 48))
+    away -= (away * base).sum(1, keepdims=True) * base
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    x = np.concatenate([base, 0.93 * base + np.sqrt(1 - 0.93**2) * away])
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(80), "embedding": [v.tolist() for v in x], "label": 1}))
+    one, two = (vector_dedup.near_vectors(df, exact=e).toPandas().sort_values("vec_id") for e in (False, True))
+    assert one.values.tolist() == two.values.tolist() and ((one.n_links > 0) == (one.groupby("component_id").vec_id.transform("size") > 1)).all()
+
+
 @pytest.mark.parametrize("exact", [False, True])
 def test_vectors_of_any_size_copies_and_borders(spark, monkeypatch, exact):
     monkeypatch.setattr(vector_dedup, "TILE", 50)
