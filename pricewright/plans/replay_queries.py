@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import replay as R
 from ..operators import state as S
 from ..projection import STREAM, STREAM_FRESH_DAYS, TOLERANCE_DAYS, Catalogue, Frames
+from ..sources import feed_source as D
+from ..streaming import live_store as L
 
 C = Catalogue()
 DAY = S.DAY_US
@@ -225,11 +227,19 @@ LATEST = f"""{V}, m AS (SELECT * FROM v0 WHERE z IS NULL), n AS (SELECT max(o) A
 
 @C.add("stm_evict", f"{LATEST} SELECT quote_id, CASE WHEN status <> 'active' THEN 'inactive_evicted' ELSE 'stale_evicted' END AS reason FROM m, n WHERE status <> 'active' OR now - o > {FRESH}")
 def _(f):
-    v = versions(f)
-    last = v.groupBy(*S.KEY).agg(F.max(F.struct("revision", "quote_id", "observed_us", "effective_us", "cents", "status")).alias("v")).select(*S.KEY, "v.*")
-    top = v.agg(F.max("observed_us").alias("now")).scalar()
-    reason = F.when(F.col("status") != "active", "inactive_evicted").when(F.col("now") - F.col("effective_us") > FRESH, "stale_evicted")
-    return last.withColumn("now", top).withColumn("reason", reason).where("reason IS NOT NULL").select("quote_id", "reason")
+    _, last = stored(f)
+    now = last.agg(F.max("seen_us")).scalar()
+    stale = ~F.col("alive") | (now - F.col("effective_us") > FRESH)
+    reason = F.when(F.col("status") != "active", "inactive_evicted").when(stale, "stale_evicted")
+    return last.select("quote_id", reason.alias("reason")).where("reason IS NOT NULL")
+
+
+def stored(f: Frames, starts: int = 4):
+    """What the live store tells of the stream's versions, fed in so many starts on one checkpoint, and the state it leaves."""
+    home = D.landing(f.spark, "store")
+    rows = versions(f).select(*S.KEY, "quote_id", "cents", "status", "observed_us", "effective_us", F.col("observed_us").alias("ingested_us"))
+    told = L.in_starts(rows, "observed_us", starts, home, lambda came: L.live(came, TOLERANCE_DAYS * DAY, FRESH))
+    return f.spark.read.schema(L.TOLD).parquet(told), L.held(f.spark, home, "version")
 
 
 @C.add("stm_invalidate", f"""WITH {STREAM}, o AS (SELECT transport_id, market_id, CASE WHEN quote_id::bigint % 3 > 0 THEN selection_id END AS selection_id, ingested_at FROM stream WHERE status <> 'active'),
@@ -244,7 +254,16 @@ def _(f):
   max(CASE WHEN status <> 'active' THEN o END) OVER (PARTITION BY provider_id, market_id, selection_id, transport_id) AS last FROM v0 WINDOW k AS (PARTITION BY provider_id, market_id, selection_id, transport_id ORDER BY o, quote_id))
   SELECT provider_id, market_id, selection_id, transport_id, o AS invalidated_us, coalesce(again, last + {FRESH}) AS until_us FROM x WHERE status <> 'active' AND (was IS NULL OR was = 'active')""")
 def _(f):
-    return S.suppressed(versions(f), FRESH)
+    told, last = stored(f)
+    closed = told.where("kind = 'suppressed'").select(*S.KEY, F.col("from_us").alias("invalidated_us"), "until_us")
+    return closed.unionByName(last.where("off_us IS NOT NULL").select(*S.KEY, F.col("off_us").alias("invalidated_us"), (F.col("last_off_us") + FRESH).alias("until_us")))
+
+
+# the stream, restarted between its parts, tells what the batch fold with eviction tells; tests hold both against each other
+@C.add("stm_lives")
+def _(f):
+    told, _ = stored(f)
+    return told.where("kind = 'observation'").select(*S.KEY, "quote_id", "outcome", "revision", "life", "evicted_us")
 
 
 @C.add("agg_max_age", f"{LATEST} SELECT max(now - o) AS max_age_us, count_if(now - o > {FRESH})::bigint AS stale FROM m, n")

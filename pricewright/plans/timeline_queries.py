@@ -10,7 +10,7 @@ from ..operators import feeds
 from ..operators import state as S
 from ..projection import QUOTES, Catalogue, Frames
 from ..sources import feed_source as D
-from ..streaming import live
+from ..streaming import live_store as L
 
 C = Catalogue()
 SECOND = 1_000_000
@@ -215,13 +215,12 @@ SCANNED = f"""WITH {QUOTES}, a AS (SELECT *, max(effective_ts) OVER (PARTITION B
 
 @C.add("stm_scan_cycle", f"{SCANNED} SELECT market_id, round(100 / x::double + 100 / y::double + 100 / z::double, 9) AS implied_sum FROM k WHERE 100 * (x * y + y * z + x * z) < x * y * z")
 def _(f):
-    # quotes land as files, a stream reads them, and each batch is consolidated, priced and tested
-    came, out = D.landing(f.spark, "quotes"), D.landing(f.spark, "scanned")
-    f.quotes.coalesce(1).write.parquet(came)
-    stream = f.spark.readStream.schema(f.quotes.schema).parquet(came)
-    emit = lambda found, epoch: found.select("market_id", "implied_sum").write.mode("append").parquet(out)
-    live.drained(stream, live.scan_cycle(3, emit), D.landing(f.spark, "progress"))
-    return f.spark.read.schema("market_id bigint, implied_sum double").parquet(out).select("market_id", F.round("implied_sum", 9).alias("implied_sum"))
+    # quotes come in ten starts of a stream on one checkpoint; a batch re-prices the markets that it touches from what earlier ones left
+    at = F.unix_micros(F.col("effective_ts").cast("timestamp"))
+    active = f.quotes.where("status = 'active'").select("market_id", "provider_id", "selection_id", at.alias("at_us"), "cents")
+    told = L.in_starts(active, "at_us", 10, D.landing(f.spark, "books"), lambda came: L.open_books(came, 3))
+    last = f.spark.read.schema(L.BOOK).parquet(told).groupBy("market_id").agg(F.max_by("cents", "turn").alias("cents")).where(F.size("cents") == 3)
+    return last.where(A.is_arbitrage(F.col("cents"))).select("market_id", F.round(A.reciprocal_sum(F.col("cents")), 9).alias("implied_sum"))
 
 
 @C.add("src_gate", "SELECT issue, n::bigint AS n FROM (VALUES ('inactive_quote', 3), ('malformed_price', 1), ('stale_quote', 3), ('eligible', 14)) t(issue, n)")
