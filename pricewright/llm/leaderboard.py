@@ -406,8 +406,14 @@ def prepared(lines: DataFrame, vendors: DataFrame, items: DataFrame) -> DataFram
     return placed.select(F.when(F.col("item_id").isNotNull(), F.col("nation_id")).alias("nation_id"), "item_id", "cents", "sent", "day")
 
 
-def feed(spark: SparkSession, lines: DataFrame, vendors: DataFrame, items: DataFrame, batches: int = 10, share_items: int = SHARE_ITEMS, fan: int = FAN) -> DataFrame:
-    """The change feed of lines, cut into batches by the day on which they arrive; CHANGES with their batch."""
+def feed(
+    spark: SparkSession, lines: DataFrame, vendors: DataFrame, items: DataFrame, batches: int = 10, share_items: int = SHARE_ITEMS, fan: int = FAN, merge_every: int | None = None
+) -> DataFrame:
+    """The change feed of lines, cut into batches by the day on which they arrive; CHANGES with their batch.
+
+    The query over the lines is started for each batch; those that merge boards after every merge_every batches, or once behind the last:
+    a start of theirs reads what the shares have told since, at most two boards a share and day.
+    """
     home = f"{scratch(spark)}/leaderboard-{uuid.uuid4().hex[:12]}"
     path = spark._jvm.org.apache.hadoop.fs.Path
     disk = path(home).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -427,7 +433,8 @@ def feed(spark: SparkSession, lines: DataFrame, vendors: DataFrame, items: DataF
         if known is not None:
             came = came.where(F.col("sent") + GRACE >= known)
         rows = came.where("nation_id IS NOT NULL").select("nation_id", "item_id", F.col("day").cast("bigint").alias("day"), "cents")
-        for level in range(len(levels)):  # a query has one operator with state, so each level is a query on a checkpoint of its own
+        # a query has one operator with state, so each level is a query on a checkpoint of its own
+        for level in range(len(levels) if batch % (merge_every or batches) == 0 or batch == batches else 1):
             out = told_by(rows, level, levels, fan).writeStream.format("parquet").outputMode("append")
             out = out.option("checkpointLocation", f"{home}/state-{level}").trigger(availableNow=True)
             out.start(f"{home}/told-{level}").awaitTermination()

@@ -178,8 +178,8 @@ def boards(lines, vendors, items, batches=10):
     return sorted(feed, key=str)
 
 
-@pytest.mark.parametrize("share_items,fan", [(4096, 128), (5, 2)])
-def test_leaderboard(spark, share_items, fan):
+@pytest.mark.parametrize("share_items,fan,merge_every", [(4096, 128, None), (5, 2, 1), (5, 4, 4)])
+def test_leaderboard(spark, share_items, fan, merge_every):
     rng = random.Random(11)
     vendors = [(v, rng.randrange(3)) for v in range(8)] + [(8, None), (None, 1), (3, 2)]
     items = [(i, rng.choice([None, round(rng.random() * 50, 2)])) for i in range(30)] + [(4, 3.0), (None, 1.0)]
@@ -193,7 +193,7 @@ def test_leaderboard(spark, share_items, fan):
     lines += lines[:40] + [(1, 1, 1, 1, 1, 5.0, "kept", datetime(2023, 6, 1)), (2, 1, 1, 1, 1, 5.0, "kept", datetime(2025, 6, 1))]
     kinds = "sale_id bigint, line_no int, item_id bigint, vendor_id bigint, quantity int, amount double, flag string, shipped_at timestamp_ntz"
     frames = (spark.createDataFrame(lines, kinds).repartition(3), spark.createDataFrame(vendors, "vendor_id bigint, nation_id int"), spark.createDataFrame(items, "item_id bigint, price double"))
-    got = leaderboard.feed(spark, *map(clashing, frames), share_items=share_items, fan=fan)
+    got = leaderboard.feed(spark, *map(clashing, frames), share_items=share_items, fan=fan, merge_every=merge_every)
     columns = ("nation_id", "arrival_day", "item_id", "batch", "change", "old_rank", "new_rank", "revenue")
     got, expected = {tuple(r) for r in got.select(*columns).collect()}, boards(lines, vendors, items)
     assert (sorted(got - {*expected}, key=str), sorted({*expected} - got, key=str)) == ([], []) and len(expected) > 100
