@@ -24,6 +24,14 @@ def room(cents: Column, top: int = 100, bottom: int = 1) -> Column:
     last places as there are prices decides for good. Unlike one, a sum differs from it by at least the product of
     the prices' inverse, so after that many places an open gap means equal. Prices are whole and positive.
     """
+    # three prices whose products are longs, the common case, are compared as they are
+    most = min(int((9e18 / bottom) ** (1 / 3)), int((3e18 / top) ** 0.5))
+    a, b, c = (F.get(cents, F.lit(k)).cast("bigint") for k in range(3))
+    gap = F.lit(bottom).cast("bigint") * a * b * c - F.lit(top).cast("bigint") * (a * b + b * c + a * c)
+    return F.when((F.size(cents) == 3) & (F.array_max(cents) < most), F.signum(gap.cast("double")).cast("int")).otherwise(_room(cents, top, bottom))
+
+
+def _room(cents: Column, top: int, bottom: int) -> Column:
     n = F.size(cents)
     rest = lambda p: F.lit(bottom).cast("bigint") * p.cast("bigint")
     digits = F.aggregate(cents, F.lit(0.0), lambda a, p: a + F.log10(rest(p).cast("double"))) + F.log10(F.greatest(n, F.lit(1)).cast("double"))

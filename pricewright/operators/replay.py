@@ -1,21 +1,26 @@
 """Historical replay: validity ranges, the detector grid, as-of books, intervals and sensitivities.
 
-A range join of versions to grid instants is bucketed by day and by parts of the keys, so it is an equi-join with a
-residual; nothing is compared across the whole history.
+Versions meet the instants of a day as one array, so the grid is not copied and nothing is compared across the whole history.
+Where a result is asked for per market, versions become ranges of the numbered grid, and one pass over their sorted ends holds the
+best price of each selection (swept): its rows follow the versions, not versions times instants.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arbitrage import evaluated
+from .arbitrage import evaluated, is_arbitrage, reciprocal_sum
 from .books import best_prices, books, consolidate
 from .state import KEY
 
 DAY_US = 86_400_000_000
-#: Parts of a day's versions that meet the day's instants.
-SHARES = 32
+#: Instants of a block of the grid: a market's history is swept in blocks, so a busy market is many tasks.
+BLOCK = 4096
 
 
 def validity(versions: DataFrame) -> DataFrame:
@@ -31,18 +36,151 @@ def grid(observed: DataFrame, latency_us: int, every_us: int) -> DataFrame:
     return observed.select(t.cast("bigint").alias("t")).distinct()
 
 
+def seen(ranges: DataFrame, fresh_us: int) -> DataFrame:
+    """ranges with from_us and to_us, the first and last moment at which a version is visible and fresh; without those that never are."""
+    last = F.least(F.coalesce("valid_to_us", F.lit(2**62)) - 1, F.col("effective_us") + fresh_us)
+    return ranges.withColumns({"from_us": F.greatest("observed_us", "effective_us"), "to_us": last}).where("from_us <= to_us")
+
+
+def by_day(instants: DataFrame) -> DataFrame:
+    """(day, ts, [others]): the instants of each day in order; other columns of instants group them."""
+    others = [c for c in instants.columns if c != "t"]
+    return instants.groupBy(*others, F.floor(F.col("t") / DAY_US).alias("day")).agg(F.array_sort(F.collect_set("t")).alias("ts"))
+
+
 def as_of(ranges: DataFrame, instants: DataFrame, fresh_us: int) -> DataFrame:
     """Versions visible and fresh at each instant: observed <= t < valid_to and t - fresh <= effective <= t.
 
-    Ranges are spread over the days in which they are visible, and over SHARES parts by their key, so a day is not one join key; the
-    grid is copied to every part, and is broadcast by the engine where it is small.
+    Each version meets the arrays of the days in which it is visible by an equi-join, which the engine broadcasts where the grid is
+    small and splits where a day is crowded; a day's array is as long as the grid is fine.
     """
-    last = F.least(F.coalesce("valid_to_us", F.lit(2**62)) - 1, F.col("effective_us") + fresh_us)
-    days = F.sequence(F.floor(F.greatest("observed_us", "effective_us") / DAY_US), F.floor(F.col("last") / DAY_US))
-    spans = ranges.withColumn("last", last).where(F.col("last") >= F.greatest("observed_us", "effective_us"))
-    spread = spans.withColumn("day", F.explode(days)).withColumn("share", F.pmod(F.xxhash64(*KEY), F.lit(SHARES)).cast("int"))
-    at = instants.withColumn("day", F.floor(F.col("t") / DAY_US)).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
-    return spread.join(at, ["day", "share"]).where("t >= observed_us AND t >= effective_us AND t <= last").drop("day", "share", "last")
+    days = F.sequence(F.floor(F.col("from_us") / DAY_US), F.floor(F.col("to_us") / DAY_US))
+    met = seen(ranges, fresh_us).withColumn("day", F.explode(days)).join(by_day(instants), "day")
+    inside = F.filter("ts", lambda t: (t >= F.col("from_us")) & (t <= F.col("to_us")))
+    return met.withColumn("t", F.explode(inside)).drop("day", "ts", "from_us", "to_us")
+
+
+def indexed(ranges: DataFrame, instants: DataFrame, fresh_us: int) -> DataFrame:
+    """ranges with low and high: the first and last place in the numbered grid at which a version is visible and fresh."""
+    days = by_day(instants.select("t"))
+    order = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    # one row a day is ordered in one task; days without instants are filled in, so that every moment has a day
+    span = days.agg(F.min("day").alias("a"), F.max("day").alias("b"))
+    whole = span.where("a IS NOT NULL").select("b", F.explode(F.sequence("a", "b")).alias("day")).join(days, "day", "left")
+    whole = whole.select("day", "b", F.coalesce("ts", F.array().cast("array<bigint>")).alias("ts"), F.coalesce(F.sum(F.size("ts")).over(order), F.lit(0)).alias("before"))
+    place = lambda cut, c: F.col("before") + F.size(F.filter("ts", lambda t: cut(t, F.col(c))))
+    rows = seen(ranges, fresh_us).crossJoin(F.broadcast(span))  # one row
+    rows = rows.withColumn("day", F.greatest("a", F.floor(F.col("from_us") / DAY_US))).drop("a")
+    rows = rows.join(whole.drop("b"), "day").withColumn("low", place(lambda t, x: t < x, "from_us")).drop("ts", "before", "day")
+    rows = rows.withColumn("day", F.least("b", F.floor(F.col("to_us") / DAY_US))).drop("b")
+    rows = rows.join(whole.drop("b"), "day").withColumn("high", place(lambda t, x: t <= x, "to_us") - 1).drop("ts", "before", "day")
+    return rows.where("low <= high").drop("from_us", "to_us")
+
+
+def swept(spans: DataFrame, expected: int, by: tuple[str, ...] = ("market_id",)) -> DataFrame:
+    """(by, low, high, cents): the ranges of the grid in which a group has a complete book of unchanged best prices, in order of selection.
+
+    spans: by, KEY, effective_us, cents, low, high; a key has one version at a place. At each place the newest versions of a slot
+    (by, provider, selection) must agree on the price, or it counts for nothing; the best price of a selection is the highest of its
+    slots. Ranges end where a price changes and where a block of the grid ends. A task holds the versions that are open
+    at one place, read in order of group and place.
+    """
+    block = F.sequence(F.floor(F.col("low") / BLOCK), F.floor(F.col("high") / BLOCK))
+    keys = dict.fromkeys((*by, "provider_id", "selection_id", "transport_id"))
+    rows = spans.select(*keys, "effective_us", "cents", "low", "high", F.explode(block).alias("block"))
+    rows = rows.withColumns({"low": F.greatest("low", F.col("block") * BLOCK), "high": F.least("high", F.col("block") * BLOCK + BLOCK - 1)})
+    names = [*keys, "effective_us", "cents", "low", "high", "block"]
+    places = [names.index(c) for c in (*by, "block")]
+    at = [names.index(c) for c in ("provider_id", "selection_id", "transport_id", "effective_us", "cents", "low", "high")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        group, sweep = None, None
+        for batch in batches:
+            columns = [batch.column(names.index(c)).to_pylist() for c in names]
+            for row in zip(*columns):
+                own = tuple(row[k] for k in places)
+                if own != group:
+                    if sweep is not None:
+                        sweep.advance(1 << 62)
+                    group, sweep = own, Sweep(expected, own[:-1], out)
+                sweep.open(*(row[k] for k in at))
+            if len(out) > 1 << 14:
+                yield _segments(out, by)
+                out.clear()
+        if sweep is not None:
+            sweep.advance(1 << 62)
+        if out:
+            yield _segments(out, by)
+
+    kinds = ", ".join(f"{c} bigint" for c in by)
+    dealt = rows.repartition(*by, "block").sortWithinPartitions(*by, "block", "low", "provider_id", "transport_id")
+    return dealt.select(*(F.col(c).cast("bigint").alias(c) for c in names)).mapInArrow(run, f"{kinds}, low bigint, high bigint, cents array<bigint>")
+
+
+def _segments(out: list[tuple], by: tuple[str, ...]) -> pa.RecordBatch:
+    columns = list(zip(*out))
+    arrays = [pa.array(c, pa.int64()) for c in columns[:-1]] + [pa.array(columns[-1], pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays(arrays, names=[*by, "low", "high", "cents"])
+
+
+class Sweep:
+    """The open versions of a group, the price of each slot and the best price of each selection, as places go by."""
+
+    def __init__(self, expected: int, group: tuple, out: list[tuple]):
+        self.expected, self.group, self.out = expected, group, out
+        self.slots: dict[tuple[int, int], dict[int, tuple[int, int]]] = {}
+        self.prices: dict[int, dict[int, int]] = {}
+        self.best: dict[int, int] = {}
+        self.ends: list[tuple[int, int, int, int]] = []
+        self.here, self.changed = 0, set()
+
+    def open(self, provider: int, selection: int, transport: int, effective: int, cents: int, low: int, high: int) -> None:
+        if low > self.here:
+            self.advance(low)
+        self.slots.setdefault((selection, provider), {})[transport] = (effective, cents)
+        self.changed.add((selection, provider))
+        heapq.heappush(self.ends, (high + 1, selection, provider, transport))
+
+    def advance(self, to: int) -> None:
+        """Tell the books of all places before to, closing what ends on the way."""
+        while True:
+            stop = min(to, self.ends[0][0]) if self.ends else to
+            if stop > self.here:
+                self._tell(stop)
+                self.here = stop
+            if stop == to and not (self.ends and self.ends[0][0] <= to):
+                return
+            while self.ends and self.ends[0][0] <= stop:
+                _, selection, provider, transport = heapq.heappop(self.ends)
+                del self.slots[selection, provider][transport]
+                self.changed.add((selection, provider))
+
+    def _tell(self, stop: int) -> None:
+        """Settle what changed at this place; the book holds until stop."""
+        for selection, provider in self.changed:
+            held = self.slots[selection, provider]
+            prices = self.prices.setdefault(selection, {})
+            top = max((e for e, _ in held.values()), default=None)
+            newest = {c for e, c in held.values() if e == top}
+            if len(newest) == 1:
+                prices[provider] = newest.pop()
+            else:
+                prices.pop(provider, None)
+                if not held:
+                    del self.slots[selection, provider]
+            if prices:
+                self.best[selection] = max(prices.values())
+            else:
+                self.best.pop(selection, None)
+        self.changed.clear()
+        if len(self.best) == self.expected:
+            book = [self.best[k] for k in sorted(self.best)]
+            last = self.out[-1] if self.out else None
+            if last is not None and last[:-3] == self.group and last[-2] == self.here - 1 and last[-1] == book:
+                self.out[-1] = (*self.group, last[-3], stop - 1, book)
+            else:
+                self.out.append((*self.group, self.here, stop - 1, book))
 
 
 def detections(visible: DataFrame, expected: int, by: tuple[str, ...] = ("t",)) -> DataFrame:
@@ -85,6 +223,31 @@ def intervals(signals: DataFrame, instants: DataFrame, key: str = "market_id") -
     return out.select(key, "opened", F.coalesce("m.next_t", "seen").alias("ended"), F.col("m.next_t").isNull().alias("open_at_end"), "n")
 
 
+def priced(segments: DataFrame) -> DataFrame:
+    """segments with implied_sum, margin and is_arbitrage, decided once a range."""
+    total = reciprocal_sum(F.col("cents"))
+    return segments.withColumns({"implied_sum": total, "margin": 1 / total - 1, "is_arbitrage": is_arbitrage(F.col("cents"))})
+
+
+def at_instants(segments: DataFrame, instants: DataFrame) -> DataFrame:
+    """segments as one row an instant t."""
+    each = segments.withColumn("i", F.explode(F.sequence(F.col("low") + 1, F.col("high") + 1))).drop("low", "high")
+    return each.join(numbered(instants).select("t", "i"), "i").drop("i")
+
+
+def joined_intervals(segments: DataFrame, instants: DataFrame, key: str = "market_id") -> DataFrame:
+    """intervals() of segments (key, low, high) that do not overlap: adjoining ones are one, only their ends meet the grid."""
+    w = Window.partitionBy(key).orderBy("low")
+    fresh = F.coalesce(F.lag("high").over(w) + 1 < F.col("low"), F.lit(True)).cast("int")
+    spans = segments.select(key, "low", "high").withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = spans.groupBy(key, "island").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    grid_ = numbered(instants)
+    first = grid_.select((F.col("i") - 1).alias("low"), F.col("t").alias("opened"))
+    last = grid_.select((F.col("i") - 1).alias("high"), F.col("t").alias("seen"), "next_t")
+    out = spans.join(first, "low").join(last, "high")
+    return out.select(key, "opened", F.coalesce("next_t", "seen").alias("ended"), F.col("next_t").isNull().alias("open_at_end"), (F.col("high") - F.col("low") + 1).alias("n"))
+
+
 def quality(labels: DataFrame) -> DataFrame:
     """(tp, fp, fn, precision, recall) of expected and predicted ids; a wrong prediction is both a false positive and a miss."""
     e, p = F.col("expected"), F.col("predicted")

@@ -94,8 +94,10 @@ def suppressed(observations: DataFrame, window_us: int) -> DataFrame:
     w = Window.partitionBy(*KEY).orderBy("observed_us", "quote_id")
     off = F.col("status") != "active"
     first = off & ~F.coalesce(F.lag("status").over(w) != "active", F.lit(False))
-    again = F.min(F.when(~off, F.col("observed_us"))).over(w.rowsBetween(1, Window.unboundedFollowing))
-    last = F.max(F.when(off, F.col("observed_us"))).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # what follows is what comes before in falling order: frames that grow, each row added once
+    back = Window.partitionBy(*KEY).orderBy(F.desc("observed_us"), F.desc("quote_id"))
+    again = F.min(F.when(~off, F.col("observed_us"))).over(back.rowsBetween(Window.unboundedPreceding, -1))
+    last = F.max(F.when(off, F.col("observed_us"))).over(back.rowsBetween(Window.unboundedPreceding, 0))
     # the end of this run of inactivities: the last one before the key is active again
     runs = observations.select(*KEY, "observed_us", "quote_id", "status").withColumns({"first": first, "again": again, "last": last})
     return runs.where("first").select(*KEY, F.col("observed_us").alias("invalidated_us"), F.coalesce("again", F.col("last") + window_us).alias("until_us"))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import arbitrage as A
 from ..operators import books as B
+from ..operators import bucket_store as BS
 from ..operators import feeds as D
 from ..operators import health as H
 from ..operators import store as T
@@ -446,8 +448,20 @@ def stored_rows(f, where):
 
 @C.add("snk_upsert_quotes", f"WITH {STREAM} SELECT quote_id AS id, cents || ':' || status AS payload FROM stream")
 def _(f):
-    # two batches that overlap in a third of the stream
-    return T.upsert(stored_rows(f, "cast(quote_id AS bigint) % 3 < 2"), stored_rows(f, "cast(quote_id AS bigint) % 3 > 0"))
+    return two_batches(f).read("quote").select("id", "payload")
+
+
+def two_batches(f):
+    """A store of the stream's quotes, in two commits of batches that overlap in a third of them."""
+    store = BS.BucketStore(f.spark, landing(f.spark, "store"), buckets=16)
+    for part in ("cast(quote_id AS bigint) % 3 < 2", "cast(quote_id AS bigint) % 3 > 0"):
+        store.upsert({"quote": stored_rows(f, part).withColumn("at_us", F.lit(None).cast("bigint"))}, audit="audit")
+    return store
+
+
+@C.add("snk_upsert_audit", f"WITH {STREAM} SELECT 'quote:' || quote_id AS id, '{{\"event\":\"quote_stored\",\"id\":\"' || quote_id || '\"}}' AS payload FROM stream")
+def _(f):
+    return two_batches(f).read("audit").select("id", "payload")
 
 
 def stored_opportunities(f):
@@ -460,10 +474,15 @@ BRIDGE = f"{RANKED}, o AS (SELECT market_id AS opportunity_id, list(quote_id ORD
 @C.add("snk_opportunity", f"{BRIDGE} SELECT opportunity_id::varchar AS opportunity_id, len(quote_ids)::bigint AS legs, true AS audited FROM o")
 def _(f):
     found = stored_opportunities(f).withColumns({"plan": F.lit("even"), "payload": F.array_join("quote_ids", ",")})
-    path = landing(f.spark, "opportunities")
-    T.persist_opportunities(found, path)
-    T.persist_opportunities(found, path)  # delivered again: nothing is added
-    return T.stored_opportunities(f.spark.read.parquet(path))
+    store = BS.BucketStore(f.spark, landing(f.spark, "opportunities"), buckets=16)
+    for _ in range(2):  # delivered again: nothing is added
+        store.upsert(BS.opportunity_tables(found), audit="audit")
+    own = lambda table, key, which="true": store.read(table).where(which).select(key.alias("opportunity_id"), F.lit(table).alias("kind"))
+    part = lambda k: F.split_part("id", F.lit(":"), F.lit(k))
+    told = own("opportunity", F.col("id")).unionByName(own("leg", part(1))).unionByName(own("audit", part(2), "id LIKE 'opportunity:%'"))
+    n = lambda kind: F.count_if(F.col("kind") == kind)
+    counted = told.groupBy("opportunity_id").agg(n("opportunity").alias("n"), n("leg").alias("legs"), (n("audit") == 1).alias("audited"))
+    return counted.where("n = 1").drop("n")
 
 
 @C.add("snk_reconstruct", f"{BRIDGE} SELECT opportunity_id, array_to_string(quote_ids, ',') AS quote_ids, false AS incomplete FROM o")
@@ -475,12 +494,27 @@ def _(f):
 RETAIN = f"{BRIDGE}, u AS (SELECT DISTINCT unnest(quote_ids) AS quote_id FROM o) SELECT quote_id, market_id, selection_id FROM quotes WHERE effective_ts >= TIMESTAMP '1998-01-01' OR quote_id IN (SELECT quote_id FROM u)"
 
 
-def retained(f):
-    kept = T.retained(f.quotes, T.bridge(stored_opportunities(f)), F.lit("1998-01-01").cast("timestamp_ntz"), "effective_ts")
-    return kept.select("quote_id", "market_id", "selection_id")
+def purged(f):
+    """A store of the quotes after a purge of those before 1998 that no opportunity refers to, and how many went."""
+    store = BS.BucketStore(f.spark, landing(f.spark, "quotes"), buckets=16)
+    at = F.unix_micros(F.col("effective_ts").cast("timestamp"))
+    # a quote id may come more than once; each row is a record of its own
+    order = Window.partitionBy("quote_id").orderBy("effective_ts", "market_id", "selection_id", "cents")
+    rows = f.quotes.withColumn("id", F.concat_ws("#", "quote_id", F.row_number().over(order)))
+    store.upsert({"quote": rows.select("id", F.concat_ws(":", "quote_id", "market_id", "selection_id").alias("payload"), at.alias("at_us"))})
+    cutoff = 883_612_800_000_000  # 1998-01-01
+    return store, store.purge("quote", cutoff, rows.join(T.bridge(stored_opportunities(f)), "quote_id", "left_semi").select("id"))
 
 
-C.add("snk_retention", RETAIN)(retained)
+@C.add("snk_retention", RETAIN)
+def _(f):
+    part = lambda k: F.split_part("payload", F.lit(":"), F.lit(k))
+    return purged(f)[0].read("quote").select(part(1).alias("quote_id"), part(2).cast("bigint").alias("market_id"), part(3).cast("bigint").alias("selection_id"))
+
+
+@C.add("snk_retention_count", f"SELECT (SELECT count(*) FROM lineitem) - count(*) AS gone FROM ({RETAIN})")
+def _(f):
+    return f.spark.range(1).select(F.lit(purged(f)[1]).cast("bigint").alias("gone"))
 
 
 @C.add("join_anti_retention", f"{BRIDGE}, u AS (SELECT DISTINCT unnest(quote_ids) AS quote_id FROM o) SELECT quote_id, market_id, selection_id FROM quotes ANTI JOIN u USING (quote_id)")

@@ -54,6 +54,12 @@ def visible(f, fresh=FRESH):
     return R.as_of(R.validity(versions(f)), instants(f), fresh)
 
 
+def segments(f, fresh=FRESH, by=("market_id",)):
+    """The ranges of the grid in which a market's best prices stand, with what they come to."""
+    spans = R.indexed(R.validity(versions(f)), instants(f), fresh).where("status = 'active'")
+    return R.priced(R.swept(spans, 3, by))
+
+
 @C.add("win_revision", f"{V} SELECT quote_id, revision FROM v0")
 def _(f):
     return versions(f).select("quote_id", F.col("revision").cast("bigint").alias("revision"))
@@ -85,12 +91,12 @@ def _(f):
 
 @C.add("bt_run", f"{replay_sql(FRESH)} SELECT t, market_id, round(s, 9) AS implied_sum, arb AS is_arbitrage FROM e")
 def _(f):
-    return R.detections(visible(f), 3).select("t", "market_id", F.round("implied_sum", 9).alias("implied_sum"), "is_arbitrage")
+    return R.at_instants(segments(f), instants(f)).select("t", "market_id", F.round("implied_sum", 9).alias("implied_sum"), "is_arbitrage")
 
 
 @C.add("bt_detection", f"{replay_sql(FRESH)} SELECT t, market_id, round(1 / s - 1, 9) AS margin FROM e WHERE arb")
 def _(f):
-    return R.detections(visible(f), 3).where("is_arbitrage").select("t", "market_id", F.round("margin", 9).alias("margin"))
+    return R.at_instants(segments(f).where("is_arbitrage"), instants(f)).select("t", "market_id", F.round("margin", 9).alias("margin"))
 
 
 ISLANDS = """, n AS (SELECT t, row_number() OVER (ORDER BY t) AS i, lead(t) OVER (ORDER BY t) AS z FROM g),
@@ -100,18 +106,16 @@ ISLAND_ROWS = "SELECT market_id, min(t) AS opened, coalesce(arg_max(z, t), max(t
 
 @C.add("win_opportunity_intervals", f"{replay_sql(FRESH, tail=ISLANDS)} {ISLAND_ROWS}")
 def _(f):
-    signals = R.detections(visible(f), 3).where("is_arbitrage").select("market_id", "t")
-    return R.intervals(signals, instants(f))
+    return R.joined_intervals(segments(f).where("is_arbitrage"), instants(f))
 
 
 @C.add("bt_interval", f"{replay_sql(FRESH, tail=ISLANDS)}, w AS ({ISLAND_ROWS}) SELECT market_id, count(*) AS n, sum(ended - opened)::bigint AS total_us FROM w GROUP BY 1")
 def _(f):
-    signals = R.detections(visible(f), 3).where("is_arbitrage").select("market_id", "t")
-    return R.intervals(signals, instants(f)).groupBy("market_id").agg(F.count("*").alias("n"), F.sum(F.col("ended") - F.col("opened")).alias("total_us"))
+    return R.joined_intervals(segments(f).where("is_arbitrage"), instants(f)).groupBy("market_id").agg(F.count("*").alias("n"), F.sum(F.col("ended") - F.col("opened")).alias("total_us"))
 
 
 def stale(f):
-    arbs = lambda fresh: R.detections(visible(f, fresh), 3).where("is_arbitrage").select("t", "market_id")
+    arbs = lambda fresh: R.at_instants(segments(f, fresh).where("is_arbitrage"), instants(f)).select("t", "market_id")
     return arbs(3 * FRESH).join(arbs(FRESH), ["t", "market_id"], "left_anti")
 
 
@@ -132,18 +136,7 @@ def _(f):
 
 @C.add("bt_provider_only", f"{replay_sql(FRESH, by='provider_id')} SELECT provider_id, count(*) AS books, count_if(arb)::bigint AS detections FROM e GROUP BY 1")
 def _(f):
-    return provider_books(f).groupBy("provider_id").agg(F.count("*").alias("books"), F.count_if("is_arbitrage").alias("detections"))
-
-
-def provider_books(f):
-    from ..operators.arbitrage import evaluated
-    from ..operators.books import best_prices, books, consolidate
-
-    live = visible(f).where("status = 'active'").withColumn("effective_ts", F.timestamp_micros("effective_us"))
-    merged = consolidate(live, ("t", "provider_id", "market_id", "selection_id")).where("NOT conflict")
-    one = merged.withColumn("only", F.col("provider_id"))
-    best = best_prices(one, ("t", "only", "market_id", "selection_id"))
-    return evaluated(books(best, 3, ("t", "only", "market_id"))).withColumnRenamed("only", "provider_id")
+    return R.at_instants(segments(f, by=("provider_id", "market_id")), instants(f)).groupBy("provider_id").agg(F.count("*").alias("books"), F.count_if("is_arbitrage").alias("detections"))
 
 
 LATENCIES = (0, 6 * 3_600_000_000, DAY)
@@ -178,7 +171,7 @@ def _(f):
 
 @C.add("agg_summary", f"{replay_sql(FRESH)} SELECT count(DISTINCT t) AS instants, count(*) AS books, count_if(arb)::bigint AS detections, round(max(1 / s - 1), 9) AS top_margin FROM e")
 def _(f):
-    return R.detections(visible(f), 3).agg(
+    return R.at_instants(segments(f), instants(f)).agg(
         F.countDistinct("t").alias("instants"), F.count("*").alias("books"), F.count_if("is_arbitrage").alias("detections"), F.round(F.max("margin"), 9).alias("top_margin")
     )
 

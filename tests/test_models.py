@@ -11,9 +11,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pricewright.functions import udfs
-from pricewright.operators import arbitrage, books, feeds, health, replay, stakes, state, store
+from pricewright.operators import arbitrage, books, bucket_store, feeds, health, replay, stakes, state, store
 from pricewright.projection import Frames
-from pricewright.streaming import live
+from pricewright.streaming import live, live_store
 
 SF = "/root/testdata/sf0.001"
 DAY = 86_400_000_000
@@ -86,6 +86,32 @@ def test_stream_is_the_batch(spark, tmp_path):
     assert {(r.quote_id, r.outcome, r.revision) for r in spark.table("folded").collect()} == batch
 
 
+def test_live_store_is_the_batch_fold(spark, tmp_path):
+    """In four starts on one checkpoint the stream tells what the batch operators tell of lives and suppressions."""
+    events = live.as_events(observations(spark))
+    home, window = f"file://{tmp_path}/store", 10 * DAY
+    told = spark.read.parquet(live_store.in_starts(events, "observed_us", 4, home, lambda came: live_store.live(came, 2 * DAY, window)))
+    rows = lambda df: sorted(map(str, map(tuple, df.collect())))
+    columns = [*state.KEY, "quote_id", "outcome", "revision", "life", "evicted_us"]
+    assert rows(told.where("kind = 'observation'").select(*columns)) == rows(state.lives(events, 2 * DAY, window).select(*columns))
+    last = live_store.held(spark, home, "version")
+    still = last.where("off_us IS NOT NULL").select(*state.KEY, "off_us", (F.col("last_off_us") + window).alias("until_us"))
+    closed = told.where("kind = 'suppressed'").select(*state.KEY, "from_us", "until_us")
+    assert rows(closed.unionByName(still.withColumnRenamed("off_us", "from_us"))) == rows(state.suppressed(events.select(*state.KEY, "quote_id", "observed_us", "status"), window))
+    # timers have evicted what nothing followed: no version that is alive is older than its window at the watermark
+    ends = told.agg(F.max("observed_us")).scalar()
+    assert last.where(F.col("alive") & (F.col("effective_us") + window < ends - DAY)).isEmpty() and not told.where("kind = 'evicted' AND observed_us IS NULL").isEmpty()
+
+
+def test_a_book_in_three_files(spark, tmp_path):
+    """The quotes of a book that come one by one make one opportunity; a conflict of one moment closes it, a newer price opens it again."""
+    quotes = [(1, p, p, p * 10, 400) for p in range(3)] + [(1, 1, 1, 40, 390), (1, 1, 1, 41, 395), (2, 0, 0, 1, 400), (1, 1, 1, 42, 396), (1, 1, 1, 42, 397), (1, 1, 1, 43, 398)]
+    df = spark.createDataFrame(quotes, "market_id bigint, provider_id bigint, selection_id bigint, at_us bigint, cents bigint")
+    told = live_store.in_starts(df, "at_us", 44, f"file://{tmp_path}/books", lambda came: live_store.open_books(came, 3))
+    got = [r.cents for r in spark.read.parquet(told).where("market_id = 1").orderBy("turn").collect()]
+    assert got == [[], [], [400, 400, 400], [400, 390, 400], [400, 395, 400], [], [400, 398, 400]]
+
+
 def test_micro_batch_scan(spark):
     found = []
     cycle = live.scan_cycle(3, lambda df, epoch: found.append((epoch, df.count())))
@@ -376,3 +402,85 @@ def test_poll_cycles_drop_missed_ticks(spark):
                 free, k = tick + seconds[min(k, len(seconds) - 1)], k + 1
         data = spark.createDataFrame([(list(range(0, 60, 5)), seconds)], "ticks array<bigint>, seconds array<bigint>")
         assert [tuple(r) for r in data.select(F.inline(cycles(F.col("ticks"), F.col("seconds")))).collect()] == expected
+
+
+def records(spark, *rows):
+    return spark.createDataFrame([(i, p, at) for i, p, at in rows], "id string, payload string, at_us bigint")
+
+
+def test_bucket_store_races_and_clashes(spark, tmp_path):
+    """Of two batches of one version the second is refused where buckets meet and done again; others go on above."""
+    path = f"file://{tmp_path}/store"
+    one = bucket_store.BucketStore(spark, path, buckets=2)
+    assert one.upsert({"quote": records(spark, *((f"a{k}", "x", k) for k in range(20)))}, audit="audit") == 1
+    turns = []
+
+    def meanwhile():
+        turns.append(1)
+        if len(turns) == 1:
+            one.upsert({"quote": records(spark, ("b", "1", 5), ("c", "1", 5), ("d", "1", 5), ("e", "1", 5))}, audit="audit")
+
+    two = bucket_store.BucketStore(spark, path, buckets=2, before_commit=meanwhile)
+    with pytest.raises(bucket_store.Refused):
+        two.try_upsert({"quote": records(spark, ("b", "1", 5), ("f", "2", 6), ("g", "2", 6), ("h", "2", 6))}, audit="audit")
+    turns.clear()
+    assert two.upsert({"quote": records(spark, ("b", "1", 5), ("f", "2", 6), ("g", "2", 6), ("h", "2", 6))}, audit="audit") >= 3
+    ids = sorted(r.id for r in one.read("quote").collect())
+    assert ids == sorted([f"a{k}" for k in range(20)] + list("bcdefgh")) and one.read("audit").count() == 27
+    assert one.read("quote", version=1).count() == 20  # an older version stays readable
+    version = one.version()
+    with pytest.raises(Exception, match="another payload"):
+        one.upsert({"quote": records(spark, ("i", "1", 1), ("b", "other", 5))}, audit="audit")
+    with pytest.raises(Exception, match="another payload"):
+        one.upsert({"quote": records(spark, ("j", "1", 1), ("j", "2", 1))})
+    assert one.upsert({"quote": records(spark, ("b", "1", 5), ("b", "1", 5))}, audit="audit") == version == one.version()
+
+
+def test_batches_of_other_buckets_both_commit(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    store_ = bucket_store.BucketStore(spark, path, buckets=64)
+    mine, other = records(spark, ("m", "1", 1)), records(spark, ("n", "1", 1))
+    assert {r.bucket for r in store_._bucket(mine).collect()} != {r.bucket for r in store_._bucket(other).collect()}
+    done = []
+    late = bucket_store.BucketStore(spark, path, 64, lambda: done or done.append(store_.try_upsert({"quote": other})))
+    assert late.try_upsert({"quote": mine}) == 2 and {r.id for r in store_.read("quote").collect()} == {"m", "n"}
+
+
+def test_purge_rewrites_old_buckets_only(spark, tmp_path):
+    store_ = bucket_store.BucketStore(spark, f"file://{tmp_path}/store", buckets=32)
+    store_.upsert({"quote": records(spark, *((f"q{k}", "x", 10 if k == 7 else 1000 + k) for k in range(200)), ("none", "x", None))})
+    before = store_.manifest()["tables"]["quote"]
+    assert store_.purge("quote", 500, records(spark, ("q7", None, None))) == 0
+    assert store_.purge("quote", 500, records(spark)) == 1
+    after = store_.manifest()["tables"]["quote"]
+    assert sum(before[b] != after.get(b) for b in before) == 1 and store_.read("quote").count() == 200
+    touched = {b for b in before if before[b] != after.get(b)}
+    assert len(store_.read("quote", touched).inputFiles()) < len(store_.read("quote").inputFiles()) / 8  # a plan over a bucket reads that bucket
+
+
+def test_many_small_batches_are_compacted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(bucket_store, "FOLDERS", 2)
+    store_ = bucket_store.BucketStore(spark, f"file://{tmp_path}/store", buckets=1)
+    for k in range(5):
+        store_.upsert({"quote": records(spark, (f"q{k}", "x", k))}, audit="audit")
+    assert len(store_.manifest()["tables"]["quote"]["0"]) <= 2 and sorted(r.id for r in store_.read("quote").collect()) == [f"q{k}" for k in range(5)]
+
+
+@pytest.mark.parametrize("block", [4096, 3])
+def test_sweep_is_the_join(spark, monkeypatch, block):
+    """Ranges of unchanged books, instant by instant, against books at each instant; also across the blocks of the grid."""
+    monkeypatch.setattr(replay, "BLOCK", block)
+    rng = random.Random(4)
+    rows = [(rng.randrange(2), rng.randrange(3), rng.randrange(2), rng.randrange(2), str(k), rng.randrange(300) * 1_000_000, rng.choice([250, 300, 350, 400]), rng.choice(["active"] * 5 + ["off"])) for k in range(400)]
+    df = spark.createDataFrame(rows, "provider_id bigint, selection_id bigint, transport_id bigint, market_id bigint, quote_id string, observed_us bigint, cents bigint, status string")
+    df = df.withColumns({"effective_us": F.col("observed_us") - F.pmod(F.xxhash64("quote_id"), F.lit(5)) * 1_000_000, "revision": F.col("quote_id").cast("bigint")})
+    ranges, at = replay.validity(df), replay.grid(df, 0, 7_000_000)
+    expected = replay.detections(replay.as_of(ranges, at, 40_000_000), 3).select("t", "market_id", "implied_sum", "is_arbitrage").collect()
+    segments = replay.priced(replay.swept(replay.indexed(ranges, at, 40_000_000).where("status = 'active'"), 3))
+    got = replay.at_instants(segments, at).select("t", "market_id", "implied_sum", "is_arbitrage").collect()
+    key = lambda r: (r.t, r.market_id, round(r.implied_sum, 9), r.is_arbitrage)
+    assert sorted(map(key, got)) == sorted(map(key, expected)) and len(got) > 30
+    signals = spark.createDataFrame([(r.market_id, r.t) for r in expected if r.is_arbitrage], "market_id bigint, t bigint")
+    joined = replay.joined_intervals(segments.where("is_arbitrage"), at)
+    rows_of = lambda d: sorted(map(tuple, d.select("market_id", "opened", "ended", "open_at_end", "n").collect()))
+    assert rows_of(joined) == rows_of(replay.intervals(signals, at))
