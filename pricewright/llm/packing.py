@@ -272,8 +272,8 @@ def pack(
     segments = spark.createDataFrame(
         places or [(0, 0, 0, 1, 0, 0)], "bin bigint, low bigint, high bigint, each bigint, base bigint, slot0 bigint"
     )
-    light = cut.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "start"), F.lit(chunks)))
-    in_chunk = Window.partitionBy("bin", "chunk").orderBy("doc_id", "start", "ids_crc32")
+    light = cut.withColumn("chunk", F.pmod(F.xxhash64("piece"), F.lit(chunks)))  # a repeated or null id is not a chunk
+    in_chunk = Window.partitionBy("bin", "chunk").orderBy("piece")
     ranked = light.withColumn("rank", F.row_number().over(in_chunk) - 1)
     before = Window.partitionBy("bin").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
