@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import arbitrage as A
 from ..operators import books as B
 from ..operators import bucket_store as BS
+from ..operators import codec as K
 from ..operators import feeds as D
 from ..operators import health as H
 from ..operators import store as T
@@ -545,6 +546,36 @@ def _(f):
     return got.select("quote_id", F.col("d.value.cents").alias("cents"), F.col("d.issue").alias("issue"))
 
 
+#: Entities that refer to each other: a book has a market and legs, a leg has a selection.
+ENTITIES = {
+    "book": {"id": "bigint", "market": "market", "legs": ["leg"]},
+    "market": {"id": "bigint", "status": "string"},
+    "leg": {"cents": "bigint", "selection": "selection"},
+    "selection": {"id": "bigint"},
+}
+
+
+def nested(f):
+    """The stream's quotes as nested books, as texts in which every seventh kind is broken in its own way."""
+    leg = lambda extra: F.struct((F.col("cents") + extra).alias("cents"), F.struct((F.col("selection_id") + extra).alias("id")).alias("selection"))
+    book = F.struct(F.col("quote_id").cast("bigint").alias("id"), F.struct(F.col("market_id").alias("id"), "status").alias("market"), F.array(leg(0), leg(1)).alias("legs"))
+    text, k = K.encoded(book, "book", ENTITIES), F.col("quote_id").cast("bigint") % 7
+    broken = (
+        F.when(k == 1, F.replace(text, F.lit('"type":"selection"'), F.lit('"type":"runner"'))).when(k == 2, F.replace(text, F.lit('"status":'), F.lit('"note":1,"status":')))
+        .when(k == 3, F.regexp_replace(text, '"schema":3,"type":"leg"', '"schema":2,"type":"leg"')).when(k == 4, F.substring(text, 1, 40))
+        .when(k == 5, F.regexp_replace(text, '"cents":[0-9]+', '"cents":"many"')).otherwise(text)
+    )
+    return f.stream.select("quote_id", broken.alias("text"))
+
+
+@C.add("cod_nested", f"""WITH {STREAM}, k AS (SELECT *, quote_id::bigint % 7 AS k FROM stream) SELECT quote_id, CASE WHEN k IN (0, 6) THEN status END AS status, CASE WHEN k IN (0, 6) THEN 2 * cents + 1 END AS cents,
+  CASE WHEN k IN (0, 6) THEN selection_id + 1 END AS last_selection, CASE k WHEN 1 THEN 'unknown_type:$.legs[].selection' WHEN 2 THEN 'unexpected_keys:$.market' WHEN 3 THEN 'unsupported_schema:$.legs[]' WHEN 4 THEN 'malformed' WHEN 5 THEN 'wrong_kind:$.legs[].cents' END AS issue FROM k""")
+def _(f):
+    got = nested(f).select("quote_id", K.decoded(F.col("text"), "book", ENTITIES).alias("d"))
+    legs = F.col("d.value.legs")
+    return got.select("quote_id", F.col("d.value.market.status").alias("status"), F.aggregate(legs, F.lit(0).cast("bigint"), lambda a, x: a + x["cents"]).alias("cents"), F.get(legs, F.lit(1))["selection"]["id"].alias("last_selection"), F.col("d.issue").alias("issue"))
+
+
 @C.add("snk_rest_page", f"{RANKED} SELECT market_id, selection_id, cents, (SELECT count(*) FROM best) AS total, true AS has_more FROM best ORDER BY market_id, selection_id LIMIT 20 OFFSET 40")
 def _(f):
     return T.page(best(f).select("market_id", "selection_id", "cents"), ("market_id", "selection_id"), 40, 20)

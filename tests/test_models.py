@@ -1,5 +1,6 @@
 """The fold, the exact arithmetic and the stake search against independent models; streams against batches."""
 
+import json
 import random
 import time
 from decimal import Decimal
@@ -11,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pricewright.functions import udfs
-from pricewright.operators import arbitrage, books, bucket_store, feeds, health, replay, stakes, state, store
+from pricewright.operators import arbitrage, books, bucket_store, codec, feeds, health, replay, stakes, state, store
 from pricewright.projection import Frames
 from pricewright.streaming import live, live_store
 
@@ -484,3 +485,21 @@ def test_sweep_is_the_join(spark, monkeypatch, block):
     joined = replay.joined_intervals(segments.where("is_arbitrage"), at)
     rows_of = lambda d: sorted(map(tuple, d.select("market_id", "opened", "ended", "open_at_end", "n").collect()))
     assert rows_of(joined) == rows_of(replay.intervals(signals, at))
+
+
+def test_nested_codec(spark):
+    registry = {"a": {"x": "bigint", "b": "b", "many": ["b"]}, "b": {"s": "string", "d": "decimal(10,2)"}}
+    b = lambda s="t", d=1.25, **more: {"schema": 3, "type": "b", "value": {"s": s, "d": d, **more}}
+    a = lambda x=1, one=None, many=(): {"schema": 3, "type": "a", "value": {"x": x, "b": b() if one is None else one, "many": list(many)}}
+    cases = [
+        (json.dumps(a()), None), (json.dumps(a(many=[b(), b(None, None)])), None), (json.dumps(a(x=None)), None), ("", "malformed"), (None, "malformed"), ("null", "malformed"), ("{", "malformed"), ("7", "not_an_entity:$"),
+        (json.dumps(b()), "unexpected_type:$"), (json.dumps({**a(), "extra": 1}), "not_an_entity:$"), (json.dumps({**a(), "schema": 4}), "unsupported_schema:$"), (json.dumps({**a(), "type": "c"}), "unknown_type:$"),
+        (json.dumps(a(x="1")), "wrong_kind:$.x"), (json.dumps(a(one=b(5))), "wrong_kind:$.b.s"), (json.dumps(a(one=b(more=1))), "unexpected_keys:$.b"), (json.dumps(a(one=3)), "not_an_entity:$.b"),
+        (json.dumps(a(many=[b(), b(d="x")])), "wrong_kind:$.many[].d"), (json.dumps({"schema": 3, "type": "a", "value": {"x": 1, "b": b(), "many": 4}}), "wrong_kind:$.many"),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i bigint, t string").select("i", codec.decoded(F.col("t"), "a", registry).alias("d"))
+    got = {r.i: r.d for r in df.collect()}
+    assert [got[i].issue for i in range(len(cases))] == [x for _, x in cases]
+    assert got[1].value.many[0].s == "t" and got[1].value.many[0].d == Decimal("1.25") and got[1].value.many[1].d is None and got[8].value is None
+    again = df.where("d.issue IS NULL").select(codec.decoded(codec.encoded(F.col("d.value"), "a", registry), "a", registry).alias("e"), "d.value")
+    assert all(r.e.issue is None and r.e.value == r.value for r in again.collect())
