@@ -13,6 +13,7 @@ from ..operators import bucket_store as BS
 from ..operators import codec as K
 from ..operators import feeds as D
 from ..operators import health as H
+from ..operators import migrations as M
 from ..operators import store as T
 from ..sources.feed_source import landing
 from ..projection import EVENTS, QUOTES, STREAM, Catalogue, Frames
@@ -530,7 +531,17 @@ def _(f):
     return T.migrated(old).drop("subject_id")
 
 
-C.add("snk_migrate")(lambda f: T.migrated(f.stream.select(F.col("quote_id").alias("id"), "provider_id", F.lit(None).cast("bigint").alias("transport_provider_id"), F.lit(None).cast("int").alias("set_index"), F.lit(None).cast("string").alias("subject_id"), F.lit(1).alias("version"))))
+@C.add("snk_migrate", f"WITH {STREAM} SELECT quote_id AS id, provider_id, CASE WHEN quote_id::bigint % 3 = 0 THEN provider_id ELSE transport_id END AS transport_provider_id, CASE WHEN quote_id::bigint % 3 = 2 THEN 1 END AS set_index, NULL::varchar AS subject_id, 3 AS version FROM stream")
+def _(f):
+    # files of three versions, each with the columns that its version had; the second run finds everything applied
+    root, v = landing(f.spark, "records"), F.col("quote_id").cast("bigint") % 3 + 1
+    rows = f.stream.select(F.col("quote_id").alias("id"), "provider_id", F.col("transport_id").alias("transport_provider_id"), F.lit(1).alias("set_index"), F.lit(None).cast("string").alias("subject_id"), v.cast("int").alias("version"))
+    for version, lacks in ((1, ("transport_provider_id", "set_index", "subject_id")), (2, ("set_index", "subject_id")), (3, ())):
+        rows.where(F.col("version") == version).drop(*lacks).write.mode("append").parquet(f"{root}/records")
+    steps = M.Migrations(f.spark, root, M.STEPS)
+    if steps.run() != [2, 3] or steps.run():
+        raise RuntimeError("migrations are applied once")
+    return steps.current().select("id", "provider_id", "transport_provider_id", "set_index", "subject_id", "version")
 
 
 @C.add("cod_encode", f"""WITH {STREAM} SELECT quote_id, '{{"schema":3,"type":"quote","value":{{"cents":' || cents || ',"market_id":' || market_id || ',"status":"' || status || '"}}}}' AS encoded FROM stream""")

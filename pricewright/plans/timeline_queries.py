@@ -10,6 +10,7 @@ from ..operators import feeds
 from ..operators import state as S
 from ..projection import QUOTES, Catalogue, Frames
 from ..sources import feed_source as D
+from ..streaming import live
 from ..streaming import live_store as L
 
 C = Catalogue()
@@ -203,8 +204,24 @@ def _(f):
     i = F.col("event_id")
     code = F.when(i % 5 == 0, 200).when(i % 5 == 1, 429).when(i % 5 == 2, 503).when(i % 5 == 3, 401).otherwise(404)
     failure = feeds.http_failure(F.col("code"), True)
-    told = f.table("events").select((i % 4).alias("provider_id"), code.alias("code")).select("provider_id", F.coalesce(failure["kind"], F.lit("ok")).alias("kind"), failure["retryable"].alias("retryable"))
-    return told.groupBy("provider_id", "kind", "retryable").agg(F.count("*").alias("n"))
+    polls = f.table("events").select("event_id", (i % 4).alias("provider_id"), code.alias("code"))
+    told = polls.select("event_id", "provider_id", F.coalesce(failure["kind"], F.lit("ok")).alias("kind"), failure["retryable"].alias("retryable"))
+    # what each batch of the stream observes on its way, by provider and kind of failure, is summed by a listener
+    kinds = {"ok": False, "rate_limited": True, "upstream": True, "authentication": False, "invalid_request": False}
+    groups = {f"{p}:{k}": (F.col("provider_id") == p) & (F.col("kind") == k) for p in range(4) for k in kinds}
+    groups["unnamed"] = ~F.coalesce(F.col("provider_id").isin(*range(4)) & F.col("kind").isin(*kinds), F.lit(False))
+    telemetry = live.Telemetry(groups)
+    f.spark.streams.addListener(telemetry)
+    try:
+        seen = lambda query: [telemetry.take(p) for p in query.recentProgress]  # noqa: E731  events may still be on their way
+        L.in_starts(told, "event_id", 3, D.landing(f.spark, "telemetry"), telemetry.observed, seen)
+    finally:
+        f.spark.streams.removeListener(telemetry)
+    counters = telemetry.counters()
+    if counters.pop("unnamed"):
+        raise RuntimeError("a provider or kind without a counter")
+    rows = [(int(p), k, kinds[k], n) for name, n in counters.items() if n for p, k in [name.split(":")]]
+    return f.spark.createDataFrame(rows, "provider_id bigint, kind string, retryable boolean, n bigint")
 
 
 SCANNED = f"""WITH {QUOTES}, a AS (SELECT *, max(effective_ts) OVER (PARTITION BY provider_id, market_id, selection_id) AS top FROM quotes WHERE status = 'active'),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -85,6 +85,43 @@ class ProgressLog(StreamingQueryListener):
         self.ended += 1
 
 
+class Telemetry(StreamingQueryListener):
+    """Counters per group that a stream's batches observe, summed over batches; for spark.streams.addListener.
+
+    A batch counts once, whether it is told by the listener's events or taken from a query's progress. What it keeps is a number a
+    group and batch.
+    """
+
+    NAME = "telemetry"
+
+    def __init__(self, groups: dict[str, Column]):
+        self.groups, self.batches = groups, {}
+
+    def observed(self, rows: DataFrame) -> DataFrame:
+        """rows of a stream, counted on their way by group: one pass, no shuffle."""
+        return rows.observe(self.NAME, *(F.count_if(c).alias(name) for name, c in self.groups.items()))
+
+    def take(self, progress) -> None:
+        told = progress.observedMetrics.get(self.NAME)
+        if told is not None:
+            self.batches[str(progress.id), progress.batchId] = told.asDict()
+
+    def counters(self) -> dict[str, int]:
+        return {name: sum(b[name] for b in self.batches.values()) for name in self.groups}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.take(event.progress)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 def as_events(quotes: DataFrame) -> DataFrame:
     """Batch quote columns as the fold's microsecond columns."""
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))

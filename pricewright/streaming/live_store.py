@@ -14,7 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators.state import KEY, step
 
@@ -155,10 +155,10 @@ def open_books(quotes: DataFrame, expected: int) -> DataFrame:
     return slots.groupBy("market_id").transformWithStateInPandas(OpenBooks(expected), BOOK, "append", "none")
 
 
-def in_starts(rows: DataFrame, at: str, starts: int, home: str, run: Callable[[DataFrame], DataFrame]) -> str:
+def in_starts(rows: DataFrame, at: str, starts: int, home: str, run: Callable[[DataFrame], DataFrame], ended: Callable[[StreamingQuery], None] = lambda q: None) -> str:
     """Feed rows, cut into starts by ranges of the whole-numbered column at, to the stream run(rows), started anew for each on one checkpoint.
 
-    home is a new folder that driver and executors share. What the stream tells is written to its folder "told", whose path is returned.
+    home is a new folder that driver and executors share; ended is called with each start's query when it is done. What the stream tells is written to its folder "told", whose path is returned.
     """
     spark = rows.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path
@@ -177,7 +177,9 @@ def in_starts(rows: DataFrame, at: str, starts: int, home: str, run: Callable[[D
             disk.rename(path(f"{home}/cut/start={start}"), path(f"{home}/feed/{start:04}"))
             stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).parquet(f"{home}/feed")
             out = run(stream).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{home}/state")
-            out.trigger(availableNow=True).start(f"{home}/told").awaitTermination()
+            query = out.trigger(availableNow=True).start(f"{home}/told")
+            query.awaitTermination()
+            ended(query)
     finally:
         spark.conf.unset(PROVIDER) if own is None else spark.conf.set(PROVIDER, own)
     return f"{home}/told"

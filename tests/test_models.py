@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pricewright.functions import udfs
-from pricewright.operators import arbitrage, books, bucket_store, codec, feeds, health, replay, stakes, state, store
+from pricewright.operators import arbitrage, books, bucket_store, codec, feeds, health, migrations, replay, stakes, state, store
 from pricewright.projection import Frames
 from pricewright.streaming import live, live_store
 
@@ -503,3 +503,36 @@ def test_nested_codec(spark):
     assert got[1].value.many[0].s == "t" and got[1].value.many[0].d == Decimal("1.25") and got[1].value.many[1].d is None and got[8].value is None
     again = df.where("d.issue IS NULL").select(codec.decoded(codec.encoded(F.col("d.value"), "a", registry), "a", registry).alias("e"), "d.value")
     assert all(r.e.issue is None and r.e.value == r.value for r in again.collect())
+
+
+def test_migrations_are_applied_once(spark, tmp_path):
+    root = f"file://{tmp_path}/records"
+    spark.createDataFrame([("a", 1, 1)], "id string, provider_id bigint, version int").write.parquet(f"{root}/records")
+    steps = migrations.Migrations(spark, root, migrations.STEPS)
+    spark.createDataFrame([("b", 1, 7, 2)], "id string, provider_id bigint, transport_provider_id bigint, version int").write.mode("append").parquet(f"{root}/records")
+    spark.createDataFrame([("c", 1, 8, 4, "s", 3)], "id string, provider_id bigint, transport_provider_id bigint, set_index int, subject_id string, version int").write.mode("append").parquet(f"{root}/records")
+    first = migrations.Migrations(spark, root, {2: migrations.STEPS[2]})
+    assert first.run() == [2] and steps.run() == [3] and steps.run() == [] and sorted(steps.applied()) == [2, 3]
+    rows = {r.id: (r.provider_id, r.transport_provider_id, r.set_index, r.subject_id, r.version) for r in steps.current().collect()}
+    assert rows == {"a": (1, 1, None, None, 3), "b": (1, 7, None, None, 3), "c": (1, 8, 4, "s", 3)}
+    with pytest.raises(ValueError, match="applied as"):
+        migrations.Migrations(spark, root, {2: ("other", migrations.STEPS[2][1])}).run()
+    # a migration that comes second to the same number is refused
+    late = migrations.Migrations(spark, f"file://{tmp_path}/race", {1: ("one", lambda df: df)})
+    spark.range(3).write.parquet(f"{late.root}/records")
+    other = migrations.Migrations(spark, late.root, {1: ("one", lambda df: df)})
+    late.ledger.before_commit = lambda: other.applied() or other.run()
+    with pytest.raises(bucket_store.Refused):
+        late.run()
+    assert late.current().count() == 3
+
+
+def test_telemetry_counts_each_batch_once(spark, tmp_path):
+    rows = spark.range(100).withColumn("kind", F.when(F.col("id") % 4 == 0, "bad").otherwise("ok"))
+    told = live.Telemetry({"ok": F.col("kind") == "ok", "bad": F.col("kind") == "bad"})
+    spark.streams.addListener(told)
+    try:
+        live_store.in_starts(rows, "id", 3, f"file://{tmp_path}/t", told.observed, lambda q: [told.take(p) for p in q.recentProgress] * 2)
+    finally:
+        spark.streams.removeListener(told)
+    assert told.counters() == {"ok": 75, "bad": 25} and len(told.batches) >= 3
