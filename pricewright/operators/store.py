@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .selection import sought
+
 
 def upsert(stored: DataFrame, incoming: DataFrame, key: str = "id", payload: str = "payload") -> DataFrame:
     """stored plus the new rows of incoming; the whole batch fails if a stored id comes with another payload.
@@ -111,11 +113,22 @@ def decoded(text: Column, tag: str, schema: str, fields: tuple[str, ...]) -> Col
 
 
 def page(df: DataFrame, order: tuple[str, ...], offset: int, limit: int) -> DataFrame:
-    """A page of at most 200 rows with total and has_more."""
+    """A page of at most 200 rows with total and has_more; rows in order, nulls first.
+
+    Where the order is of whole numbers, the page's border is found by counting ranges and rows before it are not sorted or carried: the border is
+    a filter, which the scan takes where it can.
+    """
     if not (offset >= 0 and 1 <= limit <= 200):
         raise ValueError("a page has an offset of 0 or more and 1 to 200 rows")
     total = df.agg(F.count("*").alias("total")).scalar()
-    rows = df.orderBy(*order).offset(offset).limit(limit)
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    rest = offset
+    if offset and all(kinds[c] in ("int", "bigint") for c in order):
+        empty = df.where(F.col(order[0]).isNull()).count()  # these come first, and are no value
+        whole = all(not df.where(F.col(c).isNull()).limit(1).count() for c in order[1:])
+        if whole and offset >= empty:
+            df, rest = sought(df.where(F.col(order[0]).isNotNull()), order, offset - empty)
+    rows = df.orderBy(*order).offset(rest).limit(limit)
     return rows.withColumn("total", total).withColumn("has_more", F.col("total") > offset + limit)
 
 

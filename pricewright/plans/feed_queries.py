@@ -14,6 +14,7 @@ from ..operators import codec as K
 from ..operators import feeds as D
 from ..operators import health as H
 from ..operators import migrations as M
+from ..operators import selection as SEL
 from ..operators import store as T
 from ..sources.feed_source import landing
 from ..projection import EVENTS, QUOTES, STREAM, Catalogue, Frames
@@ -413,8 +414,7 @@ def _(f):
 
 @C.add("agg_latency_percentiles", f"WITH {BASE} SELECT l_linenumber, median(total)::double AS median, quantile_disc(total, 0.95) AS p95, max(total) AS worst FROM b GROUP BY 1")
 def _(f):
-    p95 = F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY total)")
-    return base(f).groupBy("l_linenumber").agg(F.median("total").alias("median"), p95.cast("bigint").alias("p95"), F.max("total").alias("worst"))
+    return SEL.percentiles(base(f).select("l_linenumber", "total"), ["l_linenumber"], "total", {"p95": 0.95})
 
 
 @C.add("agg_operational_snapshot", f"""WITH {QUOTES}, a AS (SELECT market_id, provider_id, count(*) AS active, max(effective_ts) AS newest FROM quotes WHERE status = 'active' GROUP BY 1, 2),

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pricewright.functions import udfs
-from pricewright.operators import arbitrage, books, bucket_store, codec, feeds, health, migrations, replay, stakes, state, store
+from pricewright.operators import arbitrage, books, bucket_store, codec, feeds, health, migrations, replay, selection, stakes, state, store
 from pricewright.projection import Frames
 from pricewright.streaming import live, live_store
 
@@ -536,3 +536,29 @@ def test_telemetry_counts_each_batch_once(spark, tmp_path):
     finally:
         spark.streams.removeListener(told)
     assert told.counters() == {"ok": 75, "bad": 25} and len(told.batches) >= 3
+
+
+def test_selection_is_the_sorted_list(spark, monkeypatch):
+    monkeypatch.setattr(selection, "PARTS", 4)
+    rng = random.Random(6)
+    rows = [(g, v) for g in range(4) for v in [rng.choice([5, -(2**61), 2**61, rng.randrange(-40, 40), None]) for _ in range([1, 2, 30, 101][g])]]
+    df = spark.createDataFrame(rows, "g bigint, v bigint").repartition(3)
+    n = F.col("n")
+    got = selection.selected(df, ["g"], "v", {"a": F.lit(0), "b": F.floor(n / 2), "c": n - 1, "beyond": n}).collect()
+    for r in got:
+        own = sorted(v for g, v in rows if g == r.g and v is not None)
+        rank = {"a": 0, "b": len(own) // 2, "c": len(own) - 1}[r.name]
+        assert r.n == len(own) and r.value == own[rank] and r.before == rank - own.index(own[rank])
+    assert len(got) == 3 * len({g for g, v in rows if v is not None})
+
+
+def test_pages_by_seeking(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice([None, *range(6)]), rng.randrange(30), k) for k in range(400)]
+    df = spark.createDataFrame(rows, "a bigint, b bigint, c int")
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+    for offset in (0, 3, 40, 61, 150, 333, 399, 400, 900):
+        got = store.page(df, ("a", "b", "c"), offset, 20).collect()
+        assert [(r.a, r.b, r.c) for r in got] == order[offset : offset + 20] and all(r.total == 400 and r.has_more == (offset + 20 < 400) for r in got)
+    plan = store.page(df.where("a IS NOT NULL"), ("a", "b", "c"), 300, 20)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Filter" in plan
