@@ -176,14 +176,18 @@ def _(f):
     return feeds.cached(requests, 86_400_000_000).select("request", "loaded")
 
 
-@C.add("src_http", "SELECT 'landed' AS source, 2::bigint AS good, 1::bigint AS malformed")
+@C.add("src_http", """WITH p AS (SELECT event_id % 4 AS provider_id, event_id % 9 = 0 AS broken, 101 + cast(round(value * 100) AS bigint) % 350 AS cents FROM events)
+  SELECT provider_id, count_if(NOT broken)::bigint AS good, count_if(broken)::bigint AS malformed, coalesce(sum(CASE WHEN NOT broken THEN cents END), 0)::bigint AS cents FROM p GROUP BY 1""")
 def _(f):
-    folder = D.landing(f.spark, "poll")  # what a fetcher, which is outside the engine, would fill
-    lines = ['{"id": 1, "price": 2.35}', "{broken", '{"id": 2, "price": 1.01}']
-    f.spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(folder)
-    rows = [tuple(r) for r in D.landed(f.spark, folder, "id bigint, price decimal(18,6)").collect()]
-    good, bad = sum(r[0] is not None for r in rows), sum(r[2] is not None for r in rows)
-    return f.spark.createDataFrame([("landed", good, bad)], "source string, good bigint, malformed bigint")
+    # what a fetcher, which is outside the engine, would land: a folder of JSON lines a provider, some of them cut off; prices are read as exact decimals
+    folder, i = D.landing(f.spark, "poll"), F.col("event_id")
+    cents = F.lit(101) + F.round(F.col("value") * 100).cast("bigint") % 350
+    whole = F.concat(F.lit('{"id": '), i, F.lit(', "price": '), (cents / 100).cast("decimal(10,2)"), F.lit("}"))
+    lines = f.table("events").select((i % 4).alias("provider_id"), F.when(i % 9 == 0, F.substring(whole, 1, 8)).otherwise(whole).alias("value"))
+    lines.write.partitionBy("provider_id").text(folder)
+    got = D.landed(f.spark, folder, "id bigint, price decimal(18,6)").withColumn("provider_id", F.col("provider_id").cast("bigint"))
+    sums = got.groupBy("provider_id").agg(F.count_if(F.col("id").isNotNull()).alias("good"), F.count_if(F.col("_corrupt_record").isNotNull()).alias("malformed"), F.sum(F.col("price") * 100).alias("cents"))
+    return sums.select("provider_id", "good", "malformed", F.coalesce(F.col("cents").cast("bigint"), F.lit(0)).alias("cents"))
 
 
 @C.add("stm_poll_once", "SELECT * FROM (VALUES ('alpha', 'arb'), ('alpha', 'malformed'), ('alpha', 'noarb'), ('alpha', 'stale'), ('alpha', 'suspended'), ('beta', 'arb'), ('beta', 'noarb')) t(provider_id, event_id)")
