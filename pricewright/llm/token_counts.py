@@ -3,9 +3,11 @@
 The byte-pair vocabulary is compiled, state by state as texts call for them, into a deterministic
 transducer over bytes: a state holds every unfinished piece (trie node), the piece before it and how
 many pieces that makes relative to the finished prefix; a transition carries the change of the
-emitted-token count. Texts are split into chunks. A chunk's state map is constant after its first
-certain word border, so it is held as (head, count, tail): the head still depends on the state that
-comes in, the tail on what follows. Maps compose associatively and are folded as a balanced scan.
+emitted-token count. Every text is cut after each CHUNK characters, wherever that falls, and each
+chunk becomes a state map. Between texts' chunks the state is the word that is still open, so a map
+takes the open word that comes in to a count and the open word that goes out; it is constant after the chunk's first
+certain word border and is held as (head, count, tail): the head joins the word that comes in, the tail is the one that goes out. A chunk without
+a border is its own map. Maps compose associatively and are folded as a balanced scan.
 
 Nulls count as empty texts (0 bytes, 0 tokens); rows are never merged, so repeated ids give repeated
 rows; other columns are ignored; an empty table gives an empty result.
@@ -34,7 +36,8 @@ UNSETTLED = re.compile(
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: A white-space character after another character always begins a new word, whatever came before.
 BORDER = re.compile(r"(?<=\S)(?=\s)")
-CHUNK = 1 << 16
+#: Characters of a chunk.
+CHUNK = 1 << 12
 MAX_STATES = 400_000
 MAX_WORDS = 600_000
 
