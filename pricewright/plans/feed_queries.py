@@ -17,7 +17,7 @@ from ..operators import migrations as M
 from ..operators import selection as SEL
 from ..operators import store as T
 from ..sources.feed_source import landing
-from ..projection import EVENTS, QUOTES, STREAM, Catalogue, Frames
+from ..projection import AS_OF, EVENTS, QUOTES, STREAM, Catalogue, Frames
 from .book_queries import RANKED, best, full_books
 from .scalar_queries import BASE, KEYS, base
 
@@ -417,6 +417,18 @@ def _(f):
     return SEL.percentiles(base(f).select("l_linenumber", "total"), ["l_linenumber"], "total", {"p95": 0.95})
 
 
+@C.add("agg_transport_snapshot", f"""WITH {QUOTES}, q AS (SELECT *, date_diff('day', effective_ts::date, DATE '{AS_OF[:10]}') AS age FROM quotes),
+  c AS (SELECT transport_id, count_if(status = 'active')::bigint AS active, count_if(status <> 'active')::bigint AS suspended, max(effective_ts) AS newest FROM q GROUP BY 1)
+  SELECT c.*, median, p95, worst FROM c LEFT JOIN (SELECT transport_id, median(age)::double AS median, quantile_disc(age, 0.95) AS p95, max(age) AS worst FROM q WHERE status = 'active' GROUP BY 1) USING (transport_id)""")
+def _(f):
+    # what a transport has, and the ages in days of its active quotes, found by rank
+    live = F.col("status") == "active"
+    counts = f.quotes.groupBy("transport_id").agg(F.count_if(live).alias("active"), F.count_if(~live).alias("suspended"), F.max("effective_ts").alias("newest"))
+    age = F.date_diff(F.lit(AS_OF[:10]).cast("date"), F.to_date("effective_ts"))
+    ages = SEL.percentiles(f.quotes.where(live).select("transport_id", age.alias("age")), ["transport_id"], "age", {"p95": 0.95})
+    return counts.join(ages, "transport_id", "left")
+
+
 @C.add("agg_operational_snapshot", f"""WITH {QUOTES}, a AS (SELECT market_id, provider_id, count(*) AS active, max(effective_ts) AS newest FROM quotes WHERE status = 'active' GROUP BY 1, 2),
   s AS (SELECT market_id, provider_id, count(*) AS suspended FROM quotes WHERE status <> 'active' GROUP BY 1, 2)
   SELECT coalesce(a.market_id, s.market_id) AS market_id, coalesce(a.provider_id, s.provider_id) AS provider_id, active, suspended, newest FROM a FULL JOIN s ON a.market_id = s.market_id AND a.provider_id = s.provider_id""")
