@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,21 +53,23 @@ def fold(quotes: DataFrame, tolerance_us: int) -> DataFrame:
         us("ingested_at").alias("ingested_us"), "cents", "status",
     )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, None
-        for pdf in batches:
+        for batch in batches:
+            columns = dict(zip(batch.schema.names, batch.columns))
             outcomes, revisions = [], []
-            for row in pdf.itertuples(index=False):
-                if row[:4] != key:
-                    key, state = row[:4], None
-                state, outcome = step(state, row.cents, row.status, row.effective_us, row.ingested_us, row.observed_us, tolerance_us)
+            for *own, observed, effective, ingested, cents, status in zip(*(columns[c].to_pylist() for c in (*KEY, "observed_us", "effective_us", "ingested_us", "cents", "status"))):
+                if own != key:
+                    key, state = own, None
+                state, outcome = step(state, cents, status, effective, ingested, observed, tolerance_us)
                 outcomes.append(outcome)
-                revisions.append(state[0] if outcome.startswith("accepted") else None)
-            out = pdf.drop(columns=["ingested_us"]).assign(outcome=outcomes, revision=pd.array(revisions, dtype="Int64"))
-            yield out
+                revisions.append(state[0] if outcome[0] == "a" else None)  # accepted
+            names = [c.split()[0] for c in OUTPUT.split(", ")]
+            columns |= {"outcome": pa.array(outcomes, pa.string()), "revision": pa.array(revisions, pa.int64())}
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
 
     dealt = rows.repartition(*KEY).sortWithinPartitions(*KEY, "observed_us", "effective_us", "ingested_us", "quote_id")
-    return dealt.mapInPandas(run, OUTPUT)
+    return dealt.mapInArrow(run, OUTPUT)
 
 
 def accepted_versions(folded: DataFrame) -> DataFrame:
@@ -112,28 +114,29 @@ def lives(observations: DataFrame, tolerance_us: int, window_us: int) -> DataFra
     """
     columns = [f.name for f in observations.schema]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, now, life = None, None, 0
-        for pdf in batches:
+        for batch in batches:
             rows = []
-            for r in pdf.itertuples(index=False):
-                own = tuple(getattr(r, k) for k in KEY)
+            read = (batch.column(columns.index(c)).to_pylist() for c in (*KEY, "observed_us", "effective_us", "ingested_us", "cents", "status"))
+            for *own, observed, effective, ingested, cents, status in zip(*read):
                 if own != key:
                     key, now, life = own, None, 1
-                elif now is not None and r.observed_us - now[3] > window_us:
+                elif now is not None and observed - now[3] > window_us:
                     now, life = None, life + 1
-                if now is None and life > 1 and r.observed_us - r.effective_us > window_us:
+                if now is None and life > 1 and observed - effective > window_us:
                     rows.append(("late_for_evicted", None, life, None))
                     continue
-                now, outcome = step(now, r.cents, r.status, r.effective_us, r.ingested_us, r.observed_us, tolerance_us)
-                taken = outcome.startswith("accepted")
+                now, outcome = step(now, cents, status, effective, ingested, observed, tolerance_us)
+                taken = outcome[0] == "a"  # accepted
                 rows.append((outcome, now[0] if taken else None, life, now[3] + window_us if taken else None))
-            outcomes, revisions, ages, ends = zip(*rows) if rows else ((), (), (), ())
-            yield pdf.assign(outcome=list(outcomes), revision=pd.array(revisions, dtype="Int64"), life=list(ages), evicted_us=pd.array(ends, dtype="Int64"))
+            told = list(zip(*rows)) if rows else [(), (), (), ()]
+            more = [pa.array(told[0], pa.string()), *(pa.array(x, pa.int64()) for x in told[1:])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*columns, "outcome", "revision", "life", "evicted_us"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in observations.schema)
     dealt = observations.repartition(*KEY).sortWithinPartitions(*KEY, "observed_us", "effective_us", "ingested_us", "quote_id").select(*columns)
-    return dealt.mapInPandas(run, f"{kinds}, outcome string, revision bigint, life bigint, evicted_us bigint")
+    return dealt.mapInArrow(run, f"{kinds}, outcome string, revision bigint, life bigint, evicted_us bigint")
 
 
 def invalidations(quotes: DataFrame, selections: DataFrame) -> DataFrame:
