@@ -13,11 +13,12 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ UNSETTLED = re.compile(
 )
 #: Texts of these characters only can be split by the plainer, faster pattern NARROW_WORDS.
 WIDE = re.compile("[^\x00-\x1b\x20-\x7e\u00a1\u00ab\u00bb\u00bf\u00e0-\u00f6\u00f8-\u00ff\u2010-\u2027]")
+#: What of ASCII is wide.
+ODD = "\x1c\x1d\x1e\x1f\x7f"
 NARROW_WORDS = re.compile("'(?:[stmd]|re|ve|ll)|[a-z\u00e0-\u00f6\u00f8-\u00ff]+|[0-9]|[^\\sa-z\u00e0-\u00f6\u00f8-\u00ff0-9]+")
 MAX_WORDS = 300_000
 #: Characters of a chunk that is kept.
@@ -49,6 +52,32 @@ CHUNK_ROWS = 2_000
 SLICE_ROWS = 512
 
 
+#: Stands before the last byte of a word; no text has this byte.
+LAST = b"\xff"
+
+
+def by_rank(path: str) -> Callable[[bytes], list[int]]:
+    """The ids of a word whose last byte follows LAST, by a rank encoder over the vocabulary.
+
+    An id is its own rank: bytes and last bytes have the lowest, merges follow in order. A marked last byte is two bytes, whose
+    rank is below every merge, so it is one symbol before anything else happens.
+    """
+    import tiktoken
+
+    with open(path) as f:
+        model = json.load(f)["model"]
+    chars, end = byte_of_char(), model["end_of_word_suffix"]
+    ranks = {}
+    for token, i in model["vocab"].items():
+        whole = token.removesuffix(end) if token.endswith(end) and token != end else token
+        if all(c in chars for c in whole):
+            data = bytes(chars[c] for c in whole)
+            ranks[data if whole == token else data[:-1] + LAST + data[-1:]] = i
+    ranks.setdefault(LAST, len(model["vocab"]) + 1)  # an encoder has all single bytes; this one is never left alone
+    encoding = tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})
+    return encoding._core_bpe.encode_single_piece
+
+
 class WordIds(dict):
     """The ids of each word as little-endian 32-bit bytes; bounded."""
 
@@ -56,15 +85,14 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.model = self.library.model
-        self.stand_ins = {b: c for c, b in byte_of_char().items()}
+        self.merged = by_rank(path)
         self.chunks = Chunks(self)
 
     def __missing__(self, word: str) -> bytes:
         if len(self) > MAX_WORDS:
             self.clear()
-        got = self.model.tokenize(word.encode("utf-8").decode("latin-1").translate(self.stand_ins))
-        out = self[word] = array("I", [t.id for t in got]).tobytes()
+        data = word.encode("utf-8")
+        out = self[word] = array("I", self.merged(data[:-1] + LAST + data[-1:])).tobytes()
         return out
 
     def whole(self, text: str) -> bytes:
@@ -73,7 +101,11 @@ class WordIds(dict):
     def text(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if "<|" in text if text.isascii() else UNSETTLED.search(text):
+        low = text.lower()
+        # a text that is narrow in lower case has no unsettled character and nothing to normalise
+        if "<|" not in low and (not any(c in low for c in ODD) if low.isascii() else not WIDE.search(low)):
+            return b"".join(map(self.chunks.__getitem__, low.split()))
+        if UNSETTLED.search(text):
             return self.whole(text)
         if not text.isascii() and not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
