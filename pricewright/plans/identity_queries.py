@@ -334,6 +334,26 @@ def _(f):
     return e.select("market_id", F.round(K.target(F.transform("outcomes", lambda o: o["cents"]), F.lit(10_000).cast("bigint")), 4).alias("target"))
 
 
+def limited_sql(bankroll: int = 10_000) -> str:
+    """The greatest common payout under limits: what it costs is the greatest of one line for each set of legs that follow it, the others at their minimum."""
+    legs = ("a", "b", "c")
+    low, high = (lambda x: f"({x} % 50 * 10)"), (lambda x: f"CASE WHEN {x} % 3 = 0 THEN (4000 + {x} * 5) * {x}::double / 100 END")
+    lines = []
+    for k in range(1, 8):
+        follow, stay = [x for i, x in enumerate(legs) if k >> i & 1], [x for i, x in enumerate(legs) if not k >> i & 1]
+        lines.append(f"({' - '.join([str(bankroll), *map(low, stay)])})::double / ({' + '.join(f'100 / {x}::double' for x in follow)})")
+    bound = f"least({', '.join([*lines, *map(high, legs)])})"
+    return f"{RANKED} SELECT market_id, CASE WHEN {' + '.join(map(low, legs))} <= {bankroll} THEN round({bound}, 4) END AS target FROM e WHERE arb"
+
+
+@C.add("opt_limited_target", limited_sql())
+def _(f):
+    e = A.opportunities(full_books(f))
+    cents = F.transform("outcomes", lambda o: o["cents"])
+    low, high = F.transform(cents, lambda c: c % 50 * 10), F.transform(cents, lambda c: F.when(c % 3 == 0, F.lit(4_000) + c * 5))
+    return e.select("market_id", F.round(K.target(cents, F.lit(10_000).cast("bigint"), low, high), 4).alias("target"))
+
+
 @C.add("opt_discrete_search")
 def _(f):
     return plans(f).select("market_id", F.col("plan.profit").alias("profit"), F.aggregate("plan.stakes", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("staked"))
