@@ -178,7 +178,7 @@ def boards(lines, vendors, items, batches=10):
     return sorted(feed, key=str)
 
 
-@pytest.mark.parametrize("share_items,fan,merge_every", [(4096, 128, None), (5, 2, 1), (5, 4, 4)])
+@pytest.mark.parametrize("share_items,fan,merge_every", [(4096, 128, None), (5, 2, 4)])
 def test_leaderboard(spark, share_items, fan, merge_every):
     rng = random.Random(11)
     vendors = [(v, rng.randrange(3)) for v in range(8)] + [(8, None), (None, 1), (3, 2)]
