@@ -231,7 +231,8 @@ def stored(f: Frames, starts: int = 4):
     """What the live store tells of the stream's versions, fed in so many starts on one checkpoint, and the state it leaves."""
     home = D.landing(f.spark, "store")
     rows = versions(f).select(*S.KEY, "quote_id", "cents", "status", "observed_us", "effective_us", F.col("observed_us").alias("ingested_us"))
-    told = L.in_starts(rows, "observed_us", starts, home, lambda came: L.live(came, TOLERANCE_DAYS * DAY, FRESH))
+    shards = L.shards_for(f.stream.count())
+    told = L.in_starts(rows, "observed_us", starts, home, lambda came: L.live(came, TOLERANCE_DAYS * DAY, FRESH, shards=shards))
     return f.spark.read.schema(L.TOLD).parquet(told), L.held(f.spark, home, "version")
 
 

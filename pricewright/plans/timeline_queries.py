@@ -239,7 +239,8 @@ def _(f):
     # quotes come in ten starts of a stream on one checkpoint; a batch re-prices the markets that it touches from what earlier ones left
     at = F.unix_micros(F.col("effective_ts").cast("timestamp"))
     active = f.quotes.where("status = 'active'").select("market_id", "provider_id", "selection_id", at.alias("at_us"), "cents")
-    told = L.in_starts(active, "at_us", 10, D.landing(f.spark, "books"), lambda came: L.open_books(came, 3))
+    shards = L.shards_for(f.quotes.count())
+    told = L.in_starts(active, "at_us", 10, D.landing(f.spark, "books"), lambda came: L.open_books(came, 3, shards))
     last = f.spark.read.schema(L.BOOK).parquet(told).groupBy("market_id").agg(F.max_by("cents", "turn").alias("cents")).where(F.size("cents") == 3)
     return last.where(A.is_arbitrage(F.col("cents"))).select("market_id", F.round(A.reciprocal_sum(F.col("cents")), 9).alias("implied_sum"))
 

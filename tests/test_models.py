@@ -113,6 +113,51 @@ def test_a_book_in_three_files(spark, tmp_path):
     assert got == [[], [], [400, 400, 400], [400, 390, 400], [400, 395, 400], [], [400, 398, 400]]
 
 
+@pytest.mark.parametrize("shards", [1, 5])
+def test_a_shard_of_the_live_store_holds_many_keys(spark, tmp_path, shards):
+    """The state store is called once a shard and batch, not once a key: it has a row a shard, and tells what the batch fold tells."""
+    window = 3 * DAY
+    rows = [(p, m, 0 if m else None, 0, f"q{k:03}", 100 + k % 2, "suspended" if k % 5 == 4 else "active", (k + 9) * DAY // 3, (k + 9 - 7 * (k % 11 == 10)) * DAY // 3, (k + 9) * DAY // 3) for k in range(90) for p, m in [(k % 7, k % 3)] if p != 2 or not 20 < k < 70]
+    df = spark.createDataFrame(rows, "provider_id bigint, market_id bigint, selection_id bigint, transport_id bigint, quote_id string, cents bigint, status string, observed_us bigint, effective_us bigint, ingested_us bigint")
+    home = f"file://{tmp_path}/store"
+    told = spark.read.parquet(live_store.in_starts(df, "observed_us", 5, home, lambda came: live_store.live(came, 2 * DAY, window, shards=shards)))
+    columns = [*state.KEY, "quote_id", "outcome", "revision", "life", "evicted_us"]
+    rows = lambda df: sorted(map(str, map(tuple, df.collect())))
+    assert rows(told.where("kind = 'observation'").select(*columns)) == rows(state.lives(df, 2 * DAY, window).select(*columns))
+    stored = spark.read.format("statestore").option("path", f"{home}/state").option("stateVarName", "version")
+    own = spark.conf.get(live_store.PROVIDER, None)
+    spark.conf.set(live_store.PROVIDER, live_store.ROCKS)
+    try:
+        assert stored.load().count() <= shards
+    finally:
+        spark.conf.unset(live_store.PROVIDER) if own is None else spark.conf.set(live_store.PROVIDER, own)
+    assert live_store.held(spark, home, "version").count() == df.select(*state.KEY).distinct().count() > 5
+
+
+def test_books_of_a_shard(spark, tmp_path):
+    """Many markets in few shards, over several starts: each batch tells the markets that it touches, as a fold of all quotes up to it would."""
+    quotes = [(k * 7 % 13, k % 3, k * 5 % 3, k // 20 * 10 + k % 4, 300 + k * 11 % 90) for k in range(160)]
+    df = spark.createDataFrame(quotes, "market_id bigint, provider_id bigint, selection_id bigint, at_us bigint, cents bigint")
+    home = f"file://{tmp_path}/books"
+    told = live_store.in_starts(df, "at_us", 4, home, lambda came: live_store.open_books(came, 3, 2))
+    got = {(r.market_id, r.turn): r.cents for r in spark.read.parquet(told).collect()}
+    low, high = min(q[3] for q in quotes), max(q[3] for q in quotes)
+    slots, turns, expected = {}, {}, {}
+    for start in range(4):
+        came = [q for q in quotes if (q[3] - low) * 4 // (high - low + 1) == start]
+        for m, p, s, at, cents in came:
+            slots.setdefault((m, s, p), {}).setdefault(at, set()).add(cents)
+        for m in {q[0] for q in came}:
+            turns[m] = turns.get(m, 0) + 1
+            best = {}
+            for (own, s, _), by in slots.items():
+                if own == m and len(last := by[max(by)]) == 1:
+                    best[s] = max(best.get(s, 0), *last)
+            expected[m, turns[m]] = [best[s] for s in sorted(best)] if len(best) == 3 else []
+    assert got == expected and any(expected.values())
+    assert live_store.held(spark, home, "slots").count() == len(slots)
+
+
 def test_micro_batch_scan(spark):
     found = []
     cycle = live.scan_cycle(3, lambda df, epoch: found.append((epoch, df.count())))
