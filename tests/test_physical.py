@@ -30,3 +30,12 @@ def test_best_price_is_combined_before_the_shuffle(spark):
     text = plan(spark, "agg_best_price")
     above, below = text.split("Exchange hashpartitioning", 1)
     assert "partial_min" in below and "partial_min" not in above
+
+
+def optimized(spark, name):
+    return plans.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_nested_text_is_parsed_once(spark):
+    text = optimized(spark, "cod_nested")
+    assert text.count("parseJson") == 1 and "isVariantNull" in text
