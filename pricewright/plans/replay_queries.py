@@ -148,8 +148,12 @@ def _(f):
     t = F.ceil((F.col("observed_us") + F.col("latency")) / STEP) * STEP
     each = v.select("observed_us", F.explode(F.array(*[F.lit(x).cast("bigint") for x in LATENCIES])).alias("latency"))
     at = each.select("latency", t.cast("bigint").alias("t")).distinct()
-    seen = R.as_of(R.validity(v), at, FRESH)
-    return R.detections(seen, 3, ("latency", "t")).groupBy("latency").agg(F.count("*").alias("books"), F.count_if("is_arbitrage").alias("detections"))
+    # what is seen at an instant does not depend on the latency: one sweep over the instants of all, which latencies then pick from
+    grid = at.select("t").distinct()
+    spans = R.indexed(R.validity(v), grid, FRESH).where("status = 'active'")
+    ranges = R.priced(R.swept(spans, 3)).groupBy("low", "high").agg(F.count("*").alias("books"), F.count_if("is_arbitrage").alias("detections"))
+    told = R.at_instants(ranges, grid).groupBy("t").agg(F.sum("books").alias("books"), F.sum("detections").alias("detections"))
+    return told.join(at, "t").groupBy("latency").agg(F.sum("books").alias("books"), F.sum("detections").alias("detections"))
 
 
 @C.add("bt_corpus", f"WITH {STREAM} SELECT ingested_at AS batch_time, count(*) AS n, count(DISTINCT (provider_id, market_id, selection_id, transport_id)) AS keys FROM stream GROUP BY 1")
