@@ -104,21 +104,19 @@ def handicap_parts(line: Column) -> Column:
 
 def handicap_settlement(line: Column, goal_difference: Column, odds: Column) -> Column:
     """struct(result, multiplier) of one selection from its goal difference."""
-    parts = handicap_parts(line)
-    paid = F.aggregate(
-        parts,
-        F.lit(0.0),
-        lambda a, p: a
-        + p["stake"]
-        * F.when(goal_difference + p["line"] > 0, odds).when(goal_difference + p["line"] == 0, F.lit(1.0)).otherwise(F.lit(0.0)),
-    )
-    won = F.exists(parts, lambda p: goal_difference + p["line"] > 0)
-    lost = F.exists(parts, lambda p: goal_difference + p["line"] < 0)
-    pushed = F.exists(parts, lambda p: goal_difference + p["line"] == 0)
+    # a line is at most two half stakes, on itself twice or on its neighbours: plain arithmetic, no arrays to go through
+    twice = line.cast("double") * 2
+    kind = handicap_class(line)
+    quarter = kind == "quarter"
+    low = goal_difference + F.when(quarter, F.floor(twice) / 2).otherwise(line.cast("double"))
+    high = goal_difference + F.when(quarter, F.ceil(twice) / 2).otherwise(line.cast("double"))
+    paid = lambda x: F.when(x > 0, odds).when(x == 0, F.lit(1.0)).otherwise(F.lit(0.0))
+    multiplier = F.when(quarter, 0.5 * paid(low) + 0.5 * paid(high)).when(kind != "unsupported", 1.0 * paid(low))
+    won, lost, pushed = (low > 0) | (high > 0), (low < 0) | (high < 0), (low == 0) | (high == 0)
     result = (
         F.when(won & pushed, "half_win").when(lost & pushed, "half_loss").when(won, "win").when(lost, "loss").when(pushed, "push")
     )
-    return F.struct(result.alias("result"), paid.alias("multiplier"))
+    return F.struct(F.when(kind != "unsupported", result).alias("result"), multiplier.alias("multiplier"))
 
 
 def winner_1x2(home: Column, away: Column) -> Column:

@@ -45,3 +45,7 @@ def test_latencies_do_not_copy_versions_by_instant(spark):
     """The instants of all latencies are swept once; no version is exploded into the instants at which it is seen."""
     text = optimized(spark, "bt_latency_sensitivity")
     assert "explode(filter(" not in text and "Generate explode(lambda" not in text and text.count("MapInArrow") == 1
+
+
+def test_settlement_is_plain_arithmetic(spark):
+    assert "lambda" not in optimized(spark, "fn_ah_settle")
