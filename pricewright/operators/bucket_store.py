@@ -125,21 +125,25 @@ class BucketStore:
         folders = [f"{self.path}/{f}" for b, own in sorted(by.items()) if buckets is None or b in buckets for f in own]
         return self.spark.read.schema(SCHEMA).parquet(*folders) if folders else self.spark.createDataFrame([], SCHEMA)
 
-    def _new(self, table: str, incoming: DataFrame, base: int) -> tuple[DataFrame, set[str]]:
-        """The rows of incoming that the table lacks, and the buckets that incoming falls into."""
+    def _new(self, table: str, incoming: DataFrame, base: int) -> DataFrame:
+        """The rows of incoming that the table lacks; of the table, only the buckets that incoming falls into are read."""
         rows = incoming.where("id IS NOT NULL")
-        touched = {str(r[0]) for r in self._bucket(rows).select("bucket").distinct().collect()}  # a row a bucket
         own = F.struct(F.col("payload").alias("p"))  # a struct, so that a null payload counts as one
         each = rows.groupBy("id").agg(F.min(own).alias("low"), F.max(own).alias("high"), F.min("at_us").alias("at_us"))
-        met = each.join(self.read(table, touched, base).select("id", own.alias("old")), "id", "left")
+        if self.manifest(base)["tables"].get(table):
+            touched = {str(r[0]) for r in self._bucket(rows).select("bucket").distinct().collect()}  # a row a bucket
+            met = each.join(self.read(table, touched, base).select("id", own.alias("old")), "id", "left")
+        else:  # nothing is stored: incoming is not computed only to learn its buckets
+            met = each.withColumn("old", F.lit(None).cast("struct<p:string>"))
         same = (F.col("low") == F.col("high")) & (F.col("old").isNull() | (F.col("old") == F.col("low")))
         tested = F.assert_true(same, F.concat(F.lit("an id is stored with another payload: "), F.col("id")))
         fresh = met.where(F.when(tested.isNull(), F.col("old").isNull()))
-        return fresh.select("id", F.col("low.p").alias("payload"), "at_us"), touched
+        return fresh.select("id", F.col("low.p").alias("payload"), "at_us")
 
     def try_upsert(self, tables: dict[str, DataFrame], audit: str | None = None) -> int:
         """One attempt at storing new rows of each table in one commit; the version that has them.
 
+        A batch is computed once for each of its tables, and once more for its buckets where the table has rows; a costly one is to be written first.
         A stored id with another payload fails the whole batch, as do two payloads of one id in it. audit names a table that gets a row
         for each row stored. A batch that brings nothing new commits nothing.
         """
@@ -147,8 +151,7 @@ class BucketStore:
         changes: dict[str, dict[str, dict]] = {}
         replaced: set[tuple[str, str]] = set()
         for table, incoming in tables.items():
-            fresh, _ = self._new(table, incoming, base)
-            changes[table] = self._write(table, fresh)
+            changes[table] = self._write(table, self._new(table, incoming, base))
             if audit is not None and changes[table]:
                 folders = [f"{self.path}/{f}" for own in changes[table].values() for f in own]
                 told = F.to_json(F.struct(F.lit(f"{table}_stored").alias("event"), F.col("id").alias("id")))

@@ -482,12 +482,19 @@ def stored_opportunities(f):
     return A.opportunities(full_books(f)).select(F.col("market_id").alias("opportunity_id"), "quote_ids")
 
 
+def once(f, batch, name):
+    """A batch that is read several times, written first, so that it is computed once."""
+    path = landing(f.spark, name)
+    batch.write.parquet(path)
+    return f.spark.read.schema(batch.schema).parquet(path)
+
+
 BRIDGE = f"{RANKED}, o AS (SELECT market_id AS opportunity_id, list(quote_id ORDER BY selection_id) AS quote_ids FROM best WHERE market_id IN (SELECT market_id FROM e WHERE arb) GROUP BY 1)"
 
 
 @C.add("snk_opportunity", f"{BRIDGE} SELECT opportunity_id::varchar AS opportunity_id, len(quote_ids)::bigint AS legs, true AS audited FROM o")
 def _(f):
-    found = stored_opportunities(f).withColumns({"plan": F.lit("even"), "payload": F.array_join("quote_ids", ",")})
+    found = once(f, stored_opportunities(f).withColumns({"plan": F.lit("even"), "payload": F.array_join("quote_ids", ",")}), "found")
     store = BS.BucketStore(f.spark, landing(f.spark, "opportunities"), buckets=16)
     for _ in range(2):  # delivered again: nothing is added
         store.upsert(BS.opportunity_tables(found), audit="audit")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pricewright.functions import udfs
 from pricewright.operators import arbitrage, books, bucket_store, codec, feeds, health, migrations, replay, selection, stakes, state, store
+from pricewright.plans import feed_queries
 from pricewright.projection import Frames
 from pricewright.streaming import live, live_store
 
@@ -512,6 +513,36 @@ def test_many_small_batches_are_compacted(spark, tmp_path, monkeypatch):
     assert len(store_.manifest()["tables"]["quote"]["0"]) <= 2 and sorted(r.id for r in store_.read("quote").collect()) == [f"q{k}" for k in range(5)]
 
 
+def counted(spark, df):
+    """df, and a counter of its rows that were computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def each(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(each, df.schema), seen
+
+
+def test_a_first_batch_is_computed_once(spark, tmp_path):
+    store_ = bucket_store.BucketStore(spark, f"file://{tmp_path}/store", buckets=4)
+    with pytest.raises(Exception, match="another payload"):
+        store_.upsert({"quote": records(spark, ("a", "1", 1), ("a", "2", 1))})
+    with pytest.raises(Exception, match="another payload"):
+        store_.upsert({"quote": records(spark, ("a", None, 1), ("a", "2", 1))})
+    batch, seen = counted(spark, records(spark, *((f"q{k}", None if k == 3 else "x", k) for k in range(30)), ("q3", None, 3), (None, "x", 1)))
+    assert store_.upsert({"quote": batch}, audit="audit") == 1 and seen.value == 32
+    assert store_.upsert({"quote": batch}, audit="audit") == 1 and store_.read("quote").count() == store_.read("audit").count() == 30
+
+
+def test_opportunities_are_computed_once(spark, monkeypatch):
+    inner, seen = feed_queries.stored_opportunities, []
+    monkeypatch.setattr(feed_queries, "stored_opportunities", lambda f: (seen.append(counted(spark, inner(f))), seen[-1][0])[1])
+    rows = feed_queries.C.queries["snk_opportunity"](spark, "/root/testdata/sf0.001").count()
+    assert rows and sum(n.value for _, n in seen) == rows
+
+
 @pytest.mark.parametrize("block", [4096, 3])
 def test_sweep_is_the_join(spark, monkeypatch, block):
     """Ranges of unchanged books, instant by instant, against books at each instant; also across the blocks of the grid."""
