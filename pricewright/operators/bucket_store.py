@@ -16,12 +16,14 @@ import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = "id string, payload string, at_us bigint"
 #: Folders of a bucket beyond which it is written as one.
 FOLDERS = 16
+#: Tasks that the rows of a bucket are dealt to, so that a write has more tasks than buckets.
+PARTS = 16
 #: Times that a refused batch is done again.
 TRIES = 8
 
@@ -33,11 +35,12 @@ class Refused(RuntimeError):
 class BucketStore:
     """Tables of (id, payload, at_us) under one path; a null at_us never expires.
 
+    With head, a mark, ids that are alike up to the mark lie in one bucket, and purge is told such heads.
     before_commit is called between a batch's writing and its commit, for tests of what happens meanwhile.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, before_commit: Callable[[], None] | None = None):
-        self.spark, self.path, self.buckets, self.before_commit = spark, path.rstrip("/"), buckets, before_commit
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, before_commit: Callable[[], None] | None = None, head: str | None = None):
+        self.spark, self.path, self.buckets, self.before_commit, self.head = spark, path.rstrip("/"), buckets, before_commit, head
         self._jvm = spark._jvm.org.apache.hadoop.fs
         self._conf = spark._jsc.hadoopConfiguration()
         self._disk = self._jvm.Path(self.path).getFileSystem(self._conf)
@@ -56,10 +59,10 @@ class BucketStore:
         return max((int(n.split(".")[0]) for n in names if n[:1].isdigit()), default=0)
 
     def manifest(self, version: int | None = None) -> dict:
-        """{"buckets": how many, "tables": {table: {bucket: {folder: {"rows", "least"}}}}, "touched": [[table, bucket]]}."""
+        """{"buckets": how many, "head": mark, "tables": {table: {bucket: {folder: {"rows", "least"}}}}, "touched": [[table, bucket]]}."""
         version = self.version() if version is None else version
         if not version:
-            return {"buckets": self.buckets, "tables": {}, "touched": []}
+            return {"buckets": self.buckets, "head": self.head, "tables": {}, "touched": []}
         stream = self._disk.open(self._jvm.Path(self._manifest(version)))
         try:
             got = json.loads(bytes(stream.readAllBytes()))
@@ -67,6 +70,8 @@ class BucketStore:
             stream.close()
         if got["buckets"] != self.buckets:
             raise ValueError(f"the store has {got['buckets']} buckets")
+        if got.get("head") != self.head:
+            raise ValueError(f"the store's ids have heads up to {got.get('head')!r}")
         return got
 
     def _publish(self, version: int, manifest: dict) -> bool:
@@ -108,13 +113,30 @@ class BucketStore:
 
     # data
 
+    def _key(self) -> Column:
+        """What rows are dealt by: the id, or its head."""
+        return F.col("id") if self.head is None else F.substring_index("id", self.head, 1)
+
+    def _place(self, key: Column) -> dict[str, Column]:
+        """The bucket of a key, and its part of that."""
+        spot = F.xxhash64(key)
+        return {"bucket": F.pmod(spot, F.lit(self.buckets)).cast("int"), "part": F.pmod(F.shiftright(spot, 32), F.lit(PARTS)).cast("int")}
+
     def _bucket(self, rows: DataFrame) -> DataFrame:
-        return rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(self.buckets)).cast("int"))
+        return rows.withColumn("bucket", self._place(self._key())["bucket"])
+
+    def dealt(self, rows: DataFrame, key: Column | None = None) -> DataFrame:
+        """rows by bucket and part of a bucket; with key, rows to come whose ids, or their heads, will be that.
+
+        What is made of them by windows or groups of bucket, part and key can be stored with these columns, and is not shuffled again.
+        """
+        return rows.withColumns(self._place(self._key() if key is None else key)).repartition("bucket", "part")
 
     def _write(self, table: str, rows: DataFrame) -> dict[str, dict]:
-        """Write rows (SCHEMA) by bucket; the folder of each bucket that has any, with its rows and least time."""
+        """Write rows (SCHEMA, or dealt) by bucket; the folder of each bucket that has any, with its rows and least time."""
         folder = f"data/{table}-{uuid.uuid4().hex[:12]}"
-        self._bucket(rows).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+        placed = rows if "part" in rows.columns else self.dealt(rows)
+        placed.drop("part").write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
         there = self.spark.read.schema(f"{SCHEMA}, bucket int").parquet(f"{self.path}/{folder}")
         stats = there.groupBy("bucket").agg(F.count("*").alias("rows"), F.min("at_us").alias("least")).collect()  # a row a bucket
         return {str(r["bucket"]): {f"{folder}/bucket={r['bucket']}": {"rows": r["rows"], "least": r["least"]}} for r in stats}
@@ -126,19 +148,27 @@ class BucketStore:
         return self.spark.read.schema(SCHEMA).parquet(*folders) if folders else self.spark.createDataFrame([], SCHEMA)
 
     def _new(self, table: str, incoming: DataFrame, base: int) -> DataFrame:
-        """The rows of incoming that the table lacks; of the table, only the buckets that incoming falls into are read."""
+        """The rows of incoming that the table lacks; of the table, only the buckets that incoming falls into are read.
+
+        Rows that come dealt stay so if nothing is stored.
+        """
         rows = incoming.where("id IS NOT NULL")
         own = F.struct(F.col("payload").alias("p"))  # a struct, so that a null payload counts as one
-        each = rows.groupBy("id").agg(F.min(own).alias("low"), F.max(own).alias("high"), F.min("at_us").alias("at_us"))
+        place = [c for c in ("bucket", "part") if c in rows.columns]
+        each = rows.groupBy(*place, "id").agg(F.min(own).alias("low"), F.max(own).alias("high"), F.min("at_us").alias("at_us"))
         if self.manifest(base)["tables"].get(table):
+            place = []
             touched = {str(r[0]) for r in self._bucket(rows).select("bucket").distinct().collect()}  # a row a bucket
             met = each.join(self.read(table, touched, base).select("id", own.alias("old")), "id", "left")
         else:  # nothing is stored: incoming is not computed only to learn its buckets
             met = each.withColumn("old", F.lit(None).cast("struct<p:string>"))
         same = (F.col("low") == F.col("high")) & (F.col("old").isNull() | (F.col("old") == F.col("low")))
         tested = F.assert_true(same, F.concat(F.lit("an id is stored with another payload: "), F.col("id")))
+        if place:
+            own_place = [F.col(c) == at for c, at in self._place(self._key()).items()]
+            met = met.where(F.assert_true(own_place[0] & own_place[1], F.concat(F.lit("an id is dealt to another bucket: "), F.col("id"))).isNull())
         fresh = met.where(F.when(tested.isNull(), F.col("old").isNull()))
-        return fresh.select("id", F.col("low.p").alias("payload"), "at_us")
+        return fresh.select(*place, "id", F.col("low.p").alias("payload"), "at_us")
 
     def try_upsert(self, tables: dict[str, DataFrame], audit: str | None = None) -> int:
         """One attempt at storing new rows of each table in one commit; the version that has them.
@@ -179,7 +209,7 @@ class BucketStore:
         return self._again(lambda: self.try_upsert(tables, audit))
 
     def purge(self, table: str, before_us: int, referenced: DataFrame) -> int:
-        """Remove rows older than before_us whose id is not among referenced (id); how many went.
+        """Remove rows older than before_us whose id, or its head, is not among referenced (id); how many went.
 
         Buckets without an old row are neither read nor written.
         """
@@ -193,7 +223,8 @@ class BucketStore:
             return 0
         rows = self.read(table, old, base)
         expired = F.coalesce(F.col("at_us") < before_us, F.lit(False))
-        kept = rows.where(~expired).unionByName(rows.where(expired).join(referenced.select("id").distinct(), "id", "left_semi"))
+        named = referenced.select(F.col("id").alias("key"))
+        kept = rows.where(~expired).unionByName(rows.where(expired).join(named, self._key() == F.col("key"), "left_semi"))
         left = self._write(table, kept)
         count = lambda parts: sum(x["rows"] for own in parts for x in own.values())
         gone = count(by[b] for b in old) - count(left.values())

@@ -517,20 +517,21 @@ RETAIN = f"{BRIDGE}, u AS (SELECT DISTINCT unnest(quote_ids) AS quote_id FROM o)
 
 def purged(f):
     """A store of the quotes after a purge of those before 1998 that no opportunity refers to, and how many went."""
-    store = BS.BucketStore(f.spark, landing(f.spark, "quotes"), buckets=16)
+    store = BS.BucketStore(f.spark, landing(f.spark, "quotes"), buckets=16, head="#")
     at = F.unix_micros(F.col("effective_ts").cast("timestamp"))
-    # a quote id may come more than once; each row is a record of its own
-    order = Window.partitionBy("quote_id").orderBy("effective_ts", "market_id", "selection_id", "cents")
-    rows = f.quotes.withColumn("id", F.concat_ws("#", "quote_id", F.row_number().over(order)))
-    store.upsert({"quote": rows.select("id", F.concat_ws(":", "quote_id", "market_id", "selection_id").alias("payload"), at.alias("at_us"))})
+    # a quote id may come more than once; each row is a record of its own, numbered where the store will have it
+    order = Window.partitionBy("bucket", "part", "quote_id").orderBy("at_us", "market_id", "selection_id")
+    rows = store.dealt(f.quotes.select("quote_id", "market_id", "selection_id", at.alias("at_us")), F.col("quote_id"))
+    numbered = rows.withColumn("id", F.concat_ws("#", "quote_id", F.row_number().over(order)))
+    store.upsert({"quote": numbered.select("bucket", "part", "id", F.concat_ws(":", "market_id", "selection_id").alias("payload"), "at_us")})
     cutoff = 883_612_800_000_000  # 1998-01-01
-    return store, store.purge("quote", cutoff, rows.join(T.bridge(stored_opportunities(f)), "quote_id", "left_semi").select("id"))
+    return store, store.purge("quote", cutoff, T.bridge(stored_opportunities(f)).select(F.col("quote_id").alias("id")))
 
 
 @C.add("snk_retention", RETAIN)
 def _(f):
-    part = lambda k: F.split_part("payload", F.lit(":"), F.lit(k))
-    return purged(f)[0].read("quote").select(part(1).alias("quote_id"), part(2).cast("bigint").alias("market_id"), part(3).cast("bigint").alias("selection_id"))
+    part = lambda k: F.split_part("payload", F.lit(":"), F.lit(k)).cast("bigint")
+    return purged(f)[0].read("quote").select(F.substring_index("id", "#", 1).alias("quote_id"), part(1).alias("market_id"), part(2).alias("selection_id"))
 
 
 @C.add("snk_retention_count", f"SELECT (SELECT count(*) FROM lineitem) - count(*) AS gone FROM ({RETAIN})")

@@ -505,6 +505,27 @@ def test_purge_rewrites_old_buckets_only(spark, tmp_path):
     assert len(store_.read("quote", touched).inputFiles()) < len(store_.read("quote").inputFiles()) / 8  # a plan over a bucket reads that bucket
 
 
+def test_dealt_rows_are_shuffled_once_and_checked(spark, tmp_path):
+    store_ = bucket_store.BucketStore(spark, f"file://{tmp_path}/store", buckets=4, head="#")
+    quotes = spark.createDataFrame([(f"q{k % 70}", k) for k in range(100)], "quote_id string, at_us bigint")
+    number = F.expr("row_number() OVER (PARTITION BY bucket, part, quote_id ORDER BY at_us)")
+    rows = store_.dealt(quotes, F.col("quote_id")).select("bucket", "part", F.concat_ws("#", "quote_id", number).alias("id"), F.lit("x").alias("payload"), "at_us")
+    fresh = store_._new("quote", rows, 0)
+    assert fresh._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert store_.upsert({"quote": rows}) == 1 and store_.upsert({"quote": rows.drop("bucket", "part")}) == 1 == store_.upsert({"quote": rows})
+    by = store_.manifest()["tables"]["quote"]
+    at = {r.id: b for b in by for r in store_.read("quote", {b}).collect()}
+    assert len(at) == 100 and all(at[f"q{k}#1"] == at[f"q{k}#2"] for k in range(30))
+    # q0 and q1 are referenced by their heads, so all their records stay; of the others those from 50 on
+    assert store_.purge("quote", 50, records(spark, ("q0", None, None), ("q0", None, None), ("q1", None, None), (None, None, None))) == 48
+    left = {r.id: r.at_us for r in store_.read("quote").collect()}
+    assert left == {f"q{k % 70}#{k // 70 + 1}": k for k in range(100) if k >= 50 or k % 70 < 2}
+    with pytest.raises(Exception, match="dealt to another bucket"):
+        store_.upsert({"other": rows.withColumn("part", F.pmod(F.col("part") + 1, F.lit(bucket_store.PARTS)).cast("int"))})
+    with pytest.raises(ValueError, match="heads"):
+        bucket_store.BucketStore(spark, store_.path, buckets=4).read("quote")
+
+
 def test_many_small_batches_are_compacted(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(bucket_store, "FOLDERS", 2)
     store_ = bucket_store.BucketStore(spark, f"file://{tmp_path}/store", buckets=1)
@@ -536,10 +557,17 @@ def test_a_first_batch_is_computed_once(spark, tmp_path):
     assert store_.upsert({"quote": batch}, audit="audit") == 1 and store_.read("quote").count() == store_.read("audit").count() == 30
 
 
+def test_quotes_of_a_purge_are_read_once_and_numbered_in_their_buckets(spark, monkeypatch):
+    quotes, seen = counted(spark, Frames(spark, SF).quotes)
+    monkeypatch.setattr(Frames, "quotes", quotes)
+    assert feed_queries.C.queries["snk_retention"](spark, SF).count()
+    assert seen.value == 2 * Frames(spark, SF).table("lineitem").count()  # once to be stored, once for the opportunities
+
+
 def test_opportunities_are_computed_once(spark, monkeypatch):
     inner, seen = feed_queries.stored_opportunities, []
     monkeypatch.setattr(feed_queries, "stored_opportunities", lambda f: (seen.append(counted(spark, inner(f))), seen[-1][0])[1])
-    rows = feed_queries.C.queries["snk_opportunity"](spark, "/root/testdata/sf0.001").count()
+    rows = feed_queries.C.queries["snk_opportunity"](spark, SF).count()
     assert rows and sum(n.value for _, n in seen) == rows
 
 
