@@ -211,7 +211,8 @@ class BucketStore:
     def purge(self, table: str, before_us: int, referenced: DataFrame) -> int:
         """Remove rows older than before_us whose id, or its head, is not among referenced (id); how many went.
 
-        Buckets without an old row are neither read nor written.
+        Buckets without an old row are neither read nor written. In a bucket of one folder what is not old is written again from where it lies,
+        without a shuffle; a bucket of several folders becomes one.
         """
         return self._again(lambda: self._purge(table, before_us, referenced))
 
@@ -221,10 +222,15 @@ class BucketStore:
         old = {b for b, own in by.items() if any(x["least"] is not None and x["least"] < before_us for x in own.values())}
         if not old:
             return 0
-        rows = self.read(table, old, base)
         expired = F.coalesce(F.col("at_us") < before_us, F.lit(False))
         named = referenced.select(F.col("id").alias("key"))
-        kept = rows.where(~expired).unionByName(rows.where(expired).join(named, self._key() == F.col("key"), "left_semi"))
+        moved = self.read(table, old, base).where(expired).join(named, self._key() == F.col("key"), "left_semi")
+        whole = {b for b in old if len(by[b]) == 1}  # a file of these has rows of one bucket, so no more files come of them
+        if whole != old:
+            moved = moved.unionByName(self.read(table, old - whole, base).where(~expired))
+        kept = self.dealt(moved)
+        if whole:
+            kept = kept.unionByName(self.read(table, whole, base).where(~expired).withColumns(self._place(self._key())))
         left = self._write(table, kept)
         count = lambda parts: sum(x["rows"] for own in parts for x in own.values())
         gone = count(by[b] for b in old) - count(left.values())

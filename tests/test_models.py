@@ -546,6 +546,31 @@ def counted(spark, df):
     return df.mapInArrow(each, df.schema), seen
 
 
+def test_purge_deals_only_what_moves(spark, tmp_path, monkeypatch):
+    store_ = bucket_store.BucketStore(spark, f"file://{tmp_path}/store", buckets=4)
+    store_.upsert({"quote": records(spark, *((f"q{k}", str(k), k) for k in range(200)), ("none", "x", None))})
+    inner, seen = bucket_store.BucketStore.dealt, []
+    monkeypatch.setattr(bucket_store.BucketStore, "dealt", lambda self, rows, key=None: (seen.append(counted(spark, rows)), inner(self, seen[-1][0], key))[1])
+    taken = lambda: sum(n.value for _, n in (seen.pop() for _ in range(len(seen))))
+    rows = lambda: {r.id: (r.payload, r.at_us) for r in store_.read("quote").collect()}
+    files = lambda b: len(store_.read("quote", {b}).inputFiles())
+    # of the young rows none is dealt, of the old ones those that are referenced
+    assert store_.purge("quote", 100, records(spark, ("q7", None, None), ("q8", None, None), ("q150", None, None))) == 98 and taken() == 2
+    left = {f"q{k}": (str(k), k) for k in (7, 8, *range(100, 200))} | {"none": ("x", None)}
+    assert rows() == left and store_.purge("quote", 100, records(spark, ("q7", None, None))) == 1 and taken() == 1
+    del left["q8"]
+    by = store_.manifest()["tables"]["quote"]
+    assert rows() == left and sum(x["rows"] for own in by.values() for x in own.values()) == 102
+    # a bucket of two folders is dealt as a whole and becomes one of no more files than parts
+    store_.upsert({"quote": records(spark, ("n0", "x", 300))})
+    taken()
+    (twice,) = (b for b, own in store_.manifest()["tables"]["quote"].items() if len(own) == 2)
+    dealt = sum(v[1] is None or v[1] >= 120 for i, v in rows().items() if i in {r.id for r in store_.read("quote", {twice}).collect()})
+    assert store_.purge("quote", 120, records(spark)) == 21 and taken() == dealt > 0
+    assert rows() == {i: v for i, v in left.items() if v[1] is None or v[1] >= 120} | {"n0": ("x", 300)}
+    assert {len(own) for own in store_.manifest()["tables"]["quote"].values()} == {1} and files(twice) <= bucket_store.PARTS
+
+
 def test_a_first_batch_is_computed_once(spark, tmp_path):
     store_ = bucket_store.BucketStore(spark, f"file://{tmp_path}/store", buckets=4)
     with pytest.raises(Exception, match="another payload"):
